@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from matchloom.llm import op10_exact_dedup
+from matchloom.llm import op9_byte_bpe, op10_exact_dedup
 
 
 def queries():
     return {
+        "op9_byte_bpe": op9_byte_bpe.query,
         "op10_exact_dedup": op10_exact_dedup.query,
     }
 
