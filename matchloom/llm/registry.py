@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from matchloom.llm import op9_byte_bpe, op10_exact_dedup
+from matchloom.llm import op8_decontaminate, op9_byte_bpe, op10_exact_dedup
 
 
 def queries():
     return {
+        "op8_decontaminate": op8_decontaminate.query,
         "op9_byte_bpe": op9_byte_bpe.query,
         "op10_exact_dedup": op10_exact_dedup.query,
     }
@@ -14,5 +15,6 @@ def queries():
 
 def oracle_sql():
     return {
+        "op8_decontaminate": op8_decontaminate.SQL,
         "op10_exact_dedup": op10_exact_dedup.SQL,
     }
