@@ -72,6 +72,19 @@ def vectors(grid: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
+def likeness(grid: np.ndarray, idf: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Cosine of each row with each centroid, from the slots that the row has."""
+    row, slot = np.nonzero(grid)
+    weight = np.log1p(grid[row, slot]).astype(np.float32) * idf[slot]
+    begin = np.searchsorted(row, np.arange(len(grid)))
+    full = np.flatnonzero(np.diff(np.append(begin, len(row))) > 0)
+    out = np.zeros((len(grid), len(centres)), dtype=np.float32)
+    if len(full):
+        out[full] = np.add.reduceat(weight[:, None] * np.ascontiguousarray(centres.T)[slot], begin[full], axis=0)
+        out[full] /= np.sqrt(np.add.reduceat(weight.astype(np.float64) ** 2, begin[full]))[:, None]
+    return out
+
+
 def spherical_kmeans(rows: np.ndarray, k: int) -> np.ndarray:
     """Centroids of length one; each next seed is the row least like those chosen."""
     chosen = [0]
@@ -147,7 +160,7 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text", floor: float =
                     langs += ["und"] * len(grid)
                     scores += [0.0] * len(grid)
                     continue
-                like = vectors(grid, known["idf"]) @ known["centres"].T
+                like = likeness(grid, known["idf"], known["centres"])
                 best = np.argmax(like, axis=1)
                 top = np.clip(like[np.arange(len(like)), best].astype(np.float64), 0, 1)
                 langs += [known["langs"][b] if ok else "und" for b, ok in zip(best.tolist(), has.tolist())]

@@ -29,8 +29,10 @@ from pyspark.sql import types as T
 from matchloom.llm.common import table, without
 
 #: Entries that a memo may hold; a full one starts afresh.
-MEMO = 400_000
+MEMO = 200_000
 NEVER = 1 << 60
+#: Rows that go back to the JVM at once.
+SLICE = 256
 
 
 class BytePairs:
@@ -157,8 +159,18 @@ class BytePairs:
             ids += found
         return ids
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids))
+
+@lru_cache(maxsize=2)
+def tokens_of(path: str) -> dict[int, bytes]:
+    with open(path, "rb") as lines:
+        return {int(b): base64.b64decode(a) for a, b in (line.split() for line in lines if line.strip())}
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that little waits between Python and the JVM."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, SLICE):
+            yield batch.slice(begin, SLICE)
 
 
 @lru_cache(maxsize=2)
@@ -178,7 +190,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             flat, ends = array("i"), [0]
             for text in batch.column(at):
                 value = text.as_py()
@@ -191,19 +203,16 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
     return rows.mapInArrow(run, schema)
 
 
-def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
+def decode(tokens: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """Add the bytes that the ids stand for. Null ids give null; an unknown id fails the job."""
     rows = without(tokens, out)
     schema = T.StructType([*rows.schema.fields, T.StructField(out, T.BinaryType(), True)])
     at = rows.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary(path, pattern)
-        for batch in batches:
-            column = batch.column(at)
-            flat, ends = column.values.to_numpy(zero_copy_only=False).tolist(), column.offsets.to_pylist()
-            there = column.is_valid().to_pylist()
-            texts = [words.decode(flat[a:b]) if ok else None for a, b, ok in zip(ends, ends[1:], there)]
+        token = tokens_of(path).__getitem__
+        for batch in slices(batches):
+            texts = [None if ids is None else b"".join(map(token, ids)) for ids in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, out])
 
     return rows.mapInArrow(run, schema)
@@ -215,7 +224,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     tokens = encode(docs, path, pattern).select("doc_id", "ids")
-    return decode(tokens, path, pattern).select(
+    return decode(tokens, path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
