@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from matchloom.llm import op3_secrets, op4_line_dedup, op5_html_text, op6_language, op8_decontaminate, op9_byte_bpe, op10_exact_dedup
+from matchloom.llm import op1_jaccard_join, op3_secrets, op4_line_dedup, op5_html_text, op6_language, op8_decontaminate, op9_byte_bpe, op10_exact_dedup
 
 
 def queries():
     return {
+        "op1_jaccard_join": op1_jaccard_join.query,
         "op3_secrets": op3_secrets.query,
         "op4_line_dedup": op4_line_dedup.query,
         "op5_html_text": op5_html_text.query,
