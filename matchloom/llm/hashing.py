@@ -81,3 +81,14 @@ def marked(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
     """Which of the hashes (int64) have their bit set."""
     slot = hashed & (len(bits) * 8 - 1)
     return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
+
+def rolled(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of `size` consecutive words from each position on (of all words given, over row borders too)."""
+    n = len(words) - size + 1
+    if n <= 0:
+        return np.array([], dtype=np.uint64)
+    power, inverse = powers(1 << max(20, len(words).bit_length()))
+    sums = np.zeros(len(words) + 1, dtype=np.uint64)
+    np.cumsum(words * power[: len(words)], out=sums[1:])
+    return mix((sums[size:] - sums[:-size]) * inverse[:n])

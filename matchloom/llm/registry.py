@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from matchloom.llm import op1_jaccard_join, op3_secrets, op4_line_dedup, op5_html_text, op6_language, op8_decontaminate, op9_byte_bpe, op10_exact_dedup
+from matchloom.llm import op1_jaccard_join, op3_secrets, op4_line_dedup, op5_html_text, op6_language, op7_substring_dedup, op8_decontaminate, op9_byte_bpe, op10_exact_dedup
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op4_line_dedup": op4_line_dedup.query,
         "op5_html_text": op5_html_text.query,
         "op6_language": op6_language.query,
+        "op7_substring_dedup": op7_substring_dedup.query,
         "op8_decontaminate": op8_decontaminate.query,
         "op9_byte_bpe": op9_byte_bpe.query,
         "op10_exact_dedup": op10_exact_dedup.query,
@@ -21,6 +22,7 @@ def queries():
 def oracle_sql():
     return {
         "op4_line_dedup": op4_line_dedup.SQL,
+        "op7_substring_dedup": op7_substring_dedup.SQL,
         "op8_decontaminate": op8_decontaminate.SQL,
         "op10_exact_dedup": op10_exact_dedup.SQL,
     }
