@@ -5,10 +5,13 @@ within every other's window. The join therefore has two levels.
 
 1. Sizes and signatures (the coarse regions). A pair within the limit has sizes within a factor, so
    documents go to size intervals, and those whose size lies within the factor below the next
-   interval are replicated to it. In an interval whose largest size allows D differing shingles, the
-   hash space is cut into D + 1 ranges; two sets within the limit agree on at least one range, so
-   each range's content (as a hash) is a region. Documents with an empty range are cut again with
-   another seed, so that an agreement on nothing never counts.
+   interval are replicated to it. The hash space is cut into ranges. Two sets that differ in at most
+   D shingles agree on all but D ranges, so of their first D + 1 + slack ranges at least 1 + slack
+   agree; the content of a range (as a hash) names a region. Ranges that are empty, or whose content
+   more than HEAVY documents share, say little; a document with no more of them than the slack leaves
+   them out, for another range then agrees. A document with more of them, and every small one, is
+   also put in the regions of its first floor((1 - limit) * n) + 1 shingles by hash, of which two
+   sets within the limit share one; if both sets of a pair lack ranges, they meet there.
 2. Pivots (inside each region). The documents with the smallest identifiers are pivots and get the
    distance to all others. What lies within the limit is linked to the pivot and needs no pairs of
    its own; what lies outside goes on in the outer region; what lies between one and two limits is
@@ -26,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from math import ceil, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -37,26 +41,39 @@ from matchloom.llm.common import shared_dir, stored, table, without
 from matchloom.llm.components import components
 from matchloom.llm.hashing import bitmap, hashed_words, marked, mix
 
-#: Ratio of an interval's ends; pivots of a region at once; documents that are compared directly.
-GROWTH, PIVOTS, LEAF = 1.5, 16, 32
-SEEDS = 6
-#: Bits of the maps of used regions (8 MB) and of documents in them (1 MB).
+#: Ratio of an interval's ends; sizes that are too small for ranges; documents of a region that says little.
+GROWTH, SMALL, HEAVY = 1.5, 40, 64
+#: Pivots of a region at once; documents that are compared directly.
+PIVOTS, LEAF = 16, 32
+#: Bits of the maps of used and of heavy regions (8 MB each) and of documents in them (1 MB).
 REGION_BITS, DOC_BITS = 26, 23
 RESULTS = ("n_shingles", "component_id")
 
 
+def differing(n: int, high: int, percent: int) -> int:
+    """Shingles in which a set of n and one of its interval (up to `high`) can differ and be linked."""
+    return (n + min(high, n * 100 // percent)) * (100 - percent) // (100 + percent)
+
+
 @lru_cache(maxsize=4)
-def intervals(percent: int, most: int) -> list[tuple[int, int, int]]:
-    """(least size, least size that is replicated here, ranges) of the size intervals up to `most`.
+def intervals(percent: int) -> list[tuple[int, int, int, int, int]]:
+    """(least size, least size that is replicated here, largest size, ranges, slack) of the size intervals.
 
-    Sets of sizes a and b within the limit differ in (a + b) * (100 - percent) / (100 + percent)
-    shingles at most.
+    The slack is about what empty ranges need; it changes the work, never the result.
     """
     out, low = [], 1
-    while low <= most:
+    while low < 1 << 40:
         high = max(low, int(low * GROWTH))
-        differ = 2 * high * (100 - percent) // (100 + percent)
-        out.append((low, -(-low * percent // 100), differ + 1))
+        least, ranges, slack = -(-low * percent // 100), 0, 0
+        if high > SMALL:
+            most, slack = differing(high, high, percent) + 1, 1
+            for _ in range(30):
+                ranges = most + slack
+                used = {n: differing(n, high, percent) + 1 + slack for n in (least, low, high)}
+                empty = max(e * exp(-n / ranges) for n, e in used.items())
+                slack = min(most // 2 + 2, ceil(empty + 2 * sqrt(empty) + 2 + 0.03 * most))
+            ranges = most + slack
+        out.append((low, least, high, ranges, slack))
         low = high + 1
     return out
 
@@ -88,33 +105,36 @@ def edges(ranges: int) -> np.ndarray:
     return np.array([(i << 64) // ranges for i in range(1, ranges)], dtype=np.uint64)
 
 
-def regions_of(grams: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of the regions that a set belongs to (one range: only equal sets can be linked); none if it is empty."""
+def regions_of(grams: np.ndarray, percent: int, heavy: np.ndarray | None, used: np.ndarray | None) -> np.ndarray:
+    """Hashes of the regions that a set belongs to; without bitmaps, those that are to be counted."""
     n, out = len(grams), []
-    known = intervals(percent, 1 << 40)
-    for k, (low, from_size, ranges) in enumerate(known):
-        if from_size > n:
+    if not n:
+        return np.array([], dtype=np.uint64)
+    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(mix(grams ^ np.uint64(0x5851F42D4C957F2D)))))
+    for k, (low, least, high, ranges, slack) in enumerate(intervals(percent)):
+        if least > n:
             break
-        high = known[k + 1][0] - 1
         if n > high:
             continue
-        for seed in range(SEEDS):
-            own = grams if seed == 0 else np.sort(mix(grams + np.uint64(seed * 0xA24BAED4963EE407 % (1 << 64))))
-            cuts = np.concatenate(([0], np.searchsorted(own, edges(ranges)), [n]))
-            sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(mix(own ^ np.uint64(0x5851F42D4C957F2D)))))
-            content = sums[cuts[1:]] - sums[cuts[:-1]]
-            name = mix(content + mix(np.arange(ranges, dtype=np.uint64) + np.uint64(((k * SEEDS + seed) << 32) + 1)))
-            full = cuts[1:] > cuts[:-1]
-            if full.all() or seed == SEEDS - 1:
-                out.append(name)
-                break
-            out.append(name[full])
-    return np.concatenate(out) if out else np.array([], dtype=np.uint64)
-
-
-def _regions(docs: DataFrame, size: int, percent: int, used: np.ndarray | None = None) -> DataFrame:
-    """(region, doc) rows of docs (doc, text); with `used` only regions whose bit is set."""
-    shared = docs.sparkSession.sparkContext.broadcast(used)
+        lacking = not ranges
+        if ranges:
+            first = min(ranges, differing(n, high, percent) + 1 + slack)
+            cuts = np.concatenate(([0], np.searchsorted(grams, edges(ranges)[:first]), [n]))[: first + 1]
+            name = mix(sums[cuts[1:]] - sums[cuts[:-1]] + mix(np.arange(first, dtype=np.uint64) + np.uint64((k << 32) + 1)))
+            tells = cuts[1:] > cuts[:-1]
+            if heavy is not None:
+                tells &= ~marked(heavy, name.view(np.int64))
+            lacking = int((~tells).sum()) > slack
+            name = name[tells]
+            out.append(name if used is None else name[marked(used, name.view(np.int64))])
+        if lacking:
+            out.append(mix(grams[: n - -(-n * percent // 100) + 1] + np.uint64(k + 1)))
+    return np.concatenate(out)
+
+
+def _regions(docs: DataFrame, size: int, percent: int, heavy: np.ndarray | None = None, used: np.ndarray | None = None) -> DataFrame:
+    """(region, doc) rows of docs (doc, text)."""
+    shared = docs.sparkSession.sparkContext.broadcast((heavy, used))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,9 +146,7 @@ def _regions(docs: DataFrame, size: int, percent: int, used: np.ndarray | None =
                 return pa.RecordBatch.from_arrays([pa.array(names), batch.column(0).take(pa.array(at))], names=["region", "doc"])
 
             for row, grams in shingle_sets(batch.column(1).to_pylist(), size):
-                names = regions_of(grams, percent)
-                if shared.value is not None:
-                    names = names[marked(shared.value, names.view(np.int64))]
+                names = regions_of(grams, percent, *shared.value)
                 if len(names):
                     rows.append(row)
                     found.append(names)
@@ -195,10 +213,10 @@ def jaccard_links(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     folder = shared_dir(spark, "jaccard-join")
     texts = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"))
 
-    several = _regions(texts, size, percent).groupBy("region").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
-    several = stored(several.select("region"), f"{folder}/several")
-    used = bitmap(several, F.col("region"), REGION_BITS)
-    rows = _regions(texts, size, percent, used).join(several, "region", "left_semi").distinct()
+    counted = stored(_regions(texts, size, percent).groupBy("region").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1"), f"{folder}/counted")
+    used = bitmap(counted, F.col("region"), REGION_BITS)
+    heavy = bitmap(counted.where(F.col("docs") > HEAVY), F.col("region"), REGION_BITS)
+    rows = _regions(texts, size, percent, heavy, used)
     regions = stored(rows.withColumn("ball", F.lit(False)), f"{folder}/regions-0")
 
     docs_used = bitmap(regions, F.xxhash64("doc"), DOC_BITS)
