@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from matchloom.llm import op1_jaccard_join, op3_secrets, op4_line_dedup, op5_html_text, op6_language, op7_substring_dedup, op8_decontaminate, op9_byte_bpe, op10_exact_dedup
+from matchloom.llm import op1_jaccard_join, op2_licenses, op3_secrets, op4_line_dedup, op5_html_text, op6_language, op7_substring_dedup, op8_decontaminate, op9_byte_bpe, op10_exact_dedup
 
 
 def queries():
     return {
         "op1_jaccard_join": op1_jaccard_join.query,
+        "op2_licenses": op2_licenses.query,
         "op3_secrets": op3_secrets.query,
         "op4_line_dedup": op4_line_dedup.query,
         "op5_html_text": op5_html_text.query,
@@ -21,6 +22,7 @@ def queries():
 
 def oracle_sql():
     return {
+        "op2_licenses": op2_licenses.SQL,
         "op4_line_dedup": op4_line_dedup.SQL,
         "op7_substring_dedup": op7_substring_dedup.SQL,
         "op8_decontaminate": op8_decontaminate.SQL,
