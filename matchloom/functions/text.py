@@ -8,7 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The patterns that decide what counts as a name, a requirement or a duty.
-STRAY = "[￮Ÿ⚫◯◻◼▶▷◆◇★☆ž※「」･╢-\\x00-\\x08\\x0b-\\x1f]".replace("╢-", "╢\\-")
 STRAY = "[￮Ÿ⚫◯◻◼▶▷◆◇★☆ž※「」･]|[\\x00-\\x08\\x0b-\\x1f]|[\ue000-\uf8ff]"
 LEAD_LETTER = "^[a-zA-Z][가-힣]"
 CUT_TAIL = "(?:하려|하고자|할수있음|할수있는|하는|되는|으로|에서|에게|및|또는)$"
@@ -75,9 +74,11 @@ def repair_brackets(text: Column) -> Column:
             F.when(opener & (s["depth"] == 0), s["at"]).otherwise(s["cut"]).alias("cut"),
         )
 
-    end = F.aggregate(chars, start, walk)
-    head = F.trim(F.left(once, end["cut"]))
-    cut = F.when((end["depth"] > 0) & (end["cut"] >= 0) & (F.length(F.regexp_replace(head, r"(?U)\s+", "")) >= 2), head).otherwise(once)
+    def cut_open(end: Column) -> Column:
+        head = F.trim(F.left(once, end["cut"]))
+        return F.when((end["depth"] > 0) & (end["cut"] >= 0) & (F.length(F.regexp_replace(head, r"(?U)\s+", "")) >= 2), head).otherwise(once)
+
+    cut = let(F.aggregate(chars, start, walk), cut_open)
 
     def lonely(s: Column, c: Column, opener: str, closer: str) -> Column:
         """Keep a closer only while an opener waits; s holds the waiting openers and the text so far."""
@@ -94,21 +95,33 @@ def repair_brackets(text: Column) -> Column:
     return F.reverse(backward)
 
 
+def let(value: Column, use) -> Column:
+    """`use` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normal_name(text: Column) -> Column:
-    """The normal form of a competency name: marks, tags and type words off, brackets repaired, no spaces."""
+    """The normal form of a competency name: marks, tags and type words off, brackets repaired, no spaces.
+
+    Endings come off in up to four rounds, until one changes nothing or would leave under two characters.
+    """
     raw = F.coalesce(text, F.lit(""))
-    t = F.regexp_replace(F.btrim(raw), LEAD_NUM, "")
-    untagged = F.regexp_replace(t, LEAD_TAG, "")
-    t = F.when(F.length(untagged) >= 4, untagged).otherwise(t)
-    t = squeezed(repair_brackets(F.regexp_replace(t, "[·․‧∙・]", " ")))
-    live = F.lit(True)
-    for _ in range(4):
-        n = F.btrim(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, DROP_TAIL, ""), TAIL, ""), VERB_TAIL, ""), F.lit(" ,./()[]"))
-        live = live & (n != t) & (F.length(n) >= 2)
-        t = F.when(live, n).otherwise(t)
-    done = F.regexp_replace(F.btrim(repair_brackets(t), F.lit(" ,./")), r"(?U)\s+", "")
+    bare = let(F.regexp_replace(F.btrim(raw), LEAD_NUM, ""), lambda t: let(F.regexp_replace(t, LEAD_TAG, ""), lambda u: F.when(F.length(u) >= 4, u).otherwise(t)))
+    mended = let(F.regexp_replace(bare, "[·․‧∙・]", " "), lambda t: squeezed(repair_brackets(t)))
+
+    def shorten(state: Column) -> Column:
+        cut = F.btrim(F.regexp_replace(F.regexp_replace(F.regexp_replace(state["t"], DROP_TAIL, ""), TAIL, ""), VERB_TAIL, ""), F.lit(" ,./()[]"))
+
+        def decide(n: Column) -> Column:
+            go = state["go"] & (n != state["t"]) & (F.length(n) >= 2)
+            return F.struct(F.when(go, n).otherwise(state["t"]).alias("t"), go.alias("go"))
+
+        return let(cut, decide)
+
+    short = F.aggregate(F.sequence(F.lit(1), F.lit(4)), F.struct(mended.alias("t"), F.lit(True).alias("go")), lambda s, _: shorten(s))["t"]
+    done = let(short, lambda t: F.regexp_replace(F.btrim(repair_brackets(t), F.lit(" ,./")), r"(?U)\s+", ""))
     back = F.regexp_replace(F.btrim(repair_brackets(raw), F.lit(" ,./()[]")), r"(?U)\s+", "")
-    return F.when(done != "", done).otherwise(back)
+    return let(done, lambda t: F.when(t != "", t).otherwise(back))
 
 
 def sentences(text: Column) -> Column:

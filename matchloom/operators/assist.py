@@ -44,10 +44,10 @@ def importance(counts: DataFrame) -> DataFrame:
     return counts.crossJoin(F.broadcast(most)).select("term", F.round(F.col("n") / F.col("most"), 3).alias("importance"))
 
 
-def priorities(postings: DataFrame, exponent: float = 1.5) -> DataFrame:
-    """Rank of open work: gap * urgency * fit**1.5, four digits; fit is clamped, null counts as 1."""
+def priorities(postings: DataFrame, exponent: float = 1.5, digits: int = 4) -> DataFrame:
+    """Rank of open work: gap * urgency * fit**1.5, rounded; fit is clamped, null counts as 1."""
     fit = F.coalesce(F.least(F.greatest("fit", F.lit(0.0)), F.lit(1.0)), F.lit(1.0))
-    score = F.round((1 - F.col("rate")) * X.urgency(F.col("days_left")) * F.pow(fit, F.lit(exponent)), 4)
+    score = F.round((1 - F.col("rate")) * X.urgency(F.col("days_left")) * F.pow(fit, F.lit(exponent)), digits)
     return postings.withColumn("score", score).withColumn("rank", F.row_number().over(Window.partitionBy("owner").orderBy(F.desc("score"), "posting")))
 
 
@@ -65,8 +65,8 @@ def briefing(ranked: DataFrame) -> DataFrame:
     )
 
 
-def nudge(ranked: DataFrame) -> DataFrame:
-    line = F.format_string("D-%d %s %.4f", F.col("days_left").cast("int"), F.col("posting").cast("string"), F.col("score"))
+def nudge(ranked: DataFrame, pattern: str = "D-%d %s %.4f") -> DataFrame:
+    line = F.format_string(pattern, F.col("days_left").cast("int"), F.col("posting").cast("string"), F.col("score"))
     return ranked.where("rank = 1").select("owner", line.alias("line"))
 
 

@@ -46,7 +46,7 @@ def lookup(names: DataFrame, index: DataFrame) -> DataFrame:
 def vote(cells: DataFrame) -> DataFrame:
     """The most frequent code of each document's cells (doc, pos, code); the first seen of equals."""
     counted = cells.groupBy("doc", "code").agg(F.count(F.lit(1)).alias("votes"), F.min("pos").alias("first"))
-    return counted.withColumn("k", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("votes"), "first"))).where("k = 1").drop("k")
+    return counted.withColumn("k", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("votes"), "first", "code"))).where("k = 1").drop("k")
 
 
 def inverted(pairs: DataFrame, key: str, value: str) -> DataFrame:
