@@ -45,13 +45,13 @@ def hashed_words(texts: list[str | None], fold: bool) -> Iterator[tuple[int, np.
     With `fold` A-Z count as a-z.
     """
     table, begin = FOLD if fold else PLAIN, 0
-    coded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    while begin < len(coded):
-        end, size = begin, 0
-        while end < len(coded) and (end == begin or size + len(coded[end]) < CHUNK):
-            size += len(coded[end]) + 1
-            end += 1
-        joined = np.frombuffer((b" " + b" ".join(coded[begin:end]) + b" ").translate(table), dtype=np.uint8)
+    while begin < len(texts):
+        coded, size = [], 0
+        while begin + len(coded) < len(texts) and (not coded or size < CHUNK):
+            coded.append((texts[begin + len(coded)] or "").encode("utf-8", "surrogatepass"))
+            size += len(coded[-1]) + 1
+        end = begin + len(coded)
+        joined = np.frombuffer((b" " + b" ".join(coded) + b" ").translate(table), dtype=np.uint8)
         power, inverse = powers(1 << max(20, int(len(joined)).bit_length()))
         blank = joined == 32
         starts = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
@@ -59,7 +59,7 @@ def hashed_words(texts: list[str | None], fold: bool) -> Iterator[tuple[int, np.
         sums = np.zeros(len(joined) + 1, dtype=np.uint64)
         np.cumsum(byte_codes()[joined] * power[: len(joined)], out=sums[1:])
         words = mix((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(np.uint64))
-        edges = 1 + np.cumsum([0] + [len(c) + 1 for c in coded[begin:end]])
+        edges = 1 + np.cumsum([0] + [len(c) + 1 for c in coded])
         yield begin, words, np.diff(np.searchsorted(starts, edges))
         begin = end
 

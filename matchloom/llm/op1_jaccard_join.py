@@ -8,21 +8,22 @@ within every other's window. The join therefore has two levels.
    interval are replicated to it. The hash space is cut into ranges. Two sets that differ in at most
    D shingles agree on all but D ranges, so of their first D + 1 + slack ranges at least 1 + slack
    agree; the content of a range (as a hash) names a region. Ranges that are empty, or whose content
-   more than HEAVY documents share, say little; a document with no more of them than the slack leaves
-   them out, for another range then agrees. A document with more of them, and every small one, is
+   more than HEAVY documents share, say little; a document uses the shortest start of its ranges that
+   has D + 1 others, for one of those then agrees. A document without such a start, and every small one, is
    also put in the regions of its first floor((1 - limit) * n) + 1 shingles by hash, of which two
    sets within the limit share one; if both sets of a pair lack ranges, they meet there.
-2. Pivots (inside each region). The documents with the smallest identifiers are pivots and get the
-   distance to all others. What lies within the limit is linked to the pivot and needs no pairs of
-   its own; what lies outside goes on in the outer region; what lies between one and two limits is
-   joined with the part of the ball that the triangle inequality leaves (distances from the pivot
-   that differ by a limit at most), the replicated boundary. Regions recurse until nothing is open;
-   regions of LEAF documents or fewer are compared directly.
-
-Every link between different sets is either verified or implied by two verified links to a pivot, so
-the components are exact. No region is ever gathered in one task: pivots are found with a grouped
-rank that is limited before its shuffle, and comparisons are joins, which Spark splits if skewed.
-Tables between steps go to the shared folder.
+2. Pivots (inside the regions). The document with the smallest identifier is the pivot of each region;
+   the regions of one pivot merge to its cell, so documents near the borders of cells are replicated
+   to several. A cell of BLOCK documents or fewer is compared directly. A larger one is dealt in
+   blocks, each with the pivot, which gives all distances from the pivot and the links inside the
+   blocks. By the triangle inequality, documents whose distances from the pivot differ by more than
+   the limit can't be linked, so the cell splits into windows of twice that width, which overlap by
+   half; windows whose documents already are one component are done, and the others are cells
+   with pivots of their own. What is still large after DEPTH levels is compared block by block.
+
+Sets are compared by 48 bits of their shingles' hashes. Distances are computed in the tasks that hold a block or two; only links that join two components
+of it leave the task, so a group of copies never becomes its pairs. Tables between steps go to the
+shared folder.
 """
 
 from __future__ import annotations
@@ -32,19 +33,20 @@ from functools import lru_cache
 from math import ceil, exp, sqrt
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchloom.llm.common import shared_dir, stored, table, without
+from matchloom.llm.common import shared_dir, slices, stored, table, without
 from matchloom.llm.components import components
 from matchloom.llm.hashing import bitmap, hashed_words, marked, mix
 
 #: Ratio of an interval's ends; sizes that are too small for ranges; documents of a region that says little.
-GROWTH, SMALL, HEAVY = 1.5, 40, 64
-#: Pivots of a region at once; documents that are compared directly.
-PIVOTS, LEAF = 16, 32
+GROWTH, SMALL, HEAVY = 1.5, 40, 16
+#: Documents that are compared in one task at once; levels of windows.
+BLOCK, DEPTH = 256, 3
 #: Bits of the maps of used and of heavy regions (8 MB each) and of documents in them (1 MB).
 REGION_BITS, DOC_BITS = 26, 23
 RESULTS = ("n_shingles", "component_id")
@@ -124,7 +126,10 @@ def regions_of(grams: np.ndarray, percent: int, heavy: np.ndarray | None, used:
             tells = cuts[1:] > cuts[:-1]
             if heavy is not None:
                 tells &= ~marked(heavy, name.view(np.int64))
-            lacking = int((~tells).sum()) > slack
+                # The shortest start of the ranges in which no more than the spare ones say little will do.
+                enough = np.flatnonzero(np.arange(1, first + 1) - np.cumsum(~tells) > first - 1 - slack)
+                tells[enough[0] + 1 if len(enough) else first :] = False
+                lacking = not len(enough)
             name = name[tells]
             out.append(name if used is None else name[marked(used, name.view(np.int64))])
         if lacking:
@@ -137,7 +142,7 @@ def _regions(docs: DataFrame, size: int, percent: int, heavy: np.ndarray | None
     shared = docs.sparkSession.sparkContext.broadcast((heavy, used))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows, found, held = [], [], 0
 
             def block() -> pa.RecordBatch:
@@ -161,22 +166,22 @@ def _regions(docs: DataFrame, size: int, percent: int, heavy: np.ndarray | None
 
 
 def _sets(docs: DataFrame, size: int, used: np.ndarray) -> DataFrame:
-    """(doc, n, grams) of the documents whose bit is set, from (doc, text, h)."""
+    """(doc, grams) of the documents whose bit is set, from (doc, text, h); grams are 48 bits of each hash, sorted."""
     shared = docs.sparkSession.sparkContext.broadcast(used)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in slices(batches):
             own = whole.filter(pa.array(marked(shared.value, whole.column(2).to_numpy())))
-            for at in range(0, own.num_rows, 500):
-                batch = own.slice(at, 500)
-                sets = [s.view(np.int64) for _, s in shingle_sets(batch.column(1).to_pylist(), size)]
-                ends = np.cumsum([0] + [len(s) for s in sets])
-                flat = np.concatenate(sets) if sets else np.array([], dtype=np.int64)
-                grams = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends), pa.int64()), grams], names=["doc", "n", "grams"])
+            sets = [s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for _, s in shingle_sets(own.column(1).to_pylist(), size)]
+            yield pa.RecordBatch.from_arrays([own.column(0), pa.array(sets, pa.binary())], names=["doc", "grams"])
 
-    kind = docs.schema["doc"].dataType
-    return docs.mapInArrow(run, T.StructType([T.StructField("doc", kind), T.StructField("n", T.LongType()), T.StructField("grams", T.ArrayType(T.LongType(), False))]))
+    return docs.mapInArrow(run, T.StructType([T.StructField("doc", docs.schema["doc"].dataType), T.StructField("grams", T.BinaryType())]))
+
+
+def unpacked(grams: bytes) -> np.ndarray:
+    wide = np.zeros((len(grams) // 6, 8), dtype=np.uint8)
+    wide[:, 2:] = np.frombuffer(grams, dtype=np.uint8).reshape(-1, 6)
+    return wide.view(">u8").ravel().astype(np.int64)
 
 
 def _sizes(docs: DataFrame, text_col: str, size: int) -> DataFrame:
@@ -184,22 +189,73 @@ def _sizes(docs: DataFrame, text_col: str, size: int) -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n = [len(s) for _, s in shingle_sets(batch.column(at).to_pylist(), size)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names=[*batch.schema.names, "n_shingles"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("n_shingles", T.LongType())]))
 
 
-def _distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, d, linked) of distinct pairs; pairs whose sizes exclude a link get distance 1 and no comparison."""
-    side = lambda s: sets.select(F.col("doc").alias(s), F.col("n").alias(f"n{s}"), F.col("grams").alias(f"g{s}"))
-    near = pairs.join(side("a").drop("ga"), "a").join(side("b").drop("gb"), "b").withColumn("fits", 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    far = near.where(~F.col("fits")).select("a", "b", (1 - F.least("na", "nb") / F.greatest("na", "nb")).alias("d"), F.lit(False).alias("linked"))
-    both = F.size(F.array_intersect("ga", "gb")).cast("long")
-    union = F.col("na") + F.col("nb") - both
-    compared = near.where("fits").select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", (1 - both / union).alias("d"), (100 * both >= percent * union).alias("linked"))
-    return compared.unionByName(far).groupBy("a", "b").agg(F.min("d").alias("d"), F.max("linked").alias("linked"))
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of all pairs of a few sets of sorted distinct hashes."""
+    n = len(sets)
+    out = np.diag([float(len(x)) for x in sets])
+    if n <= 4:
+        for i in range(n):
+            for j in range(i):
+                out[i, j] = out[j, i] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        return out
+    flat, row = np.concatenate(sets), np.repeat(np.arange(n), [len(x) for x in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    slot = np.cumsum(np.concatenate(([0], flat[1:] != flat[:-1]))) if len(flat) else flat
+    often = np.bincount(slot) > 1
+    keep = often[slot]
+    slot, row = (np.cumsum(often) - 1)[slot[keep]], row[keep]
+    out = np.zeros((n, n), dtype=np.float64)
+    for begin in range(0, int(slot[-1]) + 1 if len(slot) else 0, 8192):
+        a, b = np.searchsorted(slot, (begin, begin + 8192))
+        grid = np.zeros((n, 8192), dtype=np.float32)
+        grid[row[a:b], slot[a:b] - begin] = 1
+        out += grid @ grid.T
+    np.fill_diagonal(out, [len(x) for x in sets])
+    return out
+
+
+def _compare(rows: DataFrame, percent: int) -> DataFrame:
+    """Links and pivot distances (region, a, b, d, linked) of blocks (region, part, doc, pivot, grams).
+
+    Links are those of a spanning forest of the block; distances from the pivot are complete.
+    """
+    kind = rows.schema["doc"].dataType
+    schema = T.StructType([T.StructField("region", T.LongType()), T.StructField("a", kind), T.StructField("b", kind), T.StructField("d", T.DoubleType()), T.StructField("linked", T.BooleanType())])
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets = [unpacked(g) for g in pdf["grams"]]
+        both = overlaps(sets)
+        n = np.array([len(x) for x in sets], dtype=np.float64)
+        union = np.maximum(n[:, None] + n[None, :] - both, 1)
+        docs, out = pdf["doc"].to_numpy(), []
+        head = list(range(len(sets)))
+
+        def top(i: int) -> int:
+            while head[i] != i:
+                head[i] = head[head[i]]
+                i = head[i]
+            return i
+
+        for i, j in zip(*np.nonzero(np.triu(100 * both >= percent * union, 1))):
+            x, y = top(int(i)), top(int(j))
+            if x != y:
+                head[max(x, y)] = min(x, y)
+                out.append((docs[i], docs[j], 1 - both[i, j] / union[i, j], True))
+        for p in np.flatnonzero(pdf["pivot"].to_numpy()):
+            out += [(docs[p], docs[i], 1 - both[p, i] / union[p, i], 100 * both[p, i] >= percent * union[p, i]) for i in range(len(sets))]
+        frame = pd.DataFrame(out, columns=["a", "b", "d", "linked"])
+        frame.insert(0, "region", pdf["region"].iloc[0])
+        return frame
+
+    return rows.groupBy("region", "part").applyInPandas(block, schema)
 
 
 def jaccard_links(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
@@ -217,58 +273,42 @@ def jaccard_links(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     used = bitmap(counted, F.col("region"), REGION_BITS)
     heavy = bitmap(counted.where(F.col("docs") > HEAVY), F.col("region"), REGION_BITS)
     rows = _regions(texts, size, percent, heavy, used)
-    regions = stored(rows.withColumn("ball", F.lit(False)), f"{folder}/regions-0")
+    regions = stored(rows, f"{folder}/regions")
 
-    docs_used = bitmap(regions, F.xxhash64("doc"), DOC_BITS)
-    sets = stored(_sets(texts.withColumn("h", F.xxhash64("doc")), size, docs_used), f"{folder}/sets")
-    known, known_paths, step = None, [], 0
+    first = regions.groupBy("region").agg(F.min("doc").alias("pivot"), F.max("doc").alias("most")).where("pivot < most").drop("most")
+    member = regions.join(first, "region").select(F.xxhash64("pivot").alias("region"), "doc", "pivot")
+    cells = stored(member.unionByName(member.select("region", F.col("pivot").alias("doc"), "pivot")).distinct(), f"{folder}/cells-0")
+    found: list[str] = []
     limit = (100 - percent) / 100 + 1e-9
-    while True:
-        step += 1
-        # First one pivot for each region, which settles groups of copies; then several, and small regions directly.
-        leaf = 2 if step == 1 else LEAF
-        counted = regions.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.count_if(~F.col("ball")).alias("open"), F.min_by("doc", F.struct("ball", "doc")).alias("first"))
-        live = stored(regions.join(counted.where("size > 1 and open > 0").drop("open"), "region"), f"{folder}/live-{step}")
-        if step == 1:
-            pivots = live.where("doc = first").select("region", F.col("doc").alias("pivot"))
+    for level in range(DEPTH + 1):
+        sized = cells.join(cells.groupBy("region").agg(F.count(F.lit(1)).alias("size")), "region")
+        small = sized.where(F.col("size") <= BLOCK).select("region", F.lit(0).alias("part"), "doc", F.lit(False).alias("pivot"))
+        large = sized.where(F.col("size") > BLOCK).withColumn("parts", F.ceil(2 * F.col("size") / BLOCK).cast("int"))
+        large = large.withColumn("own", F.pmod(F.xxhash64("doc", "region"), F.col("parts")).cast("int"))
+        if level < DEPTH:
+            each = large.where("doc <> pivot").select("region", F.col("own").alias("part"), "doc", F.lit(False).alias("pivot"))
+            heads = large.where("doc = pivot").select("region", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "doc", F.lit(True).alias("pivot"))
+            rows = small.unionByName(each).unionByName(heads)
         else:
-            ranked = live.where(~F.col("ball")).withColumn("rank", F.row_number().over(Window.partitionBy("region").orderBy("doc"))).where(F.col("rank") <= max(PIVOTS, LEAF))
-            pivots = ranked.where((F.col("size") <= LEAF) | (F.col("rank") <= PIVOTS)).select("region", F.col("doc").alias("pivot"))
-        meets = live.join(pivots, "region").where("doc <> pivot")
-        pairs = meets.select(F.greatest("pivot", "doc").alias("a"), F.least("pivot", "doc").alias("b")).distinct()
-        if known_paths:
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
-        path = f"{folder}/distances-{step}"
-        stored(_distances(pairs, sets, percent), path)
-        known_paths.append(path)
-        known = spark.read.parquet(*known_paths)
-        large = live.where(F.col("size") > leaf)
-        if large.limit(1).count() == 0:
+            others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+            pairs = large.select("region", "doc", "own", "parts", others.alias("other"))
+            part = F.least("own", "other") * F.col("parts") + F.greatest("own", "other")
+            rows = small.unionByName(pairs.select("region", part.alias("part"), "doc", F.lit(False).alias("pivot")))
+        sets = _sets(texts.withColumn("h", F.xxhash64("doc")), size, bitmap(cells, F.xxhash64("doc"), DOC_BITS))
+        path = f"{folder}/compared-{level}"
+        compared = stored(_compare(rows.join(sets, "doc"), percent), path)
+        found.append(path)
+        if level == DEPTH or large.limit(1).count() == 0:
             break
-        measured = (
-            large.join(pivots, "region")
-            .where("doc <> pivot")
-            .select("region", "doc", "pivot", F.greatest("pivot", "doc").alias("a"), F.least("pivot", "doc").alias("b"))
-            .join(known, ["a", "b"])
-            .select("region", "doc", "pivot", "d", "linked")
-        )
-        measured = stored(measured, f"{folder}/measured-{step}")
-        pivot_docs = pivots.select("region", F.col("pivot").alias("doc"))
-        outer = (
-            large.select("region", "doc", "ball")
-            .join(pivot_docs, ["region", "doc"], "left_anti")
-            .join(measured.where("linked").select("region", "doc").distinct(), ["region", "doc"], "left_anti")
-            .select(F.xxhash64("region", F.lit("outer")).alias("region"), "doc", "ball")
-        )
-        between = measured.where((~F.col("linked")) & (F.col("d") <= 2 * limit))
-        edge = between.groupBy("region", "pivot").agg(F.min("d").alias("least"))
-        inner = measured.where("linked").join(edge, ["region", "pivot"]).where(F.col("d") >= F.col("least") - limit)
-        window = between.select("region", "pivot", "doc", F.lit(False).alias("ball")).unionByName(inner.select("region", "pivot", "doc", F.lit(True).alias("ball")))
-        # A boundary region only counts if the pivot's ball reaches into it.
-        reached = inner.select("region", "pivot").distinct()
-        window = window.join(reached, ["region", "pivot"], "left_semi").select(F.xxhash64("region", "pivot", F.lit("window")).alias("region"), "doc", "ball")
-        regions = stored(outer.unionByName(window), f"{folder}/regions-{step}")
-    return known.where("linked").select("a", "b")
+        links = spark.read.schema(compared.schema).parquet(*found).where("linked")
+        classes = components(links.select("a", "b")).withColumnRenamed("node", "doc")
+        measured = large.where("doc <> pivot").join(compared.select("region", F.col("a").alias("pivot"), F.col("b").alias("doc"), "d"), ["region", "pivot", "doc"]).groupBy("region", "doc").agg(F.min("d").alias("d"))
+        band = F.floor(F.col("d") / limit).cast("int")
+        windows = measured.select("doc", "region", F.explode(F.array(band - 1, band)).alias("window")).where("window >= 0")
+        windows = windows.select(F.xxhash64("region", "window").alias("region"), "doc").join(classes, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        open_ = windows.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("doc", F.xxhash64("doc", "region")).alias("pivot")).where("lo < hi")
+        cells = stored(windows.select("region", "doc").join(open_.select("region", "pivot"), "region"), f"{folder}/cells-{level + 1}")
+    return spark.read.schema(compared.schema).parquet(*found).where("linked and a <> b").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:

@@ -19,7 +19,6 @@ documents with a repeat are shuffled as texts. Windows are compared by 64-bit ha
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,12 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchloom.llm.common import shared_dir, stored, table, without
+from matchloom.llm.common import shared_dir, slices, stored, table, without
 from matchloom.llm.hashing import bitmap, hashed_words, marked, rolled
 
 SPAN = 35
-#: Bits of the maps of blocks, anchors and documents.
-BLOCK_BITS, ANCHOR_BITS, DOC_BITS = 27, 26, 23
+#: Bits of the maps of blocks, anchors, repeated windows and documents.
+BLOCK_BITS, ANCHOR_BITS, WINDOW_BITS, DOC_BITS = 27, 26, 27, 23
 RESULTS = ("n_words", "n_removed", "kept_text")
 
 
@@ -51,7 +50,7 @@ def _emit(docs: DataFrame, make: Callable, fields: list[T.StructField], *columns
     kinds = {"long": pa.int64(), "int": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keys = batch.column(0).to_numpy()
             for arrays in make(batch.column(1).to_pylist(), keys):
                 if len(arrays[0]):
@@ -86,18 +85,22 @@ def repeated_windows(docs: DataFrame, folder: str, span: int = SPAN) -> DataFram
     anchors = stored(probed.where("places > 1").select("hash"), f"{folder}/anchors")
     anchored = sc.broadcast(bitmap(anchors, F.col("hash"), ANCHOR_BITS))
 
-    def windows(texts, keys):
+    def windows(texts, keys, chosen=None):
         for begin, row, at, left, words in _places(texts, block):
             grams, wide = as_long(rolled(words, block)), as_long(rolled(words, span))
             n = len(wide)
             whole = np.flatnonzero(left[:n] >= span)
             own = whole - at[whole] + (at[whole] + block - 1) // block * block
             hit = whole[marked(anchored.value, grams[own])]
+            if chosen is not None:
+                hit = hit[marked(chosen, wide[hit])]
             yield wide[hit], keys[begin + row[hit]], at[hit].astype(np.int32)
 
+    counted = _emit(docs, lambda texts, keys: ((hashes,) for hashes, _, _ in windows(texts, keys)), hash_field, "hash").groupBy("hash").agg(F.count(F.lit(1)).alias("places"))
+    several = stored(counted.where("places > 1").select("hash"), f"{folder}/several")
+    repeated = sc.broadcast(bitmap(several, F.col("hash"), WINDOW_BITS))
     fields = [*hash_field, T.StructField("key", T.LongType()), T.StructField("at", T.IntegerType())]
-    extended = stored(_emit(docs, windows, fields, "hash", "key", "at"), f"{folder}/windows")
-    several = extended.groupBy("hash").agg(F.count(F.lit(1)).alias("places")).where("places > 1").select("hash")
+    extended = _emit(docs, lambda texts, keys: windows(texts, keys, repeated.value), fields, "hash", "key", "at")
     return extended.join(several.hint("merge"), "hash").select("key", "at")
 
 
@@ -132,24 +135,31 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     touched = spark.sparkContext.broadcast(bitmap(hits, F.col("key"), DOC_BITS))
     at, last = keyed.columns.index(text_col), len(keyed.columns) - 1
 
-    def part(hit: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array(marked(touched.value, batch.column(last).to_numpy()) == hit))
+    kept = T.StructType([*rows.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
 
-        return keyed.mapInArrow(run, keyed.schema)
+    def chosen(batch: pa.RecordBatch, hit: bool) -> pa.RecordBatch:
+        return batch.filter(pa.array(marked(touched.value, batch.column(last).to_numpy()) == hit))
 
-    kept = T.StructType([*rows.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
+    def finished(batch: pa.RecordBatch, starts: list) -> pa.RecordBatch:
+        done = list(zip(*[kept_words(t, s, span) for t, s in zip(batch.column(at).to_pylist(), starts)])) or [(), (), ()]
+        results = [pa.array(v, k) for v, k in zip(done, (pa.int64(), pa.int64(), pa.string()))]
+        return pa.RecordBatch.from_arrays([*batch.columns[:last], *results], names=[*batch.schema.names[:last], *RESULTS])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            own = chosen(batch, False)
+            yield finished(own, [None] * own.num_rows)
+
+    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield chosen(batch, True)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            starts = batch.column(last + 1).to_pylist() if batch.num_columns > last + 1 else [None] * batch.num_rows
-            done = list(zip(*[kept_words(t, s, span) for t, s in zip(batch.column(at).to_pylist(), starts)])) or [(), (), ()]
-            results = [pa.array(v, k) for v, k in zip(done, (pa.int64(), pa.int64(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:last], *results], names=[*batch.schema.names[:last], *RESULTS])
-
-    joined = part(True).join(hits.withColumnRenamed("key", "__hit"), F.col("__key") == F.col("__hit"), "left").drop("__hit")
-    return part(False).mapInArrow(cut, kept).unionByName(joined.mapInArrow(cut, kept))
+        for batch in slices(batches):
+            yield finished(batch, batch.column(last + 1).to_pylist())
+
+    joined = keyed.mapInArrow(suspects, keyed.schema).join(hits.withColumnRenamed("key", "__hit"), F.col("__key") == F.col("__hit"), "left").drop("__hit")
+    return keyed.mapInArrow(whole, kept).unionByName(joined.mapInArrow(cut, kept))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

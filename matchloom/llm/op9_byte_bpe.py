@@ -26,13 +26,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchloom.llm.common import table, without
+from matchloom.llm.common import slices, table, without
 
 #: Entries that a memo may hold; a full one starts afresh.
-MEMO = 200_000
+MEMO = 400_000
 NEVER = 1 << 60
-#: Rows that go back to the JVM at once.
-SLICE = 256
+#: White space but the plain space and the line feed; what marks a space beside white space.
+RARE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+BESIDE = ("  ", " \n", "\n ")
+
+
+def awkward(text: str) -> bool:
+    """A space beside white space or at an end of the text, or white space of a rare kind."""
+    return text[:1] == " " or text[-1:] == " " or any(c in text for c in BESIDE) or any(c in text for c in RARE)
 
 
 class BytePairs:
@@ -47,6 +53,7 @@ class BytePairs:
         self.token = {i: b for b, i in self.rank.items()}
         self.find = regex.compile(pattern).findall
         self.size = {i: len(b) for b, i in self.rank.items()}
+        self.joined = {self.rank[w[:k]] << 20 | self.rank[w[k:]]: i for w, i in self.rank.items() for k in range(1, len(w)) if w[:k] in self.rank and w[k:] in self.rank}
         self.halves: dict[int, tuple[int, int]] = {}
         self.automaton = ahocorasick.Automaton()
         for word, i in self.rank.items():
@@ -57,11 +64,13 @@ class BytePairs:
                 self.automaton.add_word(word.decode("latin-1"), (i, len(word)))
         self.automaton.make_automaton()  # without tokens that merging can't reach: they only match whole pieces
         self.reachable = {i for i, _ in self.automaton.values()}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pieces: dict[str, bytes] = {}  # ids as int32
+        self.words: dict[str, bytes] = {}
+        self.marks = {c: array("i", [self.rank[c.encode()]]).tobytes() for c in ".,;:!?\n"}
+        self.pairs: dict[int, bool] = {}
         self.prefix: dict[int, int] = {}
-        self.right: dict[int, list[tuple[bytes, int]]] = {}
-        self.left: dict[int, list[tuple[bytes, int]]] = {}
+        self.right: dict[int, list[tuple[int, int]]] = {}
+        self.left: dict[int, list[tuple[int, int]]] = {}
 
     def merged(self, word: bytes, until: int = 1) -> list[bytes]:
         """The definition: merge the neighbours of lowest rank, leftmost first, down to `until` parts."""
@@ -75,26 +84,24 @@ class BytePairs:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def edge(self, token: int, side: int) -> list[tuple[bytes, int]]:
+    def edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """What stands at a token's left (0) or right (1) edge while it is merged, each with the rank that ends it."""
         out, ends = [], NEVER
         while True:
-            out.append((self.token[token], ends))
+            out.append((token, ends))
             if token not in self.halves:
                 return out
             token, ends = self.halves[token][side], token
 
-    def compatible(self, pair: tuple[int, int]) -> bool:
+    def compatible(self, a: int, b: int) -> bool:
         """No merge across the border comes before the merges that end its two parts (a tie goes to the left)."""
-        a, b = pair
-        if a not in self.right:
-            self.right[a] = self.edge(a, 1)
-        if b not in self.left:
-            self.left[b] = self.edge(b, 0)
-        for last, last_ends in self.right[a]:
-            for first, first_ends in self.left[b]:
-                across = self.rank.get(last + first, NEVER)
-                if across < last_ends and across <= first_ends and across != NEVER:
+        right = self.right.get(a) or self.right.setdefault(a, self.edge(a, 1))
+        left = self.left.get(b) or self.left.setdefault(b, self.edge(b, 0))
+        joined = self.joined.get
+        for last, last_ends in right:
+            for first, first_ends in left:
+                across = joined(last << 20 | first)
+                if across is not None and across < last_ends and across <= first_ends:
                     return False
         return True
 
@@ -127,11 +134,11 @@ class BytePairs:
                 if end not in dead:
                     if not out:
                         break
-                    fits = pairs.get(pair := (out[-1], token))
+                    fits = pairs.get(pair := out[-1] << 20 | token)
                     if fits is None:
                         if len(pairs) >= MEMO:
                             pairs.clear()
-                        fits = pairs[pair] = self.compatible(pair)
+                        fits = pairs[pair] = self.compatible(out[-1], token)
                     if fits:
                         break
                 token = self.shorter(token)
@@ -144,20 +151,55 @@ class BytePairs:
                 at -= size[token]
         return tuple(out)
 
-    def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        pieces = self.pieces
-        seen = pieces.get
-        for piece in self.find(text):
-            found = seen(piece)
+    def encode_part(self, part: str) -> bytes:
+        """Ids of a stretch of text, piece by piece, as int32."""
+        pieces, out = self.pieces, []
+        for piece in self.find(part):
+            found = pieces.get(piece)
             if found is None:
                 if len(pieces) >= MEMO:
                     pieces.clear()
-                found = self.encode_piece(piece)
+                found = array("i", self.encode_piece(piece)).tobytes()
                 if len(piece) < 64:
                     pieces[piece] = found
-            ids += found
-        return ids
+            out.append(found)
+        return b"".join(out)
+
+    def encode(self, text: str, into: bytearray) -> None:
+        """Append the ids, as int32.
+
+        No piece goes on over a space between two characters that aren't white space: the one before
+        ends there and the next begins with it. So texts whose spaces are all like that are looked up
+        word by word, each with its space; other texts are matched as a whole.
+        """
+        if awkward(text):
+            into += self.encode_part(text)
+            return
+        parts = text.split(" ")
+        into += self.encode_part(parts[0])
+        seen = self.words.get
+        for part in parts[1:]:
+            into += seen(part) or self.encode_word(part)
+
+    def encode_word(self, part: str, space: str = " ") -> bytes:
+        """Ids of a word with its space: letters are one piece; a mark or a line feed after them is one too."""
+        known = self.words if space else self.pieces
+        if part.isalpha():
+            if len(known) >= MEMO:
+                known.clear()
+            found = array("i", self.encode_piece(space + part)).tobytes()
+            if len(part) < 64:
+                known[part] = found
+            return found
+        if part[-1] in self.marks and part[:-1].isalpha():
+            return (known.get(part[:-1]) or self.encode_word(part[:-1], space)) + self.marks[part[-1]]
+        line, feed, rest = part.partition("\n")
+        if line and rest and rest[0] != "\n":
+            return (known.get(line) or self.encode_word(line, space)) + self.marks[feed] + (self.pieces.get(rest) or self.encode_word(rest, ""))
+        found = self.encode_part(space + part)
+        if len(part) < 9 and len(known) < MEMO:
+            known[part] = found
+        return found
 
 
 @lru_cache(maxsize=2)
@@ -166,13 +208,6 @@ def tokens_of(path: str) -> dict[int, bytes]:
         return {int(b): base64.b64decode(a) for a, b in (line.split() for line in lines if line.strip())}
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that little waits between Python and the JVM."""
-    for batch in batches:
-        for begin in range(0, batch.num_rows, SLICE):
-            yield batch.slice(begin, SLICE)
-
-
 @lru_cache(maxsize=2)
 def vocabulary(path: str, pattern: str) -> BytePairs:
     return BytePairs(path, pattern)
@@ -191,12 +226,12 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path, pattern)
         for batch in slices(batches):
-            flat, ends = array("i"), [0]
+            flat, ends = bytearray(), [0]
             for text in batch.column(at):
                 value = text.as_py()
                 if value:
-                    flat.fromlist(words.encode(value))
-                ends.append(len(flat))
+                    words.encode(value, flat)
+                ends.append(len(flat) // 4)
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, dtype=np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, out])
 
