@@ -6,7 +6,8 @@ makes it negative. One linear scan finds the contiguous region with the largest
 the text. The weights are counted over all labelled pages, which are those whose authors marked the
 article with <article> or <main>; rules that need no data (PRIOR and the boilerplate names) smooth
 them, so a page of an unknown kind works too. Menus, forms, notices and the like inside the region
-are left out.
+are left out; inside a marked article they and its tags hardly count, so that an advert between two
+paragraphs doesn't cut it.
 
 Two mapInArrow passes over whole pages (counting and extracting); between them a sum per context,
 combined before its shuffle, whose size the tag names and CLASSES bound.
@@ -152,15 +153,15 @@ def main_text(html: str, weights: dict) -> tuple[str, float]:
     best, best_sum, run_sum, run_start = (0, 0), 0.0, 0.0, 0
     seen = list(events(html))
     words, tags = weights["word"], weights["tag"]
-    for i, (kind, key, text, boiler, _) in enumerate(seen):
+    for i, (kind, key, text, boiler, marked) in enumerate(seen):
         if kind == "word":
             name = "!" + key if boiler else key
             weight = words.get(name)
             if weight is None:
                 weight = words.get(name.split("#")[0], PRIOR["boiler" if boiler else "word"])
-            run_sum += len(text.split()) * (min(weight, -0.5) if boiler else weight)
+            run_sum += len(text.split()) * (weight if not boiler else 0.0 if marked else min(weight, -0.5))
         elif kind == "tag":
-            run_sum += tags.get(key, PRIOR["tag"])
+            run_sum += max(tags.get(key, PRIOR["tag"]), -0.01 if marked else -3.0)
         if run_sum <= 0:
             run_sum, run_start = 0.0, i + 1
         elif run_sum > best_sum:
