@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from matchloom.operators.profile import reused
+
 #: Postings are judged as of this day.
 AS_OF = "2001-07-01"
 
@@ -29,7 +31,7 @@ def unit_items(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
     parts = table(spark, d, "part").select("p_partkey", F.concat_ws("|", "p_brand", "p_name").alias("node"))
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(codes(spark, d), F.col("o_custkey") == F.col("c_custkey"))
-    return joined.join(parts, F.col("l_partkey") == F.col("p_partkey")).select("code", F.col("l_orderkey").alias("unit"), F.col("o_custkey").alias("inst"), F.col("l_partkey").alias("item"), "node")
+    return reused(joined.join(parts, F.col("l_partkey") == F.col("p_partkey")).select("code", F.col("l_orderkey").alias("unit"), F.col("o_custkey").alias("inst"), F.col("l_partkey").alias("item"), "node"))
 
 
 def users(items: DataFrame) -> DataFrame:
