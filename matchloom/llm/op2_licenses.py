@@ -1,15 +1,19 @@
 """Licence scan by sentence rules (native: DataFrame functions only).
 
-Method. A text is cut into sentences, which are normalised (A-Z lowered, every run of other
-characters one space) and looked up among the known licence sentences. What is found gives the
-document's sequence of sentence identifiers, and each ordered rule that is a subsequence of it
-recognises a licence. A rule may overrule less specific ones.
+Method. A text is normalised (A-Z lowered, every run of other characters one space) and keeps its
+breaks: line feeds and sentence ends. A known licence sentence is found where it begins and ends at a
+break; breaks inside it count as spaces, so hard-wrapped texts and "v. 2.0" don't hide it. What is
+found gives the document's sequence of sentence identifiers, and each ordered rule that is a
+subsequence of it recognises a licence. A rule may overrule less specific ones.
 
 All of it is one projection: no shuffle, and the only state is the fixed table of sentences below.
+SQL states the query with the short one-line SENTENCES and RULES alone.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,25 +68,109 @@ RULES = (
     ("Unlicense", ("unlicense",), ()),
     ("proprietary", ("all-rights",), ()),
 )
-#: Every known sentence has one of these; others are not normalised.
-HINTS = "licen|permission|copyright|rights|warrant|public domain|redistribut|cc by|cc0|cc-by|endorse"
+_SUBJECTS = ("program", "library", "software", "file", "package")
+_GPL = "this {} is free software you can redistribute it and or modify it under the terms of the gnu {}general public license "
+_FSF = "as published by the free software foundation"
+_LATER = " or at your option any later version"
+
+
+def _versions(kind: str, version: str) -> tuple[str, ...]:
+    """The grant of a GNU licence with its version, in the usual wordings."""
+    ways = (f"{_FSF} either version {version} of the license{_LATER}", f"{_FSF} version {version} of the license", f"version {version} {_FSF}", f"{_FSF} version {version}")
+    return tuple(_GPL.format(x, kind) + way for x in _SUBJECTS for way in ways)
+
+
+#: The complete standard wordings of the sentences above, and more sentences of the same licences; * is 1 to 16 words.
+FULL = {
+    "grant-free": (
+        SENTENCES["grant-free"] + " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+        SENTENCES["grant-free"] + " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so",
+    ),
+    "keep-notice": ("the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software",),
+    "as-is": (
+        SENTENCES["as-is"] + " including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+        SENTENCES["as-is"] + " including but not limited to the warranties of merchantability fitness for a particular purpose and non infringement",
+    ),
+    "mit-title": ("the mit license", "the mit license mit", "mit license mit"),
+    "mit-notice": ("licensed under the mit license", "this project is licensed under the mit license"),
+    "apache-notice": ("licensed under the apache license version 2 0 the license", "the asf licenses this file to you under the apache license version 2 0 the license"),
+    "apache-title": ("apache license version 2 0 january 2004",),
+    "gpl-program": tuple(_GPL.format(x, "") + end for x in _SUBJECTS for end in ("", _FSF)),
+    "gpl2-program": _versions("", "2"),
+    "gpl3-program": _versions("", "3"),
+    "lgpl21-program": _versions("lesser ", "2 1"),
+    "lgpl3-program": _versions("lesser ", "3"),
+    "agpl3-program": _versions("affero ", "3"),
+    "gpl-no-warranty": tuple(f"this {x} is distributed in the hope that it will be useful but without any warranty{end}" for x in _SUBJECTS for end in ("", " without even the implied warranty of merchantability or fitness for a particular purpose")),
+    "bsd-source": (SENTENCES["bsd-source"] + " this list of conditions and the following disclaimer",),
+    "bsd-binary": (SENTENCES["bsd-binary"] + " this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",),
+    "bsd-endorse": (
+        "neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "neither the name of * nor the names of * contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission",
+    ),
+    "mpl2-notice": ("this source code form is subject to the terms of the mozilla public license version 2 0",),
+    **{f"cc-{short}-4": tuple(f"this work is licensed under {a}creative commons {long} 4 0 international license" for a in ("a ", "the ")) for short, long in (("by", "attribution"), ("by-sa", "attribution sharealike"), ("by-nc", "attribution noncommercial"))},
+}
+_WHOLE = ("MIT", "BSD-2-Clause", "BSD-3-Clause")
+#: RULES and those over FULL; "all rights reserved" above a whole text's conditions doesn't make it proprietary.
+FULL_RULES = (
+    *[(name, ids, (*less, "proprietary") if name in _WHOLE and len(ids) > 1 else less) for name, ids, less in RULES],
+    ("GPL-2.0", ("gpl2-program",), ("proprietary",)),
+    ("GPL-3.0", ("gpl3-program",), ("proprietary",)),
+    ("LGPL-2.1", ("lgpl21-program",), ("proprietary",)),
+    ("LGPL-3.0", ("lgpl3-program",), ("proprietary",)),
+    ("AGPL-3.0", ("agpl3-program",), ("proprietary",)),
+)
+
+
+def wordings(sentences: dict) -> dict[str, str]:
+    """Wording to identifier, of a table that has one or several wordings by identifier."""
+    return {words: name for name, some in sentences.items() for words in ((some,) if isinstance(some, str) else some) if words.strip()}
+
+
+def hints(known: dict[str, str]) -> str:
+    """A pattern of words, one of which each wording has: its longest."""
+    found = sorted({max((w for w in words.split() if w != "*"), key=len) for words in known})
+    return f"(?<![a-z0-9])(?:{'|'.join(found)})(?![a-z0-9])"
+
+
+def pattern_of(words: str) -> str:
+    """A wording as it stands in a normalised text, whose breaks are line feeds."""
+    return "[ \\n]".join("[a-z0-9]+(?:[ \\n][a-z0-9]+){0,15}?" if w == "*" else re.escape(w) for w in words.split())
+
+
+ALL_SENTENCES = {name: (*((SENTENCES[name],) if name in SENTENCES else ()), *FULL.get(name, ())) for name in SENTENCES | FULL}
+#: Texts without one of these have no known sentence.
+HINTS = hints(wordings(ALL_SENTENCES))
 CUT = r"\n|[.;!?]+(?:[\x20\x09-\x0D]+|$)"
+#: Ends of sentences, besides line feeds.
+ENDS = r"[.;:!?]+(?=[\x20\x09-\x0D]|$)"
 RESULTS = ("sentence_ids", "licenses")
 
 
-def find_licenses(docs: DataFrame, text_col: str = "text", sentences: dict[str, str] | None = None, rules=RULES) -> DataFrame:
+def find_licenses(docs: DataFrame, text_col: str = "text", sentences: dict | None = None, rules=FULL_RULES) -> DataFrame:
     """Add sentence_ids (known sentences in order) and licenses (recognised, sorted), both array<string>.
 
-    Null and empty texts have none. A sentence that stands twice counts twice; a rule's sentences may
-    have others between them. All input rows and columns stay (those named like a result give way).
+    `sentences` has one normalised wording, or a tuple of them, by identifier. Null and empty texts
+    have none. A sentence that stands twice counts twice; a rule's sentences may have others between
+    them; of wordings that begin at one place the longest counts. All input rows and columns stay
+    (those named like a result give way).
     """
-    sentences = sentences or SENTENCES
+    known = wordings(sentences or ALL_SENTENCES)
     rows = without(docs, *RESULTS)
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    known = F.create_map(*[F.lit(x) for name, words in sentences.items() for x in (words, name)])
-    cut = F.filter(F.split(ascii_lower(text), CUT), lambda s: s.rlike(HINTS))
-    plain = F.transform(cut, lambda s: F.btrim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    found = rows.withColumn("sentence_ids", F.filter(F.transform(plain, lambda s: known[s]), lambda i: i.isNotNull()))
+    text = ascii_lower(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    plain = F.regexp_replace(F.regexp_replace(text, ENDS, "\n"), "[^a-z0-9\n]+", " ")
+    plain = F.btrim(F.regexp_replace(plain, " ?\n[ \n]*", "\n"), F.lit(" \n"))
+    order = sorted(known, key=lambda words: (-len(words), words))
+    # A number before the sentence is a list's.
+    whole = "(?:^|\n)(?:[0-9]{1,2}[ \n])?(" + "|".join(pattern_of(words) for words in order) + ")(?=\n|$)"
+    found = F.transform(F.regexp_extract_all(plain, F.lit(whole), F.lit(1)), lambda x: F.translate(x, "\n", " "))
+    exact = F.create_map(*[F.lit(x) for words, name in known.items() if "*" not in words for x in (words, name)]) if any("*" not in w for w in known) else None
+    wild = [(pattern_of(words), known[words]) for words in order if "*" in words]
+    name_of = lambda x: F.coalesce(*([exact[x]] if exact is not None else []), *[F.when(x.rlike(f"^(?:{like})$"), F.lit(name)) for like, name in wild])
+    ids = F.filter(F.transform(found, name_of), lambda i: i.isNotNull())
+    found = rows.withColumn("sentence_ids", F.when(text.rlike(hints(known)), ids).otherwise(F.array().cast("array<string>")))
     # Each identifier stands between two bars, so a rule's sentences in order are a LIKE pattern.
     line = F.concat(F.lit("|"), F.array_join("sentence_ids", "||"), F.lit("|"))
     hit = {i: line.like("".join(f"%|{name}|" for name in names) + "%") for i, (_, names, _) in enumerate(rules)}

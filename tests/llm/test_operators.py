@@ -132,6 +132,66 @@ def test_licenses(spark):
     assert all(re.search(op2.HINTS, s) for s in op2.SENTENCES.values())
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Someone. All rights reserved.
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE"""
+APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at"""
+BSD = """Copyright (c) 2010, Some Corp. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+ENDORSE = """
+3. Neither the name of Some Inc. nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """ * This program is free software{} you can redistribute it and/or modify
+ * it under the terms of the GNU {}General Public License as published by
+ * the Free Software Foundation{} either version {} of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"""
+
+
+def test_licenses_whole_texts(spark):
+    cases = [(MIT, ["MIT"]), (" ".join(MIT.split()), ["MIT"]), (APACHE, ["Apache-2.0"]), (BSD, ["BSD-2-Clause"]), (BSD + ENDORSE, ["BSD-3-Clause"]), (BSD.replace("\n", "\r\n"), ["BSD-2-Clause"]),
+             (GPL.format(";", "", ";", "2"), ["GPL-2.0"]), (GPL.format(":", "", ",", "3"), ["GPL-3.0"]), (GPL.format(":", "Affero ", ",", "3"), ["AGPL-3.0"]), (MPL, ["MPL-2.0"]),
+             ("Copyright 2020 Foo Inc. All rights reserved.", ["proprietary"]), ("Not all rights reserved here", [])]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    assert [r.licenses for r in op2.find_licenses(df).orderBy("doc_id").collect()] == [want for _, want in cases]
+    own = op2.find_licenses(df.limit(1).selectExpr("0 as doc_id", "'a\nfrobnicate\nfreely. b' as text"), sentences={"own": "frobnicate freely"}, rules=(("own", ("own",), ()),)).head()
+    assert own.licenses == ["own"]
+
+
 def test_secrets(spark):
     texts = ['x API_KEY = "abcdef12" y', "AKIA" + "A1B2" * 5, "z " + "0123456789abcdef" * 2, "token: abc", "pAssWord='Zx9'", None, "", "key 7fKq2LmZx9RtVb4NcY8W end", "example7fKq2LmZx9RtVb4NcY8W", "plainlowercasewordsarenosecrets"]
     got = {r.doc_id: [(s.kind, s.start, s.stop) for s in r.spans] for r in op3.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
