@@ -5,6 +5,11 @@ hashed into WIDTH numbers; log counts times inverse document frequencies, scaled
 a document's vector. Each language has up to CENTROIDS centroids from spherical k-means; a document
 gets the language of the centroid with the largest cosine and is rejected if that is under a floor.
 
+A text's cosine grows with the number of slots that it fills, for hash collisions alone too. So the
+floor is fitted by language and by that number (octaves): SLACK times the QUANTILE of the cosines that
+the sample's own texts, and their beginnings of PIECES characters, have with their language. An octave
+with under LEAST of them takes the floor of the next smaller one that has enough.
+
 Document frequencies are counted over all labelled training rows. The centroids are fitted on a
 bounded sample of them: PER_LANG rows of each language, those with the smallest hash of doc_id.
 Prediction is one mapInArrow over whole texts with the model (WIDTH numbers per centroid) broadcast.
@@ -13,11 +18,13 @@ Prediction is one mapInArrow over whole texts with the model (WIDTH numbers per
 from __future__ import annotations
 
 import sys
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,8 +32,10 @@ from pyspark.sql import types as T
 from matchloom.llm.common import table, without
 
 WIDTH, CENTROIDS, PER_LANG, ROUNDS = 4096, 4, 300, 12
-#: Cosine under which a document is like no learned language.
+#: Cosine under which a document is like no learned language, whatever its size; where nothing was fitted, the floor.
 FLOOR = 0.04
+QUANTILE, SLACK, LEAST = 0.01, 0.5, 20
+PIECES = tuple(8 << i for i in range(10))
 #: Characters that are turned into vectors at once, in one task.
 CHUNK = 1 << 20
 RESULTS = ("lang_pred", "score", "rejected")
@@ -98,8 +107,24 @@ def spherical_kmeans(rows: np.ndarray, k: int) -> np.ndarray:
     return centres
 
 
+def octave(grid: np.ndarray) -> np.ndarray:
+    """Size of each row: the binary logarithm of the number of slots it has, rounded down."""
+    return np.log2(np.maximum((grid > 0).sum(axis=1), 1)).astype(np.int64)
+
+
+def floors(like: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Floor by octave, from the cosines of a language's own texts."""
+    out, last = np.zeros(WIDTH.bit_length()), FLOOR
+    for i in range(len(out)):
+        own = like[sizes == i]
+        if len(own) >= LEAST:
+            last = max(FLOOR, SLACK * float(np.quantile(own, QUANTILE)))
+        out[i] = last
+    return out
+
+
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_lang: int = PER_LANG, centroids: int = CENTROIDS) -> dict:
-    """Learn from rows with a language: {"langs": name of each centroid, "centres", "idf"}.
+    """Learn from rows with a language: {"langs": name of each centroid, "centres", "idf", "floors": of each centroid by octave}.
 
     Rows with null language or text, or without a letter, teach nothing. No rows give a model
     without languages, which rejects everything.
@@ -124,27 +149,40 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
         for batch in batches:
             for begin, grid, has in counts_of(batch.column(0).to_pylist()):
                 part = batch.slice(begin, len(grid)).filter(pa.array(has))
-                packed = [g.tobytes() for g in np.minimum(grid[has], 65535).astype(np.uint16)]
-                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(packed, pa.binary())], names=["lang", "h", "counts"])
-
-    by_lang: dict[str, list] = {}
-    for r in sample.mapInArrow(sketched, "lang string, h long, counts binary").collect():  # per_lang rows of each language, 8 KB each
-        by_lang.setdefault(r["lang"], []).append((r["h"], bytes(r["counts"])))
-    langs, centres = [], []
+                yield packed(part.column(1), part.column(2), [True] * part.num_rows, grid[has])
+            for n in PIECES:
+                part = batch.filter(pc.greater(pc.utf8_length(batch.column(0)), n))
+                for begin, grid, has in counts_of([t[:n] for t in part.column(0).to_pylist()]):
+                    some = part.slice(begin, len(grid)).filter(pa.array(has))
+                    yield packed(some.column(1), some.column(2), [False] * some.num_rows, grid[has])
+
+    def packed(lang: pa.Array, h: pa.Array, whole: list[bool], grid: np.ndarray) -> pa.RecordBatch:
+        counts = [zlib.compress(g.tobytes(), 1) for g in np.minimum(grid, 65535).astype(np.uint16)]
+        return pa.RecordBatch.from_arrays([lang, h, pa.array(whole, pa.bool_()), pa.array(counts, pa.binary())], names=["lang", "h", "whole", "counts"])
+
+    by_lang: dict[str, tuple[list, list]] = {}
+    for r in sample.mapInArrow(sketched, "lang string, h long, whole boolean, counts binary").collect():  # per_lang rows of each language and their pieces, packed
+        by_lang.setdefault(r["lang"], ([], []))[not r["whole"]].append((r["h"], zlib.decompress(r["counts"])))
+    langs, centres, least = [], [], []
     for lang in sorted(by_lang):
-        grid = np.stack([np.frombuffer(c, dtype=np.uint16) for _, c in sorted(by_lang[lang])]).astype(np.int64)
-        found = spherical_kmeans(vectors(grid, idf), centroids)
+        grids = [np.stack([np.frombuffer(c, dtype=np.uint16) for _, c in sorted(some)]).astype(np.int64) if some else np.zeros((0, WIDTH), dtype=np.int64) for some in by_lang[lang]]
+        if not len(grids[0]):
+            continue
+        found = spherical_kmeans(vectors(grids[0], idf), centroids)
+        own = np.concatenate([likeness(g, idf, found).max(axis=1) for g in grids])
         langs += [lang] * len(found)
         centres.append(found)
-    return {"langs": langs, "centres": np.concatenate(centres) if centres else np.zeros((0, WIDTH), dtype=np.float32), "idf": idf}
+        least += [floors(own, np.concatenate([octave(g) for g in grids]))] * len(found)
+    return {"langs": langs, "centres": np.concatenate(centres) if centres else np.zeros((0, WIDTH), dtype=np.float32), "idf": idf, "floors": np.array(least)}
 
 
-def predict(docs: DataFrame, model: dict, text_col: str = "text", floor: float = FLOOR) -> DataFrame:
+def predict(docs: DataFrame, model: dict, text_col: str = "text", floor: float | None = None) -> DataFrame:
     """Add lang_pred, score (cosine, 0 to 1) and rejected to every row.
 
     Texts that are null or have no letter get und, score 0 and are rejected; so does every text if
     the model has no language. Other texts get the nearest centroid's language and are rejected if
-    the score is under `floor`. Ties go to the language that sorts first.
+    the score is under that language's fitted floor for the text's size, or under `floor` if that is
+    given. Ties go to the language that sorts first.
     """
     rows = without(docs, *RESULTS)
     at = rows.columns.index(text_col)
@@ -154,18 +192,19 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text", floor: float =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            langs, scores = [], []
+            langs, scores, gone = [], [], []
             for _, grid, has in counts_of(batch.column(at).to_pylist()):
                 if not known["langs"]:
                     langs += ["und"] * len(grid)
                     scores += [0.0] * len(grid)
+                    gone += [True] * len(grid)
                     continue
                 like = likeness(grid, known["idf"], known["centres"])
                 best = np.argmax(like, axis=1)
                 top = np.clip(like[np.arange(len(like)), best].astype(np.float64), 0, 1)
                 langs += [known["langs"][b] if ok else "und" for b, ok in zip(best.tolist(), has.tolist())]
                 scores += np.where(has, top, 0.0).tolist()
-            gone = [lang == "und" or score < floor for lang, score in zip(langs, scores)]
+                gone += (~has | (top < (known["floors"][best, octave(grid)] if floor is None else floor))).tolist()
             done = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(gone, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *done], names=[*batch.schema.names, *RESULTS])
 

@@ -256,6 +256,23 @@ def test_language(spark):
     assert nothing.where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_rejects_unlearned(spark):
+    rng = random.Random(6)
+    lex = {"aa": "the of and to in is that it was for on are with as his they at be this from have".split(), "bb": "der die und in den von zu das mit sich des auf ist im dem nicht ein eine als auch".split()}
+    ends = {"aa": ["ing", "tion", "ly", "ness"], "bb": ["ung", "keit", "lich", "chen"]}
+    text = lambda k, n: " ".join(rng.choice(lex[k]) + (rng.choice(ends[k]) if rng.random() < 0.3 else "") for _ in range(n))
+    data = [(i, text(k, rng.randint(30, 400)), k) for i, k in enumerate(["aa", "bb"] * 60)]
+    model = op6.fit(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+    junk = {"cyrillic": [chr(c) for c in range(0x430, 0x450)], "han": [chr(c) for c in range(0x4E00, 0x5E00)], "consonants": list("bcdfghjklmnpqrstvwxz"), "latin": list("abcdefghijklmnopqrstuvwxyz")}
+    bad = ["".join(rng.choice(letters) + " " * (rng.random() < 0.17) for _ in range(n)) for letters in junk.values() for n in (200, 1000, 4000, 20000)]
+    good = [(text(k, n), k) for k in lex for n in (6, 12, 60, 4000) for _ in range(5)]
+    df = spark.createDataFrame(list(enumerate([*bad, *[t for t, _ in good]])), "doc_id long, text string")
+    got = op6.predict(df, model).orderBy("doc_id").collect()
+    assert all(r.rejected for r in got[: len(bad)])
+    assert [(r.lang_pred, r.rejected) for r in got[len(bad) :]] == [(k, False) for _, k in good]
+    assert not any(r.rejected for r in op6.predict(df, model, floor=0.0).collect())
+
+
 def test_substring_dedup(spark, docs, rows):
     got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in op7.substring_dedup(docs).collect())
     split = [(i, [x.decode() for x in words(t)]) for i, t in rows]
