@@ -7,7 +7,9 @@ the text. The weights are counted over all labelled pages, which are those whose
 article with <article> or <main>; rules that need no data (PRIOR and the boilerplate names) smooth
 them, so a page of an unknown kind works too. Menus, forms, notices and the like inside the region
 are left out; inside a marked article they and its tags hardly count, so that an advert between two
-paragraphs doesn't cut it.
+paragraphs doesn't cut it. A name that only contains a boilerplate word (post-header, related-work) is
+ambiguous: all words under it have its context, and the learned weight of that decides. An article
+starts anew, whatever the names around it, unless it lies in a menu, an aside, comments or the like.
 
 Two mapInArrow passes over whole pages (counting and extracting); between them a sum per context,
 combined before its shuffle, whose size the tag names and CLASSES bound.
@@ -42,27 +44,47 @@ BOILER_WORDS = frozenset(
     "newsletter notice notices pagination popup promo promoted promotion related recommended respond search share sharing sidebar signup social sponsor sponsored subscribe subscription "
     "tags toolbar widget contentinfo complementary".split()
 )
+#: With boilerplate words alone or with these, a name is boilerplate; with other parts it is ambiguous.
+AROUND = frozenset("site global top bottom left right primary secondary main container wrapper wrap box block area inner outer list bar bars link links button buttons form item items posts articles stories icons icon".split())
+#: Whole names of what may hold other articles than the page's.
+OTHERS = frozenset("comment comments disqus respond related recommended sidebar promo promoted sponsored widget".split())
 MARKED = ("article", "main")
 CLASSES, SMOOTH = 512, 50.0
 #: Log odds before any page is seen: words of plain blocks, words of boilerplate, tags.
 PRIOR = {"word": 1.0, "boiler": -2.0, "tag": -1.0}
 
 
+def parts_of(name: str) -> list[str]:
+    return [x for x in re.split(r"[-_\s]+", name.lower()) if x]
+
+
 def is_boiler(tag: str, names: list[str], inside: bool) -> bool:
     if tag in BOILER_TAGS or (tag == "header" and not inside):
         return True
-    return tag not in ("html", "body", *MARKED) and any(part in BOILER_WORDS for name in names for part in re.split(r"[-_\s]+", name.lower()))
+    return tag not in ("html", "body", *MARKED) and any(BOILER_WORDS.intersection(p := parts_of(name)) and BOILER_WORDS.union(AROUND).issuperset(p) for name in names)
+
+
+def ambiguous(tag: str, names: list[str]) -> str | None:
+    """The first name that contains a boilerplate word among others."""
+    if tag in ("html", "body", *MARKED):
+        return None
+    return next((n for n in names if BOILER_WORDS.intersection(p := parts_of(n)) and not BOILER_WORDS.union(AROUND).issuperset(p)), None)
+
+
+def holds_others(tag: str, names: list[str]) -> bool:
+    """Whether articles in this element aren't the page's."""
+    return tag in BOILER_TAGS or (tag not in ("html", "body", *MARKED) and any(OTHERS.intersection(p := parts_of(n)) and BOILER_WORDS.union(AROUND).issuperset(p) for n in names))
 
 
 def events(html: str) -> Iterator[tuple[str, str, str, bool, bool]]:
     """(kind, context or tag, text, boilerplate, marked as the article) in page order; kind is word, tag or break."""
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, context, boilerplate, marked
+    stack: list[tuple[str, str, bool, bool, bool]] = []  # tag, context, boilerplate, marked, whether in what holds others
     context, boiler, marked, at = "body", False, False, 0
 
-    def state() -> tuple[str, bool, bool]:
-        for _, c, b, m in reversed(stack):
-            return c, b, m
-        return "body", False, False
+    def state() -> tuple[str, bool, bool, bool]:
+        for _, *rest in reversed(stack):
+            return tuple(rest)
+        return "body", False, False, False
 
     for m in TOKEN.finditer(html):
         if m.start() > at:
@@ -89,17 +111,23 @@ def events(html: str) -> Iterator[tuple[str, str, str, bool, bool]]:
         elif tag == "body":
             while stack and stack[-1][0] != "html":
                 stack.pop()
-            stack.append(("body", "body", False, False))
+            stack.append(("body", "body", False, False, False))
         elif tag not in VOID:
             for ended in ENDS.get(tag, ()) + (("p",) if tag in NO_P else ()):
                 if stack and stack[-1][0] == ended:
                     stack.pop()
-            _, b, inside = state()
+            c, b, inside, others = state()
             names = [n for x in CLASS.findall(m[4]) for n in "".join(x).split()]
             own = is_boiler(tag, names, inside)
             key = f"{tag}#{crc32(names[0].encode()) % CLASSES}" if names else tag
-            stack.append((tag, key, b or own, inside or tag in MARKED))
-        context, boiler, marked = state()
+            if tag in MARKED:
+                b = others
+            elif c.startswith("?"):
+                key = c
+            elif unsure := ambiguous(tag, names):
+                key = f"?{tag}#{crc32(unsure.encode()) % CLASSES}"
+            stack.append((tag, key, b or own, inside or tag in MARKED, others or holds_others(tag, names)))
+        context, boiler, marked, _ = state()
         yield "tag", tag, "", boiler, marked
     if at < len(html):
         yield "word", context, html[at:], boiler, marked
@@ -158,7 +186,7 @@ def main_text(html: str, weights: dict) -> tuple[str, float]:
             name = "!" + key if boiler else key
             weight = words.get(name)
             if weight is None:
-                weight = words.get(name.split("#")[0], PRIOR["boiler" if boiler else "word"])
+                weight = words.get(name.split("#")[0].replace("?", ""), PRIOR["boiler" if boiler else "word"])
             run_sum += len(text.split()) * (weight if not boiler else 0.0 if marked else min(weight, -0.5))
         elif kind == "tag":
             run_sum += max(tags.get(key, PRIOR["tag"]), -0.01 if marked else -3.0)
@@ -167,8 +195,8 @@ def main_text(html: str, weights: dict) -> tuple[str, float]:
         elif run_sum > best_sum:
             best, best_sum = (run_start, i + 1), run_sum
     blocks, parts = [], []
-    for kind, _, text, boiler, _ in [*seen[best[0] : best[1]], ("break", "", "", False, False)]:
-        if kind == "word" and not boiler:
+    for kind, key, text, boiler, marked in [*seen[best[0] : best[1]], ("break", "", "", False, False)]:
+        if kind == "word" and not boiler and (marked or not key.startswith("?") or words.get(key, 0.0) >= 0):
             parts.append(unescape(text))
         elif kind == "break" and parts:
             blocks.append(" ".join("".join(parts).split()))

@@ -243,6 +243,21 @@ def test_html_text(spark):
     assert got[2] == got[3] == got[5] == "" and got[4].startswith("only words")
 
 
+def test_html_ambiguous_names(spark):
+    article = ("<article><div class='post-header'><h1>A title</h1></div><p>First words of it.</p><section id='related-work'><p>Work before this.</p></section>"
+               "<section id='social-history'><p>History of people.</p></section><div class='share-buttons'>tweet this</div></article>")
+    want = "A title\nFirst words of it.\nWork before this.\nHistory of people."
+    pages = [f"<body><div class='page has-sidebar'>{article}</div></body>", f"<body><div class='header'><main>{article}</main></div></body>",
+             f"<body>{article}<section class='comments'><article class='c1'><p>me too</p></article></section><aside><article><p>other story</p></article></aside></body>"]
+    got = [r.text for r in op5.extract(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")).orderBy("page_id").collect()]
+    assert got == [want] * 3
+    # Outside a marked article, what was learned of the name decides.
+    page = "<div><p>many good words stand here in a row" + " and more" * 20 + "</p><div class='post-tags'><p>one two</p></div><p>and many more of them" + " again" * 20 + " stand here</p></div>"
+    key = next(k for kind, k, *_ in op5.events(page) if k.startswith("?"))
+    said = {w: op5.main_text(page, {"word": {key: w}, "tag": {}})[0] for w in (1.0, -1.0)}
+    assert "one two" in said[1.0] and "one two" not in said[-1.0] and said[-1.0].endswith("stand here")
+
+
 def test_language(spark):
     rng = random.Random(5)
     lex = {"aa": ["shor", "then", "wick", "thing"], "bb": ["élan", "çois", "queux", "tre"], "cc": ["ñado", "ción", "rrez", "lla"]}
