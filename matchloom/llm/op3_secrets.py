@@ -4,7 +4,8 @@ Method. Candidate strings are maximal runs of key characters. For each character
 WINDOW characters slides over the candidate's stretches of that class; adding one character and
 dropping one changes the counts, and the sum of c * log2(c) that gives the window's Shannon entropy,
 in constant time. Windows over the class's threshold merge into spans. An allow-list of patterns
-suppresses entropy spans (placeholders, plain words, digits only), never the base patterns.
+suppresses entropy spans (placeholders, plain words, digits only), never the base patterns. It is held
+against the =- or /-separated parts that a span touches, so a word in one part excuses no other part.
 
 One mapInArrow over Spark's partitions on whole texts; nothing is shuffled.
 """
@@ -37,7 +38,8 @@ CLASSES = (
 KINDS = BASE_KINDS + tuple(c[0] for c in CLASSES)
 WINDOW = 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW)
-#: A span's text that matches one of these is no secret.
+PART = re.compile(r"[^=/]+")
+#: A text that matches one of these is no secret.
 ALLOW = (
     r"[^0-9]*",  # no digit: words, paths, rulers
     r"[^A-Za-z]*",  # no letter: numbers, dates
@@ -72,6 +74,12 @@ def dense_stretches(text: str, members: frozenset, least: float, window: int = W
     return out
 
 
+def allowed_span(run: str, parts: list[tuple[int, int, bool]], a: int, b: int, allow: re.Pattern) -> bool:
+    """Whether a span of a run is no secret: its one part or itself matches; over several parts, all of them and itself."""
+    touched = [ok for start, stop, ok in parts if start < b and a < stop]
+    return (len(touched) == 1 and touched[0]) or (bool(allow.fullmatch(run[a:b])) and (len(touched) < 2 or all(touched)))
+
+
 def secrets_of(text: str, allow: re.Pattern) -> list[tuple[str, int, int]]:
     """(kind, start, stop) of one text, by start, then kind as in KINDS."""
     found = []
@@ -83,11 +91,12 @@ def secrets_of(text: str, allow: re.Pattern) -> list[tuple[str, int, int]]:
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
     for m in CANDIDATE.finditer(text):
         run, at = m[0], m.start()
-        if allow.fullmatch(run):
+        parts = [(*p.span(), bool(allow.fullmatch(p[0]))) for p in PART.finditer(run)]
+        if all(ok for _, _, ok in parts) and allow.fullmatch(run):
             continue
         for kind, members, least in CLASSES:
             for a, b in dense_stretches(run, members, least):
-                if not allow.fullmatch(run[a:b]):
+                if not allowed_span(run, parts, a, b, allow):
                     found.append((kind, at + a, at + b))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

@@ -201,6 +201,17 @@ def test_secrets(spark):
     assert [k for k, _, _ in got[7]] == ["entropy_alnum", "entropy_base64"]
 
 
+def test_secrets_allowed_part():
+    allow = re.compile("|".join(f"(?:{a})" if not a.startswith("(?i)") else f"(?i:{a[4:]})" for a in op3.ALLOW), re.S)
+    key = "7fKq2LmZx9RtVb4NcY8W"
+    for text in (f"sample_db={key}", f"/examples/{key}", f"{key}/dummy"):
+        at = text.index(key)
+        assert ("entropy_alnum", at, at + 20) in op3.secrets_of(text, allow)
+        assert any(k == "entropy_base64" and a <= at and b >= at + 20 for k, a, b in op3.secrets_of(text, allow))
+    for text in (f"example{key}", f"x/sample_{key}/y", "some/path/of-words/without/any-digits/qwertz", "id/123e4567-e89b-12d3-a456-426614174000"):
+        assert not [s for s in op3.secrets_of(text, allow) if s[0] == "entropy_alnum"]
+
+
 def test_entropy_windows():
     rng = random.Random(1)
     members = frozenset("abcdef0123")
