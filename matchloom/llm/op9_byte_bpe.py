@@ -8,9 +8,15 @@ end, when none is. A sequence of tokens is the BPE encoding of its bytes exactly
 neighbours is, so compatibility is decided on pairs and memoised. No position is tried twice after
 it was marked, hence time is linear in the piece.
 
+Equal stretches of a batch are encoded once: Arrow numbers the distinct ones and then takes each
+place's ids from theirs. Decoding takes the tokens' bytes by id, also in Arrow.
+
 Both directions run as mapInArrow over Spark's partitions, with no shuffle; a lost executor only
 costs its own partitions. The vocabulary file (path is a parameter) has to be installed on the
 executors, as a Python package is.
+
+Defined cases, here as in `encode` and `decode`: null and empty texts have no tokens, repeated rows
+each get theirs, an empty table gives an empty table, and input columns named like a result give way.
 """
 
 from __future__ import annotations
@@ -22,18 +28,24 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchloom.llm.common import slices, table, without
+from matchloom.llm.common import slices, table, unused, without
 
-#: Entries that a memo may hold; a full one starts afresh.
-MEMO = 400_000
+#: Entries that each half of a memo may hold.
+MEMO = 1 << 18
 NEVER = 1 << 60
+# Fixed value: the pattern whose pieces never go on over a plain space between two characters that
+# aren't white space. The one before ends there and the next begins with it.
+SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space but the plain space and the line feed; what marks a space beside white space.
 RARE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 BESIDE = ("  ", " \n", "\n ")
+#: Stands before each space that begins a stretch; texts that have it are awkward.
+BORDER = "\x1f"
 
 
 def awkward(text: str) -> bool:
@@ -41,6 +53,26 @@ def awkward(text: str) -> bool:
     return text[:1] == " " or text[-1:] == " " or any(c in text for c in BESIDE) or any(c in text for c in RARE)
 
 
+class Memo:
+    """A dict of two halves; a full younger half becomes the older one, so what is used often stays."""
+
+    def __init__(self, size: int = MEMO):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class BytePairs:
     """A vocabulary of byte tokens in merge order."""
 
@@ -52,7 +84,7 @@ class BytePairs:
             self.rank = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.token = {i: b for b, i in self.rank.items()}
         self.find = regex.compile(pattern).findall
-        self.size = {i: len(b) for b, i in self.rank.items()}
+        self.size = [len(self.token.get(i, b"")) for i in range(max(self.token) + 1)]
         self.joined = {self.rank[w[:k]] << 20 | self.rank[w[k:]]: i for w, i in self.rank.items() for k in range(1, len(w)) if w[:k] in self.rank and w[k:] in self.rank}
         self.halves: dict[int, tuple[int, int]] = {}
         self.automaton = ahocorasick.Automaton()
@@ -64,9 +96,8 @@ class BytePairs:
                 self.automaton.add_word(word.decode("latin-1"), (i, len(word)))
         self.automaton.make_automaton()  # without tokens that merging can't reach: they only match whole pieces
         self.reachable = {i for i, _ in self.automaton.values()}
-        self.pieces: dict[str, bytes] = {}  # ids as int32
-        self.words: dict[str, bytes] = {}
-        self.marks = {c: array("i", [self.rank[c.encode()]]).tobytes() for c in ".,;:!?\n"}
+        self.spaced = pattern == SPACED
+        self.pieces = Memo()  # ids as int32
         self.pairs: dict[int, bool] = {}
         self.prefix: dict[int, int] = {}
         self.right: dict[int, list[tuple[int, int]]] = {}
@@ -121,119 +152,130 @@ class BytePairs:
         word = piece.encode("utf-8", "surrogatepass")
         if word in self.rank:
             return (self.rank[word],)
-        size, pairs = self.size, self.pairs
+        size, pairs, compatible, shorter = self.size, self.pairs, self.compatible, self.shorter
         longest = [-1] * (len(word) + 1)
         for end, (i, n) in self.automaton.iter(word.decode("latin-1")):
-            longest[end - n + 1] = i  # ends ascend, so the longest comes last
+            longest[end - n] = i  # by the place before it; ends ascend, so the longest comes last
         dead: set[int] = set()
         out: list[int] = []
-        at, token = 0, longest[0]
+        at, token, last = 0, longest[-1], 0  # last: the token on the left and a gap for the next
         while at < len(word):
             while token >= 0:
                 end = at + size[token]
                 if end not in dead:
                     if not out:
                         break
-                    fits = pairs.get(pair := out[-1] << 20 | token)
+                    fits = pairs.get(last | token)
                     if fits is None:
                         if len(pairs) >= MEMO:
                             pairs.clear()
-                        fits = pairs[pair] = self.compatible(out[-1], token)
+                        fits = pairs[last | token] = compatible(last >> 20, token)
                     if fits:
                         break
-                token = self.shorter(token)
+                token = shorter(token)
             if token >= 0:
                 out.append(token)
-                at, token = end, longest[end]
+                at, last, token = end, token << 20, longest[end - 1]
             else:
                 dead.add(at)
                 token = out.pop()
                 at -= size[token]
+                last = out[-1] << 20 if out else 0
         return tuple(out)
 
     def encode_part(self, part: str) -> bytes:
         """Ids of a stretch of text, piece by piece, as int32."""
-        pieces, out = self.pieces, []
+        out, seen = [], self.pieces.get
         for piece in self.find(part):
-            found = pieces.get(piece)
+            found = seen(piece)
             if found is None:
-                if len(pieces) >= MEMO:
-                    pieces.clear()
                 found = array("i", self.encode_piece(piece)).tobytes()
                 if len(piece) < 64:
-                    pieces[piece] = found
+                    self.pieces.put(piece, found)
             out.append(found)
         return b"".join(out)
 
-    def encode(self, text: str, into: bytearray) -> None:
-        """Append the ids, as int32.
+    def encode(self, texts: pa.Array) -> pa.ListArray:
+        """The ids of each text.
 
-        No piece goes on over a space between two characters that aren't white space: the one before
-        ends there and the next begins with it. So texts whose spaces are all like that are looked up
-        word by word, each with its space; other texts are matched as a whole.
+        Texts in which every space is a border of pieces are cut there, and each distinct stretch of
+        the batch is encoded once; other texts, and all with another pattern than SPACED, as a whole.
         """
-        if awkward(text):
-            into += self.encode_part(text)
-            return
-        parts = text.split(" ")
-        into += self.encode_part(parts[0])
-        seen = self.words.get
-        for part in parts[1:]:
-            into += seen(part) or self.encode_word(part)
-
-    def encode_word(self, part: str, space: str = " ") -> bytes:
-        """Ids of a word with its space: letters are one piece; a mark or a line feed after them is one too."""
-        known = self.words if space else self.pieces
-        if part.isalpha():
-            if len(known) >= MEMO:
-                known.clear()
-            found = array("i", self.encode_piece(space + part)).tobytes()
-            if len(part) < 64:
-                known[part] = found
-            return found
-        if part[-1] in self.marks and part[:-1].isalpha():
-            return (known.get(part[:-1]) or self.encode_word(part[:-1], space)) + self.marks[part[-1]]
-        line, feed, rest = part.partition("\n")
-        if line and rest and rest[0] != "\n":
-            return (known.get(line) or self.encode_word(line, space)) + self.marks[feed] + (self.pieces.get(rest) or self.encode_word(rest, ""))
-        found = self.encode_part(space + part)
-        if len(part) < 9 and len(known) < MEMO:
-            known[part] = found
-        return found
+        values = ["" if t is None else t for t in texts.to_pylist()]
+        whole = [i for i, t in enumerate(values) if not self.spaced or awkward(t)]
+        alone = {i: np.frombuffer(self.encode_part(values[i]), dtype=np.int32) for i in whole}
+        for i in whole:
+            values[i] = ""
+        cut = pc.split_pattern(pc.replace_substring(pa.array(values, pa.large_string()), " ", BORDER + " "), BORDER)
+        words = cut.flatten().dictionary_encode()
+        seen = self.pieces.get  # a stretch that has been a piece is one
+        known = [seen(w) or self.encode_part(w) for w in words.dictionary.to_pylist()]
+        bounds = np.concatenate(([0], np.cumsum([len(k) >> 2 for k in known], dtype=np.int64)))
+        table = pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(known), dtype=np.int32)))
+        taken = table.take(words.indices)
+        ends = taken.offsets.to_numpy()[cut.offsets.to_numpy()]  # of the texts, in ids
+        flat = taken.flatten().to_numpy()
+        if whole:
+            parts = [alone.get(i, flat[a:b]) for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist()))]
+            flat, ends = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+        return pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), pa.array(flat, pa.int32()))
+
+
+class Tokens:
+    """The bytes of each id, as an Arrow array."""
+
+    def __init__(self, path: str):
+        with open(path, "rb") as lines:
+            known = {int(b): base64.b64decode(a) for a, b in (line.split() for line in lines if line.strip())}
+        self.bytes = pa.array([known.get(i) for i in range(max(known) + 1)], pa.large_binary())
+
+    def decode(self, ids: pa.Array) -> pa.Array:
+        """The bytes of each row's ids; null for null ids. An unknown id raises an error."""
+        flat = ids.flatten()
+        taken = self.bytes.take(flat)
+        if taken.null_count:
+            raise ValueError("ids that the vocabulary doesn't have")
+        sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+        ends = taken.buffers()[1]
+        places = np.frombuffer(ends, dtype=np.int64)[: len(flat) + 1] if len(flat) else np.zeros(1, dtype=np.int64)
+        bounds = places[np.concatenate(([0], np.cumsum(sizes)))]
+        whole = pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(bounds.astype(np.int32)), taken.buffers()[2]])
+        return pc.if_else(ids.is_valid(), whole, None) if ids.null_count else whole
 
 
-@lru_cache(maxsize=2)
-def tokens_of(path: str) -> dict[int, bytes]:
-    with open(path, "rb") as lines:
-        return {int(b): base64.b64decode(a) for a, b in (line.split() for line in lines if line.strip())}
+@lru_cache(maxsize=1)
+def tokens_of(path: str) -> Tokens:
+    return Tokens(path)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def vocabulary(path: str, pattern: str) -> BytePairs:
     return BytePairs(path, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "ids", decoded: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """Add the token ids of each whole text as array<int>.
 
     Null and empty texts have no tokens. Every input row and column stays (a column named like
-    `out` gives way). Text that looks like a special token is ordinary text.
+    `out` gives way), or with `keep` only the columns named there. Text that looks like a special
+    token is ordinary text. With `decoded`, a column of that name gets the bytes that the ids decode
+    to, in the same pass.
     """
-    rows = without(docs, out)
-    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
-    at = rows.columns.index(text_col)
+    results = [out] + ([decoded] if decoded else [])
+    rows = without(docs, *results)
+    stay = [c for c in rows.columns if keep is None or c in keep]
+    rows = rows.select(*[F.col(f"`{c}`") for c in stay], F.col(f"`{text_col}`").cast("string").alias(*unused(rows, "input")))
+    fields = [T.StructField(out, T.ArrayType(T.IntegerType(), False), False)] + ([T.StructField(decoded, T.BinaryType(), True)] if decoded else [])
+    schema = T.StructType([*rows.schema.fields[: len(stay)], *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path, pattern)
-        for batch in slices(batches):
-            flat, ends = bytearray(), [0]
-            for text in batch.column(at):
-                value = text.as_py()
-                if value:
-                    words.encode(value, flat)
-                ends.append(len(flat) // 4)
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, dtype=np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, out])
+        for batch in slices(batches, len(stay), rows=8192, size=8 << 20):
+            done = [words.encode(batch.column(len(stay)))]
+            if decoded:
+                done.append(tokens_of(path).decode(done[0]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(stay)], *done], names=[*stay, *results])
+        words.pieces, words.pairs = Memo(), {}
 
     return rows.mapInArrow(run, schema)
 
@@ -245,10 +287,8 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids", out: str = "decod
     at = rows.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = tokens_of(path).__getitem__
         for batch in slices(batches):
-            texts = [None if ids is None else b"".join(map(token, ids)) for ids in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, tokens_of(path).decode(batch.column(at))], names=[*batch.schema.names, out])
 
     return rows.mapInArrow(run, schema)
 
@@ -258,8 +298,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    tokens = encode(docs, path, pattern).select("doc_id", "ids")
-    return decode(tokens, path).select(
+    return encode(docs, path, pattern, decoded="decoded", keep=["doc_id"]).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
