@@ -27,49 +27,63 @@ def top_institutions(nodes: DataFrame, n: int = 3) -> DataFrame:
 
 
 def leave_one_out(nodes: DataFrame, s: Settings) -> DataFrame:
-    """For each unit of a kept code: rank of its own code when the unit is taken out of that profile.
+    """(own, unit, place, predicted): place of each unit's own code, the unit taken out of that profile, and the best code.
 
-    The own profile loses one from each of the unit's items and from its units; the IDF stays
-    global. Frequencies are over all units. One join of unit nodes with frequencies replaces the
-    loop over queries: other codes score with their profiles, the own code with reduced weights.
+    The own profile loses one from each of the unit's items and from its units, and is cut to top_k
+    anew; the IDF stays global. All codes are ranked, equal scores (and 0) by code. Frequencies are
+    over all units. No profile is built by query: an item's new rank in its profile is its reduced
+    key's place among the full keys (one window by code), corrected for the unit's own items.
     """
-    freq = profile.frequencies(nodes, s, sampled=False)
-    key = F.round(F.col("df") * F.col("idf"), 9)
-    profiles = freq.withColumn("rank", F.row_number().over(Window.partitionBy("code").orderBy(F.desc(key), "node"))).where(F.col("rank") <= s.top_k)
+    freq = profile.reused(profile.frequencies(nodes, s, sampled=False).withColumn("key", F.round(F.col("df") * F.col("idf"), 9)))
+    by_key = Window.partitionBy("code").orderBy(F.desc("key"), "node")
+    profiles = freq.withColumn("rank", F.row_number().over(by_key)).where(F.col("rank") <= s.top_k)
     weighted = profiles.withColumn("weight", profile.scaled(F.col("idf"), F.col("df") / F.col("units"), s.df_weight))
-    kept = profiles.select("code").distinct()
-    query = nodes.join(kept, "code", "left_semi").select("code", "unit", "node")
-    others = (
-        query.withColumnRenamed("code", "own")
-        .join(weighted.select("code", "node", "weight"), "node")
-        .where("own <> code")
-        .groupBy("own", "unit", "code")
-        .agg(F.sum("weight").alias("score"))
+    codes = profiles.select("code").distinct().withColumn("nth", F.row_number().over(Window.orderBy("code")))  # one row for each category
+    query = nodes.select("code", "unit", "node").join(F.broadcast(codes), "code", "left_semi")
+
+    less = freq.withColumn("key", F.round((F.col("df") - 1) * F.col("idf"), 9)).withColumn("full", F.lit(0))
+    before = Window.partitionBy("code").orderBy(F.desc("key"), "node", "full").rowsBetween(Window.unboundedPreceding, -1)
+    placed = freq.withColumn("full", F.lit(1)).unionByName(less).withColumn("above", F.coalesce(F.sum("full").over(before), F.lit(0))).where("full = 0")
+    item = placed.select("code", "node", "idf", "df", "units", F.col("key").alias("less"), "above").join(freq.select("code", "node", "key"), ["code", "node"])
+    own = query.join(item, ["code", "node"])
+    stays = F.col("df") - 1 >= max(s.min_df, 1)
+    mate = own.select("code", "unit", F.col("node").alias("other"), F.col("key").alias("other_key"), F.col("less").alias("other_less"), stays.alias("other_stays"))
+    wins = lambda key: (F.col(key) > F.col("less")) | ((F.col(key) == F.col("less")) & (F.col("other") < F.col("node")))
+    better = F.when(F.col("other_stays") & wins("other_less") & (F.col("other") != F.col("node")), 1).otherwise(0) - F.when(wins("other_key"), 1).otherwise(0)
+    left = own.where(stays).join(mate, ["code", "unit"]).groupBy("code", "unit", "node", "idf", "df", "units", "above").agg(F.sum(better).alias("shift"))
+    weight = profile.scaled(F.col("idf"), (F.col("df") - 1) / F.greatest(F.col("units") - 1, F.lit(1)), s.df_weight)
+    mine = left.where(F.col("above") + F.col("shift") < s.top_k).groupBy("code", "unit").agg(F.sum(weight).alias("mine"))
+    units = query.select("code", "unit").distinct().join(mine, ["code", "unit"], "left").join(F.broadcast(codes), "code")
+    units = units.select(F.col("code").alias("own"), "unit", "nth", F.round(F.coalesce("mine", F.lit(0.0)), 9).alias("mine"))
+
+    others = query.withColumnRenamed("code", "own").join(weighted.select("code", "node", "weight"), "node").where("own <> code")
+    others = others.groupBy("own", "unit", "code").agg(F.round(F.sum("weight"), 9).alias("score")).where("score > 0")
+    ahead = units.join(others, ["own", "unit"], "left").groupBy("own", "unit", "nth", "mine").agg(
+        F.count("code").alias("good"),
+        F.count_if((F.col("score") > F.col("mine")) | ((F.col("score") == F.col("mine")) & (F.col("code") < F.col("own")))).alias("ahead"),
+        F.count_if(F.col("code") < F.col("own")).alias("good_below"),
+        F.min(F.when(F.col("code").isNotNull(), F.struct((-F.col("score")).alias("neg"), "code"))).alias("best"),
     )
-    left = query.join(freq, ["code", "node"]).where("df > 1")
-    own = left.withColumn("weight", profile.scaled(F.col("idf"), (F.col("df") - 1) / F.greatest(F.col("units") - 1, F.lit(1)), s.df_weight))
-    mine = own.groupBy("code", "unit").agg(F.sum("weight").alias("score")).select(F.col("code").alias("own"), "unit", "code", "score")
-    blank = query.select(F.col("code").alias("own"), "unit", "code").distinct().withColumn("score", F.lit(0.0))
-    total = others.unionByName(mine).unionByName(blank).groupBy("own", "unit", "code").agg(F.sum("score").alias("score"))
-    place = Window.partitionBy("own", "unit").orderBy(F.desc(F.round("score", 9)), "code")
-    return total.withColumn("place", F.row_number().over(place))
+    # Without a score of its own, a code stands behind the positive ones, in the order of codes.
+    place = F.when(F.col("mine") > 0, F.col("ahead") + 1).otherwise(F.col("good") + F.col("nth") - F.col("good_below"))
+    first = codes.agg(F.min("code").alias("first"))
+    best = F.when(F.col("best").isNull() | (F.col("mine") > -F.col("best.neg")) | ((F.col("mine") == -F.col("best.neg")) & (F.col("own") < F.col("best.code"))), F.when(F.col("mine") > 0, F.col("own")).otherwise(F.col("first"))).otherwise(F.col("best.code"))
+    return ahead.join(F.broadcast(first), F.lit(True)).select("own", "unit", place.cast("int").alias("place"), best.alias("predicted"))
 
 
 def leave_one_out_summary(places: DataFrame, units: DataFrame) -> DataFrame:
     """Top-1, Top-3, MRR and bias (units of the predicted code against the unit-weighted mean)."""
-    own = places.where("own = code").select("own", "unit", "place")
-    first = places.where("place = 1").select("own", "unit", F.col("code").alias("predicted"))
-    joined = own.join(first, ["own", "unit"]).join(units.select(F.col("code").alias("predicted"), F.col("units").alias("n")), "predicted")
+    joined = places.join(F.broadcast(units.select(F.col("code").alias("predicted"), F.col("units").alias("n"))), "predicted")
     base = units.agg((F.sum(F.col("units") * F.col("units")) / F.sum("units")).alias("base"))
     return (
         joined.agg(
             F.count(F.lit(1)).alias("queries"),
-            F.sum((F.col("place") == 1).cast("long")).alias("top1"),
-            F.sum((F.col("place") <= 3).cast("long")).alias("top3"),
+            F.count_if(F.col("place") == 1).alias("top1"),
+            F.count_if(F.col("place") <= 3).alias("top3"),
             F.round(F.avg(1 / F.col("place")), 6).alias("mrr"),
             F.avg("n").alias("mean_units"),
         )
-        .crossJoin(F.broadcast(base))
+        .join(F.broadcast(base), F.lit(True))
         .select("queries", "top1", "top3", "mrr", F.round(F.col("mean_units") / F.col("base"), 6).alias("bias"))
     )
 

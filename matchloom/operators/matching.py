@@ -14,9 +14,31 @@ def scores(users: DataFrame, profiles: DataFrame) -> DataFrame:
     return hits.groupBy("user", "code").agg(F.sum("weight").alias("score"), F.count(F.lit(1)).alias("overlap"))
 
 
-def ranked(scored: DataFrame) -> DataFrame:
-    order = Window.partitionBy("user").orderBy(F.desc(F.round("score", 9)), "code")
-    return scored.withColumn("rank", F.row_number().over(order))
+def scores_of_all(users: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(user, code, score, overlap) of a stated set of users with every profile, those without a shared node too."""
+    every = users.select("user").distinct().join(profiles.select("code").distinct(), F.lit(True))
+    found = every.join(scores(users, profiles), ["user", "code"], "left")
+    return found.select("user", "code", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("overlap", F.lit(0)).alias("overlap"))
+
+
+def ranked(scored: DataFrame, profiles: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
+    """Rank of each scored pair among all profiles: score descending, then code; those that aren't here have score 0.
+
+    Pairs of `exclude` (user, code) take no rank. Profiles without a shared node need no row: a
+    score of 0 ranks behind all positive ones by the code's place among the codes that aren't positive.
+    """
+    codes = profiles.select("code").distinct().withColumn("nth", F.row_number().over(Window.orderBy("code")))  # one row for each category
+    rows = scored.withColumn("out", F.lit(0))
+    if exclude is not None:
+        gone = exclude.select("user", "code").distinct().withColumn("out", F.lit(1))
+        rows = scored.join(gone.drop("out"), ["user", "code"], "left_anti").withColumn("out", F.lit(0)).unionByName(gone, allowMissingColumns=True)
+    rows = rows.join(F.broadcast(codes), "code").withColumn("key", F.round("score", 9)).withColumn("good", (F.coalesce("key", F.lit(0.0)) > 0).cast("int"))
+    before = Window.partitionBy("user").orderBy("code").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("passed", F.coalesce(F.sum(F.col("good") + F.col("out")).over(before), F.lit(0)))
+    rows = rows.withColumn("all_good", F.sum("good").over(Window.partitionBy("user")))
+    place = F.row_number().over(Window.partitionBy("user").orderBy(F.desc("good"), F.desc("key"), "code"))
+    rank = F.when(F.col("good") == 1, F.col("place")).otherwise(F.col("all_good") + F.col("nth") - F.col("passed"))
+    return rows.withColumn("place", place).withColumn("rank", rank.cast("int")).where("out = 0").drop("out", "nth", "key", "good", "passed", "all_good", "place")
 
 
 def reverse(users: DataFrame, profiles: DataFrame, limit: int = 5, min_overlap: int = 2, exclude: DataFrame | None = None) -> DataFrame:
@@ -24,25 +46,41 @@ def reverse(users: DataFrame, profiles: DataFrame, limit: int = 5, min_overlap:
 
     `exclude` (user, code) leaves pairs out before ranking. The pre-limit comes before the filter.
     """
-    found = scores(users, profiles)
-    if exclude is not None:
-        found = found.join(exclude, ["user", "code"], "left_anti")
-    first = ranked(found).where(F.col("rank") <= limit * 4).where(F.col("overlap") >= min_overlap)
+    first = ranked(scores(users, profiles), profiles, exclude).where(F.col("rank") <= limit * 4).where(F.col("overlap") >= min_overlap)
     again = Window.partitionBy("user").orderBy("rank")
     return first.withColumn("place", F.row_number().over(again)).where(F.col("place") <= limit)
 
 
 def unexpected(users: DataFrame, profiles: DataFrame, seen: DataFrame, limit: int = 3, min_overlap: int = 2) -> DataFrame:
     """Profiles of majors (two digits) that the user has not seen; limit * 32 ranked before the filters."""
-    wide = ranked(scores(users, profiles)).where(F.col("rank") <= limit * 8 * 4).where(F.col("overlap") >= min_overlap)
+    wide = ranked(scores(users, profiles), profiles).where(F.col("rank") <= limit * 8 * 4).where(F.col("overlap") >= min_overlap)
     cut = wide.withColumn("k", F.row_number().over(Window.partitionBy("user").orderBy("rank"))).where(F.col("k") <= limit * 8)
     other = cut.withColumn("major", F.substring("code", 1, 2)).join(seen, ["user", "major"], "left_anti")
     return other.withColumn("place", F.row_number().over(Window.partitionBy("user").orderBy("rank"))).where(F.col("place") <= limit)
 
 
-def have_lack(users: DataFrame, targets: DataFrame, profiles: DataFrame, lack_limit: int = 10) -> DataFrame:
-    """For each target (user, code): profile items the user has, and the most frequent ones lacking."""
-    wanted = targets.join(profiles, "code")
+def proved(pairs: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The grounding rule: only pairs (code, node) that the evidence index can quote."""
+    return pairs.join(evidence.select("code", "node").distinct(), ["code", "node"], "left_semi")
+
+
+def quotes(pairs: DataFrame, evidence: DataFrame, limit: int = 2, coarse: int = 6) -> DataFrame:
+    """(code, node, source, k, text, n) of each pair: its own quotes, else those of the code's prefix of `coarse` digits."""
+    asked = pairs.select("code", "node").distinct()
+    rows = evidence.select("code", "node", "rank", "text", "n")
+    own = asked.join(rows, ["code", "node"]).withColumn("source", F.lit("own"))
+    rest = asked.join(own.select("code", "node"), ["code", "node"], "left_anti").where(F.length("code") > coarse)
+    above = rest.withColumn("parent", F.substring("code", 1, coarse)).join(rows.withColumnRenamed("code", "parent"), ["parent", "node"]).drop("parent").withColumn("source", F.lit("prefix"))
+    found = own.unionByName(above)
+    return found.withColumn("k", F.row_number().over(Window.partitionBy("code", "node").orderBy("rank"))).where(F.col("k") <= limit).select("code", "node", "source", "k", "text", "n")
+
+
+def have_lack(users: DataFrame, targets: DataFrame, profiles: DataFrame, lack_limit: int = 10, evidence: DataFrame | None = None) -> DataFrame:
+    """For each target (user, code): profile items the user has, and the most frequent ones lacking.
+
+    With `evidence` only items that it can quote are told.
+    """
+    wanted = targets.join(profiles if evidence is None else proved(profiles, evidence), "code")
     mine = users.select("user", "node").distinct()
     have = wanted.join(mine, ["user", "node"], "left_semi").withColumn("side", F.lit("have"))
     have = have.withColumn("place", F.row_number().over(Window.partitionBy("user", "code").orderBy(F.desc(F.round("weight", 9)), "node")))
@@ -56,12 +94,17 @@ def breadth(profiles: DataFrame) -> DataFrame:
     return profiles.groupBy("node").agg(F.countDistinct("code").alias("breadth"))
 
 
-def gaps(users: DataFrame, targets: DataFrame, profiles: DataFrame, s: Settings, near: DataFrame | None = None, limit: int = 6, pool: int = 40) -> DataFrame:
-    """Missing items by kind: near (a similarity of min_best, if given as (user, node, sim)), core, broad; others drop."""
+def gaps(users: DataFrame, targets: DataFrame, profiles: DataFrame, s: Settings, near: DataFrame | None = None, limit: int = 6, pool: int = 40, evidence: DataFrame | None = None) -> DataFrame:
+    """Missing items by kind: near (a similarity of min_best, if given as (user, node, sim)), core, broad; others drop.
+
+    The pool are the missing items that most units ask for; of it, with `evidence`, those it can quote.
+    """
     mine = users.select("user", "node").distinct()
     jobs = profiles.agg(F.countDistinct("code").alias("jobs"))
     lack = targets.join(profiles, "code").join(mine, ["user", "node"], "left_anti")
-    lack = lack.withColumn("k", F.row_number().over(Window.partitionBy("user", "code").orderBy(F.desc(F.round("weight", 9)), "node"))).where(F.col("k") <= pool)
+    lack = lack.withColumn("k", F.row_number().over(Window.partitionBy("user", "code").orderBy(F.desc("full_df"), "node"))).where(F.col("k") <= pool)
+    if evidence is not None:
+        lack = proved(lack, evidence)
     lack = lack.join(breadth(profiles), "node").crossJoin(F.broadcast(jobs)).withColumn("rate", F.col("full_df") / F.col("units"))
     if near is not None:
         lack = lack.join(near.select("user", "node", "sim"), ["user", "node"], "left")

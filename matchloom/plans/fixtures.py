@@ -103,8 +103,10 @@ prof AS (SELECT code, node, df, full_df, units, idf, rank, idf * sqrt(full_df /
 
 
 def scores_sql(**options) -> str:
+    """Every user with every profile, scores of 0 included: the definition of the ranks."""
     return profile_sql(**options) + """,
 us AS (SELECT DISTINCT inst AS usr, node FROM items),
-sc AS (SELECT usr, code, sum(weight) AS score, count(*) AS overlap FROM us JOIN prof USING (node) GROUP BY ALL),
+hit AS (SELECT usr, code, sum(weight) AS score, count(*) AS overlap FROM us JOIN prof USING (node) GROUP BY ALL),
+sc AS (SELECT usr, code, coalesce(score, 0) AS score, coalesce(overlap, 0) AS overlap FROM (SELECT DISTINCT usr FROM us) CROSS JOIN (SELECT DISTINCT code FROM prof) LEFT JOIN hit USING (usr, code)),
 rk AS (SELECT *, row_number() OVER (PARTITION BY usr ORDER BY round(score, 9) DESC, code) AS rank FROM sc)
 """

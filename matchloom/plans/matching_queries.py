@@ -78,10 +78,11 @@ def evidence_top_quotes(spark, d):
     return found.select("code", "node", "text", "n", "rank", F.array_join(F.col("doc_ids").cast("array<string>"), ",").alias("docs"))
 
 
-@register("WITH " + fx.scores_sql() + "SELECT usr AS user, code, rank, overlap, round(score, 6) AS score FROM rk WHERE rank <= 10")
+@register("WITH " + fx.scores_sql() + "SELECT usr AS user, code, rank, overlap, round(score, 6) AS score FROM rk WHERE rank <= 10 AND overlap > 0")
 def score_rank(spark, d):
     items = fx.unit_items(spark, d)
-    found = matching.ranked(matching.scores(fx.users(items), _profiles(spark, d))).where("rank <= 10")
+    profiles = _profiles(spark, d)
+    found = matching.ranked(matching.scores(fx.users(items), profiles), profiles).where("rank <= 10")
     return found.select("user", "code", "rank", "overlap", F.round("score", 6).alias("score"))
 
 
@@ -134,7 +135,7 @@ def have_lack(spark, d):
 @register("WITH " + fx.scores_sql(**FOUR_SQL) + """
 , tg AS (SELECT DISTINCT inst AS usr, left(code, 4) AS code FROM items),
 w AS (SELECT usr, prof.* FROM tg JOIN prof USING (code)),
-lackall AS (SELECT *, row_number() OVER (PARTITION BY usr, code ORDER BY round(weight, 9) DESC, node) AS k FROM w ANTI JOIN us USING (usr, node)),
+lackall AS (SELECT *, row_number() OVER (PARTITION BY usr, code ORDER BY full_df DESC, node) AS k FROM w ANTI JOIN us USING (usr, node)),
 br AS (SELECT node, count(DISTINCT code) AS breadth FROM prof GROUP BY ALL),
 g AS (SELECT usr, code, node, full_df / units AS rate, breadth, CASE WHEN full_df / units >= 0.05 THEN 'core' WHEN breadth >= 0.08 * (SELECT count(DISTINCT code) FROM prof) THEN 'broad' END AS kind FROM lackall JOIN br USING (node) WHERE k <= 40)
 SELECT usr AS user, code, node, kind, round(rate, 6) AS rate, breadth, row_number() OVER (PARTITION BY usr, code ORDER BY CASE kind WHEN 'core' THEN 1 ELSE 2 END, round(rate, 9) DESC, node) AS place
@@ -198,17 +199,21 @@ def top_institutions(spark, d):
 
 
 def _loo_sql(top_k: int) -> str:
-    return fx.profile_sql(**{**FOUR_SQL, "top_k": top_k}, sampled=False) + """
-, q AS (SELECT code, unit, node FROM nodes SEMI JOIN (SELECT DISTINCT code FROM prof) USING (code)),
-pw AS (SELECT code, node, idf * sqrt(df / units) AS weight FROM prof),
-s AS (SELECT own, unit, code, sum(score) AS score FROM (
-  SELECT q.code AS own, unit, pw.code, sum(weight) AS score FROM q JOIN pw ON q.node = pw.node AND q.code <> pw.code GROUP BY ALL
-  UNION ALL SELECT q.code, unit, q.code, sum(idf * sqrt((df - 1) / greatest(units - 1, 1))) FROM q JOIN freq USING (code, node) WHERE df > 1 GROUP BY ALL
-  UNION ALL SELECT DISTINCT code, unit, code, 0.0 FROM q) GROUP BY ALL),
-pl AS (SELECT *, row_number() OVER (PARTITION BY own, unit ORDER BY round(score, 9) DESC, code) AS place FROM s),
+    """By the definition: every unit's own profile built anew without it, all codes scored and ranked."""
+    return fx.profile_sql(**{**FOUR_SQL, "top_k": top_k}, sampled=False) + f"""
+, cs AS (SELECT DISTINCT code FROM prof),
+q AS (SELECT code AS own, unit, node FROM nodes SEMI JOIN cs USING (code)),
+u AS (SELECT DISTINCT own, unit FROM q),
+again AS (SELECT u.own, u.unit, freq.node, idf, units, CASE WHEN q.node IS NULL THEN df ELSE df - 1 END AS df, q.node IS NOT NULL AS asked
+  FROM u JOIN freq ON u.own = freq.code LEFT JOIN q ON q.own = u.own AND q.unit = u.unit AND q.node = freq.node),
+cut AS (SELECT * FROM again WHERE df > 0 QUALIFY row_number() OVER (PARTITION BY own, unit ORDER BY round(df * idf, 9) DESC, node) <= {top_k}),
+mine AS (SELECT own, unit, own AS code, sum(idf * sqrt(df / greatest(units - 1, 1))) AS score FROM cut WHERE asked GROUP BY ALL),
+theirs AS (SELECT own, unit, prof.code, sum(idf * sqrt(df / units)) AS score FROM q JOIN prof ON q.node = prof.node AND q.own <> prof.code GROUP BY ALL),
+s AS (SELECT own, unit, code, round(coalesce(mine.score, theirs.score, 0), 9) AS score FROM u CROSS JOIN cs LEFT JOIN mine USING (own, unit, code) LEFT JOIN theirs USING (own, unit, code)),
+pl AS (SELECT *, row_number() OVER (PARTITION BY own, unit ORDER BY score DESC, code) AS place FROM s),
 g AS (SELECT code, units FROM kept),
 f AS (SELECT o.own, o.unit, o.place, p.code AS predicted FROM pl o JOIN pl p ON o.own = p.own AND o.unit = p.unit AND p.place = 1 WHERE o.own = o.code),
-summary AS (SELECT count(*) AS queries, CAST(sum(CASE WHEN place = 1 THEN 1 ELSE 0 END) AS BIGINT) AS top1, CAST(sum(CASE WHEN place <= 3 THEN 1 ELSE 0 END) AS BIGINT) AS top3, round(avg(1.0 / place), 6) AS mrr,
+summary AS (SELECT count(*) AS queries, count(*) FILTER (WHERE place = 1) AS top1, count(*) FILTER (WHERE place <= 3) AS top3, round(avg(1.0 / place), 6) AS mrr,
   round(avg(units) / (SELECT sum(units * units) / sum(units) FROM g), 6) AS bias FROM f JOIN g ON f.predicted = g.code)
 """
 
@@ -247,7 +252,8 @@ def cross_eval_major(spark, d):
     customer = fx.table(spark, d, "customer")
     jobs = customer.join(users.select("user").distinct(), F.col("c_custkey") == F.col("user"), "left_semi").select(F.col("c_custkey").alias("user"), F.col("c_mktsegment").alias("job"))
     gold = customer.join(fx.codes(spark, d), "c_custkey").where("c_acctbal > 9000").select(F.col("c_mktsegment").alias("job"), F.substring("code", 1, 2).alias("major")).distinct()
-    ranked = matching.ranked(matching.scores(users, _profiles(spark, d))).join(jobs, "user")
+    profiles = _profiles(spark, d)
+    ranked = matching.ranked(matching.scores(users, profiles), profiles).join(jobs, "user")
     return evaluate.cross_hits(ranked, jobs, gold)
 
 
@@ -263,7 +269,7 @@ def hierarchy_rollup(spark, d):
 
 
 @register("WITH " + fx.profile_sql(top_k=20) + """
-SELECT count(*) AS items, CAST(sum(CASE WHEN i.code IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS without_evidence FROM prof LEFT JOIN (SELECT DISTINCT code, node FROM items) i USING (code, node)""")
+SELECT count(*) AS items, count(*) FILTER (WHERE i.code IS NULL) AS without_evidence FROM prof LEFT JOIN (SELECT DISTINCT code, node FROM items) i USING (code, node)""")
 def evidence_audit(spark, d):
     s = Settings(min_nodes=3, min_effective_units=70.0, max_hhi=0.12, top_k=20)
     items = fx.unit_items(spark, d)
@@ -275,3 +281,77 @@ def evidence_audit(spark, d):
 @register("WITH " + fx.ITEMS_SQL + "SELECT left(code, 2) AS major, count(DISTINCT inst) AS users, count(DISTINCT unit) AS postings FROM items GROUP BY ALL")
 def major_counts(spark, d):
     return fx.unit_items(spark, d).groupBy(F.substring("code", 1, 2).alias("major")).agg(F.countDistinct("inst").alias("users"), F.countDistinct("unit").alias("postings"))
+
+
+REGION_SQL = "us AS (SELECT DISTINCT left(code, 2) AS usr, node FROM items)"
+
+
+@register("WITH " + fx.profile_sql(top_k=20) + f""", {REGION_SQL},
+hit AS (SELECT usr, code, sum(weight) AS score, count(*) AS overlap FROM us JOIN prof USING (node) GROUP BY ALL)
+SELECT usr AS user, code, round(coalesce(score, 0), 6) AS score, coalesce(overlap, 0) AS overlap FROM (SELECT DISTINCT usr FROM us) CROSS JOIN (SELECT DISTINCT code FROM prof) LEFT JOIN hit USING (usr, code)""")
+def score_all_profiles(spark, d):
+    """Regions as the stated set of users, with every profile."""
+    s = Settings(min_nodes=3, min_effective_units=70.0, max_hhi=0.12, top_k=20)
+    items = fx.unit_items(spark, d)
+    users = items.select(F.substring("code", 1, 2).alias("user"), "node").distinct()
+    return matching.scores_of_all(users, _profiles(spark, d, s)).withColumn("score", F.round("score", 6))
+
+
+PROOF_SQL = """
+, top20 AS (SELECT code, node FROM prof WHERE rank <= 20)
+"""
+
+
+def _proofs(spark, d):
+    """The profiles and the evidence of their first twenty items."""
+    items = fx.unit_items(spark, d)
+    profiles = _profiles(spark, d)
+    return items, profiles, profile.evidence(items, profiles.where("rank <= 20"), TABLES)
+
+
+@register("WITH " + fx.scores_sql() + PROOF_SQL + """
+, w AS (SELECT usr, prof.* FROM (SELECT DISTINCT inst AS usr, code FROM items) tg JOIN prof USING (code) SEMI JOIN top20 USING (code, node)),
+have AS (SELECT usr, code, 'have' AS side, row_number() OVER (PARTITION BY usr, code ORDER BY round(weight, 9) DESC, node) AS place, node, full_df FROM w SEMI JOIN us USING (usr, node)),
+lack AS (SELECT usr, code, 'lack' AS side, row_number() OVER (PARTITION BY usr, code ORDER BY full_df DESC, node) AS place, node, full_df FROM w ANTI JOIN us USING (usr, node) QUALIFY place <= 10)
+SELECT usr AS user, code, side, place, node, full_df FROM (FROM have UNION ALL FROM lack)""")
+def have_lack_proved(spark, d):
+    items, profiles, proofs = _proofs(spark, d)
+    return matching.have_lack(fx.users(items), fx.home(items), profiles, evidence=proofs)
+
+
+@register("WITH " + fx.profile_sql(**FOUR_SQL) + """
+, raw AS (SELECT left(code, 4) AS code, node, item, unit FROM items SEMI JOIN prof ON left(items.code, 4) = prof.code AND items.node = prof.node),
+ev AS (SELECT code, node, item, count(*) AS n, row_number() OVER (PARTITION BY code, node ORDER BY count(*) DESC, min(unit), item) AS rank FROM raw GROUP BY code, node, item QUALIFY rank <= 3),
+own AS (SELECT i.code, i.node, 'own' AS source, rank AS k, ev.item AS text, n FROM (SELECT DISTINCT left(code, 4) AS code, node FROM items) i JOIN ev USING (code, node) WHERE rank <= 2),
+fine AS (SELECT DISTINCT code, node FROM items),
+up AS (SELECT f.code, f.node, 'prefix' AS source, rank AS k, ev.item AS text, n FROM fine f JOIN ev ON left(f.code, 4) = ev.code AND f.node = ev.node WHERE rank <= 2)
+SELECT * FROM own UNION ALL SELECT * FROM up""")
+def quote_fallback(spark, d):
+    """Coarse and fine codes; the index holds the coarse ones."""
+    items = fx.unit_items(spark, d)
+    proofs = profile.evidence(items, _profiles(spark, d, FOUR), FOUR)
+    pairs = items.select("code", "node").unionByName(items.select(F.substring("code", 1, 4).alias("code"), "node"))
+    return matching.quotes(pairs, proofs, coarse=4)
+
+
+@register("WITH " + fx.scores_sql(**FOUR_SQL) + """
+, tg AS (SELECT DISTINCT inst AS usr, left(code, 4) AS code FROM items),
+near AS (SELECT usr, p.node, least(0.3 + 0.05 * n, 1.0) AS sim FROM (SELECT usr, split_part(node, '|', 1) AS brand, count(*) AS n FROM us GROUP BY ALL) b JOIN (SELECT DISTINCT node FROM prof) p ON split_part(p.node, '|', 1) = b.brand),
+w AS (SELECT usr, prof.* FROM tg JOIN prof USING (code)),
+pool AS (SELECT *, row_number() OVER (PARTITION BY usr, code ORDER BY full_df DESC, node) AS k FROM w ANTI JOIN us USING (usr, node)),
+ev AS (SELECT DISTINCT code, node FROM prof WHERE rank <= 30),
+br AS (SELECT node, count(DISTINCT code) AS breadth FROM prof GROUP BY ALL),
+g AS (SELECT usr, code, node, full_df / units AS rate, breadth, sim, CASE WHEN sim >= 0.45 THEN 'near' WHEN full_df / units >= 0.05 THEN 'core' WHEN breadth >= 0.08 * (SELECT count(DISTINCT code) FROM prof) THEN 'broad' END AS kind
+  FROM pool SEMI JOIN ev USING (code, node) JOIN br USING (node) LEFT JOIN near USING (usr, node) WHERE k <= 40)
+SELECT usr AS user, code, node, kind, round(rate, 6) AS rate, breadth, row_number() OVER (PARTITION BY usr, code ORDER BY CASE kind WHEN 'near' THEN 0 WHEN 'core' THEN 1 ELSE 2 END, round(CASE WHEN kind = 'near' THEN sim ELSE rate END, 9) DESC, node) AS place
+FROM g WHERE kind IS NOT NULL QUALIFY place <= 6""")
+def gaps_near_proved(spark, d):
+    """With similarities (the more of a brand the user has, the nearer its other parts) and the grounding rule."""
+    s = Settings(level=4, min_nodes=3, min_effective_units=30.0, max_hhi=0.25, top_k=50, core_rate=0.05, broad_share=0.08)
+    items = fx.unit_items(spark, d)
+    profiles, users = _profiles(spark, d, s), fx.users(items)
+    brand = F.split_part("node", F.lit("|"), F.lit(1))
+    mine = users.groupBy("user", brand.alias("brand")).agg(F.count(F.lit(1)).alias("n"))
+    near = mine.join(profiles.select("node", brand.alias("brand")).distinct(), "brand").select("user", "node", F.least(0.3 + 0.05 * F.col("n"), F.lit(1.0)).alias("sim"))
+    proofs = profile.evidence(items, profiles.where("rank <= 30"), s)
+    return matching.gaps(users, fx.home(items, 4), profiles, s, near=near, evidence=proofs)

@@ -30,11 +30,7 @@ def plain(value):
     return [plain(x) for x in value] if isinstance(value, (list, tuple)) else value
 
 
-# The evaluations over left-out units plan for long; they run in the correctness check.
-LONG = {"loo_eval", "loo_sweep"}
-
-
-@pytest.mark.parametrize("name", sorted(set(catalogue.oracle_sql()) - LONG))
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_query_equals_sql(spark, duck, name):
     got = catalogue.queries()[name](spark, FOLDER)
     found = duck.execute(catalogue.oracle_sql()[name])
