@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The patterns that decide what counts as a name, a requirement or a duty.
-STRAY = "[￮Ÿ⚫◯◻◼▶▷◆◇★☆ž※「」･]|[\\x00-\\x08\\x0b-\\x1f]|[\ue000-\uf8ff]"
+STRAY = "[￮Ÿ⚫◯◻◼▶▷◆◇★☆ž※「」･╢]|[\uf000-\uf0ff]|[\\x00-\\x08\\x0b-\\x1f]"
 LEAD_LETTER = "^[a-zA-Z][가-힣]"
 CUT_TAIL = "(?:하려|하고자|할수있음|할수있는|하는|되는|으로|에서|에게|및|또는)$"
 CUT_STEM = "^.{2,}(?:하|되)$"
@@ -160,6 +160,18 @@ def mentions(text: Column, term: str) -> Column:
     return text.rlike(term_pattern(term))
 
 
+def is_word(term: str) -> bool:
+    """A term that is one ASCII word, found as a whole word only."""
+    return bool(re.fullmatch(r"[A-Za-z0-9]+", term)) and term != "R"
+
+
+def words_in(text: Column, words: list[str]) -> Column:
+    """Which of the words (see is_word) stand in the text as whole words, by one pass over it."""
+    if not words:
+        return F.expr("cast(array() as array<string>)")
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?<![A-Za-z0-9])({'|'.join(words)})(?![A-Za-z0-9])"), 1))
+
+
 def page_score(text: Column, core: tuple[str, ...], aux: tuple[str, ...]) -> Column:
     """Signals in the text without white space; two core signals make four points at least."""
     plain = F.regexp_replace(text, r"(?U)\s+", "")

@@ -13,9 +13,9 @@ def first_seen(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__k = 1").drop("__k")
 
 
-def merged(sources: DataFrame) -> DataFrame:
-    """One text of each seq: an ocr text overrides, else the longest; the source name breaks ties."""
-    order = Window.partitionBy("seq").orderBy(F.when(F.col("src") == "ocr", 0).otherwise(1), F.desc("len"), "src")
+def merged(sources: DataFrame, *ties: str) -> DataFrame:
+    """One text of each seq: an ocr text overrides, else the longest; the source name, then `ties`, break ties."""
+    order = Window.partitionBy("seq").orderBy(F.when(F.col("src") == "ocr", 0).otherwise(1), F.desc("len"), "src", *ties)
     return sources.withColumn("__k", F.row_number().over(order)).where("__k = 1").drop("__k")
 
 
@@ -34,12 +34,19 @@ def stripped(docs: DataFrame, boiler: DataFrame) -> DataFrame:
     return docs.select("dom", "doc").join(text, ["dom", "doc"], "left").withColumn("clean", F.coalesce("clean", F.lit("")))
 
 
-def classify(docs: DataFrame, rules: tuple[tuple[str, tuple[str, ...]], ...], none: str, body_chars: int = 4000) -> DataFrame:
-    """The job with the highest score: ten for each keyword in the title, one in the body; the first rule of equals; under two none."""
-    head = F.left("text", F.lit(body_chars))
+def classify(docs: DataFrame, rules: tuple[tuple[str, tuple[str, ...]], ...], none: str, body_chars: int | None = 4000) -> DataFrame:
+    """The job with the highest score: ten for each keyword in the title, one in the body; the first rule of equals; under two none.
+
+    The body is read to `body_chars` (None: whole). Single words are looked up among all that one
+    pass over the text finds; other keywords are searched one by one.
+    """
+    body = F.col("text") if body_chars is None else F.left("text", F.lit(body_chars))
+    single = sorted({w for _, words in rules for w in words if X.is_word(w)})
+    docs = docs.withColumns({"in_title": X.words_in(F.col("title"), single), "in_body": X.words_in(body, single)})
 
     def score(words: tuple[str, ...]) -> Column:
-        return sum([10 * X.mentions(F.col("title"), w).cast("int") + X.mentions(head, w).cast("int") for w in words], F.lit(0))
+        there = lambda text, found, w: (F.array_contains(found, F.lit(w)) if w in single else X.mentions(text, w)).cast("int")
+        return sum([10 * there(F.col("title"), "in_title", w) + there(body, "in_body", w) for w in words], F.lit(0))
 
     cases = F.array(*[F.struct(score(words).alias("score"), F.lit(-i).alias("neg"), F.lit(name).alias("job")) for i, (name, words) in enumerate(rules)])
     best = F.array_max(cases)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.operators import profile
+from matchloom.operators import matching, profile
 from matchloom.settings import Settings
 
 
@@ -98,3 +98,23 @@ def cross_hits(ranked: DataFrame, queries: DataFrame, gold: DataFrame) -> DataFr
     )
     full = queries.join(by_query, "user", "left").fillna(0, ["answered", "top1", "top3"])
     return full.groupBy("job").agg(F.count(F.lit(1)).alias("queries"), F.sum("answered").alias("answered"), F.sum("top1").alias("top1"), F.sum("top3").alias("top3"))
+
+
+def user_set(nodes: DataFrame, queries: DataFrame, profiles: DataFrame, gold: DataFrame) -> DataFrame:
+    """By job: sentences, those that were read (have nodes), Top-1 and Top-3 hits of the gold majors.
+
+    Each sentence (user, job) is one query with its nodes (user, node). Sentences that weren't read
+    count among the queries only. Where no profile holds a sentence's nodes, codes rank by themselves.
+    """
+    read = nodes.select("user").distinct()
+    best = matching.ranked(matching.scores(nodes, profiles), profiles).where("rank <= 3").select("user", "code", "rank")
+    codes = profiles.select("code").distinct().withColumn("nth", F.row_number().over(Window.orderBy("code")))  # one row for each category
+    # Ranks that no scored pair holds belong to the first codes that aren't scored for the sentence.
+    first = read.join(F.broadcast(codes.where("nth <= 6").select("code")), F.lit(True)).join(best.select("user", "code"), ["user", "code"], "left_anti")
+    free = read.withColumn("rank", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3)]))).join(best.select("user", "rank"), ["user", "rank"], "left_anti")
+    nth = lambda order: F.row_number().over(Window.partitionBy("user").orderBy(order))
+    filled = free.withColumn("k", nth("rank")).join(first.withColumn("k", nth("code")), ["user", "k"]).select("user", "code", "rank")
+    hit = best.unionByName(filled).withColumn("major", F.substring("code", 1, 2)).join(queries, "user").join(gold.withColumn("good", F.lit(1)), ["job", "major"], "left")
+    by_query = hit.groupBy("user").agg(F.max(F.when((F.col("rank") == 1) & (F.col("good") == 1), 1).otherwise(0)).alias("top1"), F.max(F.when(F.col("good") == 1, 1).otherwise(0)).alias("top3"))
+    full = queries.join(read.withColumn("answered", F.lit(1)), "user", "left").join(by_query, "user", "left").fillna(0, ["answered", "top1", "top3"])
+    return full.groupBy("job").agg(F.count(F.lit(1)).alias("queries"), F.sum("answered").alias("answered"), F.sum("top1").alias("top1"), F.sum("top3").alias("top3"))

@@ -34,7 +34,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from matchloom.plans import matching_queries, serving_queries, text_queries, work_queries  # noqa: F401  they register themselves
+    from matchloom.plans import matching_queries, parsing_queries, serving_queries, text_queries, work_queries  # noqa: F401  they register themselves
 
     return dict(QUERIES)
 

@@ -90,7 +90,7 @@ def _classify_sql():
     for i, (name, words) in enumerate(RULES):
         score = " + ".join(f"10 * {_mention_sql('title', w)} + {_mention_sql('body', w)}" for w in words)
         rows.append(f"SELECT doc_id, {score} AS score, {i} AS pos, '{name}' AS job FROM t")
-    return f"""WITH t AS (SELECT doc_id, string_split(text, chr(10))[1] AS title, left(text, 4000) AS body FROM documents), s AS ({' UNION ALL '.join(rows)})
+    return f"""WITH t AS (SELECT doc_id, string_split(text, chr(10))[1] AS title, text AS body FROM documents), s AS ({' UNION ALL '.join(rows)})
 SELECT doc_id, CASE WHEN score >= 2 THEN job ELSE 'none' END AS job, score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) = 1"""
 
 
@@ -100,7 +100,7 @@ def _titled(spark, d):
 
 @register(_classify_sql())
 def job_classify(spark, d):
-    return corpus.classify(_titled(spark, d), RULES, "none").withColumnRenamed("doc", "doc_id")
+    return corpus.classify(_titled(spark, d), RULES, "none", body_chars=None).withColumnRenamed("doc", "doc_id")
 
 
 @register(f"""WITH t AS (SELECT doc_id, string_split(text, chr(10))[1] AS title, {' + '.join(_mention_sql('text', w) for w in TECHS)} AS n_tech, {_count_sql('text', EXPRESSIONS)} AS n_expr FROM documents)
@@ -145,13 +145,12 @@ def dedupe_first_seen(spark, d):
     return corpus.first_seen(rows, ["source", "head"], ["doc_id"]).select("doc_id", "source", F.md5("head").alias("head"))
 
 
-@register("""SELECT seq, src, doc_id, len FROM (SELECT doc_id // 3 AS seq, ['ocr', 'html', 'api'][doc_id % 3 + 1] AS src, doc_id, n_chars AS len FROM documents WHERE doc_id % 3 > 0 OR lang = 'de')
-QUALIFY row_number() OVER (PARTITION BY seq ORDER BY CASE WHEN src = 'ocr' THEN 0 ELSE 1 END, len DESC, src) = 1""")
+@register("""SELECT seq, src, doc_id, len FROM (SELECT doc_id // 3 AS seq, CASE WHEN lang = 'de' THEN 'ocr' WHEN doc_id % 2 = 0 THEN 'html' ELSE 'api' END AS src, doc_id, n_chars AS len FROM documents)
+QUALIFY row_number() OVER (PARTITION BY seq ORDER BY CASE WHEN src = 'ocr' THEN 0 ELSE 1 END, len DESC, src, doc_id) = 1""")
 def corpus_merge_priority(spark, d):
-    src = F.element_at(F.array(F.lit("ocr"), F.lit("html"), F.lit("api")), (F.col("doc_id") % 3 + 1).cast("int"))
-    # Source ocr has a text of some postings only, as in practice; every document belongs to one source.
-    rows = docs(spark, d).select(F.floor(F.col("doc_id") / 3).alias("seq"), src.alias("src"), "doc_id", F.col("n_chars").alias("len"), "lang").where("src <> 'ocr' or lang = 'de'")
-    return corpus.merged(rows).select("seq", "src", "doc_id", "len")
+    src = F.when(F.col("lang") == "de", "ocr").when(F.col("doc_id") % 2 == 0, "html").otherwise("api")
+    rows = docs(spark, d).select(F.floor(F.col("doc_id") / 3).alias("seq"), src.alias("src"), "doc_id", F.col("n_chars").alias("len"))
+    return corpus.merged(rows, "doc_id").select("seq", "src", "doc_id", "len")
 
 
 TERMS_SQL = "tm AS (SELECT DISTINCT doc_id AS doc, source AS corp, unnest(regexp_extract_all(text, '[A-Z][a-z]{6,}')) AS term FROM documents)"
@@ -279,15 +278,3 @@ def taxonomy_levels(spark, d):
 def taxonomy_export(spark, d):
     pairs = fx.table(spark, d, "nation").join(fx.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("key"), F.col("n_name").alias("value"))
     return taxonomy.inverted(pairs, "key", "value").select("key", F.array_join("values", ",").alias("names"))
-
-
-@register()
-def bracket_repair(spark, d):
-    shape = F.element_at(F.array(F.concat(F.lit("(("), F.col("p_brand"), F.lit(")) "), F.col("p_name")), F.concat("p_name", F.lit(" (size "), "p_size"), F.concat("p_name", F.lit(") ["), "p_type")), (F.col("p_partkey") % 3 + 1).cast("int"))
-    return fx.table(spark, d, "part").select("p_partkey", X.repair_brackets(shape).alias("name"))
-
-
-@register()
-def l1_normalise(spark, d):
-    name = F.concat(F.lit("1) ["), F.col("p_brand"), F.lit("] "), F.col("p_name"), F.lit(" 관련 지식 등"))
-    return fx.table(spark, d, "part").select("p_partkey", X.normal_name(name).alias("name"), X.is_noise(X.normal_name(name)).alias("noise"))
