@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from matchloom.settings import Settings
+from matchloom.sources.files import scratch
 
-#: Node vectors that may be sent to every task; beyond it nodes are joined in blocks of this size.
+#: Node vectors that are sent to every task at once; clusters that one task holds.
 NODE_BLOCK = 4096
 
 
@@ -19,37 +21,69 @@ def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def similarities(sentences: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(sentence, node, sim) of every sentence with every node (unit vectors): the stated node set in blocks.
+def _matrix(column: pa.Array) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
-    The nodes are the query set; each block of at most NODE_BLOCK rows is broadcast.
+
+def _products(sentences: DataFrame, nodes: DataFrame, pick, columns: tuple[str, str]) -> DataFrame:
+    """What `pick` takes of each batch's products (sentences in rows) with each block of NODE_BLOCK nodes.
+
+    The nodes are the stated query set. A block is broadcast, the sentences stay where they are, and
+    only the picked (row, column) pairs leave a task.
     """
+    spark = sentences.sparkSession
     blocks = max(1, -(-nodes.count() // NODE_BLOCK))
-    parts = []
+    kinds = {"sentence": sentences.schema["sentence"], "node": nodes.schema["node"]}
+    schema = T.StructType([*[T.StructField(c, kinds[c].dataType) for c in columns], T.StructField("sim", T.DoubleType())])
+    out = None
     for k in range(blocks):
-        block = nodes if blocks == 1 else nodes.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == k)
-        parts.append(sentences.crossJoin(F.broadcast(block)).select("sentence", "node", F.round(dot("vector", "node_vector"), 6).alias("sim")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+        rows = nodes.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == k).orderBy("node").select("node", "node_vector").toArrow()
+        shared = spark.sparkContext.broadcast((rows["node"].combine_chunks(), _matrix(rows["node_vector"].combine_chunks())))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, matrix = shared.value
+            for batch in batches:
+                if batch.num_rows and len(names):
+                    sim = np.round(_matrix(batch.column(1)) @ matrix.T, 6)
+                    i, j = pick(sim)
+                    of = {"sentence": batch.column(0).take(pa.array(i)), "node": names.take(pa.array(j))}
+                    yield pa.RecordBatch.from_arrays([*[of[c] for c in columns], pa.array(sim[i, j])], names=[*columns, "sim"])
+
+        part = sentences.select("sentence", "vector").mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
     return out
 
 
-def projection(similar: DataFrame, s: Settings) -> DataFrame:
+def nearest_nodes(sentences: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(sentence, node, sim, rank): the k most similar nodes of each sentence (unit vectors); ties by node."""
+    def pick(sim: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+        return np.repeat(np.arange(len(sim)), top.shape[1]), top.ravel()
+
+    found = _products(sentences, nodes, pick, ("sentence", "node"))
+    rank = F.row_number().over(Window.partitionBy("sentence").orderBy(F.desc("sim"), "node"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def projection(sentences: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
     """Per sentence the top nodes at min_similarity or more, if its best reaches min_best."""
-    order = Window.partitionBy("sentence").orderBy(F.desc("sim"), "node")
-    best = F.first("sim").over(order)
-    ranked = similar.withColumn("rank", F.row_number().over(order)).withColumn("best", best).where(F.col("rank") <= s.project_top_k)
+    best = F.max("sim").over(Window.partitionBy("sentence"))
+    ranked = nearest_nodes(sentences, nodes, s.project_top_k).withColumn("best", best)
     return ranked.where((F.col("best") >= s.min_best) & (F.col("sim") >= s.min_similarity)).select("sentence", "node", "rank", "sim")
 
 
-def unmatched(similar: DataFrame, s: Settings) -> DataFrame:
-    return similar.groupBy("sentence").agg(F.max("sim").alias("best")).where(F.col("best") < s.min_best)
+def unmatched(sentences: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
+    return nearest_nodes(sentences, nodes, 1).select("sentence", F.col("sim").alias("best")).where(F.col("best") < s.min_best)
 
 
-def proximity(similar: DataFrame) -> DataFrame:
+def proximity(sentences: DataFrame, nodes: DataFrame) -> DataFrame:
     """The nearest sentence of each node; the first of equals."""
-    best = similar.groupBy("node").agg(F.max(F.struct(F.col("sim"), (-F.col("sentence")).alias("neg"))).alias("b"))
+    def pick(sim: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.argmax(sim, axis=0), np.arange(sim.shape[1])
+
+    ordered = sentences.sortWithinPartitions("sentence")
+    best = _products(ordered, nodes, pick, ("node", "sentence")).groupBy("node").agg(F.max(F.struct(F.col("sim"), (-F.col("sentence")).alias("neg"))).alias("b"))
     return best.select("node", (-F.col("b.neg")).alias("sentence"), F.col("b.sim").alias("sim"))
 
 
@@ -62,49 +96,97 @@ def centroids(vectors: DataFrame, label: str = "label", vector: str = "embedding
     return scaled.groupBy("node").agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["v"]).alias("node_vector"))  # vector length bounds the group
 
 
-def average_linkage(vectors: np.ndarray, limit: float) -> np.ndarray:
-    """Cluster numbers by average cosine distance; merges stop at `limit`; the nearest pair first, ties by order."""
-    n = len(vectors)
-    distance = 1 - vectors @ vectors.T
-    np.fill_diagonal(distance, np.inf)
-    size, alive, member = np.ones(n), np.ones(n, dtype=bool), [[i] for i in range(n)]
-    while alive.sum() > 1:
-        at = int(np.argmin(distance))
-        i, j = sorted(divmod(at, n))
-        if not distance[i, j] < limit:
+def nearest_pairs(size: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nearest other cluster, similarity) of each cluster, by average cosine; the first of equals."""
+    means = total / size[:, None]
+    sim = means @ means.T
+    np.fill_diagonal(sim, -np.inf)
+    at = np.argmax(sim, axis=1)
+    return at, sim[np.arange(len(sim)), at]
+
+
+def merged_here(ids: np.ndarray, size: np.ndarray, total: np.ndarray, limit: float) -> list[tuple[int, int]]:
+    """(gone, kept) merges of all rounds among a few clusters, in order."""
+    out: list[tuple[int, int]] = []
+    while len(ids) > 1:
+        at, sim = nearest_pairs(size, total)
+        i = np.flatnonzero((at[at] == np.arange(len(at))) & (np.arange(len(at)) < at) & (1 - sim < limit))
+        if not len(i):
             break
-        merged = (size[i] * distance[i] + size[j] * distance[j]) / (size[i] + size[j])
-        distance[i], distance[:, i] = merged, merged
-        distance[i, i] = np.inf
-        distance[j], distance[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        alive[j] = False
-        member[i] += member[j]
-    out = np.zeros(n, dtype=np.int64)
-    for i in np.flatnonzero(alive):
-        out[member[i]] = min(member[i])
+        j = at[i]
+        keep, gone = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
+        out += list(zip(ids[gone].tolist(), ids[keep].tolist()))
+        size[keep] += size[gone]
+        total[keep] += total[gone]
+        ids, size, total = (np.delete(x, gone, axis=0) for x in (ids, size, total))
     return out
 
 
-def clusters(vectors: DataFrame, limit: float, most: int = 4000) -> DataFrame:
-    """Average-linkage clusters within each label block, as (vec_id, label, cluster); the cluster is its least vec_id.
+def clusters(vectors: DataFrame, limit: float, block: int = NODE_BLOCK) -> DataFrame:
+    """(vec_id, cluster) of unit vectors (vec_id, embedding): average linkage by cosine distance under `limit`.
 
-    The quadratic step runs per block inside a task; blocks over `most` vectors fail rather than
-    being cut, since the definition needs all pairwise distances of a block.
+    Two clusters that are each other's nearest merge, round after round; since average linkage never
+    brings a third cluster nearer than both its parts were, this gives what merging the nearest pair
+    one at a time gives (ties apart). A cluster is its size and its vectors' sum. Over `block`
+    clusters, a round finds nearest partners block against block and is written to the shared
+    folder; what is left then fits one task. The cluster is named by its least vec_id.
     """
-
-    def block(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) > most:
-            raise ValueError(f"a block of {len(rows)} vectors is over {most}")
-        rows = rows.sort_values("vec_id").reset_index(drop=True)
-        found = average_linkage(np.array(rows["embedding"].tolist(), dtype=np.float64), limit)
-        return pd.DataFrame({"vec_id": rows["vec_id"], "label": rows["label"], "cluster": rows["vec_id"].to_numpy()[found]})
-
-    return vectors.select("vec_id", "label", "embedding").groupBy("label").applyInPandas(block, "vec_id long, label int, cluster long")
+    spark = vectors.sparkSession
+    folder = scratch(spark, "linkage")
+    member = vectors.select("vec_id", F.col("vec_id").alias("cluster"))
+    table = vectors.select(F.col("vec_id").alias("cluster"), F.lit(1.0).alias("size"), F.col("embedding").cast("array<double>").alias("total"))
+    step = 0
+    while (count := table.count()) > block:
+        parts = -(-count // block)
+        own = F.pmod(F.xxhash64("cluster"), F.lit(parts)).cast("int")
+        both = table.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        pairs = both.select(F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cluster", "size", "total")
+
+        def nearest(rows: pa.Table) -> pa.Table:
+            ids, side = rows["cluster"].to_numpy(), rows["own"].to_numpy()
+            means = _matrix(rows["total"].combine_chunks()) / rows["size"].to_numpy()[:, None]
+            alone = rows["lo"][0].as_py() == rows["hi"][0].as_py()
+            groups = [(np.arange(len(ids)), np.arange(len(ids)))] if alone else [(np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max()))]
+            groups += [] if alone else [groups[0][::-1]]
+            out = []
+            for a, b in groups:
+                if len(a) and len(b) and (alone or side.min() != side.max()):
+                    b = b[np.argsort(ids[b])]
+                    sim = means[a] @ means[b].T
+                    sim[ids[a][:, None] == ids[b][None, :]] = -np.inf
+                    at = np.argmax(sim, axis=1)
+                    out.append((ids[a], ids[b][at], sim[np.arange(len(a)), at]))
+            columns = [np.concatenate(c) for c in zip(*out)] if out else [np.array([], dtype=np.int64), np.array([], dtype=np.int64), np.array([])]
+            return pa.table(dict(zip(("cluster", "partner", "sim"), columns)))
+
+        best = pairs.groupBy("lo", "hi").applyInArrow(nearest, "cluster long, partner long, sim double").groupBy("cluster").agg(F.max(F.struct("sim", (-F.col("partner")).alias("neg"))).alias("b"))
+        best = best.select("cluster", (-F.col("b.neg")).alias("partner"), F.col("b.sim").alias("sim"))
+        mutual = best.join(best.select(F.col("cluster").alias("partner"), F.col("partner").alias("cluster")), ["cluster", "partner"]).where((1 - F.col("sim") < limit) & (F.col("cluster") > F.col("partner")))
+        step += 1
+        mutual.select(F.col("cluster").alias("gone"), F.col("partner").alias("kept")).write.parquet(f"{folder}/merges-{step}")
+        merges = spark.read.schema("gone long, kept long").parquet(f"{folder}/merges-{step}")
+        if merges.limit(1).count() == 0:
+            return member
+        renamed = lambda df: df.join(merges, F.col("cluster") == F.col("gone"), "left").withColumn("cluster", F.coalesce("kept", "cluster")).drop("gone", "kept")
+        added = F.when(F.count(F.lit(1)) == 1, F.first("total")).otherwise(F.zip_with(F.min_by("total", "was"), F.max_by("total", "was"), lambda x, y: x + y))
+        table_ = renamed(table.withColumn("was", F.col("cluster"))).groupBy("cluster").agg(F.sum("size").alias("size"), added.alias("total"))
+        table_.write.parquet(f"{folder}/clusters-{step}")
+        renamed(member).write.parquet(f"{folder}/members-{step}")
+        table = spark.read.schema(table_.schema).parquet(f"{folder}/clusters-{step}")
+        member = spark.read.schema(member.schema).parquet(f"{folder}/members-{step}")
+
+    def rest(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("cluster")
+        head = {i: i for i in rows["cluster"].to_pylist()}
+        for gone, kept in reversed(merged_here(rows["cluster"].to_numpy().copy(), rows["size"].to_numpy().copy(), _matrix(rows["total"].combine_chunks()).copy(), limit)):
+            head[gone] = head[kept]
+        return pa.table({"cluster": pa.array(list(head), pa.int64()), "final": pa.array(list(head.values()), pa.int64())})
+
+    last = table.groupBy(F.lit(0).alias("all")).applyInArrow(rest, "cluster long, final long")  # `block` clusters at most
+    return member.join(last, "cluster").select("vec_id", F.col("final").alias("cluster"))
 
 
 def attach_tail(tail: DataFrame, representatives: DataFrame, limit: float = 0.30) -> DataFrame:
     """Terms outside the clustering go to the nearest representative within the limit, else stay alone."""
-    near = similarities(tail, representatives)
-    best = near.groupBy("sentence").agg(F.max(F.struct("sim", (-F.col("node")).alias("neg"))).alias("b"))
-    return best.select("sentence", F.when(1 - F.col("b.sim") <= limit, -F.col("b.neg")).alias("node"), F.col("b.sim").alias("sim"))
+    best = nearest_nodes(tail, representatives, 1)
+    return best.select("sentence", F.when(1 - F.col("sim") <= limit, F.col("node")).alias("node"), "sim")

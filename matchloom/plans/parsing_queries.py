@@ -160,7 +160,7 @@ SELECT job, count(*) AS queries, count(g.sentence) AS answered, CAST(sum(coalesc
 def user_set_eval(spark, d):
     from matchloom.settings import Settings
 
-    hits = vectors.projection(wq._similar(spark, d), Settings(min_similarity=0.20, min_best=0.35))
+    hits = vectors.projection(*wq._vectors(spark, d), Settings(min_similarity=0.20, min_best=0.35))
     asked = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("user"), F.col("label").alias("job"))
     codes, labels = spark.range(5).select(F.col("id").alias("c")), spark.range(10).select(F.col("id").cast("int").alias("node"))
     apart = F.abs(F.col("node") - 2 * F.col("c"))

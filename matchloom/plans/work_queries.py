@@ -223,30 +223,29 @@ sim AS (SELECT vec_id AS sentence, node, round(list_dot_product(CAST(embedding A
 VECTORS = Settings(min_similarity=0.10, min_best=0.15)
 
 
-def _similar(spark, d):
+def _vectors(spark, d):
     table = fx.table(spark, d, "embeddings")
-    return vectors.similarities(table.select(F.col("vec_id").alias("sentence"), F.col("embedding").alias("vector")), vectors.centroids(table))
+    return table.select(F.col("vec_id").alias("sentence"), F.col("embedding").alias("vector")), vectors.centroids(table)
 
 
 @register(f"WITH {VEC_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY sentence ORDER BY sim DESC, node) AS rank, max(sim) OVER (PARTITION BY sentence) AS best FROM sim) SELECT sentence, node, rank, sim FROM r WHERE rank <= 5 AND best >= 0.15 AND sim >= 0.10")
 def node_projection_topk(spark, d):
-    return vectors.projection(_similar(spark, d), VECTORS)
+    return vectors.projection(*_vectors(spark, d), VECTORS)
 
 
 @register(f"WITH {VEC_SQL} SELECT sentence, max(sim) AS best FROM sim GROUP BY sentence HAVING max(sim) < 0.35")
 def projection_unmatched(spark, d):
-    return vectors.unmatched(_similar(spark, d), Settings(min_best=0.35))
+    return vectors.unmatched(*_vectors(spark, d), Settings(min_best=0.35))
 
 
 @register(f"WITH {VEC_SQL} SELECT node, sentence, sim FROM sim QUALIFY row_number() OVER (PARTITION BY node ORDER BY sim DESC, sentence) = 1")
 def node_proximity(spark, d):
-    return vectors.proximity(_similar(spark, d))
+    return vectors.proximity(*_vectors(spark, d))
 
 
 @register(f"WITH {VEC_SQL}, b AS (SELECT sentence, node, sim FROM sim QUALIFY row_number() OVER (PARTITION BY sentence ORDER BY sim DESC, node) = 1) SELECT sentence, CASE WHEN 1 - sim <= 0.65 THEN node END AS node, sim FROM b")
 def cluster_tail_attach(spark, d):
-    table = fx.table(spark, d, "embeddings")
-    return vectors.attach_tail(table.select(F.col("vec_id").alias("sentence"), F.col("embedding").alias("vector")), vectors.centroids(table), 0.65)
+    return vectors.attach_tail(*_vectors(spark, d), 0.65)
 
 
 @register()

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import re
+import shutil
 import struct
+import tempfile
+import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -36,24 +41,77 @@ def missing_keys(wanted: DataFrame, cached: DataFrame, keys: list[str]) -> DataF
     return wanted.join(cached.select(*keys), keys, "left_anti")
 
 
+def scratch(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder below spark.checkpoint.dir; in local mode without that setting, one that goes with the process."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        top = tempfile.mkdtemp(prefix="matchloom-")
+        atexit.register(shutil.rmtree, top, ignore_errors=True)
+    return f"{top.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def rows_of(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet table, or None where there is none yet."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return spark.read.parquet(path) if files.exists(target) else None
+
+
 def publish(new: DataFrame, target: str, share: float = 0.8) -> bool:
-    """Overwrite a table unless the new one is empty or under `share` of the old one's rows."""
+    """Replace a table unless the new one is empty or under `share` of the old one's rows.
+
+    The new table is written beside the old one, counted there, and takes its place by renaming, so
+    it may be computed from the old one and a failure on the way leaves that as it was.
+    """
     spark = new.sparkSession
-    count = new.count()
-    try:
-        before = spark.read.parquet(target).count()
-    except Exception as absent:
-        if "PATH_NOT_FOUND" not in str(absent):
-            raise
-        before = 0
-    if not count or count < share * before:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    aside, away = f"{target}.new-{uuid.uuid4().hex}", f"{target}.old-{uuid.uuid4().hex}"
+    new.write.parquet(aside)
+    count, old = spark.read.schema(new.schema).parquet(aside).count(), rows_of(spark, target)
+    files = path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not count or (old is not None and count < share * old.count()):
+        files.delete(path(aside), True)
         return False
-    new.write.mode("overwrite").parquet(target)
+    if old is not None:
+        files.rename(path(target), path(away))
+    files.rename(path(aside), path(target))
+    files.delete(path(away), True)
     return True
 
 
+def save_store(tables: dict[str, DataFrame], path: str) -> None:
+    """Several named tables as Parquet below one folder (units, matrix, evidence, clusters, descriptions, tracker)."""
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_store(spark: SparkSession, path: str, *names: str) -> dict[str, DataFrame]:
+    """The named tables of a store; those it lacks are left out."""
+    found = {name: rows_of(spark, f"{path}/{name}") for name in names}
+    return {name: rows for name, rows in found.items() if rows is not None}
+
+
+def export_json(rows: DataFrame, path: str) -> None:
+    """One JSON object a line, UTF-8, replacing what is there."""
+    rows.write.mode("overwrite").json(path)
+
+
+def valid_vectors(names: DataFrame, store: DataFrame | None) -> DataFrame | None:
+    """A vector store (name, embedding) if it holds exactly the wanted names, else None: it has to be computed anew."""
+    if store is None:
+        return None
+    gone = names.select("name").exceptAll(store.select("name")).limit(1).count()
+    extra = store.select("name").exceptAll(names.select("name")).limit(1).count()
+    return None if gone or extra else store
+
+
 def hwp_text(stream: bytes) -> str:
-    """Text of one decompressed body section: records with a 32-bit head of tag, level and size; tag 67 holds UTF-16."""
+    """Text of one decompressed body section: records with a 32-bit head of tag, level and size; tag 67 holds UTF-16.
+
+    Characters beyond the first plane are two units; a lone half becomes the replacement character.
+    """
     out, at = [], 0
     while at + 4 <= len(stream):
         head = struct.unpack_from("<I", stream, at)[0]
@@ -64,21 +122,27 @@ def hwp_text(stream: bytes) -> str:
             size = struct.unpack_from("<I", stream, at)[0]
             at += 4
         if tag == 67:
-            units, line, i = stream[at : at + size], [], 0
+            units, line, i = stream[at : at + size], bytearray(), 0
             while i + 1 < len(units):
                 code = units[i] | units[i + 1] << 8
                 if code in (10, 13):
-                    line.append("\n")
+                    line += b"\n\0"
                 elif code >= 32:
-                    line.append(chr(code))
+                    line += units[i : i + 2]
                 elif code not in (0, 24, 25, 26, 27, 28, 29, 30, 31):
                     i += 14  # an inline control takes eight units in all
                 i += 2
-            out.append("".join(line))
+            out.append(line.decode("utf-16-le", "replace"))
         at += size
     return "\n".join(out)
 
 
+def section_text(xml: str) -> str:
+    """Text of a section's XML: the text runs of each paragraph, a line for each paragraph."""
+    runs = lambda part: unescape("".join(re.findall(r"<(?:\w+:)?t(?:\s[^>]*)?>(.*?)</(?:\w+:)?t>", part, re.S)))
+    return "\n".join(re.sub(r"<[^>]+>", "", runs(part)) for part in re.split(r"</(?:\w+:)?p>", xml)[:-1])
+
+
 def attachment_text(name: str, data: bytes, depth: int = 2) -> str:
     """Text of a zipped document or an archive of them; what can't be read is empty."""
     try:
@@ -87,7 +151,7 @@ def attachment_text(name: str, data: bytes, depth: int = 2) -> str:
             with zipfile.ZipFile(io.BytesIO(data)) as box:
                 for inner in sorted(box.namelist()):
                     if re.search(r"Contents/section\d+\.xml$", inner):
-                        parts.append(re.sub(r"<[^>]+>", " ", box.read(inner).decode("utf-8", "replace")))
+                        parts.append(section_text(box.read(inner).decode("utf-8", "replace")))
                     elif depth and re.search(r"(?i)\.(zip|hwpx)$", inner):
                         parts.append(attachment_text(inner, box.read(inner), depth - 1))
             return re.sub(r"[ \t]+", " ", "\n".join(p for p in parts if p)).strip()
@@ -98,8 +162,12 @@ def attachment_text(name: str, data: bytes, depth: int = 2) -> str:
     return ""
 
 
-def attachments(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text, chars, usable) of the attachments below a path."""
+# Fixed value: names of attachments that describe a job.
+DESCRIBES = r"(?i)직무기술서|직무\s?설명|직무\s?소개|직무설명자료|job\s?description"
+
+
+def attachments(spark: SparkSession, path: str, describes: str = DESCRIBES) -> DataFrame:
+    """(path, text, chars, usable) of the attachments below a path; usable ones are named for a job and have 300 characters."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -107,4 +175,4 @@ def attachments(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame({"path": pdf["path"], "text": text})
 
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return read.mapInPandas(run, "path string, text string").withColumn("chars", F.length("text")).withColumn("usable", F.length("text") >= 300)
+    return read.mapInPandas(run, "path string, text string").withColumn("chars", F.length("text")).withColumn("usable", F.regexp_extract("path", r"([^/]*)$", 1).rlike(describes) & (F.length("text") >= 300))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from matchloom.operators import assist
+from matchloom.operators import assist, persona
+from matchloom.sources.files import rows_of
 
 
 def daily_windows(events: DataFrame) -> DataFrame:
@@ -16,34 +19,88 @@ def daily_windows(events: DataFrame) -> DataFrame:
     return by_day.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.to_date("w.start").alias("day"), "event_type", "n", "total")
 
 
-def accumulate(target: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+def accumulate(target: str, keys: list[str], order: list[str] | None = None) -> Callable[[DataFrame, int], None]:
     """foreachBatch: append rows whose keys are new to the target, stamped with their batch (first seen).
 
-    A batch that is run again after a failure replaces its own part, so nothing is doubled.
+    Of a batch's rows with one key the first by `order` (by all other columns without it) counts. A
+    batch that is run again after a failure replaces its own part, so nothing is doubled.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.dropDuplicates(keys).withColumn("first_seen", F.lit(number))
-        try:
-            old = spark.read.parquet(target).where(F.col("first_seen") != number)
-            rows = rows.join(old.select(*keys), keys, "left_anti")
-        except Exception as missing:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
-                raise
+        by = order or [c for c in batch.columns if c not in keys]
+        rest = [c for c in batch.columns if c not in keys]
+        least = F.min_by(F.struct(*rest), F.struct(*by)) if rest else F.lit(None)
+        picked = batch.groupBy(*keys).agg(least.alias("r"))
+        rows = picked.select(*keys, *[F.col("r")[c].alias(c) for c in rest]).select(*batch.columns, F.lit(number).alias("first_seen"))
+        old = rows_of(batch.sparkSession, target)
+        if old is not None:
+            rows = rows.join(old.where(F.col("first_seen_batch") != number).select(*keys), keys, "left_anti")
         rows.write.mode("overwrite").parquet(f"{target}/first_seen_batch={number}")
 
     return write
 
 
+def drift_history(target: str, key: str) -> Callable[[DataFrame, int], None]:
+    """foreachBatch: each batch is a new state; what it adds and drops against the one before is appended to the history."""
+    from matchloom.operators import corpus
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        now = batch.select(key).distinct()
+        before = rows_of(spark, f"{target}/state/{number - 1}")
+        if before is None:
+            before = now.where("false")
+        corpus.drift(before, now, key).write.mode("overwrite").parquet(f"{target}/history/batch={number}")
+        now.write.mode("overwrite").parquet(f"{target}/state/{number}")
+
+    return write
+
+
+def interviews(answers: DataFrame, items: list[tuple[str, list[str]]], action: str = persona.ACTION, result: str = persona.RESULT) -> DataFrame:
+    """(session, seq, item, score, next) for a stream of answers (session, seq, answer): a session walks through `items` (label, keywords).
+
+    An answer is scored together with those before it to the same item: a keyword, an action, a
+    result. Under two points the item is asked once more (followup), else the session goes on
+    (main), until no item is left (done); answers after that count for nothing. Answers of one
+    session are taken by seq within a micro-batch. The state is the item's number, whether it is
+    asked again, and the text so far. On a batch table it is one micro-batch.
+    """
+    import re
+
+    acts, results = re.compile(action), re.compile(result)
+
+    def score(text: str, words: list[str]) -> int:
+        return sum((any(w.lower() in text.lower() for w in words), bool(acts.search(text)), bool(results.search(text))))
+
+    def walk(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at, again, text = state.get if state.exists else (0, False, "")
+        out = []
+        for seq, answer in sorted((s, a) for pdf in parts for s, a in zip(pdf["seq"].tolist(), pdf["answer"].fillna("").tolist())):
+            if at >= len(items):
+                break
+            label, words = items[at]
+            text = f"{text}\n{answer}" if again else answer
+            points = score(text, words)
+            if points < 2 and not again:
+                again, then = True, "followup"
+            else:
+                at, again, then = at + 1, False, "main" if at + 1 < len(items) else "done"
+            out.append((key[0], seq, label, points, then))
+        state.update((at, again, text))
+        yield pd.DataFrame(out, columns=["session", "seq", "item", "score", "next"])
+
+    kind = answers.schema["session"].dataType.simpleString()
+    return answers.groupBy("session").applyInPandasWithState(walk, f"session {kind}, seq long, item string, score int, next string", "at int, again boolean, text string", "append", GroupStateTimeout.NoTimeout)
+
+
 def latest_per_day(path: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch: one point per key and day, the last by time; two tables take turns, so a reader never sees half."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark: SparkSession = batch.sparkSession
-        rows = batch
-        if number > 0:
-            rows = rows.unionByName(spark.read.parquet(f"{path}/{(number + 1) % 2}"))
+        rows, old = batch, rows_of(spark, f"{path}/{(number + 1) % 2}")
+        if old is not None:
+            rows = rows.unionByName(old)
         assist.daily_snapshots(rows).write.mode("overwrite").parquet(f"{path}/{number % 2}")
 
     return write
