@@ -12,18 +12,21 @@ within every other's window. The join therefore has two levels.
    has D + 1 others, for one of those then agrees. A document without such a start, and every small one, is
    also put in the regions of its first floor((1 - limit) * n) + 1 shingles by hash, of which two
    sets within the limit share one; if both sets of a pair lack ranges, they meet there.
-2. Pivots (inside the regions). The document with the smallest identifier is the pivot of each region;
-   the regions of one pivot merge to its cell, so documents near the borders of cells are replicated
-   to several. A cell of BLOCK documents or fewer is compared directly. A larger one is dealt in
-   blocks, each with the pivot, which gives all distances from the pivot and the links inside the
-   blocks. By the triangle inequality, documents whose distances from the pivot differ by more than
-   the limit can't be linked, so the cell splits into windows of twice that width, which overlap by
-   half; windows whose documents already are one component are done, and the others are cells
-   with pivots of their own. What is still large after DEPTH levels is compared block by block.
-
-Sets are compared by 48 bits of their shingles' hashes. Distances are computed in the tasks that hold a block or two; only links that join two components
-of it leave the task, so a group of copies never becomes its pairs. Tables between steps go to the
-shared folder.
+2. Pivots (inside the regions). The regions that have the same smallest identifier merge to a cell,
+   so documents near the borders of cells are replicated to several. A cell of BLOCK documents or
+   fewer is compared directly. In a larger one PIVOTS documents, the least of each hash bucket, become
+   pivots. Its documents are dealt in blocks, each with all pivots, which gives every distance to a
+   pivot and the links inside the blocks. Each document goes to the Voronoi region of its nearest
+   pivot, and by the triangle inequality to that of each other pivot that is at most twice the limit
+   farther away: a document within the limit of one of that region's can't be elsewhere. Regions whose
+   documents already are one component are done; the others are cells with pivots of their own, and
+   so on. Where the regions of a cell hold over DENSE times its documents, pivots don't part it (its
+   documents are about equally far from all of them); it, and what is still large after DEPTH levels,
+   is compared block by block.
+
+Sets are compared by 64 bits of their shingles' hashes. Distances are computed in the tasks that hold
+a block or two; only links that join two components of it leave the task, so a group of copies never
+becomes its pairs. Tables between steps go to the shared folder.
 """
 
 from __future__ import annotations
@@ -33,20 +36,19 @@ from functools import lru_cache
 from math import ceil, exp, sqrt
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchloom.llm.common import shared_dir, slices, stored, table, without
+from matchloom.llm.common import drop_path, shared_dir, slices, stored, table, unused, without
 from matchloom.llm.components import components
 from matchloom.llm.hashing import bitmap, hashed_words, marked, mix
 
 #: Ratio of an interval's ends; sizes that are too small for ranges; documents of a region that says little.
 GROWTH, SMALL, HEAVY = 1.5, 40, 16
-#: Documents that are compared in one task at once; levels of windows.
-BLOCK, DEPTH = 256, 3
+#: Documents that are compared in one task at once; pivots of a cell, levels of them, copies that they may make.
+BLOCK, PIVOTS, DEPTH, DENSE = 128, 8, 4, 3
 #: Bits of the maps of used and of heavy regions (8 MB each) and of documents in them (1 MB).
 REGION_BITS, DOC_BITS = 26, 23
 RESULTS = ("n_shingles", "component_id")
@@ -142,7 +144,7 @@ def _regions(docs: DataFrame, size: int, percent: int, heavy: np.ndarray | None
     shared = docs.sparkSession.sparkContext.broadcast((heavy, used))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 1):
             rows, found, held = [], [], 0
 
             def block() -> pa.RecordBatch:
@@ -166,30 +168,24 @@ def _regions(docs: DataFrame, size: int, percent: int, heavy: np.ndarray | None
 
 
 def _sets(docs: DataFrame, size: int, used: np.ndarray) -> DataFrame:
-    """(doc, grams) of the documents whose bit is set, from (doc, text, h); grams are 48 bits of each hash, sorted."""
+    """(doc, grams) of the documents whose bit is set, from (doc, text, h); grams are the hashes, sorted, as bytes."""
     shared = docs.sparkSession.sparkContext.broadcast(used)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in slices(batches):
+        for whole in slices(batches, 1):
             own = whole.filter(pa.array(marked(shared.value, whole.column(2).to_numpy())))
-            sets = [s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for _, s in shingle_sets(own.column(1).to_pylist(), size)]
+            sets = [s.tobytes() for _, s in shingle_sets(own.column(1).to_pylist(), size)]
             yield pa.RecordBatch.from_arrays([own.column(0), pa.array(sets, pa.binary())], names=["doc", "grams"])
 
     return docs.mapInArrow(run, T.StructType([T.StructField("doc", docs.schema["doc"].dataType), T.StructField("grams", T.BinaryType())]))
 
 
-def unpacked(grams: bytes) -> np.ndarray:
-    wide = np.zeros((len(grams) // 6, 8), dtype=np.uint8)
-    wide[:, 2:] = np.frombuffer(grams, dtype=np.uint8).reshape(-1, 6)
-    return wide.view(">u8").ravel().astype(np.int64)
-
-
 def _sizes(docs: DataFrame, text_col: str, size: int) -> DataFrame:
     """Input rows and n_shingles."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, at):
             n = [len(s) for _, s in shingle_sets(batch.column(at).to_pylist(), size)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names=[*batch.schema.names, "n_shingles"])
 
@@ -223,19 +219,21 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _compare(rows: DataFrame, percent: int) -> DataFrame:
-    """Links and pivot distances (region, a, b, d, linked) of blocks (region, part, doc, pivot, grams).
+    """Links and Voronoi members (region, a, b, linked) of blocks (region, part, doc, pivot, grams).
 
-    Links are those of a spanning forest of the block; distances from the pivot are complete.
+    Links are those of a spanning forest of the block. Where linked is false, b belongs to the region
+    of pivot a: its nearest, or one that is at most twice the limit farther away.
     """
     kind = rows.schema["doc"].dataType
-    schema = T.StructType([T.StructField("region", T.LongType()), T.StructField("a", kind), T.StructField("b", kind), T.StructField("d", T.DoubleType()), T.StructField("linked", T.BooleanType())])
+    schema = T.StructType([T.StructField("region", T.LongType()), T.StructField("a", kind), T.StructField("b", kind), T.StructField("linked", T.BooleanType())])
+    window = 2 * (100 - percent) / 100 + 1e-9
 
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = [unpacked(g) for g in pdf["grams"]]
+    def block(rows: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(g, dtype=np.uint64) for g in rows["grams"].to_pylist()]
         both = overlaps(sets)
         n = np.array([len(x) for x in sets], dtype=np.float64)
         union = np.maximum(n[:, None] + n[None, :] - both, 1)
-        docs, out = pdf["doc"].to_numpy(), []
+        out: list[tuple[int, int, bool]] = []
         head = list(range(len(sets)))
 
         def top(i: int) -> int:
@@ -248,66 +246,93 @@ def _compare(rows: DataFrame, percent: int) -> DataFrame:
             x, y = top(int(i)), top(int(j))
             if x != y:
                 head[max(x, y)] = min(x, y)
-                out.append((docs[i], docs[j], 1 - both[i, j] / union[i, j], True))
-        for p in np.flatnonzero(pdf["pivot"].to_numpy()):
-            out += [(docs[p], docs[i], 1 - both[p, i] / union[p, i], 100 * both[p, i] >= percent * union[p, i]) for i in range(len(sets))]
-        frame = pd.DataFrame(out, columns=["a", "b", "d", "linked"])
-        frame.insert(0, "region", pdf["region"].iloc[0])
-        return frame
+                out.append((int(i), int(j), True))
+        pivots = np.flatnonzero(rows["pivot"].to_numpy())
+        if len(pivots):
+            apart = (1 - both / union)[:, pivots]
+            near = apart <= apart.min(axis=1, keepdims=True) + window
+            out += [(int(pivots[p]), int(i), False) for i, p in zip(*np.nonzero(near))]
+        docs, (a, b, linked) = rows["doc"].combine_chunks(), (zip(*out) if out else ((), (), ()))
+        region = pa.array(np.full(len(out), rows["region"][0].as_py(), dtype=np.int64))
+        return pa.table({"region": region, "a": docs.take(pa.array(a, pa.int64())), "b": docs.take(pa.array(b, pa.int64())), "linked": pa.array(linked, pa.bool_())})
+
+    return rows.groupBy("region", "part").applyInArrow(block, schema)
+
 
-    return rows.groupBy("region", "part").applyInPandas(block, schema)
+def _dealt(sized: DataFrame) -> DataFrame:
+    """Cells (region, doc, size) over BLOCK with the number of their blocks and each document's own."""
+    parts = F.ceil(2 * F.col("size") / BLOCK).cast("int")
+    return sized.where(F.col("size") > BLOCK).withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("doc", "region"), F.col("parts")).cast("int"))
 
 
-def jaccard_links(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
+def _by_blocks(large: DataFrame) -> DataFrame:
+    """All pairs of blocks of dealt cells (region, part, doc, pivot)."""
+    pairs = large.select("region", "doc", "own", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    part = F.least("own", "other") * F.col("parts").cast("long") + F.greatest("own", "other")
+    return pairs.select("region", part.alias("part"), "doc", F.lit(False).alias("pivot"))
+
+
+def jaccard_links(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = 5, percent: int = 80, folder: str | None = None) -> DataFrame:
     """Links (a, b) between documents whose shingle sets have a Jaccard similarity of percent/100 or more.
 
     The links span: each class of linked documents is connected by them, though pairs that two
     links to one pivot imply are not listed. Documents with null identifier or without words have
-    no links. Rows with one identifier are one document, linked by its nearest row.
+    no links; an empty table has none. Rows with one identifier are one document, linked by its
+    nearest row. `folder` is where tables between the steps go.
     """
     spark = docs.sparkSession
-    folder = shared_dir(spark, "jaccard-join")
+    folder = folder or shared_dir(spark, "jaccard-join")
     texts = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"))
 
     counted = stored(_regions(texts, size, percent).groupBy("region").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1"), f"{folder}/counted")
     used = bitmap(counted, F.col("region"), REGION_BITS)
     heavy = bitmap(counted.where(F.col("docs") > HEAVY), F.col("region"), REGION_BITS)
-    rows = _regions(texts, size, percent, heavy, used)
-    regions = stored(rows, f"{folder}/regions")
+    regions = stored(_regions(texts, size, percent, heavy, used), f"{folder}/regions")
 
-    first = regions.groupBy("region").agg(F.min("doc").alias("pivot"), F.max("doc").alias("most")).where("pivot < most").drop("most")
-    member = regions.join(first, "region").select(F.xxhash64("pivot").alias("region"), "doc", "pivot")
-    cells = stored(member.unionByName(member.select("region", F.col("pivot").alias("doc"), "pivot")).distinct(), f"{folder}/cells-0")
+    first = regions.groupBy("region").agg(F.min("doc").alias("head"), F.max("doc").alias("most")).where("head < most").drop("most")
+    member = regions.join(first, "region").select(F.xxhash64("head").alias("region"), "doc", "head")
+    cells = stored(member.select("region", "doc").unionByName(member.select("region", F.col("head").alias("doc"))).distinct(), f"{folder}/cells-0")
     found: list[str] = []
-    limit = (100 - percent) / 100 + 1e-9
+    dense: list[str] = []
     for level in range(DEPTH + 1):
         sized = cells.join(cells.groupBy("region").agg(F.count(F.lit(1)).alias("size")), "region")
-        small = sized.where(F.col("size") <= BLOCK).select("region", F.lit(0).alias("part"), "doc", F.lit(False).alias("pivot"))
-        large = sized.where(F.col("size") > BLOCK).withColumn("parts", F.ceil(2 * F.col("size") / BLOCK).cast("int"))
-        large = large.withColumn("own", F.pmod(F.xxhash64("doc", "region"), F.col("parts")).cast("int"))
+        large = _dealt(sized)
+        rows = sized.where(F.col("size") <= BLOCK).select("region", F.lit(0).cast("long").alias("part"), "doc", F.lit(False).alias("pivot"))
         if level < DEPTH:
-            each = large.where("doc <> pivot").select("region", F.col("own").alias("part"), "doc", F.lit(False).alias("pivot"))
-            heads = large.where("doc = pivot").select("region", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "doc", F.lit(True).alias("pivot"))
-            rows = small.unionByName(each).unionByName(heads)
+            chosen = large.groupBy("region", "parts", F.pmod(F.xxhash64("doc"), F.lit(PIVOTS)).alias("bucket")).agg(F.min("doc").alias("doc"))
+            heads = chosen.select("region", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"), "doc", F.lit(True).alias("pivot"))
+            each = large.join(chosen.select("region", "doc"), ["region", "doc"], "left_anti").select("region", F.col("own").cast("long").alias("part"), "doc", F.lit(False).alias("pivot"))
+            rows = rows.unionByName(each).unionByName(heads)
         else:
-            others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-            pairs = large.select("region", "doc", "own", "parts", others.alias("other"))
-            part = F.least("own", "other") * F.col("parts") + F.greatest("own", "other")
-            rows = small.unionByName(pairs.select("region", part.alias("part"), "doc", F.lit(False).alias("pivot")))
-        sets = _sets(texts.withColumn("h", F.xxhash64("doc")), size, bitmap(cells, F.xxhash64("doc"), DOC_BITS))
+            rows = rows.unionByName(_by_blocks(large))
+            if dense:
+                again = spark.read.schema("region long, doc " + cells.schema["doc"].dataType.simpleString()).parquet(*dense)
+                rows = rows.unionByName(_by_blocks(_dealt(again.join(again.groupBy("region").agg(F.count(F.lit(1)).alias("size")), "region"))))
+        sets = _sets(texts.withColumn("h", F.xxhash64("doc")), size, bitmap(rows, F.xxhash64("doc"), DOC_BITS))
         path = f"{folder}/compared-{level}"
         compared = stored(_compare(rows.join(sets, "doc"), percent), path)
         found.append(path)
-        if level == DEPTH or large.limit(1).count() == 0:
+        if level == DEPTH:
             break
+        members = compared.where("not linked").select("region", F.col("a").alias("pivot"), F.col("b").alias("doc")).distinct()
+        if members.limit(1).count() == 0:
+            if not dense:
+                break
+            cells = cells.where("false")
+            continue
+        # Cells that pivots don't part: their regions would hold DENSE times their documents.
+        spread = members.groupBy("region").agg(F.count(F.lit(1)).alias("copies")).join(large.groupBy("region").agg(F.count(F.lit(1)).alias("size")), "region")
+        stuck = spread.where(F.col("copies") > DENSE * F.col("size")).select("region")
         links = spark.read.schema(compared.schema).parquet(*found).where("linked")
         classes = components(links.select("a", "b")).withColumnRenamed("node", "doc")
-        measured = large.where("doc <> pivot").join(compared.select("region", F.col("a").alias("pivot"), F.col("b").alias("doc"), "d"), ["region", "pivot", "doc"]).groupBy("region", "doc").agg(F.min("d").alias("d"))
-        band = F.floor(F.col("d") / limit).cast("int")
-        windows = measured.select("doc", "region", F.explode(F.array(band - 1, band)).alias("window")).where("window >= 0")
-        windows = windows.select(F.xxhash64("region", "window").alias("region"), "doc").join(classes, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        open_ = windows.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("doc", F.xxhash64("doc", "region")).alias("pivot")).where("lo < hi")
-        cells = stored(windows.select("region", "doc").join(open_.select("region", "pivot"), "region"), f"{folder}/cells-{level + 1}")
+        windows = members.select(F.col("region").alias("cell"), F.xxhash64("region", "pivot").alias("region"), "doc").join(classes, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        open_ = windows.groupBy("cell", "region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("cell", "region")
+        opened = stored(windows.join(open_, ["cell", "region"]).select("cell", "region", "doc"), f"{folder}/open-{level}")
+        if stuck.limit(1).count():
+            dense.append(f"{folder}/dense-{level}")
+            stored(opened.join(stuck.withColumnRenamed("region", "cell"), "cell").select(F.col("cell").alias("region"), "doc").distinct(), dense[-1])
+            opened = opened.join(stuck.withColumnRenamed("region", "cell"), "cell", "left_anti")
+        cells = stored(opened.select("region", "doc"), f"{folder}/cells-{level + 1}")
     return spark.read.schema(compared.schema).parquet(*found).where("linked and a <> b").select("a", "b")
 
 
@@ -317,15 +342,20 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     Words are runs of [^\\x20\\x09-\\x0D] with A-Z lower-cased; a set is the distinct shingles of
     `size` words, or the whole sequence if there are fewer. Null, empty and blank texts have empty
     sets and link with nothing. Rows with a null identifier get a null component. Input columns
-    named like a result give way to it.
+    named like a result give way to it; an empty table gives an empty table; texts of any length are
+    read whole; rows that repeat each get their class.
     """
+    spark = docs.sparkSession
     rows = without(docs, *RESULTS)
-    classes = components(jaccard_links(rows, text_col, id_col, size, percent)).select(F.col("node").alias("__node"), F.col("component").alias("__component"))
+    node, component = unused(rows, "node", "component")
+    folder = shared_dir(spark, "jaccard-join")
+    classes = components(jaccard_links(rows, text_col, id_col, size, percent, folder)).select(F.col("node").alias(node), F.col("component").alias(component))
+    drop_path(spark, folder)  # the components have been written
     ident = F.col(f"`{id_col}`")
     return (
         _sizes(rows, text_col, size)
-        .join(classes, ident == F.col("__node"), "left")
-        .withColumn("component_id", F.coalesce("__component", ident))
+        .join(classes, ident == F.col(node), "left")
+        .withColumn("component_id", F.coalesce(component, ident))
         .select(*[F.col(f"`{c}`") for c in rows.columns], *RESULTS)
     )
 
@@ -333,3 +363,19 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs, size=3, percent=90).select("doc_id", *RESULTS)
+
+
+# Pairs that share a shingle, and the least identifier that their links reach.
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 2), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n AS a ON a.doc_id = x JOIN n AS b ON b.doc_id = y WHERE 100 * k >= 90 * (a.n + b.n - k)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.c = e.x)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.c) AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY d.doc_id
+"""

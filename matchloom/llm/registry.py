@@ -22,6 +22,7 @@ def queries():
 
 def oracle_sql():
     return {
+        "op1_jaccard_join": op1_jaccard_join.SQL,
         "op2_licenses": op2_licenses.SQL,
         "op4_line_dedup": op4_line_dedup.SQL,
         "op7_substring_dedup": op7_substring_dedup.SQL,
