@@ -11,8 +11,9 @@ the sample's own texts, and their beginnings of PIECES characters, have with the
 with under LEAST of them takes the floor of the next smaller one that has enough.
 
 Document frequencies are counted over all labelled training rows. The centroids are fitted on a
-bounded sample of them: PER_LANG rows of each language, those with the smallest hash of doc_id.
-Prediction is one mapInArrow over whole texts with the model (WIDTH numbers per centroid) broadcast.
+bounded sample of them: PER_LANG rows of each language, those with the smallest hash of doc_id. Rows of
+each language are counted first, so that hashes over a threshold (which SPARE times as many rows are
+expected to pass) never reach a shuffle, however large the input is. Prediction is one mapInArrow over whole texts with the model (WIDTH numbers per centroid) broadcast.
 """
 
 from __future__ import annotations
@@ -29,15 +30,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchloom.llm.common import table, without
+from matchloom.llm.common import drop_path, shared_dir, slices, stored, table, without
 
-WIDTH, CENTROIDS, PER_LANG, ROUNDS = 4096, 4, 300, 12
+WIDTH, CENTROIDS, PER_LANG, SPARE, ROUNDS = 4096, 4, 300, 4, 12
 #: Cosine under which a document is like no learned language, whatever its size; where nothing was fitted, the floor.
 FLOOR = 0.04
 QUANTILE, SLACK, LEAST = 0.01, 0.5, 20
 PIECES = tuple(8 << i for i in range(10))
-#: Characters that are turned into vectors at once, in one task.
-CHUNK = 1 << 20
+#: Characters that are turned into vectors at once, in one task (a longer text is taken alone), and rows.
+CHUNK, ROWS = 1 << 18, 128
 RESULTS = ("lang_pred", "score", "rejected")
 
 
@@ -52,7 +53,7 @@ def counts_of(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.nda
     begin = 0
     while begin < len(texts):
         end, size = begin, 0
-        while end < len(texts) and (end == begin or size + len(texts[end] or "") < CHUNK) and end - begin < 512:
+        while end < len(texts) and (end == begin or size + len(texts[end] or "") < CHUNK) and end - begin < ROWS:
             size += len(texts[end] or "")
             end += 1
         parts = [np.frombuffer(f" {t or ''} ".lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for t in texts[begin:end]]
@@ -126,14 +127,14 @@ def floors(like: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_lang: int = PER_LANG, centroids: int = CENTROIDS) -> dict:
     """Learn from rows with a language: {"langs": name of each centroid, "centres", "idf", "floors": of each centroid by octave}.
 
-    Rows with null language or text, or without a letter, teach nothing. No rows give a model
-    without languages, which rejects everything.
+    Rows with null language or text, or without a letter, teach nothing; repeated rows teach again. No
+    rows give a model without languages, which rejects everything.
     """
     rows = labelled.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.xxhash64(F.col(f"`{id_col}`")).alias("h")).where("text is not null and lang is not null")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, docs = np.zeros(WIDTH, dtype=np.int64), 0
-        for batch in batches:
+        for batch in slices(batches, 0):
             for _, grid, has in counts_of(batch.column(0).to_pylist()):
                 seen += (grid > 0).sum(axis=0)
                 docs += int(has.sum())
@@ -142,38 +143,52 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     by_slot = {r["slot"]: r["n"] for r in rows.select("text").mapInArrow(frequencies, "n long, slot int").groupBy("slot").agg(F.sum("n").alias("n")).collect()}  # WIDTH + 1 rows
     total = by_slot.get(-1, 0)
     idf = np.array([np.log((1 + total) / (1 + by_slot.get(i, 0))) + 1 for i in range(WIDTH)], dtype=np.float32)
+    # Hashes of a language's sample lie under its threshold; a row for each language, as in the model itself.
+    counted = labelled.groupBy(F.col(f"`{lang_col}`").cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).where("lang is not null").collect()
+    limits = [x for r in counted for x in (F.lit(r["lang"]), F.lit(min(1.0, SPARE * per_lang / r["n"]) * 2.0**64 - 2.0**63))]
+    chosen = rows.where(F.col("h").cast("double") <= F.create_map(*limits)[F.col("lang")]) if limits else rows.where("false")
     order = Window.partitionBy("lang").orderBy("h", "text")
-    sample = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_lang).select("text", "lang", "h")
+    spark, folder = labelled.sparkSession, shared_dir(labelled.sparkSession, "language-sample")
+    sample = stored(chosen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_lang).select("text", "lang", "h"), folder)
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 0):
             for begin, grid, has in counts_of(batch.column(0).to_pylist()):
                 part = batch.slice(begin, len(grid)).filter(pa.array(has))
-                yield packed(part.column(1), part.column(2), [True] * part.num_rows, grid[has])
-            for n in PIECES:
-                part = batch.filter(pc.greater(pc.utf8_length(batch.column(0)), n))
-                for begin, grid, has in counts_of([t[:n] for t in part.column(0).to_pylist()]):
-                    some = part.slice(begin, len(grid)).filter(pa.array(has))
-                    yield packed(some.column(1), some.column(2), [False] * some.num_rows, grid[has])
-
-    def packed(lang: pa.Array, h: pa.Array, whole: list[bool], grid: np.ndarray) -> pa.RecordBatch:
-        counts = [zlib.compress(g.tobytes(), 1) for g in np.minimum(grid, 65535).astype(np.uint16)]
-        return pa.RecordBatch.from_arrays([lang, h, pa.array(whole, pa.bool_()), pa.array(counts, pa.binary())], names=["lang", "h", "whole", "counts"])
-
-    by_lang: dict[str, tuple[list, list]] = {}
-    for r in sample.mapInArrow(sketched, "lang string, h long, whole boolean, counts binary").collect():  # per_lang rows of each language and their pieces, packed
-        by_lang.setdefault(r["lang"], ([], []))[not r["whole"]].append((r["h"], zlib.decompress(r["counts"])))
-    langs, centres, least = [], [], []
-    for lang in sorted(by_lang):
-        grids = [np.stack([np.frombuffer(c, dtype=np.uint16) for _, c in sorted(some)]).astype(np.int64) if some else np.zeros((0, WIDTH), dtype=np.int64) for some in by_lang[lang]]
-        if not len(grids[0]):
-            continue
-        found = spherical_kmeans(vectors(grids[0], idf), centroids)
-        own = np.concatenate([likeness(g, idf, found).max(axis=1) for g in grids])
-        langs += [lang] * len(found)
-        centres.append(found)
-        least += [floors(own, np.concatenate([octave(g) for g in grids]))] * len(found)
-    return {"langs": langs, "centres": np.concatenate(centres) if centres else np.zeros((0, WIDTH), dtype=np.float32), "idf": idf, "floors": np.array(least)}
+                counts = [zlib.compress(g.tobytes(), 1) for g in np.minimum(grid[has], 65535).astype(np.uint16)]
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(counts, pa.binary())], names=["lang", "h", "counts"])
+
+    by_lang: dict[str, list] = {}
+    for r in sample.mapInArrow(sketched, "lang string, h long, counts binary").collect():  # per_lang rows of each language, packed
+        by_lang.setdefault(r["lang"], []).append((r["h"], r["counts"]))
+    langs = sorted(by_lang)
+    centres = {lang: spherical_kmeans(vectors(np.stack([np.frombuffer(zlib.decompress(c), dtype=np.uint16) for _, c in sorted(by_lang.pop(lang))]), idf), centroids) for lang in langs}
+    shared = spark.sparkContext.broadcast((idf, centres))
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, nearest = shared.value
+        for batch in slices(batches, 0):
+            for n in (None, *PIECES):
+                texts, tongues = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                own = [(t[:n], k) for t, k in zip(texts, tongues) if k in nearest and (n is None or len(t) > n)]
+                for begin, grid, has in counts_of([t for t, _ in own]):
+                    kinds = np.array([k for _, k in own[begin : begin + len(grid)]], dtype=object)
+                    for kind in set(kinds.tolist()):
+                        some = grid[has & (kinds == kind)]
+                        if len(some):
+                            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(some)), pa.array(octave(some), pa.int32()), pa.array(likeness(some, known, nearest[kind]).max(axis=1), pa.float32())], names=["lang", "size", "like"])
+
+    cosines: dict[str, list] = {lang: [] for lang in langs}
+    for r in sample.mapInArrow(measured, "lang string, size int, like float").collect():  # a number for each sampled text and piece
+        cosines[r["lang"]].append((r["size"], r["like"]))
+    drop_path(spark, folder)
+    least = [floors(np.array([x for _, x in cosines[lang]]), np.array([n for n, _ in cosines[lang]])) for lang in langs]
+    return {
+        "langs": [lang for lang in langs for _ in centres[lang]],
+        "centres": np.concatenate([centres[lang] for lang in langs]) if langs else np.zeros((0, WIDTH), dtype=np.float32),
+        "idf": idf,
+        "floors": np.array([low for lang, low in zip(langs, least) for _ in centres[lang]]),
+    }
 
 
 def predict(docs: DataFrame, model: dict, text_col: str = "text", floor: float | None = None) -> DataFrame:
@@ -182,7 +197,8 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text", floor: float |
     Texts that are null or have no letter get und, score 0 and are rejected; so does every text if
     the model has no language. Other texts get the nearest centroid's language and are rejected if
     the score is under that language's fitted floor for the text's size, or under `floor` if that is
-    given. Ties go to the language that sorts first.
+    given. Ties go to the language that sorts first. An empty table gives an empty table; texts of any
+    length are read whole; input columns named like a result give way.
     """
     rows = without(docs, *RESULTS)
     at = rows.columns.index(text_col)
@@ -191,7 +207,7 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text", floor: float |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for batch in batches:
+        for batch in slices(batches, at):
             langs, scores, gone = [], [], []
             for _, grid, has in counts_of(batch.column(at).to_pylist()):
                 if not known["langs"]:
