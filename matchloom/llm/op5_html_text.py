@@ -5,14 +5,15 @@ context (enclosing block tag and class) are content, a tag by the log odds of st
 makes it negative. One linear scan finds the contiguous region with the largest sum; its blocks are
 the text. The weights are counted over all labelled pages, which are those whose authors marked the
 article with <article> or <main>; rules that need no data (PRIOR and the boilerplate names) smooth
-them, so a page of an unknown kind works too. Menus, forms, notices and the like inside the region
-are left out; inside a marked article they and its tags hardly count, so that an advert between two
-paragraphs doesn't cut it. A name that only contains a boilerplate word (post-header, related-work) is
-ambiguous: all words under it have its context, and the learned weight of that decides. An article
-starts anew, whatever the names around it, unless it lies in a menu, an aside, comments or the like.
+them, so a page of an unknown kind works too. The label itself is no input of the scan: only contexts
+and tags are. Menus, forms, notices and the like inside the region are left out; words of those that
+were learned to stand inside articles count nothing, so that an advert between two paragraphs doesn't
+cut it. A name that only contains a boilerplate word (post-header, related-work) is ambiguous: all
+words under it have its context, and the learned weight of that decides. An article starts anew,
+whatever the names around it, unless it lies in a menu, an aside, comments or the like.
 
 Two mapInArrow passes over whole pages (counting and extracting); between them a sum per context,
-combined before its shuffle, whose size the tag names and CLASSES bound.
+combined before its shuffle, whose size TAGS and CLASSES bound.
 """
 
 from __future__ import annotations
@@ -28,11 +29,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchloom.llm.common import table, without
+from matchloom.llm.common import slices, table, without
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>", re.S | re.I)
 CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
+#: Tags with weights of their own; all others share one.
+TAGS = INLINE | frozenset(
+    "address area article aside audio base blockquote body br button canvas caption col colgroup datalist dd details dialog div dl dt embed fieldset figcaption figure footer form "
+    "h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe input legend li link main map menu meta nav noscript object ol optgroup option output p param picture pre progress script "
+    "search section select source style summary svg table tbody td template textarea tfoot th thead title tr track ul video center".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that a new one of the same group ends.
 ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -119,16 +126,17 @@ def events(html: str) -> Iterator[tuple[str, str, str, bool, bool]]:
             c, b, inside, others = state()
             names = [n for x in CLASS.findall(m[4]) for n in "".join(x).split()]
             own = is_boiler(tag, names, inside)
-            key = f"{tag}#{crc32(names[0].encode()) % CLASSES}" if names else tag
+            known = tag if tag in TAGS else "other"
+            key = f"{known}#{crc32(names[0].encode()) % CLASSES}" if names else known
             if tag in MARKED:
                 b = others
             elif c.startswith("?"):
                 key = c
             elif unsure := ambiguous(tag, names):
-                key = f"?{tag}#{crc32(unsure.encode()) % CLASSES}"
+                key = f"?{known}#{crc32(unsure.encode()) % CLASSES}"
             stack.append((tag, key, b or own, inside or tag in MARKED, others or holds_others(tag, names)))
         context, boiler, marked, _ = state()
-        yield "tag", tag, "", boiler, marked
+        yield "tag", tag if tag in TAGS else "other", "", boiler, marked
     if at < len(html):
         yield "word", context, html[at:], boiler, marked
 
@@ -151,7 +159,7 @@ def learn(pages: DataFrame, html_col: str = "html") -> dict:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[str, str, bool], int] = {}
-        for batch in batches:
+        for batch in slices(batches, 0):
             for html in batch.column(0):
                 for name, n in census(html.as_py() or "").items():
                     total[name] = total.get(name, 0) + n
@@ -161,7 +169,7 @@ def learn(pages: DataFrame, html_col: str = "html") -> dict:
 
     counted = pages.select(F.col(f"`{html_col}`").cast("string").alias("html")).mapInArrow(run, "kind string, key string, inside boolean, n long")
     found = counted.groupBy("kind", "key").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("yes"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("no"))
-    rows = found.where(F.length("key") < 24).collect()  # known contexts only: tag names times CLASSES at most
+    rows = found.collect()  # TAGS times CLASSES times three at most
     weights: dict = {"word": {}, "tag": {}}
     inside = sum(r["yes"] for r in rows if r["kind"] == "tag") or 1
     outside = sum(r["no"] for r in rows if r["kind"] == "tag") or 1
@@ -181,22 +189,22 @@ def main_text(html: str, weights: dict) -> tuple[str, float]:
     best, best_sum, run_sum, run_start = (0, 0), 0.0, 0.0, 0
     seen = list(events(html))
     words, tags = weights["word"], weights["tag"]
-    for i, (kind, key, text, boiler, marked) in enumerate(seen):
+    for i, (kind, key, text, boiler, _) in enumerate(seen):
         if kind == "word":
             name = "!" + key if boiler else key
             weight = words.get(name)
             if weight is None:
                 weight = words.get(name.split("#")[0].replace("?", ""), PRIOR["boiler" if boiler else "word"])
-            run_sum += len(text.split()) * (weight if not boiler else 0.0 if marked else min(weight, -0.5))
+            run_sum += len(text.split()) * (min(weight, 0.0) if boiler else weight)
         elif kind == "tag":
-            run_sum += max(tags.get(key, PRIOR["tag"]), -0.01 if marked else -3.0)
+            run_sum += tags.get(key, PRIOR["tag"])
         if run_sum <= 0:
             run_sum, run_start = 0.0, i + 1
         elif run_sum > best_sum:
             best, best_sum = (run_start, i + 1), run_sum
     blocks, parts = [], []
-    for kind, key, text, boiler, marked in [*seen[best[0] : best[1]], ("break", "", "", False, False)]:
-        if kind == "word" and not boiler and (marked or not key.startswith("?") or words.get(key, 0.0) >= 0):
+    for kind, key, text, boiler, _ in [*seen[best[0] : best[1]], ("break", "", "", False, False)]:
+        if kind == "word" and not boiler and (not key.startswith("?") or words.get(key, 0.0) >= 0):
             parts.append(unescape(text))
         elif kind == "break" and parts:
             blocks.append(" ".join("".join(parts).split()))
@@ -209,7 +217,8 @@ def extract(pages: DataFrame, html_col: str = "html", out: str = "text", weights
 
     Null and empty html give an empty text and score 0, as do pages where no word outweighs its
     tags. All input rows and columns stay (those named like a result give way). Without `weights`
-    they are learned from `pages`.
+    they are learned from `pages`. Repeated rows each get their text; an empty table gives an empty
+    table; pages of any length are read whole.
     """
     rows = without(pages, out, f"{out}_score")
     at = rows.columns.index(html_col)
@@ -217,7 +226,7 @@ def extract(pages: DataFrame, html_col: str = "html", out: str = "text", weights
     schema = T.StructType([*rows.schema.fields, T.StructField(out, T.StringType()), T.StructField(f"{out}_score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, at):
             found = [main_text(html.as_py() or "", shared.value) for html in batch.column(at)]
             done = [pa.array([t for t, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *done], names=[*batch.schema.names, out, f"{out}_score"])
