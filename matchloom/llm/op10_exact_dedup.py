@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import table, without
+from matchloom.llm.common import table, unused, without
 
 #: A content with more than this part (1/HOT_SHARE) of the rows is dealt over several pieces.
 HOT_SHARE = 1024
@@ -43,44 +43,45 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     row and has a null keep_id. An empty table gives an empty table.
     """
     rows = without(docs, *RESULTS)
+    all_least_, all_size_, copies_, first_, hash_, head_, least_, norm_, piece_, pieces_, sha_, size_ = unused(rows, "all_least", "all_size", "copies", "first", "hash", "head", "least", "norm", "piece", "pieces", "sha", "size")
     text, ident = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
     hashed = F.xxhash64(normalised(text))
     total = rows.count()
     hot = (
-        rows.select(hashed.alias("__hash"))
-        .groupBy("__hash")
-        .agg(F.count(F.lit(1)).alias("__copies"))
-        .where(F.col("__copies") * HOT_SHARE > F.lit(max(total, HOT_SHARE)))
-        .select("__hash", F.ceil(F.col("__copies") * HOT_SHARE / F.lit(max(total, 1))).alias("__pieces"))
+        rows.select(hashed.alias(hash_))
+        .groupBy(hash_)
+        .agg(F.count(F.lit(1)).alias(copies_))
+        .where(F.col(copies_) * HOT_SHARE > F.lit(max(total, HOT_SHARE)))
+        .select(hash_, F.ceil(F.col(copies_) * HOT_SHARE / F.lit(max(total, 1))).alias(pieces_))
     )
     keyed = (
-        rows.withColumn("__hash", hashed)
-        .withColumn("__head", F.left(normalised(text), F.lit(HEAD)))
-        .join(F.broadcast(hot), "__hash", "left")  # fewer than HOT_SHARE rows
-        .withColumn("__piece", F.coalesce(F.pmod(F.xxhash64(ident), F.col("__pieces")) + 1, F.lit(0)))
-        .drop("__pieces")
+        rows.withColumn(hash_, hashed)
+        .withColumn(head_, F.left(normalised(text), F.lit(HEAD)))
+        .join(F.broadcast(hot), hash_, "left")  # fewer than HOT_SHARE rows
+        .withColumn(piece_, F.coalesce(F.pmod(F.xxhash64(ident), F.col(pieces_)) + 1, F.lit(0)))
+        .drop(pieces_)
     )
-    run = Window.partitionBy("__head", "__hash", "__piece", "__norm")
+    run = Window.partitionBy(head_, hash_, piece_, norm_)
     dealt = (
-        keyed.repartitionByRange("__head", "__hash", "__piece")
-        .withColumn("__norm", normalised(text))
-        .withColumn("__first", F.row_number().over(run.orderBy(ident.asc_nulls_last())))
-        .withColumn("__least", F.min(ident).over(run))
-        .withColumn("__size", F.count(F.lit(1)).over(run))
-        .withColumn("text_sha256", F.sha2("__norm", 256))
-        .drop("__norm", "__head", "__hash")
+        keyed.repartitionByRange(head_, hash_, piece_)
+        .withColumn(norm_, normalised(text))
+        .withColumn(first_, F.row_number().over(run.orderBy(ident.asc_nulls_last())))
+        .withColumn(least_, F.min(ident).over(run))
+        .withColumn(size_, F.count(F.lit(1)).over(run))
+        .withColumn("text_sha256", F.sha2(norm_, 256))
+        .drop(norm_, head_, hash_)
     )
     merged = (
-        dealt.where(F.col("__piece") > 0)
-        .groupBy(F.col("text_sha256").alias("__sha"))
-        .agg(F.min(ident).alias("__all_least"), F.count(F.lit(1)).alias("__all_size"))
+        dealt.where(F.col(piece_) > 0)
+        .groupBy(F.col("text_sha256").alias(sha_))
+        .agg(F.min(ident).alias(all_least_), F.count(F.lit(1)).alias(all_size_))
     )
-    is_hot = F.col("__piece") > 0
+    is_hot = F.col(piece_) > 0
     return (
-        dealt.join(F.broadcast(merged), is_hot & (F.col("text_sha256") == F.col("__sha")), "left")  # fewer than HOT_SHARE rows
-        .withColumn("keep_id", F.when(is_hot, F.col("__all_least")).otherwise(F.col("__least")))
-        .withColumn("group_size", F.when(is_hot, F.col("__all_size")).otherwise(F.col("__size")))
-        .withColumn("kept", (F.col("__first") == 1) & ident.eqNullSafe(F.col("keep_id")))
+        dealt.join(F.broadcast(merged), is_hot & (F.col("text_sha256") == F.col(sha_)), "left")  # fewer than HOT_SHARE rows
+        .withColumn("keep_id", F.when(is_hot, F.col(all_least_)).otherwise(F.col(least_)))
+        .withColumn("group_size", F.when(is_hot, F.col(all_size_)).otherwise(F.col(size_)))
+        .withColumn("kept", (F.col(first_) == 1) & ident.eqNullSafe(F.col("keep_id")))
         .select(*[F.col(f"`{c}`") for c in rows.columns], *RESULTS)
     )
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchloom.llm.common import table, without
+from matchloom.llm.common import slices, table, unused, without
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -101,28 +101,31 @@ def secrets_of(text: str, allow: re.Pattern) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def find_secrets(docs: DataFrame, text_col: str = "text", out: str = "spans", allow: tuple[str, ...] = ALLOW) -> DataFrame:
+def find_secrets(docs: DataFrame, text_col: str = "text", out: str = "spans", allow: tuple[str, ...] = ALLOW, keep: list[str] | None = None) -> DataFrame:
     """Add spans array<struct<kind, start, stop>> (code points, stop exclusive) of each whole text.
 
     Base kinds are assign, access and hex; entropy_* come from the sliding windows. Null and empty
-    texts have no spans. All input rows and columns stay (one named like `out` gives way).
+    texts have no spans. All input rows and columns stay (one named like `out` gives way), or with
+    `keep` only the columns named there. Repeated rows each have theirs; an empty table gives an
+    empty table; texts of any length are read whole.
     """
     rows = without(docs, out)
-    at = rows.columns.index(text_col)
+    stay = [c for c in rows.columns if keep is None or c in keep]
+    at, rows = len(stay), rows.select(*[F.col(f"`{c}`") for c in stay], F.col(f"`{text_col}`").cast("string").alias(*unused(rows, "input")))
     pattern = "|".join(f"(?:{a})" if not a.startswith("(?i)") else f"(?i:{a[4:]})" for a in allow) or r"(?!)"
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         allowed = re.compile(pattern, re.S)
-        for batch in batches:
+        for batch in slices(batches, at):
             spans = [[{"kind": k, "start": a, "stop": b} for k, a, b in secrets_of(t.as_py() or "", allowed)] for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind)], names=[*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(spans, kind)], names=[*stay, out])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, SPAN)]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:at], T.StructField(out, SPAN)]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))

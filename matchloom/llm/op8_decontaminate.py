@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import table, without
+from matchloom.llm.common import slices, table, unused, without
 
 WINDOW = 13
 #: Bytes of benchmark text in one block (broadcast at once), and words in one shard's index.
@@ -187,7 +187,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = 1 + size // BLOCK_BYTES  # each is collected and broadcast by itself
-    marked = rows.withColumns({"__spans": F.expr("cast(array() as array<int>)"), "__items": F.expr("cast(array() as array<string>)"), "__words": F.lit(0).cast("long")})
+    own_spans, own_items, own_words = unused(rows, "spans", "items", "words")
+    marked = rows.withColumns({own_spans: F.expr("cast(array() as array<int>)"), own_items: F.expr("cast(array() as array<string>)"), own_words: F.lit(0).cast("long")})
     at, schema = rows.columns.index(text_col), marked.schema
     for number in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == number)
@@ -195,7 +196,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             number = block.value.number.get
-            for batch in batches:
+            for batch in slices(batches, at):
                 numbers = []
                 for text in batch.column(at):
                     words = words_of(text.as_py())
@@ -230,13 +231,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *done], names=batch.schema.names)
 
         marked = marked.mapInArrow(run, schema)
-    pairs = F.expr("transform(sequence(0, int(size(__spans) / 2) - 1), i -> named_struct('start', __spans[2 * i], 'stop', __spans[2 * i + 1]))")
+    flat = F.col(own_spans)
+    halves = F.sequence(F.lit(0), (F.size(flat) / 2).cast("int") - 1)
+    pairs = F.transform(halves, lambda i: F.struct(F.get(flat, 2 * i).alias("start"), F.get(flat, 2 * i + 1).alias("stop")))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
     return (
-        marked.withColumn("spans", F.when(F.size("__spans") > 0, pairs).otherwise(F.expr("cast(array() as array<struct<start:int,stop:int>>)")))
-        .withColumn("n_words", F.col("__words"))
+        marked.withColumn("spans", F.when(F.size(flat) > 0, pairs).otherwise(F.expr("cast(array() as array<struct<start:int,stop:int>>)")))
+        .withColumn("n_words", F.col(own_words))
         .withColumn("n_hit", hit)
-        .withColumn("items", F.col("__items"))
+        .withColumn("items", F.col(own_items))
         .withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
         .select(*[F.col(f"`{c}`") for c in rows.columns], *RESULTS)
     )
