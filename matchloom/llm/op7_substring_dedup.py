@@ -14,7 +14,8 @@ A bitmap of fixed size with the index's hashes travels to the probes, and one wi
 the extension, so that most rows never reach a shuffle; a wrongly set bit costs a row, not a result.
 Counts are combined before their shuffles and extended windows meet their counts in a join that
 Spark splits if skewed, so a passage that stands in a third of all documents is spread. Only
-documents with a repeat are shuffled as texts. Windows are compared by 64-bit hashes.
+documents with a repeat are shuffled as texts. Windows count as equal if both of two independent 64-bit
+hashes of their words are; among the 10**13 windows of 100 TB the chance of one false match is 10**-12.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchloom.llm.common import shared_dir, slices, stored, table, without
-from matchloom.llm.hashing import bitmap, hashed_words, marked, rolled
+from matchloom.llm.common import shared_dir, slices, stored, table, unused, without
+from matchloom.llm.hashing import SECOND, bitmap, hashed_words, marked, rolled
 
 SPAN = 35
 #: Bits of the maps of blocks, anchors, repeated windows and documents.
@@ -50,7 +51,7 @@ def _emit(docs: DataFrame, make: Callable, fields: list[T.StructField], *columns
     kinds = {"long": pa.int64(), "int": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 1):
             keys = batch.column(0).to_numpy()
             for arrays in make(batch.column(1).to_pylist(), keys):
                 if len(arrays[0]):
@@ -86,7 +87,8 @@ def repeated_windows(docs: DataFrame, folder: str, span: int = SPAN) -> DataFram
     anchored = sc.broadcast(bitmap(anchors, F.col("hash"), ANCHOR_BITS))
 
     def windows(texts, keys, chosen=None):
-        for begin, row, at, left, words in _places(texts, block):
+        again = hashed_words(texts, False, SECOND)
+        for (begin, row, at, left, words), (_, others, _) in zip(_places(texts, block), again):
             grams, wide = as_long(rolled(words, block)), as_long(rolled(words, span))
             n = len(wide)
             whole = np.flatnonzero(left[:n] >= span)
@@ -94,14 +96,15 @@ def repeated_windows(docs: DataFrame, folder: str, span: int = SPAN) -> DataFram
             hit = whole[marked(anchored.value, grams[own])]
             if chosen is not None:
                 hit = hit[marked(chosen, wide[hit])]
-            yield wide[hit], keys[begin + row[hit]], at[hit].astype(np.int32)
+            yield wide[hit], as_long(rolled(others, span, SECOND))[hit], keys[begin + row[hit]], at[hit].astype(np.int32)
 
-    counted = _emit(docs, lambda texts, keys: ((hashes,) for hashes, _, _ in windows(texts, keys)), hash_field, "hash").groupBy("hash").agg(F.count(F.lit(1)).alias("places"))
-    several = stored(counted.where("places > 1").select("hash"), f"{folder}/several")
+    both = [*hash_field, T.StructField("second", T.LongType())]
+    counted = _emit(docs, lambda texts, keys: (found[:2] for found in windows(texts, keys)), both, "hash", "second").groupBy("hash", "second").agg(F.count(F.lit(1)).alias("places"))
+    several = stored(counted.where("places > 1").select("hash", "second"), f"{folder}/several")
     repeated = sc.broadcast(bitmap(several, F.col("hash"), WINDOW_BITS))
-    fields = [*hash_field, T.StructField("key", T.LongType()), T.StructField("at", T.IntegerType())]
-    extended = _emit(docs, lambda texts, keys: windows(texts, keys, repeated.value), fields, "hash", "key", "at")
-    return extended.join(several.hint("merge"), "hash").select("key", "at")
+    fields = [*both, T.StructField("key", T.LongType()), T.StructField("at", T.IntegerType())]
+    extended = _emit(docs, lambda texts, keys: windows(texts, keys, repeated.value), fields, "hash", "second", "key", "at")
+    return extended.join(several.hint("merge"), ["hash", "second"]).select("key", "at")
 
 
 def kept_words(text: str | None, starts: list[int] | None, span: int) -> tuple[int, int, str]:
@@ -123,15 +126,17 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     its columns (those named like a result give way to it) and n_words, n_removed long, kept_text
     (the other words, joined by one space).
 
-    Defined cases: null, empty and short texts keep their words. Repeated rows are places of their
+    Defined cases: null, empty and short texts keep their words; an empty table gives an empty table;
+    rows with a null identifier count like any other; texts of any length are read whole. Repeated rows are places of their
     own, so rows of `span` words or more with equal texts lose all words, whatever their identifiers.
     """
     spark = docs.sparkSession
     folder = shared_dir(spark, "substring-dedup")
     rows = without(docs, *RESULTS)
-    keyed = rows.withColumn("__key", F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")))
-    found = repeated_windows(keyed.select(F.col("__key").alias("key"), F.col(f"`{text_col}`").alias("text")), folder, span)
-    hits = stored(found.groupBy("key").agg(F.collect_set("at").alias("__starts")), f"{folder}/hits")  # a document's own windows
+    own_key, own_starts, own_hit = unused(rows, "key", "starts", "hit")
+    keyed = rows.withColumn(own_key, F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")))
+    found = repeated_windows(keyed.select(F.col(own_key).alias("key"), F.col(f"`{text_col}`").alias("text")), folder, span)
+    hits = stored(found.groupBy("key").agg(F.collect_set("at").alias(own_starts)), f"{folder}/hits")  # a document's own windows
     touched = spark.sparkContext.broadcast(bitmap(hits, F.col("key"), DOC_BITS))
     at, last = keyed.columns.index(text_col), len(keyed.columns) - 1
 
@@ -146,19 +151,19 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         return pa.RecordBatch.from_arrays([*batch.columns[:last], *results], names=[*batch.schema.names[:last], *RESULTS])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, at):
             own = chosen(batch, False)
             yield finished(own, [None] * own.num_rows)
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, at):
             yield chosen(batch, True)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, at):
             yield finished(batch, batch.column(last + 1).to_pylist())
 
-    joined = keyed.mapInArrow(suspects, keyed.schema).join(hits.withColumnRenamed("key", "__hit"), F.col("__key") == F.col("__hit"), "left").drop("__hit")
+    joined = keyed.mapInArrow(suspects, keyed.schema).join(hits.withColumnRenamed("key", own_hit), F.col(own_key) == F.col(own_hit), "left").drop(own_hit)
     return keyed.mapInArrow(whole, kept).unionByName(joined.mapInArrow(cut, kept))
 
 
