@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from matchloom.llm.common import slices, table, unused, without
 
 #: Entries that each half of a memo may hold.
-MEMO = 1 << 18
+MEMO = 1 << 17
 NEVER = 1 << 60
 # Fixed value: the pattern whose pieces never go on over a plain space between two characters that
 # aren't white space. The one before ends there and the next begins with it.
@@ -270,7 +270,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path, pattern)
-        for batch in slices(batches, len(stay), rows=8192, size=8 << 20):
+        for batch in slices(batches, len(stay), rows=4096, size=4 << 20):
             done = [words.encode(batch.column(len(stay)))]
             if decoded:
                 done.append(tokens_of(path).decode(done[0]))
