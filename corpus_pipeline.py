@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.llm import op1_jaccard_join, op6_language, op8_decontaminate, op9_byte_bpe, op10_exact_dedup
-from matchloom.llm.common import shared_dir, stored, table
+from matchloom.llm.common import drop_path, shared_dir, stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +39,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    tokens = op9_byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, pattern)
-    found = op9_byte_bpe.decode(tokens, path)
+    found = op9_byte_bpe.encode(docs, path, pattern, decoded="decoded", keep=["doc_id", "lang", "source", "text"])
     same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     return found.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
@@ -58,9 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each keeps is stored in the shared folder in between."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; what each keeps is stored in the shared folder until the next has it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     folder = shared_dir(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"{folder}/{name}")
+        if before:
+            drop_path(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
