@@ -211,6 +211,19 @@ def html_text(html: Column) -> Column:
     return F.btrim(F.regexp_replace(F.regexp_replace(t, "[ \\t\u00a0]+", " "), r"\n\s*\n+|\n{2,}", "\n"), F.lit(" \n"))
 
 
+def script_strings(html: Column, script: str = HANGUL, least: int = 40) -> Column:
+    """Quoted strings of `least` characters or more in a page's scripts that hold a letter of the script, each once, in order."""
+    scripts = F.array_join(F.regexp_extract_all(html, F.lit(r"(?is)<script\b[^>]*>(.*?)</script\s*>"), 1), "\n")
+    found = F.regexp_extract_all(scripts, F.lit(rf'"((?:[^"\\\n]|\\.){{{least},}})"'), 1)
+    return F.array_distinct(F.filter(found, lambda s: s.rlike(script)))
+
+
+def page_text(html: Column, script: str = HANGUL, enough: int = 500) -> Column:
+    """The text of a page; if it is short, with the strings of its scripts behind it."""
+    plain = html_text(html)
+    return F.when(F.length(plain) >= enough, plain).otherwise(F.btrim(F.concat_ws("\n", plain, F.array_join(script_strings(html, script), "\n")), F.lit(" \n")))
+
+
 def code_of_uri(uri: Column) -> Column:
     return F.regexp_extract(uri, r"_(\d{2,8})\s*$", 1)
 

@@ -65,6 +65,12 @@ def briefing(ranked: DataFrame) -> DataFrame:
     )
 
 
+def urgent(ranked: DataFrame) -> DataFrame:
+    """Place of each posting that ends today or tomorrow and has a gap: fewest days, then the largest gap."""
+    due = ranked.where(F.col("days_left").between(0, 1) & (F.col("rate") < 1))
+    return due.withColumn("place", F.row_number().over(Window.partitionBy("owner").orderBy("days_left", "rate", "posting")))
+
+
 def nudge(ranked: DataFrame, pattern: str = "D-%d %s %.4f") -> DataFrame:
     line = F.format_string(pattern, F.col("days_left").cast("int"), F.col("posting").cast("string"), F.col("score"))
     return ranked.where("rank = 1").select("owner", line.alias("line"))
@@ -87,13 +93,20 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
-def live(postings: DataFrame, as_of: str, within: int | None = None, query: str = "") -> DataFrame:
-    """Postings that are open at as_of (no deadline passes), end within the days, and hold all terms of the query."""
+def live(postings: DataFrame, as_of: str, within: int | None = None, query: str = "", job: str | None = None, major: str | None = None) -> DataFrame:
+    """Postings that are open at as_of (no deadline passes), end within the days, and hold all terms of the query.
+
+    With `job` only those of that job family, with `major` only those whose majors (an array) hold its first two digits.
+    """
     day = F.lit(as_of).cast("date")
     found = postings.where(F.col("deadline").isNull() | (F.col("deadline") >= day))
     found = found.where(F.coalesce(F.col("deadline") <= F.date_add(day, 365), F.lit(True)))
     if within is not None:
         found = found.where(F.col("deadline").isNull() | (F.col("deadline") <= F.date_add(day, within)))
+    if job is not None:
+        found = found.where(F.col("job") == job)
+    if major is not None:
+        found = found.where(F.array_contains("majors", major[:2]))
     if query:
         found = found.where(X.all_terms(F.col("title"), F.lit(query)))
     return found

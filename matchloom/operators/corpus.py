@@ -77,6 +77,12 @@ def candidates(terms: DataFrame) -> DataFrame:
     return ranked.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.countDistinct("corp").alias("corps"), F.sort_array(F.collect_list(F.when(F.col("k") <= 3, F.col("doc")))).alias("examples"))
 
 
+def renamed(terms: DataFrame, alias: DataFrame) -> DataFrame:
+    """Terms under their canonical names, from alias (low, name) by lower-case form; others keep theirs."""
+    known = alias.select("low", "name").dropDuplicates(["low"])
+    return terms.join(known, F.lower("term") == F.col("low"), "left").withColumn("term", F.coalesce("name", "term")).drop("low", "name")
+
+
 def attrition(found: DataFrame, known: DataFrame, blocked: tuple[str, ...], min_df: int, min_corps: int) -> DataFrame:
     """Each candidate's first failed rule: rare, narrow, known, blocked; or kept."""
     marked = found.join(known.select(F.col("term"), F.lit(1).alias("known")).distinct(), "term", "left")

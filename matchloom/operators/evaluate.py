@@ -88,6 +88,12 @@ def leave_one_out_summary(places: DataFrame, units: DataFrame) -> DataFrame:
     )
 
 
+def enough_nodes(users: DataFrame, least: int = 3) -> DataFrame:
+    """The nodes (user, node) of users that have `least` or more: fewer are no query."""
+    size = users.groupBy("user").agg(F.countDistinct("node").alias("n")).where(F.col("n") >= least)
+    return users.join(size.select("user"), "user", "left_semi")
+
+
 def cross_hits(ranked: DataFrame, queries: DataFrame, gold: DataFrame) -> DataFrame:
     """By query group: queries, answered (a positive top score), Top-1 and Top-3 hits of the gold majors."""
     hit = ranked.withColumn("major", F.substring("code", 1, 2)).join(gold.withColumn("good", F.lit(1)), ["job", "major"], "left")

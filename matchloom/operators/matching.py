@@ -89,6 +89,13 @@ def have_lack(users: DataFrame, targets: DataFrame, profiles: DataFrame, lack_li
     return have.unionByName(lack).select("user", "code", "side", "place", "node", "full_df")
 
 
+def compare(users: DataFrame, targets: DataFrame, profiles: DataFrame, evidence: DataFrame, descriptions: DataFrame, limit: int = 2) -> DataFrame:
+    """(user, code, side, place, node, full_df, quotes, description): what each user has and lacks of a target, as far as it can be quoted."""
+    told = have_lack(users, targets, profiles, evidence=evidence)
+    lines = quotes(told.select("code", "node"), evidence, limit).groupBy("code", "node").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda q: q["text"]).alias("quotes"))  # `limit` at most
+    return told.join(lines, ["code", "node"], "left").join(descriptions.select("code", "description"), "code", "left")
+
+
 def breadth(profiles: DataFrame) -> DataFrame:
     """Number of profiles that hold each node."""
     return profiles.groupBy("node").agg(F.countDistinct("code").alias("breadth"))
@@ -116,9 +123,9 @@ def gaps(users: DataFrame, targets: DataFrame, profiles: DataFrame, s: Settings,
     return found.withColumn("place", F.row_number().over(Window.partitionBy("user", "code").orderBy(*order))).where(F.col("place") <= limit).select("user", "code", "node", "kind", "place", F.round("rate", 6).alias("rate"), "breadth")
 
 
-def subdivisions(users: DataFrame, targets: DataFrame, fine: DataFrame, limit: int = 3) -> DataFrame:
-    """Finer profiles below each target code, by the user's overlap, then units: an equi join on the prefix."""
-    below = fine.withColumn("parent", F.substring("code", 1, 4))
+def subdivisions(users: DataFrame, targets: DataFrame, fine: DataFrame, limit: int = 3, coarse: int = 4) -> DataFrame:
+    """Finer profiles below each target code (of `coarse` digits), by the user's overlap, then units: an equi join on the prefix."""
+    below = fine.withColumn("parent", F.substring("code", 1, coarse))
     pairs = targets.withColumnRenamed("code", "parent").join(below, "parent")
     mine = users.select("user", "node", F.lit(1).alias("mine")).distinct()
     scored = pairs.join(mine, ["user", "node"], "left").groupBy("user", "parent", "code").agg(F.count("mine").alias("overlap"), F.max("units").alias("units"))

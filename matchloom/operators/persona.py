@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchloom.operators.parsing import split_outside
+
 # What shows an action and a result, and the weights of kinds.
 ACTION = "제가|저는|직접|담당|주도|구현|개발|설계|분석|개선|작성|운영"
 RESULT = "\\d|결과|성과|개선|단축|증가|감소|달성|수상|배포"
@@ -35,6 +37,52 @@ def rubric_lines(docs: DataFrame, header: Column | None = None, longest: int = 9
     return marked.withColumn("kind", kind).where(F.col("head").isNull() & F.col("kind").isNotNull() & (F.length("line") <= longest)).select("doc", "pos", "kind", "line")
 
 
+# Bullets, headers that share a line with their items, and lines that are no item.
+BULLET = "^\\s*(?:[-•·ㆍ*○●▶▪■□◦]|\\d+[.)])\\s*"
+INLINE = "^\\s*(주요\\s*업무|담당\\s*업무|필요\\s*역량|자격\\s*요건|지원\\s*자격|우대\\s*사항|우대)\\s*[:：]\\s*(.+)"
+SKIP = (
+    "병역|결격|해외여행|쿠키|채용\\s*절차|전형|접수|마감|근무지|연봉|복리|학사\\s*이상|학력|졸업|채용\\s*시\\s*까지|장애인|보훈|취업지원|유의|문의|합격|내규|미충족|제출|허위|어학성적|기간|지원하|해당 시|입사|영업비밀|개인정보|^전공"
+)
+
+
+def rubric_items(docs: DataFrame, most: int = 6) -> DataFrame:
+    """(doc, place, kind, label, jd_quote) of docs (doc, text, techs): requirements, duties and preferences by the posting's own lines.
+
+    A line "header: a, b" gives items of the header's kind (a duty if unknown). A short header line
+    sets the kind of the bullets and plain lines below it; what follows a bracket in it is an item
+    too. Items have 4 to 70 characters, none twice; required ones that name techs come first. A
+    posting without any gets its techs and sentences as requirements.
+    """
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\\r?\\n"), lambda x: F.btrim(F.replace(x, F.lit("\u200b"), F.lit("")))), lambda x: x != "")
+    rows = docs.select("doc", "techs", F.posexplode(lines).alias("pos", "line"))
+    inline = F.col("line").rlike(INLINE)
+    head = F.when(~inline & (F.length("line") <= 16), header_kind(F.col("line")))
+    rows = rows.withColumns({"inline": inline, "head": head})
+    rows = rows.withColumn("kind", F.last("head", ignorenulls=True).over(Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    bullet = F.col("line").rlike(BULLET)
+    after = F.regexp_replace("line", "^\\[[^\\]]*\\]\\s*", "")
+    none = F.expr("cast(array() as array<string>)")
+    parts = (
+        F.when(F.col("inline"), split_outside(F.regexp_extract("line", INLINE, 2)))
+        .when(F.col("head").isNotNull(), F.when((after != F.col("line")) & (F.length(after) >= 4), F.array(after)).otherwise(none))
+        .when(bullet, split_outside(F.regexp_replace("line", BULLET, "")))
+        .when(F.col("kind").isNotNull() & (F.length("line") <= 90) & ~F.col("line").rlike(SKIP), F.array("line"))
+        .otherwise(none)
+    )
+    kind = F.when(F.col("inline"), F.coalesce(header_kind(F.regexp_extract("line", INLINE, 1)), F.lit("duty"))).otherwise(F.col("kind"))
+    items = rows.select("doc", "techs", "pos", kind.alias("kind"), F.posexplode(parts).alias("part", "item")).where("kind is not null").withColumn("item", F.btrim("item", F.lit(" -·")))
+    good = items.where(F.length("item").between(4, 70) & ~F.col("item").rlike(SKIP))
+    fallback = F.concat("techs", F.transform(F.split(F.coalesce("text", F.lit("")), "[\\n.!?。！？]"), lambda x: F.btrim(F.regexp_replace(x, "(?U)\\s+", " "), F.lit(" -·"))))
+    bare = docs.join(good.select("doc").distinct(), "doc", "left_anti").select("doc", "techs", F.posexplode(fallback).alias("pos", "item"))
+    bare = bare.where(F.length("item").between(4, 70) & ~F.col("item").rlike(SKIP) & ~F.col("item").rlike("20\\d{2}|고용형태|회사명|직무명"))
+    every = good.unionByName(bare.withColumns({"kind": F.lit("required"), "part": F.lit(-1)}))
+    once = every.withColumn("k", F.row_number().over(Window.partitionBy("doc", "item").orderBy("pos", "part"))).where("k = 1")
+    named = F.when(F.col("part") < 0, 0).otherwise(F.size(F.filter("techs", lambda t: F.contains(F.lower("item"), F.lower(t)))))
+    rank = F.when(F.col("kind") == "required", 0).when(F.col("kind") == "duty", 1).otherwise(2)
+    placed = once.withColumn("place", F.row_number().over(Window.partitionBy("doc").orderBy(rank, F.desc(named), "pos", "part"))).where(F.col("place") <= most)
+    return placed.select("doc", "place", "kind", F.left("item", F.lit(40)).alias("label"), F.col("item").alias("jd_quote"))
+
+
 def weights(items: DataFrame) -> DataFrame:
     """Weight of each rubric item (rubric, item, kind_weight, share): kind * (1 + share), then its part of the sum; three digits, twice."""
     raw = F.round(F.col("kind_weight") * (1 + F.coalesce("share", F.lit(0.0))), 3)

@@ -59,8 +59,9 @@ def concentration(units: DataFrame, s: Settings) -> DataFrame:
 
 
 def gate(units: DataFrame, s: Settings) -> DataFrame:
-    """Concentration of each code and whether it is included."""
-    return concentration(units, s).withColumn("included", (F.col("effective_units") >= s.min_effective_units) & (F.col("hhi") < s.max_hhi))
+    """Concentration of each code and whether it is included; with min_units (fine codes) the number of units alone decides."""
+    enough = (F.col("effective_units") >= s.min_effective_units) & (F.col("hhi") < s.max_hhi) if s.min_units is None else F.col("units") >= s.min_units
+    return concentration(units, s).withColumn("included", enough)
 
 
 def sample_units(units: DataFrame, s: Settings) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from matchloom.operators import corpus, evaluate, persona, profile, serving
+from matchloom.operators import assist, corpus, evaluate, matching, persona, profile, serving
 from matchloom.plans import fixtures as fx
 from matchloom.plans import text_queries as tq
 from matchloom.plans import work_queries as wq
@@ -43,8 +43,6 @@ def roles_with_postings(spark, d):
 @register("""WITH c AS (SELECT lower(p_brand) AS low, count(*) AS n FROM part WHERE p_size > 40 GROUP BY ALL), t AS (SELECT low, round(n / (SELECT max(n) FROM c), 3) AS importance FROM c)
 SELECT p_partkey, upper(p_brand) AS term, coalesce(importance, 0.5) AS importance FROM part LEFT JOIN t ON lower(p_brand) = low""")
 def importance_lookup(spark, d):
-    from matchloom.operators import assist
-
     part = fx.table(spark, d, "part")
     table = assist.importance(part.where("p_size > 40").groupBy(F.col("p_brand").alias("term")).agg(F.count(F.lit(1)).alias("n")))
     return serving.importance_of(part.select("p_partkey", F.upper("p_brand").alias("term")), table)
@@ -338,3 +336,71 @@ def description_lookup(spark, d):
 def weakest_items(spark, d):
     rows = wq._review(spark, d).withColumn("weight", F.round(F.col("item") * 7 % 5 / 10, 1))
     return persona.weakest(rows).select("rubric", "item", "status", "place")
+
+
+@register(wq.WITH_POSTINGS + ", l AS (SELECT posting, owner, days_left, rate, row_number() OVER (PARTITION BY owner ORDER BY days_left, rate, posting) AS place FROM postings WHERE days_left BETWEEN 0 AND 1 AND rate < 1) SELECT * FROM l")
+def urgent_list(spark, d):
+    return assist.urgent(fx.postings(spark, d)).select("posting", "owner", "days_left", "rate", "place")
+
+
+@register("""SELECT o_orderkey AS posting FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+WHERE (o_orderstatus = 'P' OR (CAST(o_orderdate AS DATE) >= DATE '1998-01-01' AND CAST(o_orderdate AS DATE) <= DATE '1998-03-02')) AND c_mktsegment = 'MACHINERY' AND n_regionkey = 2""")
+def live_postings_filtered(spark, d):
+    nation = F.broadcast(fx.table(spark, d, "nation"))
+    rows = fx.table(spark, d, "orders").join(fx.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    postings = rows.select(F.col("o_orderkey").alias("posting"), F.when(F.col("o_orderstatus") != "P", F.to_date("o_orderdate")).alias("deadline"), F.col("c_mktsegment").alias("job"), F.array(F.lpad(F.col("n_regionkey").cast("string"), 2, "0")).alias("majors"), F.lit("").alias("title"))
+    return assist.live(postings, "1998-01-01", within=60, job="MACHINERY", major="020199").select("posting")
+
+
+@register("WITH " + fx.gate_sql() + "SELECT code, units, units >= 60 AS included FROM gate")
+def profile_gate_fine(spark, d):
+    s = Settings(min_nodes=3, min_units=60)
+    return profile.gate(_nodes(spark, d), s).select("code", "units", "included")
+
+
+@register("WITH " + fx.ITEMS_SQL + ", us AS (SELECT DISTINCT inst AS usr, node FROM items) SELECT usr AS user, count(*) AS nodes FROM us GROUP BY usr HAVING count(*) >= 30")
+def query_minimum(spark, d):
+    return evaluate.enough_nodes(fx.users(fx.unit_items(spark, d)), 30).groupBy("user").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+@register("WITH " + fx.scores_sql() + """
+, raw AS (SELECT code, node, item, unit FROM items SEMI JOIN (SELECT code, node FROM prof WHERE rank <= 20) USING (code, node)),
+ev AS (SELECT code, node, item, row_number() OVER (PARTITION BY code, node ORDER BY count(*) DESC, min(unit), item) AS rank FROM raw GROUP BY code, node, item QUALIFY rank <= 2),
+qt AS (SELECT code, node, string_agg(CAST(item AS VARCHAR), '|' ORDER BY rank) AS quotes FROM ev GROUP BY ALL),
+w AS (SELECT usr, prof.* FROM (SELECT DISTINCT inst AS usr, code FROM items) tg JOIN prof USING (code) WHERE prof.rank <= 20),
+have AS (SELECT usr, code, 'have' AS side, row_number() OVER (PARTITION BY usr, code ORDER BY round(weight, 9) DESC, node) AS place, node, full_df FROM w SEMI JOIN us USING (usr, node)),
+lack AS (SELECT usr, code, 'lack' AS side, row_number() OVER (PARTITION BY usr, code ORDER BY full_df DESC, node) AS place, node, full_df FROM w ANTI JOIN us USING (usr, node) QUALIFY place <= 10)
+SELECT usr AS user, code, side, place, node, full_df, quotes, n_name AS description FROM (FROM have UNION ALL FROM lack) JOIN qt USING (code, node) LEFT JOIN nation ON lpad(CAST(n_nationkey AS VARCHAR), 2, '0') = substr(code, 3, 2)""")
+def compare_quoted(spark, d):
+    items = fx.unit_items(spark, d)
+    profiles = _profiles(spark, d)
+    proofs = profile.evidence(items, profiles.where("rank <= 20"), TABLES)
+    named = fx.table(spark, d, "nation").select(F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("nation"), F.col("n_name").alias("description"))
+    about = profiles.select("code").distinct().withColumn("nation", F.substring("code", 3, 2)).join(named, "nation")
+    found = matching.compare(fx.users(items), fx.home(items), profiles, proofs, about)
+    return found.withColumn("quotes", _joined(F.col("quotes").cast("array<string>")))
+
+
+@register("""SELECT p_partkey AS doc, place, kind, quote AS jd_quote FROM part, LATERAL (VALUES
+ (1, 'required', p_name || ' SQL 개발'), (2, 'required', '통계 지식'), (3, 'duty', p_brand || ' 운영'), (4, 'duty', p_type || ' 설계 (A, B)'), (5, 'preferred', '영어 회화')) v(place, kind, quote)""")
+def rubric_heuristic(spark, d):
+    text = F.concat(F.lit("회사 소개\n자격요건\n[필수] 통계 지식\n2. "), F.col("p_name"), F.lit(" SQL 개발, 병역 필\n담당업무: "), F.col("p_brand"), F.lit(" 운영 / "), F.col("p_type"), F.lit(" 설계 (A, B)\n우대사항\n영어 회화\n\n영어 회화\n"))
+    docs = fx.table(spark, d, "part").select(F.col("p_partkey").alias("doc"), text.alias("text"), F.array(F.lit("sql")).alias("techs"))
+    return persona.rubric_items(docs).select("doc", "place", "kind", "jd_quote")
+
+
+@register("""SELECT p_partkey AS doc, CASE WHEN p_size < 10 THEN repeat('long ', 120) ELSE 'short' || chr(10) || repeat(p_brand || ' ', 8) END AS text FROM part""")
+def page_script_text(spark, d):
+    from matchloom.functions import text as X
+
+    brand = F.repeat(F.concat("p_brand", F.lit(" ")), F.lit(8))
+    script = F.concat(F.lit('<script>var x = {"a": "'), brand, F.lit('", "b": "tiny", "c": "'), brand, F.lit('"};</script>'))
+    html = F.concat(F.lit("<p>"), F.when(F.col("p_size") < 10, F.repeat(F.lit("long "), F.lit(120))).otherwise(F.lit("short")), F.lit("</p>"), script)
+    text = X.page_text(html, "[A-Za-z]")
+    return fx.table(spark, d, "part").select(F.col("p_partkey").alias("doc"), F.when(F.col("p_size") < 10, F.concat(F.btrim(text), F.lit(" "))).otherwise(F.concat(text, F.lit(" "))).alias("text"))
+
+
+@register("SELECT p_partkey AS doc, CASE WHEN p_brand = 'Brand#1' THEN 'first' WHEN p_brand = 'Brand#2' THEN 'second' ELSE p_brand END AS term FROM part")
+def term_alias(spark, d):
+    alias = spark.createDataFrame([("brand#1", "first"), ("brand#2", "second")], "low string, name string")
+    return corpus.renamed(fx.table(spark, d, "part").select(F.col("p_partkey").alias("doc"), F.col("p_brand").alias("term")), alias)

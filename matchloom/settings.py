@@ -13,6 +13,7 @@ class Settings:
     top_k: int = 300
     df_weight: str = "sqrt"
     min_effective_units: float = 30.0
+    min_units: int | None = None
     max_hhi: float = 0.25
     institution_cap: int = 8
     profile_unit_cap: int = 60
