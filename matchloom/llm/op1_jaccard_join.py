@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchloom.llm.common import drop_path, shared_dir, slices, stored, table, unused, without
-from matchloom.llm.components import components
+from matchloom.llm.components import HUB_LEAST, HUB_SHARE, components
 from matchloom.llm.hashing import bitmap, hashed_words, marked, mix
 
 #: Ratio of an interval's ends; sizes that are too small for ranges; documents of a region that says little.
@@ -259,12 +259,28 @@ def _compare(rows: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("region", "part").applyInArrow(block, schema)
 
 
+def _met(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with their groups' columns, from groups (keys, n, …) with n rows each of rows.
+
+    Groups with more than 1/HUB_SHARE of the rows (so fewer than HUB_SHARE, whatever the input) meet
+    theirs by a broadcast, which leaves the rows where they are; the others by a join.
+    """
+    limit = max(HUB_LEAST, rows.count() // HUB_SHARE)
+    hot = F.broadcast(groups.where(F.col("n") > limit))
+    return rows.join(hot, keys).unionByName(rows.join(hot, keys, "left_anti").join(groups.where(F.col("n") <= limit), keys)).drop("n")
+
+
 def _dealt(sized: DataFrame) -> DataFrame:
     """Cells (region, doc, size) over BLOCK with the number of their blocks and each document's own."""
     parts = F.ceil(2 * F.col("size") / BLOCK).cast("int")
     return sized.where(F.col("size") > BLOCK).withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("doc", "region"), F.col("parts")).cast("int"))
 
 
+def _sized(cells: DataFrame) -> DataFrame:
+    """Cells (region, doc) with the size of each."""
+    return _met(cells, cells.groupBy("region").agg(F.count(F.lit(1)).alias("n")).withColumn("size", F.col("n")), ["region"])
+
+
 def _by_blocks(large: DataFrame) -> DataFrame:
     """All pairs of blocks of dealt cells (region, part, doc, pivot)."""
     pairs = large.select("region", "doc", "own", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
@@ -289,13 +305,13 @@ def jaccard_links(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     heavy = bitmap(counted.where(F.col("docs") > HEAVY), F.col("region"), REGION_BITS)
     regions = stored(_regions(texts, size, percent, heavy, used), f"{folder}/regions")
 
-    first = regions.groupBy("region").agg(F.min("doc").alias("head"), F.max("doc").alias("most")).where("head < most").drop("most")
-    member = regions.join(first, "region").select(F.xxhash64("head").alias("region"), "doc", "head")
+    first = regions.groupBy("region").agg(F.min("doc").alias("head"), F.max("doc").alias("most"), F.count(F.lit(1)).alias("n")).where("head < most").drop("most")
+    member = _met(regions, first, ["region"]).select(F.xxhash64("head").alias("region"), "doc", "head")
     cells = stored(member.select("region", "doc").unionByName(member.select("region", F.col("head").alias("doc"))).distinct(), f"{folder}/cells-0")
     found: list[str] = []
     dense: list[str] = []
     for level in range(DEPTH + 1):
-        sized = cells.join(cells.groupBy("region").agg(F.count(F.lit(1)).alias("size")), "region")
+        sized = _sized(cells)
         large = _dealt(sized)
         rows = sized.where(F.col("size") <= BLOCK).select("region", F.lit(0).cast("long").alias("part"), "doc", F.lit(False).alias("pivot"))
         if level < DEPTH:
@@ -307,7 +323,7 @@ def jaccard_links(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
             rows = rows.unionByName(_by_blocks(large))
             if dense:
                 again = spark.read.schema("region long, doc " + cells.schema["doc"].dataType.simpleString()).parquet(*dense)
-                rows = rows.unionByName(_by_blocks(_dealt(again.join(again.groupBy("region").agg(F.count(F.lit(1)).alias("size")), "region"))))
+                rows = rows.unionByName(_by_blocks(_dealt(_sized(again))))
         sets = _sets(texts.withColumn("h", F.xxhash64("doc")), size, bitmap(rows, F.xxhash64("doc"), DOC_BITS))
         path = f"{folder}/compared-{level}"
         compared = stored(_compare(rows.join(sets, "doc"), percent), path)
@@ -326,8 +342,9 @@ def jaccard_links(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
         links = spark.read.schema(compared.schema).parquet(*found).where("linked")
         classes = components(links.select("a", "b")).withColumnRenamed("node", "doc")
         windows = members.select(F.col("region").alias("cell"), F.xxhash64("region", "pivot").alias("region"), "doc").join(classes, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        open_ = windows.groupBy("cell", "region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("cell", "region")
-        opened = stored(windows.join(open_, ["cell", "region"]).select("cell", "region", "doc"), f"{folder}/open-{level}")
+        windows = stored(windows, f"{folder}/windows-{level}")
+        open_ = windows.groupBy("cell", "region").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("cell", "region", "n")
+        opened = stored(_met(windows, open_, ["cell", "region"]).select("cell", "region", "doc"), f"{folder}/open-{level}")
         if stuck.limit(1).count():
             dense.append(f"{folder}/dense-{level}")
             stored(opened.join(stuck.withColumnRenamed("region", "cell"), "cell").select(F.col("cell").alias("region"), "doc").distinct(), dense[-1])

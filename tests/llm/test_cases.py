@@ -186,3 +186,26 @@ def test_voronoi_regions(spark, monkeypatch):
                 i, j = top(a), top(b)
                 head[max(i, j)] = min(i, j)
     assert got == {i: top(i) for i in range(len(sets))}
+
+
+SQL_FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["op1_jaccard_join", "op2_licenses", "op4_line_dedup", "op7_substring_dedup", "op8_decontaminate", "op10_exact_dedup"])
+def test_query_equals_sql(spark, name):
+    import os
+
+    from matchloom.llm import registry
+
+    duckdb = pytest.importorskip("duckdb")
+    if not os.path.isdir(SQL_FOLDER):
+        pytest.skip("no tables here")
+    con = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SQL_FOLDER}/{table}.parquet')")
+    found = con.execute(registry.oracle_sql()[name])
+    names = sorted(d[0] for d in found.description)
+    rows = [dict(zip((d[0] for d in found.description), r)) for r in found.fetchall()]
+    got = registry.queries()[name](spark, SQL_FOLDER)
+    assert sorted(got.columns) == names
+    assert sorted(tuple(r[c] for c in names) for r in got.collect()) == sorted(tuple(r[c] for c in names) for r in rows)
