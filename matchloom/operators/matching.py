@@ -89,10 +89,14 @@ def have_lack(users: DataFrame, targets: DataFrame, profiles: DataFrame, lack_li
     return have.unionByName(lack).select("user", "code", "side", "place", "node", "full_df")
 
 
-def compare(users: DataFrame, targets: DataFrame, profiles: DataFrame, evidence: DataFrame, descriptions: DataFrame, limit: int = 2) -> DataFrame:
-    """(user, code, side, place, node, full_df, quotes, description): what each user has and lacks of a target, as far as it can be quoted."""
+def compare(users: DataFrame, targets: DataFrame, profiles: DataFrame, evidence: DataFrame, descriptions: DataFrame, limit: int = 2, coarse: int | None = None) -> DataFrame:
+    """(user, code, side, place, node, full_df, quotes, description): what each user has and lacks of a target, as far as it can be quoted.
+
+    With `coarse`, codes without quotes of their own take those of their prefix of so many digits.
+    """
     told = have_lack(users, targets, profiles, evidence=evidence)
-    lines = quotes(told.select("code", "node"), evidence, limit).groupBy("code", "node").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda q: q["text"]).alias("quotes"))  # `limit` at most
+    found = evidence.select("code", "node", F.col("rank").alias("k"), "text").where(F.col("k") <= limit) if coarse is None else quotes(profiles, evidence, limit, coarse)
+    lines = found.groupBy("code", "node").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda q: q["text"]).alias("quotes"))  # `limit` at most
     return told.join(lines, ["code", "node"], "left").join(descriptions.select("code", "description"), "code", "left")
 
 

@@ -374,7 +374,7 @@ SELECT usr AS user, code, side, place, node, full_df, quotes, n_name AS descript
 def compare_quoted(spark, d):
     items = fx.unit_items(spark, d)
     profiles = _profiles(spark, d)
-    proofs = profile.evidence(items, profiles.where("rank <= 20"), TABLES)
+    proofs = profile.reused(profile.evidence(items, profiles.where("rank <= 20"), TABLES))
     named = fx.table(spark, d, "nation").select(F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("nation"), F.col("n_name").alias("description"))
     about = profiles.select("code").distinct().withColumn("nation", F.substring("code", 3, 2)).join(named, "nation")
     found = matching.compare(fx.users(items), fx.home(items), profiles, proofs, about)
