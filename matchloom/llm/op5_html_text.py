@@ -21,7 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
-from math import log
+from math import exp, log
 from zlib import crc32
 
 import pyarrow as pa
@@ -168,19 +168,26 @@ def learn(pages: DataFrame, html_col: str = "html") -> dict:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["kind", "key", "inside", "n"])
 
     counted = pages.select(F.col(f"`{html_col}`").cast("string").alias("html")).mapInArrow(run, "kind string, key string, inside boolean, n long")
-    found = counted.groupBy("kind", "key").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("yes"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("no"))
-    rows = found.collect()  # TAGS times CLASSES times three at most
+    key = F.when(F.col("kind") == "tag", F.ltrim("key", F.lit("!"))).otherwise(F.col("key"))
+    found = counted.groupBy("kind", key.alias("key")).agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("yes"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("no"))
+    return weights_of([(r["kind"], r["key"], r["yes"], r["no"]) for r in found.collect()])  # TAGS times CLASSES times three at most
+
+
+def weights_of(rows: list[tuple[str, str, int, int]]) -> dict:
+    """Log odds from (kind, key, words or tags inside articles, and outside)."""
     weights: dict = {"word": {}, "tag": {}}
-    inside = sum(r["yes"] for r in rows if r["kind"] == "tag") or 1
-    outside = sum(r["no"] for r in rows if r["kind"] == "tag") or 1
-    for r in rows:
-        if r["kind"] == "word":
-            odds = 2.718281828 ** PRIOR["boiler" if r["key"].startswith("!") else "word"]
-            share = odds / (1 + odds)
-            weights["word"][r["key"]] = max(-3.0, min(3.0, log((r["yes"] + SMOOTH * share) / (r["no"] + SMOOTH * (1 - share)))))
+    tags = [(yes, no) for kind, _, yes, no in rows if kind == "tag"]
+    inside, outside = (sum(n) + len(tags) or 1 for n in (zip(*tags) if tags else ((), ())))
+    for kind, key, yes, no in rows:
+        if kind == "tag":
+            odds = log((yes + 1) / inside) - log((no + 1) / outside)
+            weights["tag"][key] = max(-3.0, min(-0.05, odds / 2))
+        elif key.startswith("!") and yes > no:
+            weights["word"][key] = 0.0
         else:
-            odds = log((r["yes"] / inside + 1e-4) / (r["no"] / outside + 1e-4))
-            weights["tag"][r["key"].lstrip("!")] = max(-3.0, min(-0.2, PRIOR["tag"] + odds / 2))
+            odds = exp(PRIOR["boiler" if key.startswith("!") else "word"])
+            share = odds / (1 + odds)
+            weights["word"][key] = max(-3.0, min(3.0, log((yes + SMOOTH * share) / (no + SMOOTH * (1 - share)))))
     return weights
 
 
