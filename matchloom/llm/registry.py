@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from matchloom.llm import op1_jaccard_join, op2_licenses, op3_secrets, op4_line_dedup, op5_html_text, op6_language, op7_substring_dedup, op8_decontaminate, op9_byte_bpe, op10_exact_dedup
+from matchloom.llm import op1_jaccard_join, op2_licenses, op3_secrets, op4_line_dedup, op5_html_text, op6_language, op7_substring_dedup, op8_decontaminate, op9_byte_bpe, op10_exact_dedup, op11_token_files, op12_prefix_trie, op13_source_divergence
 
 
 def queries():
@@ -17,6 +17,9 @@ def queries():
         "op8_decontaminate": op8_decontaminate.query,
         "op9_byte_bpe": op9_byte_bpe.query,
         "op10_exact_dedup": op10_exact_dedup.query,
+        "op11_token_files": op11_token_files.query,
+        "op12_prefix_trie": op12_prefix_trie.query,
+        "op13_source_divergence": op13_source_divergence.query,
     }
 
 
@@ -28,4 +31,6 @@ def oracle_sql():
         "op7_substring_dedup": op7_substring_dedup.SQL,
         "op8_decontaminate": op8_decontaminate.SQL,
         "op10_exact_dedup": op10_exact_dedup.SQL,
+        "op12_prefix_trie": op12_prefix_trie.SQL,
+        "op13_source_divergence": op13_source_divergence.SQL,
     }
