@@ -19,6 +19,7 @@ combined before its shuffle, whose size TAGS and CLASSES bound.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from math import exp, log
@@ -31,7 +32,11 @@ from pyspark.sql import types as T
 
 from matchloom.llm.common import slices, table, without
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>", re.S | re.I)
+#: Elements whose content is no markup.
+RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg")
+START = re.compile(rf"<(?:!--|(?P<raw>{'|'.join(RAW)})\b|(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9]*)|[!?/])", re.I)
+RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+SPECIAL = re.compile("[>\"']")
 CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 #: Tags with weights of their own; all others share one.
@@ -83,9 +88,70 @@ def holds_others(tag: str, names: list[str]) -> bool:
     return tag in BOILER_TAGS or (tag not in ("html", "body", *MARKED) and any(OTHERS.intersection(p := parts_of(n)) and BOILER_WORDS.union(AROUND).issuperset(p) for n in names))
 
 
+class Tags:
+    """Ends of tags, each in constant time on average, whatever is left open.
+
+    A tag ends at the first > outside quotes. From a quote on, the way to that > is the same for every
+    tag, so it is walked once and remembered; likewise the next special character.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.last = html, html.rfind(">")
+        self.ends: dict[int, int] = {}  # by the place of an opening quote; -1: no end
+        self.found = -1  # the next special character from some place on
+
+    def close(self, at: int) -> int:
+        """The place of the next >, or -1."""
+        return self.html.find(">", at) if at <= self.last else -1
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends the tag whose attributes begin here, or -1."""
+        if at > self.last:
+            return -1
+        if self.found < at:
+            self.found = SPECIAL.search(self.html, at).start()
+        place, walked = self.found, []
+        while self.html[place] != ">":
+            if place in self.ends:
+                place = self.ends[place]
+                break
+            walked.append(place)
+            closed = self.html.find(self.html[place], place + 1)
+            following = SPECIAL.search(self.html, closed + 1) if closed >= 0 else None
+            place = following.start() if following else -1
+            if place < 0:
+                break
+        self.ends |= dict.fromkeys(walked, place)
+        return place
+
+
+def tokens(html: str) -> Iterator[tuple[int, int, str, bool, str, str]]:
+    """(start, stop, raw element, whether an end tag, tag, attributes) of what isn't text; comments and the like have no names."""
+    tags, at = Tags(html), 0
+    while m := START.search(html, at):
+        at = m.start() + 1  # where no token begins here
+        if m[0] == "<!--":
+            stop = html.find("-->", m.end())
+            at = stop + 3 if stop >= 0 else len(html)
+            yield m.start(), at, "", False, "", ""
+            continue
+        stop = -1
+        if m["raw"] and (stop := tags.close(m.end())) >= 0:
+            closed = RAW_END[m["raw"].lower()].search(html, stop + 1)
+            at = closed.end() if closed else len(html)
+            yield m.start(), at, m["raw"], False, "", ""
+        elif m["name"] and (stop := tags.end(m.end())) >= 0:
+            at = stop + 1
+            yield m.start(), at, "", bool(m["end"]), m["name"], html[m.end() : stop]
+        elif html[m.start() + 1] in "!?/" and (stop := tags.close(m.start() + 2)) >= 0:
+            at = stop + 1
+            yield m.start(), at, "", False, "", ""
+
+
 def events(html: str) -> Iterator[tuple[str, str, str, bool, bool]]:
     """(kind, context or tag, text, boilerplate, marked as the article) in page order; kind is word, tag or break."""
     stack: list[tuple[str, str, bool, bool, bool]] = []  # tag, context, boilerplate, marked, whether in what holds others
+    open_tags: Counter[str] = Counter()
     context, boiler, marked, at = "body", False, False, 0
 
     def state() -> tuple[str, bool, bool, bool]:
@@ -93,16 +159,25 @@ def events(html: str) -> Iterator[tuple[str, str, str, bool, bool]]:
             return tuple(rest)
         return "body", False, False, False
 
-    for m in TOKEN.finditer(html):
-        if m.start() > at:
-            yield "word", context, html[at : m.start()], boiler, marked
-        at = m.end()
-        if m[1]:
-            yield "tag", m[1].lower(), "", boiler, marked
+    def pop() -> str:
+        gone = stack.pop()[0]
+        open_tags[gone] -= 1
+        return gone
+
+    def push(*entry) -> None:
+        stack.append(entry)
+        open_tags[entry[0]] += 1
+
+    for start, stop, raw, ends, tag, attributes in tokens(html):
+        if start > at:
+            yield "word", context, html[at:start], boiler, marked
+        at = stop
+        if raw:
+            yield "tag", raw.lower(), "", boiler, marked
             continue
-        if not m[3]:
+        if not tag:
             continue
-        tag = m[3].lower()
+        tag = tag.lower()
         if tag in INLINE:
             yield "tag", tag, "", boiler, marked
             continue
@@ -111,20 +186,20 @@ def events(html: str) -> Iterator[tuple[str, str, str, bool, bool]]:
             yield "word", context, " ", boiler, marked
             continue
         yield "break", tag, "", boiler, marked
-        if m[2]:
-            if any(t[0] == tag for t in stack):
-                while stack.pop()[0] != tag:
+        if ends:
+            if open_tags[tag]:
+                while pop() != tag:
                     pass
         elif tag == "body":
             while stack and stack[-1][0] != "html":
-                stack.pop()
-            stack.append(("body", "body", False, False, False))
+                pop()
+            push("body", "body", False, False, False)
         elif tag not in VOID:
             for ended in ENDS.get(tag, ()) + (("p",) if tag in NO_P else ()):
                 if stack and stack[-1][0] == ended:
-                    stack.pop()
+                    pop()
             c, b, inside, others = state()
-            names = [n for x in CLASS.findall(m[4]) for n in "".join(x).split()]
+            names = [n for x in CLASS.findall(attributes) for n in "".join(x).split()]
             own = is_boiler(tag, names, inside)
             known = tag if tag in TAGS else "other"
             key = f"{known}#{crc32(names[0].encode()) % CLASSES}" if names else known
@@ -134,7 +209,7 @@ def events(html: str) -> Iterator[tuple[str, str, str, bool, bool]]:
                 key = c
             elif unsure := ambiguous(tag, names):
                 key = f"?{known}#{crc32(unsure.encode()) % CLASSES}"
-            stack.append((tag, key, b or own, inside or tag in MARKED, others or holds_others(tag, names)))
+            push(tag, key, b or own, inside or tag in MARKED, others or holds_others(tag, names))
         context, boiler, marked, _ = state()
         yield "tag", tag if tag in TAGS else "other", "", boiler, marked
     if at < len(html):
