@@ -13,7 +13,9 @@ One mapInArrow over Spark's partitions on whole texts; nothing is shuffled.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 from math import log2
 
 import pyarrow as pa
@@ -74,10 +76,23 @@ def dense_stretches(text: str, members: frozenset, least: float, window: int = W
     return out
 
 
-def allowed_span(run: str, parts: list[tuple[int, int, bool]], a: int, b: int, allow: re.Pattern) -> bool:
-    """Whether a span of a run is no secret: its one part or itself matches; over several parts, all of them and itself."""
-    touched = [ok for start, stop, ok in parts if start < b and a < stop]
-    return (len(touched) == 1 and touched[0]) or (bool(allow.fullmatch(run[a:b])) and (len(touched) < 2 or all(touched)))
+class Allowed:
+    """Which spans of a run are no secret; each is looked up among the run's parts by bisection."""
+
+    def __init__(self, run: str, allow: re.Pattern):
+        self.run, self.allow = run, allow
+        parts = [(*p.span(), bool(allow.fullmatch(p[0]))) for p in PART.finditer(run)]
+        self.starts, self.stops = [p[0] for p in parts], [p[1] for p in parts]
+        self.refused = list(accumulate((not ok for _, _, ok in parts), initial=0))
+
+    def whole(self) -> bool:
+        return not self.refused[-1] and bool(self.allow.fullmatch(self.run))
+
+    def span(self, a: int, b: int) -> bool:
+        """A span's one part or itself matches; over several parts, all of them and itself."""
+        first, last = bisect_right(self.stops, a), bisect_left(self.starts, b)
+        fine = self.refused[last] == self.refused[first]
+        return (last - first == 1 and fine) or (bool(self.allow.fullmatch(self.run[a:b])) and (last - first < 2 or fine))
 
 
 def secrets_of(text: str, allow: re.Pattern) -> list[tuple[str, int, int]]:
@@ -91,12 +106,12 @@ def secrets_of(text: str, allow: re.Pattern) -> list[tuple[str, int, int]]:
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
     for m in CANDIDATE.finditer(text):
         run, at = m[0], m.start()
-        parts = [(*p.span(), bool(allow.fullmatch(p[0]))) for p in PART.finditer(run)]
-        if all(ok for _, _, ok in parts) and allow.fullmatch(run):
+        allowed = Allowed(run, allow)
+        if allowed.whole():
             continue
         for kind, members, least in CLASSES:
             for a, b in dense_stretches(run, members, least):
-                if not allowed_span(run, parts, a, b, allow):
+                if not allowed.span(a, b):
                     found.append((kind, at + a, at + b))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
