@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import slices, table, unused, without
+from matchloom.llm.common import drop_path, shared_dir, slices, stored, table, unused, without
 
 WINDOW = 13
 #: Bytes of benchmark text in one block (broadcast at once), and words in one shard's index.
@@ -170,7 +170,7 @@ def occurrences(flat: np.ndarray, doc: np.ndarray, block: Phrases) -> Iterator[t
                 yield place[index.locate(rows)], np.repeat(hit, count), phrases.shape[1], owners
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", share: int = 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Find the benchmark's windows in each whole document.
 
     Returns every input row with its columns (those named like a result give way to it) and
@@ -179,19 +179,24 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     share * n_hit >= n_words).
 
     Defined cases: null or empty texts have no words and are clean; null or empty items have no
-    windows; repeated items and rows each count by themselves; empty tables give clean documents
-    or no rows.
+    windows; items without identifier are all named '' (their words are hit as others' are); repeated
+    items and rows each count by themselves; empty tables give clean documents or no rows; texts of any
+    length are read whole, in shards of SHARD_WORDS.
+
+    With more than one block of the benchmark, what a block found is stored in the shared folder
+    before the next is read, so one block at a time is held.
     """
     spark = docs.sparkSession
     rows = without(docs, *RESULTS)
-    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text"))
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(item_text).cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    blocks = 1 + size // BLOCK_BYTES  # each is collected and broadcast by itself
+    blocks = 1 + size // block_bytes
     own_spans, own_items, own_words = unused(rows, "spans", "items", "words")
     marked = rows.withColumns({own_spans: F.expr("cast(array() as array<int>)"), own_items: F.expr("cast(array() as array<string>)"), own_words: F.lit(0).cast("long")})
     at, schema = rows.columns.index(text_col), marked.schema
+    folder = shared_dir(spark, "decontaminate") if blocks > 1 else None
     for number in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == number)
+        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == number)
         block = spark.sparkContext.broadcast(Phrases([(r["item"], r["text"]) for r in part.toLocalIterator()]))
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
@@ -231,6 +236,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *done], names=batch.schema.names)
 
         marked = marked.mapInArrow(run, schema)
+        if number + 1 < blocks:
+            marked = stored(marked, f"{folder}/{number}")
+            block.destroy()
+            if number:
+                drop_path(spark, f"{folder}/{number - 1}")
     flat = F.col(own_spans)
     halves = F.sequence(F.lit(0), (F.size(flat) / 2).cast("int") - 1)
     pairs = F.transform(halves, lambda i: F.struct(F.get(flat, 2 * i).alias("start"), F.get(flat, 2 * i + 1).alias("stop")))
@@ -272,7 +282,7 @@ dw AS (
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lens WHERE len(w) >= n)
 ), hits AS (SELECT dw.doc_id, dw.i, dw.n, bw.item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.p = bw.p),
 cover AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hits) GROUP BY doc_id),
-owners AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hits) GROUP BY doc_id)
+owners AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, coalesce(CAST(item_id AS VARCHAR), '') AS s FROM hits) GROUP BY doc_id)
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
