@@ -289,13 +289,14 @@ def jaccard_links(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     heavy = bitmap(counted.where(F.col("docs") > HEAVY), F.col("region"), REGION_BITS)
     regions = stored(_regions(texts, size, percent, heavy, used), f"{folder}/regions")
 
-    first = regions.groupBy("region").agg(F.min("doc").alias("head"), F.max("doc").alias("most")).where("head < most").drop("most")
+    # Stored tables on both sides of a join let adaptive execution split a region that most documents share.
+    first = stored(regions.groupBy("region").agg(F.min("doc").alias("head"), F.max("doc").alias("most")).where("head < most").drop("most"), f"{folder}/first")
     member = regions.join(first, "region").select(F.xxhash64("head").alias("region"), "doc", "head")
     cells = stored(member.select("region", "doc").unionByName(member.select("region", F.col("head").alias("doc"))).distinct(), f"{folder}/cells-0")
     found: list[str] = []
     dense: list[str] = []
     for level in range(DEPTH + 1):
-        sized = cells.join(cells.groupBy("region").agg(F.count(F.lit(1)).alias("size")), "region")
+        sized = cells.join(stored(cells.groupBy("region").agg(F.count(F.lit(1)).alias("size")), f"{folder}/sizes-{level}"), "region")
         large = _dealt(sized)
         rows = sized.where(F.col("size") <= BLOCK).select("region", F.lit(0).cast("long").alias("part"), "doc", F.lit(False).alias("pivot"))
         if level < DEPTH:
