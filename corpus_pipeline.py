@@ -6,6 +6,8 @@ again as the next stage's docs. All stages but the last return the columns of do
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,29 +15,59 @@ from matchloom.llm import op1_jaccard_join, op6_language, op8_decontaminate, op9
 from matchloom.llm.common import drop_path, shared_dir, stored, table
 
 
+#: Columns that stages read; all others only pass through.
+READ = ("doc_id", "text", "lang", "source")
+
+
+def kept_rows(docs: DataFrame, operator: Callable[[DataFrame], DataFrame], keep: str) -> DataFrame:
+    """The rows of docs for which `keep` holds of what `operator` adds; columns of any names come back as they were.
+
+    Operators' results take the place of input columns of their names, so those that no stage reads
+    go through under other names.
+    """
+    aside = {c: c if c.lower() in READ else f"passing_{i}" for i, c in enumerate(docs.columns)}
+    found = operator(docs.select([F.col(f"`{c}`").alias(name) for c, name in aside.items()])).where(keep)
+    return found.select([F.col(f"`{name}`").alias(c) for c, name in aside.items()])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; those that the classifier rejects (no letters, too far) go."""
+    """Documents in a learned language; those that the classifier rejects (no letters, too far) go.
+
+    Null, empty and letterless texts go; repeated rows share one fate; an empty table stays empty; texts
+    of any length are read whole.
+    """
     model = op6_language.fit(docs.where(~op6_language.is_held_out()))
-    return op6_language.predict(docs, model).where(~F.col("rejected")).select(docs.columns)
+    return kept_rows(docs, lambda rows: op6_language.predict(rows, model), "not rejected")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the smallest doc_id."""
-    return op10_exact_dedup.exact_dedup(docs).where("kept").select(docs.columns)
+    """Of equal texts, the row with the smallest doc_id.
+
+    Null and empty texts are equal; of repeated rows one stays; null identifiers rank last.
+    """
+    return kept_rows(docs, op10_exact_dedup.exact_dedup, "kept")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares four fifths of its shingles of five words."""
-    return op1_jaccard_join.near_duplicates(docs, size=5, percent=80).where("component_id <=> doc_id").select(docs.columns)
+    """One document of each group that shares four fifths of its shingles of five words.
+
+    Texts without words link with nothing and stay, as do rows without identifier; rows that repeat
+    the group's smallest identifier all stay (the stage before leaves no repeats).
+    """
+    return kept_rows(docs, lambda rows: op1_jaccard_join.near_duplicates(rows, size=5, percent=80), "component_id <=> doc_id")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth of the words is benchmark text."""
-    return op8_decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(docs.columns)
+    """Documents of which less than a twentieth of the words is benchmark text.
+
+    Texts without words are clean; an empty benchmark leaves every row.
+    """
+    benchmark = table(spark, sf_dir, "benchmark")
+    return kept_rows(docs, lambda rows: op8_decontaminate.find_contamination(rows, benchmark), "not contaminated")
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and whether they decode to its text."""
+    """Token ids of each document, and whether they decode to its text; null and empty texts have none."""
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -52,7 +84,7 @@ STAGES = [
     ("byte_bpe", byte_bpe),
 ]
 
-#: SQL can't express the classifier and the tokenizer; tests compare each stage with a brute-force version.
+#: SQL can't express the classifier and the tokenizer; tests hold each stage against a plain version of its rule.
 ORACLE_SQL = None
 
 
