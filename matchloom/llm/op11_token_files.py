@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -41,7 +42,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchloom.llm.common import drop_path, shared_dir, slices, table
-from matchloom.llm.op9_byte_bpe import Memo
 
 # The marks and layout of a file, little-endian.
 MAGIC = b"mloomtok"
@@ -51,6 +51,11 @@ TRAILER = struct.Struct("<QQQ8s")  # documents, ids, where the tables begin, mag
 BLOCK, AT_ONCE = 4096, 64
 #: Documents that one reading step takes, and ids that it unpacks at once (a longer document comes alone).
 PIECE, IDS = 2048, 1 << 20
+#: Words that an encoder remembers at the end of a batch, over tasks too (some 40 bytes each).
+WORDS = 1 << 20
+#: A word of ASCII letters, perhaps with one of the marks behind it.
+MARKS = tuple(".,;:!?")
+WORD = "[A-Za-z]+[.,;:!?]?"
 # A normaliser and a splitter under which no piece and no composed character reaches over a plain space.
 SPACED = (
     {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -181,7 +186,12 @@ class Shard:
 
 
 class Encoder:
-    """A tokenizer of the tokenizers library; special tokens are neither added nor, with `plain`, recognised."""
+    """A tokenizer of the tokenizers library; special tokens are neither added nor, with `plain`, recognised.
+
+    Distinct stretches between white space are encoded once and remembered, in Arrow arrays: `words`
+    and the ids of each. A word of ASCII letters counts in lower case, and without the mark behind
+    it, which is a piece of its own. New words go to the library together, parted by a special token.
+    """
 
     def __init__(self, path: str, plain: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -191,32 +201,70 @@ class Encoder:
         self.model.encode_special_tokens = plain
         with open(path, encoding="utf-8") as file:
             told = json.load(file)
-        whole = [a for a in told.get("added_tokens") or () if " " in a["content"] or a["lstrip"] or a["rstrip"] or a["single_word"]]
-        self.spaced = (told.get("normalizer"), told.get("pre_tokenizer")) == SPACED and not whole and not told.get("truncation")
-        self.seen = Memo()
+        self.added = told.get("added_tokens") or []
+        odd = [a for a in self.added if " " in a["content"] or a["lstrip"] or a["rstrip"] or a["single_word"] or a["normalized"] or re.fullmatch(WORD, a["content"])]
+        self.spaced = (told.get("normalizer"), told.get("pre_tokenizer")) == SPACED and not odd and not told.get("truncation") and not told.get("padding")
+        self.part = next((a for a in self.added if a["special"]), None) if not plain else None
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.lists = pa.array([], pa.large_string()), pa.array([], pa.large_list(pa.int32()))
+        if self.spaced:
+            self.remember(pa.array(["", *MARKS], pa.large_string()))
+
+    def remember(self, words: pa.Array) -> None:
+        self.lists = pa.concat_arrays([self.lists, self.encoded(words.to_pylist())])
+        self.words = pa.concat_arrays([self.words, words])
+
+    def encoded(self, words: list[str]) -> pa.Array:
+        """The ids of each word."""
+        parts, sizes = [], []
+        for begin in range(0, len(words), 8192):
+            some = words[begin : begin + 8192]
+            told = " ".join(some)
+            together = self.part is not None and not any(a["content"] in told for a in self.added)
+            if together:
+                ids = np.array(self.model.encode_batch_fast([self.part["content"].join(some)], add_special_tokens=False)[0].ids, dtype=np.int32)
+                borders = np.flatnonzero(ids == self.part["id"])
+                together = len(borders) == len(some) - 1
+            if together:
+                parts.append(np.delete(ids, borders))
+                sizes.append(np.diff(np.concatenate(([-1], borders, [len(ids)]))) - 1)
+            else:
+                found = [np.array(e.ids, dtype=np.int32) for e in self.model.encode_batch_fast(some, add_special_tokens=False)]
+                parts += found
+                sizes.append(np.array([len(x) for x in found], dtype=np.int64))
+        bounds = np.concatenate([np.zeros(1, dtype=np.int64), *sizes]).cumsum()
+        return pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([np.array([], dtype=np.int32), *parts])))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (int32) of the texts, and where each text's begin and end."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not self.spaced:
-            found = [np.array(e.ids, dtype=np.int32) for e in self.model.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
-            return np.concatenate([np.array([], dtype=np.int32), *found]), np.cumsum([0, *map(len, found)])
-        cut = pc.split_pattern(texts, " ")
+            lists = self.encoded(texts.to_pylist())
+            return lists.flatten().to_numpy(), lists.offsets.to_numpy()
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         words = cut.flatten().dictionary_encode()
-        names = words.dictionary.to_pylist()
-        known = [self.seen.get(w) for w in names]
-        new = [i for i, k in enumerate(known) if k is None]
-        for begin in range(0, len(new), 8192):
-            part = new[begin : begin + 8192]
-            for i, found in zip(part, self.model.encode_batch_fast([names[i] for i in part], add_special_tokens=False)):
-                known[i] = np.array(found.ids, dtype=np.int32).tobytes()
-                if len(names[i]) < 64:
-                    self.seen.put(names[i], known[i])
-        bounds = np.concatenate(([0], np.cumsum([len(k) >> 2 for k in known], dtype=np.int64)))
-        lists = pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(known), dtype=np.int32)))
+        names = words.dictionary
+        simple = pc.match_substring_regex(names, f"^{WORD}$")
+        low = pc.if_else(simple, pc.ascii_lower(names), names)
+        marked = pc.and_(simple, pc.match_substring_regex(names, "[^A-Za-z]$"))
+        cores = pc.if_else(marked, pc.utf8_slice_codeunits(low, 0, -1), low).dictionary_encode()
+        mark = pc.if_else(marked, pc.utf8_slice_codeunits(low, -1), "")
+        at = pc.fill_null(pc.index_in(cores.dictionary, self.words), -1).to_numpy().copy()
+        fresh = at < 0
+        at[fresh] = len(self.words) + np.arange(fresh.sum())
+        self.remember(cores.dictionary.filter(pa.array(fresh)))
+        both = np.empty(2 * len(names), dtype=np.int64)  # a word's core and its mark
+        both[::2] = at[cores.indices.to_numpy()]
+        both[1::2] = pc.index_in(mark, self.words[: len(MARKS) + 1]).to_numpy()
+        lists = self.lists.take(pa.array(both))
+        lists = pa.LargeListArray.from_arrays(pa.array(lists.offsets.to_numpy()[::2]), lists.values)
         taken = lists.take(words.indices)
         places = cut.offsets.to_numpy() - cut.offsets[0].as_py()
         ends = taken.offsets.to_numpy()[places]
+        if len(self.words) > WORDS:
+            self.forget()
         return taken.flatten().to_numpy(), ends - ends[0]
 
 
@@ -245,7 +293,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int, text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, writer, context = encoder(path, plain), None, TaskContext.get()
-        for batch in slices(batches, 1, rows=4096, size=4 << 20):
+        for batch in slices(batches, 1, rows=8192, size=8 << 20):
             if writer is None:
                 files, inner = file_system(folder)
                 files.create_dir(inner, recursive=True)
@@ -253,7 +301,6 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int, text_col:
                 writer = ShardWriter(files.open_output_stream(f"{inner}/{name}"), bits)
             ids, ends = words.encode(batch.column(1))
             writer.add(batch.column(0), np.insert(ids, ends[1:], end_id), np.diff(ends) + 1)
-        words.seen = Memo()
         if writer is not None:
             yield pa.RecordBatch.from_pydict({"shard": [context.partitionId()], "file": [name], **dict(zip(("n_docs", "n_ids"), ([n] for n in writer.close())))})
 
