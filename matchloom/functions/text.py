@@ -37,6 +37,7 @@ TAIL = (
 )
 VERB_TAIL = "\\s*(?:하려(?:는|고)|하고자\\s*하는|할\\s*수\\s*있는|하는|되는|있는|없는)\\s*$"
 DROP_TAIL = "\\s*(?:등|기타|외)\\s*$"
+QUOTES = "\"'“”‘’ "
 MAX_NAME = 30
 OPEN, CLOSE = "([{（［", ")]}）］"
 
@@ -184,9 +185,9 @@ def usable(status: Column, source: Column, length: Column, signals: Column) -> C
 
 
 def quote_verified(quote: Column, source: Column) -> Column:
-    """A quote of four characters or more that stands in the source, white space apart."""
+    """A quote of four characters or more, its outer quotation marks apart, that stands in the source, white space apart."""
     plain = lambda c: squeezed(F.regexp_replace(F.coalesce(c, F.lit("")), "\u200b", ""))
-    return (F.length(plain(quote)) >= 4) & F.contains(plain(source), plain(quote))
+    return let(F.btrim(plain(quote), F.lit(QUOTES)), lambda q: (F.length(q) >= 4) & F.contains(plain(source), q))
 
 
 def grounded(sentence: Column, source: Column) -> Column:

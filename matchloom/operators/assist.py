@@ -15,20 +15,22 @@ def name_tokens(name: Column) -> Column:
 
 
 def coverage(wanted: DataFrame, sections: DataFrame) -> DataFrame:
-    """(posting, competency, status, section) of wanted (posting, competency) against sections (posting, pos, question, answer).
+    """(posting, competency, status, section, evidence) of wanted (posting, competency) against sections (posting, pos, question, answer).
 
     Covered if every token of the name stands in the joined answers, partial if any does in one
-    section, else missing; the section is the first that has a token. Names without a usable token
-    are missing.
+    section, else missing; the section is the first that has a token, the evidence its first line
+    with the name's first token that stands there. Names without a usable token are missing.
     """
-    tokens = wanted.select("posting", "competency", F.explode_outer(F.array_distinct(name_tokens(F.col("competency")))).alias("token"))
-    told = sections.where("trim(answer) <> ''").select("posting", "pos", "question", F.lower("answer").alias("answer"))
-    hits = tokens.join(told, "posting").where(F.contains("answer", F.col("token")))
-    by_token = hits.groupBy("posting", "competency", "token").agg(F.min(F.struct("pos", "question")).alias("first"))
+    tokens = wanted.select("posting", "competency", F.posexplode_outer(F.array_distinct(name_tokens(F.col("competency")))).alias("nth", "token"))
+    told = sections.where("trim(answer) <> ''").select("posting", "pos", "question", "answer")
+    hits = tokens.join(told, "posting").where(F.contains(F.lower("answer"), F.col("token")))
+    lines = F.filter(F.split("answer", "\n"), lambda x: F.contains(F.lower(x), F.col("token")))
+    hits = hits.withColumn("evidence", F.regexp_replace(F.get(lines, F.lit(0)), r"^(?U)\s+|\s+$", ""))
+    by_token = hits.groupBy("posting", "competency", "token").agg(F.min(F.struct("pos", "nth", "question", "evidence")).alias("first"))
     full = tokens.join(by_token, ["posting", "competency", "token"], "left")
     found = full.groupBy("posting", "competency").agg(F.count("token").alias("tokens"), F.count("first").alias("hit"), F.min("first").alias("first"))
     status = F.when(F.col("hit") == 0, "missing").when(F.col("hit") == F.col("tokens"), "covered").otherwise("partial")
-    return found.select("posting", "competency", status.alias("status"), F.col("first.question").alias("section"))
+    return found.select("posting", "competency", status.alias("status"), F.col("first.question").alias("section"), F.col("first.evidence").alias("evidence"))
 
 
 def weighted_coverage(results: DataFrame) -> DataFrame:

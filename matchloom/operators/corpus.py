@@ -97,9 +97,13 @@ def drift(before: DataFrame, now: DataFrame, key: str) -> DataFrame:
     return new.unionByName(gone)
 
 
-def interleaved(rows: DataFrame, have: DataFrame) -> DataFrame:
-    """Queue over (cat, inst, pos): categories take turns in order of first sight; inside one, institutions with fewest held rows drain first."""
-    held = rows.join(have, "inst", "left").withColumn("have", F.coalesce("have", F.lit(0)))
+def interleaved(rows: DataFrame, have: DataFrame, most: int) -> DataFrame:
+    """Queue over (cat, inst, pos): categories take turns in order of first sight; inside one, institutions with fewest held rows drain first.
+
+    `have` (cat, inst, have) are the rows held of each institution in a category. Institutions with
+    `most` or more there are passed over, and don't count for the order of categories either.
+    """
+    held = rows.join(have, ["cat", "inst"], "left").withColumn("have", F.coalesce("have", F.lit(0))).where(F.col("have") < most)
     turn = held.withColumn("turn", F.row_number().over(Window.partitionBy("cat").orderBy("have", "inst", "pos")))
     seen = turn.withColumn("seen", F.min("pos").over(Window.partitionBy("cat")))
     # The queue is an order, not a number: sort by these columns to read it.

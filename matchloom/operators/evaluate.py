@@ -95,7 +95,10 @@ def enough_nodes(users: DataFrame, least: int = 3) -> DataFrame:
 
 
 def cross_hits(ranked: DataFrame, queries: DataFrame, gold: DataFrame) -> DataFrame:
-    """By query group: queries, answered (a positive top score), Top-1 and Top-3 hits of the gold majors."""
+    """By job: queries, answered (a positive top score), Top-1 and Top-3 hits of the gold majors.
+
+    `queries` (user, job) are those that count: take them from users that `enough_nodes` keeps.
+    """
     hit = ranked.withColumn("major", F.substring("code", 1, 2)).join(gold.withColumn("good", F.lit(1)), ["job", "major"], "left")
     by_query = hit.groupBy("user").agg(
         F.max(F.when((F.col("rank") == 1) & (F.col("score") > 0), 1).otherwise(0)).alias("answered"),

@@ -75,31 +75,65 @@ def quotes(pairs: DataFrame, evidence: DataFrame, limit: int = 2, coarse: int =
     return found.withColumn("k", F.row_number().over(Window.partitionBy("code", "node").orderBy("rank"))).where(F.col("k") <= limit).select("code", "node", "source", "k", "text", "n")
 
 
-def have_lack(users: DataFrame, targets: DataFrame, profiles: DataFrame, lack_limit: int = 10, evidence: DataFrame | None = None) -> DataFrame:
+def have_lack(users: DataFrame, targets: DataFrame, profiles: DataFrame, lack_limit: int = 10, evidence: DataFrame | None = None, unsaid: DataFrame | None = None) -> DataFrame:
     """For each target (user, code): profile items the user has, and the most frequent ones lacking.
 
-    With `evidence` only items that it can quote are told.
+    With `evidence` only items that it can quote are told. Items of `unsaid` (user, node) are neither had nor lacking.
     """
     wanted = targets.join(profiles if evidence is None else proved(profiles, evidence), "code")
     mine = users.select("user", "node").distinct()
-    have = wanted.join(mine, ["user", "node"], "left_semi").withColumn("side", F.lit("have"))
+    had = mine if unsaid is None else mine.join(unsaid, ["user", "node"], "left_anti")
+    have = wanted.join(had, ["user", "node"], "left_semi").withColumn("side", F.lit("have"))
     have = have.withColumn("place", F.row_number().over(Window.partitionBy("user", "code").orderBy(F.desc(F.round("weight", 9)), "node")))
     lack = wanted.join(mine, ["user", "node"], "left_anti").withColumn("side", F.lit("lack"))
     lack = lack.withColumn("place", F.row_number().over(Window.partitionBy("user", "code").orderBy(F.desc("full_df"), "node"))).where(F.col("place") <= lack_limit)
     return have.unionByName(lack).select("user", "code", "side", "place", "node", "full_df")
 
 
-def compare(users: DataFrame, targets: DataFrame, profiles: DataFrame, evidence: DataFrame, descriptions: DataFrame, limit: int = 2, coarse: int | None = None) -> DataFrame:
+def compare(users: DataFrame, targets: DataFrame, profiles: DataFrame, evidence: DataFrame, descriptions: DataFrame, limit: int = 2, coarse: int | None = None, said: DataFrame | None = None) -> DataFrame:
     """(user, code, side, place, node, full_df, quotes, description): what each user has and lacks of a target, as far as it can be quoted.
 
     With `coarse`, codes without quotes of their own take those of their prefix of so many digits.
+    With `said` (user, node, sentence, sim), the user's own side: of a node's sentences the most
+    similar, the first of equals, is told as sentence and sim, and nothing counts as had without one.
     """
-    told = have_lack(users, targets, profiles, evidence=evidence)
+    if said is not None:
+        best = said.groupBy("user", "node").agg(F.min(F.struct((-F.col("sim")).alias("neg"), "sentence")).alias("s")).select("user", "node", F.col("s.sentence").alias("sentence"), (-F.col("s.neg")).alias("sim"))
+        unsaid = users.select("user", "node").distinct().join(best, ["user", "node"], "left_anti")
+        told = have_lack(users, targets, profiles, evidence=evidence, unsaid=unsaid).join(best, ["user", "node"], "left")
+    else:
+        told = have_lack(users, targets, profiles, evidence=evidence)
     found = evidence.select("code", "node", F.col("rank").alias("k"), "text").where(F.col("k") <= limit) if coarse is None else quotes(profiles, evidence, limit, coarse)
     lines = found.groupBy("code", "node").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda q: q["text"]).alias("quotes"))  # `limit` at most
     return told.join(lines, ["code", "node"], "left").join(descriptions.select("code", "description"), "code", "left")
 
 
+def code_postings(have: DataFrame, evidence: DataFrame, limit: int = 3) -> DataFrame:
+    """(user, code, place, doc, nodes): of each target the source units that prove most of the items (user, code, node) that the user has."""
+    proofs = evidence.select("code", "node", F.explode("doc_ids").alias("doc")).distinct()
+    docs = have.select("user", "code", "node").distinct().join(proofs, ["code", "node"]).groupBy("user", "code", "doc").agg(F.sort_array(F.collect_list("node")).alias("nodes"))  # of one profile
+    order = Window.partitionBy("user", "code").orderBy(F.desc(F.size("nodes")), "doc")
+    return docs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("user", "code", "place", "doc", "nodes")
+
+
+def match_summary(users: DataFrame, targets: DataFrame, profiles: DataFrame, evidence: DataFrame, fine: DataFrame, coarse: int = 4, postings: int = 3, finer: int = 3) -> DataFrame:
+    """(user, code, units, score, have, lack, postings, subdivisions): one row for each target (user, code), the head of `compare`.
+
+    have and lack are how many items are told, postings the source units that prove most of those
+    had, subdivisions the finer codes with the largest overlap as "code:overlap:units".
+    """
+    told = have_lack(users, targets, profiles, evidence=evidence)
+    sides = told.groupBy("user", "code").agg(*[F.count_if(F.col("side") == s).alias(s) for s in ("have", "lack")])
+    found = scores(users, profiles).join(targets.select("user", "code").distinct(), ["user", "code"], "left_semi")
+    proofs = code_postings(told.where("side = 'have'"), evidence, postings).groupBy("user", "code").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "doc"))), lambda p: p["doc"]).alias("postings"))  # `postings` at most
+    below = subdivisions(users, targets, fine, finer, coarse).select("user", F.col("parent").alias("code"), "place", F.concat_ws(":", "code", F.col("overlap").cast("string"), F.col("units").cast("string")).alias("line"))
+    below = below.groupBy("user", "code").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda p: p["line"]).alias("subdivisions"))  # `finer` at most
+    known = targets.select("user", "code").distinct().join(profiles.groupBy("code").agg(F.max("units").alias("units")), "code")
+    for part in (sides, found.select("user", "code", "score"), proofs, below):
+        known = known.join(part, ["user", "code"], "left")
+    return known.select("user", "code", "units", F.coalesce("score", F.lit(0.0)).alias("score"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("have", "lack")], "postings", "subdivisions")
+
+
 def breadth(profiles: DataFrame) -> DataFrame:
     """Number of profiles that hold each node."""
     return profiles.groupBy("node").agg(F.countDistinct("code").alias("breadth"))
@@ -108,7 +142,8 @@ def breadth(profiles: DataFrame) -> DataFrame:
 def gaps(users: DataFrame, targets: DataFrame, profiles: DataFrame, s: Settings, near: DataFrame | None = None, limit: int = 6, pool: int = 40, evidence: DataFrame | None = None) -> DataFrame:
     """Missing items by kind: near (a similarity of min_best, if given as (user, node, sim)), core, broad; others drop.
 
-    The pool are the missing items that most units ask for; of it, with `evidence`, those it can quote.
+    The pool are the missing items that most units ask for; of it, with `evidence`, those it can
+    quote, and the first quote is told. If `near` has the sentence that comes nearest, so is that, with sim.
     """
     mine = users.select("user", "node").distinct()
     jobs = profiles.agg(F.countDistinct("code").alias("jobs"))
@@ -118,21 +153,26 @@ def gaps(users: DataFrame, targets: DataFrame, profiles: DataFrame, s: Settings,
         lack = proved(lack, evidence)
     lack = lack.join(breadth(profiles), "node").crossJoin(F.broadcast(jobs)).withColumn("rate", F.col("full_df") / F.col("units"))
     if near is not None:
-        lack = lack.join(near.select("user", "node", "sim"), ["user", "node"], "left")
+        lack = lack.join(near.select("user", "node", "sim", *[c for c in ("sentence",) if c in near.columns]), ["user", "node"], "left")
     else:
         lack = lack.withColumn("sim", F.lit(None).cast("double"))
     kind = F.when(F.col("sim") >= s.min_best, "near").when(F.col("rate") >= s.core_rate, "core").when(F.col("breadth") >= s.broad_share * F.col("jobs"), "broad")
     order = [F.expr("case kind when 'near' then 0 when 'core' then 1 else 2 end"), F.desc(F.round(F.when(F.col("kind") == "near", F.col("sim")).otherwise(F.col("rate")), 9)), F.col("node")]
     found = lack.withColumn("kind", kind).where("kind is not null")
-    return found.withColumn("place", F.row_number().over(Window.partitionBy("user", "code").orderBy(*order))).where(F.col("place") <= limit).select("user", "code", "node", "kind", "place", F.round("rate", 6).alias("rate"), "breadth")
+    placed = found.withColumn("place", F.row_number().over(Window.partitionBy("user", "code").orderBy(*order))).where(F.col("place") <= limit)
+    columns = ["user", "code", "node", "kind", "place", F.round("rate", 6).alias("rate"), "breadth"]
+    if evidence is not None:
+        placed = placed.join(evidence.where("rank = 1").select("code", "node", F.col("text").alias("quote")), ["code", "node"], "left")
+        columns.append("quote")
+    return placed.select(*columns, *(["sentence", "sim"] if "sentence" in placed.columns else []))
 
 
-def subdivisions(users: DataFrame, targets: DataFrame, fine: DataFrame, limit: int = 3, coarse: int = 4) -> DataFrame:
-    """Finer profiles below each target code (of `coarse` digits), by the user's overlap, then units: an equi join on the prefix."""
+def subdivisions(users: DataFrame, targets: DataFrame, fine: DataFrame, limit: int = 3, coarse: int = 4, min_overlap: int = 2) -> DataFrame:
+    """Finer profiles below each target code (of `coarse` digits) with enough overlap, by the user's overlap, then units: an equi join on the prefix."""
     below = fine.withColumn("parent", F.substring("code", 1, coarse))
     pairs = targets.withColumnRenamed("code", "parent").join(below, "parent")
     mine = users.select("user", "node", F.lit(1).alias("mine")).distinct()
-    scored = pairs.join(mine, ["user", "node"], "left").groupBy("user", "parent", "code").agg(F.count("mine").alias("overlap"), F.max("units").alias("units"))
+    scored = pairs.join(mine, ["user", "node"], "left").groupBy("user", "parent", "code").agg(F.count("mine").alias("overlap"), F.max("units").alias("units")).where(F.col("overlap") >= min_overlap)
     order = Window.partitionBy("user", "parent").orderBy(F.desc("overlap"), F.desc("units"), "code")
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
 

@@ -13,6 +13,7 @@ RESULT = "\\d|결과|성과|개선|단축|증가|감소|달성|수상|배포"
 PARTICLE = "(을|를|이|가|은|는|의|에|로|으로|과|와)$"
 STOP = ("및", "등", "관련", "경험", "이해", "능력", "역량", "보유", "우대", "가능", "업무", "있는", "분", "자", "이상", "대한", "위한", "활용", "기반", "통한")
 KIND_RANK = {"required": 0, "duty": 1, "preferred": 2}
+SENTENCE_END = "(?<=[.!?。])\\s+|\\n+"
 
 
 def header_kind(line: Column) -> Column:
@@ -51,7 +52,8 @@ def rubric_items(docs: DataFrame, most: int = 6) -> DataFrame:
     A line "header: a, b" gives items of the header's kind (a duty if unknown). A short header line
     sets the kind of the bullets and plain lines below it; what follows a bracket in it is an item
     too. Items have 4 to 70 characters, none twice; required ones that name techs come first. A
-    posting without any gets its techs and sentences as requirements.
+    posting without any gets its techs and sentences as requirements, but not what equals its company,
+    role or title (columns corp, role, title, as far as docs have them).
     """
     lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\\r?\\n"), lambda x: F.btrim(F.replace(x, F.lit("\u200b"), F.lit("")))), lambda x: x != "")
     rows = docs.select("doc", "techs", F.posexplode(lines).alias("pos", "line"))
@@ -73,7 +75,9 @@ def rubric_items(docs: DataFrame, most: int = 6) -> DataFrame:
     items = rows.select("doc", "techs", "pos", kind.alias("kind"), F.posexplode(parts).alias("part", "item")).where("kind is not null").withColumn("item", F.btrim("item", F.lit(" -·")))
     good = items.where(F.length("item").between(4, 70) & ~F.col("item").rlike(SKIP))
     fallback = F.concat("techs", F.transform(F.split(F.coalesce("text", F.lit("")), "[\\n.!?。！？]"), lambda x: F.btrim(F.regexp_replace(x, "(?U)\\s+", " "), F.lit(" -·"))))
-    bare = docs.join(good.select("doc").distinct(), "doc", "left_anti").select("doc", "techs", F.posexplode(fallback).alias("pos", "item"))
+    named_by = [c for c in ("corp", "role", "title") if c in docs.columns]
+    without = docs.join(good.select("doc").distinct(), "doc", "left_anti").withColumn("names", F.array(*[F.coalesce(c, F.lit("")) for c in named_by]).cast("array<string>"))
+    bare = without.select("doc", "techs", "names", F.posexplode(fallback).alias("pos", "item")).where(~F.array_contains("names", F.col("item"))).drop("names")
     bare = bare.where(F.length("item").between(4, 70) & ~F.col("item").rlike(SKIP) & ~F.col("item").rlike("20\\d{2}|고용형태|회사명|직무명"))
     every = good.unionByName(bare.withColumns({"kind": F.lit("required"), "part": F.lit(-1)}))
     once = every.withColumn("k", F.row_number().over(Window.partitionBy("doc", "item").orderBy("pos", "part"))).where("k = 1")
@@ -92,8 +96,8 @@ def weights(items: DataFrame) -> DataFrame:
 
 def first_sentence(text: Column, words: Column) -> Column:
     """The first sentence of five characters or more with one of the words, cut at 160."""
-    parts = F.filter(F.split(text, "(?<=[.!?。])\\s+|\\n+"), lambda s: F.length(F.btrim(s)) >= 5)
-    hit = F.filter(parts, lambda s: F.exists(words, lambda w: F.contains(F.lower(s), F.lower(w))))
+    parts = F.filter(F.split(text, SENTENCE_END), lambda s: F.length(F.btrim(s)) >= 5)
+    hit = F.filter(parts, lambda s: F.exists(words, lambda w: (w != "") & F.contains(F.lower(s), F.lower(w))))
     return F.left(F.btrim(F.get(hit, F.lit(0))), F.lit(160))
 
 

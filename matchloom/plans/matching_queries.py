@@ -148,7 +148,7 @@ def gaps_kinds(spark, d):
 
 @register("WITH " + fx.scores_sql() + """
 , pairs2 AS (SELECT usr, left(tg.code, 4) AS parent, prof.code, prof.node, prof.units FROM (SELECT DISTINCT inst AS usr, left(code, 4) AS code FROM items) tg JOIN prof ON left(prof.code, 4) = tg.code),
-so AS (SELECT usr, parent, code, count(us.node) AS overlap, max(units) AS units FROM pairs2 LEFT JOIN us USING (usr, node) GROUP BY ALL)
+so AS (SELECT usr, parent, code, count(us.node) AS overlap, max(units) AS units FROM pairs2 LEFT JOIN us USING (usr, node) GROUP BY ALL HAVING count(us.node) >= 2)
 SELECT usr AS user, parent, code, overlap, units, row_number() OVER (PARTITION BY usr, parent ORDER BY overlap DESC, units DESC, code) AS place FROM so QUALIFY place <= 3""")
 def subdivision_prefix(spark, d):
     items = fx.unit_items(spark, d)
@@ -237,7 +237,7 @@ def loo_sweep(spark, d):
 
 
 CROSS_SQL = """
-, jobs AS (SELECT c_custkey AS usr, c_mktsegment AS job FROM customer SEMI JOIN us ON c_custkey = us.usr),
+, jobs AS (SELECT c_custkey AS usr, c_mktsegment AS job FROM customer WHERE c_custkey IN (SELECT usr FROM us GROUP BY usr HAVING count(*) >= 30)),
 gold AS (SELECT DISTINCT c_mktsegment AS job, left(code, 2) AS major FROM customer JOIN codes USING (c_custkey) WHERE c_acctbal > 9000),
 h AS (SELECT usr, max(CASE WHEN rank = 1 AND score > 0 THEN 1 ELSE 0 END) AS answered, max(CASE WHEN rank = 1 AND gold.job IS NOT NULL THEN 1 ELSE 0 END) AS top1,
   max(CASE WHEN rank <= 3 AND gold.job IS NOT NULL THEN 1 ELSE 0 END) AS top3 FROM rk JOIN jobs USING (usr) LEFT JOIN gold ON gold.job = jobs.job AND gold.major = left(code, 2) GROUP BY usr)
@@ -247,8 +247,9 @@ SELECT job, count(*) AS queries, CAST(sum(coalesce(answered, 0)) AS BIGINT) AS a
 
 @register("WITH " + fx.scores_sql() + CROSS_SQL)
 def cross_eval_major(spark, d):
+    """Users with fewer than 30 nodes are no query."""
     items = fx.unit_items(spark, d)
-    users = fx.users(items)
+    users = evaluate.enough_nodes(fx.users(items), 30)
     customer = fx.table(spark, d, "customer")
     jobs = customer.join(users.select("user").distinct(), F.col("c_custkey") == F.col("user"), "left_semi").select(F.col("c_custkey").alias("user"), F.col("c_mktsegment").alias("job"))
     gold = customer.join(fx.codes(spark, d), "c_custkey").where("c_acctbal > 9000").select(F.col("c_mktsegment").alias("job"), F.substring("code", 1, 2).alias("major")).distinct()
@@ -298,19 +299,19 @@ def score_all_profiles(spark, d):
 
 
 PROOF_SQL = """
-, top20 AS (SELECT code, node FROM prof WHERE rank <= 20)
+, ev0 AS (SELECT DISTINCT code, node FROM items)
 """
 
 
 def _proofs(spark, d):
-    """The profiles and the evidence of their first twenty items."""
+    """The profiles and the evidence of all their items."""
     items = fx.unit_items(spark, d)
     profiles = _profiles(spark, d)
-    return items, profiles, profile.evidence(items, profiles.where("rank <= 20"), TABLES)
+    return items, profiles, profile.evidence(items, profiles, TABLES)
 
 
 @register("WITH " + fx.scores_sql() + PROOF_SQL + """
-, w AS (SELECT usr, prof.* FROM (SELECT DISTINCT inst AS usr, code FROM items) tg JOIN prof USING (code) SEMI JOIN top20 USING (code, node)),
+, w AS (SELECT usr, prof.* FROM (SELECT DISTINCT inst AS usr, code FROM items) tg JOIN prof USING (code) SEMI JOIN ev0 USING (code, node)),
 have AS (SELECT usr, code, 'have' AS side, row_number() OVER (PARTITION BY usr, code ORDER BY round(weight, 9) DESC, node) AS place, node, full_df FROM w SEMI JOIN us USING (usr, node)),
 lack AS (SELECT usr, code, 'lack' AS side, row_number() OVER (PARTITION BY usr, code ORDER BY full_df DESC, node) AS place, node, full_df FROM w ANTI JOIN us USING (usr, node) QUALIFY place <= 10)
 SELECT usr AS user, code, side, place, node, full_df FROM (FROM have UNION ALL FROM lack)""")
@@ -334,16 +335,45 @@ def quote_fallback(spark, d):
     return matching.quotes(pairs, proofs, coarse=4)
 
 
+@register("WITH " + fx.scores_sql(**FOUR_SQL) + """
+, tg AS (SELECT DISTINCT inst AS usr, left(code, 4) AS code FROM items SEMI JOIN (SELECT DISTINCT code FROM prof) p ON left(items.code, 4) = p.code),
+raw AS (SELECT left(code, 4) AS code, node, item, unit FROM items),
+top AS (SELECT code, node, item FROM raw GROUP BY code, node, item QUALIFY row_number() OVER (PARTITION BY code, node ORDER BY count(*) DESC, min(unit), item) <= 3),
+src AS (SELECT DISTINCT code, node, item, unit FROM raw SEMI JOIN top USING (code, node, item) QUALIFY dense_rank() OVER (PARTITION BY code, node, item ORDER BY unit) <= 3),
+w AS (SELECT usr, prof.* FROM tg JOIN prof USING (code) SEMI JOIN top USING (code, node)),
+have AS (SELECT usr, code, node FROM w SEMI JOIN us USING (usr, node)),
+lack AS (SELECT usr, code, least(count(*), 10) AS n FROM w ANTI JOIN us USING (usr, node) GROUP BY ALL),
+dc AS (SELECT usr, code, unit AS doc, row_number() OVER (PARTITION BY usr, code ORDER BY count(DISTINCT node) DESC, unit) AS place FROM have JOIN src USING (code, node) GROUP BY usr, code, unit QUALIFY place <= 3),
+po AS (SELECT usr, code, string_agg(CAST(doc AS VARCHAR), '|' ORDER BY place) AS postings FROM dc GROUP BY ALL),
+fin AS (SELECT code, node, count(DISTINCT unit) AS n FROM items GROUP BY ALL),
+fu AS (SELECT code, count(DISTINCT unit) AS units FROM items GROUP BY ALL),
+so AS (SELECT tg.usr, tg.code AS parent, fin.code, count(*) AS overlap FROM tg JOIN fin ON left(fin.code, 4) = tg.code JOIN us ON us.usr = tg.usr AND us.node = fin.node GROUP BY ALL HAVING count(*) >= 2),
+sl AS (SELECT usr, parent, code || ':' || overlap || ':' || units AS line, row_number() OVER (PARTITION BY usr, parent ORDER BY overlap DESC, units DESC, code) AS place FROM so JOIN fu USING (code) QUALIFY place <= 3),
+sd AS (SELECT usr, parent AS code, string_agg(line, '|' ORDER BY place) AS subdivisions FROM sl GROUP BY ALL)
+SELECT usr AS user, code, units, round(coalesce(hit.score, 0), 6) AS score, (SELECT count(*) FROM have h WHERE h.usr = tg.usr AND h.code = tg.code) AS have, coalesce(lack.n, 0) AS lack, postings, subdivisions
+FROM tg JOIN kept USING (code) LEFT JOIN hit USING (usr, code) LEFT JOIN lack USING (usr, code) LEFT JOIN po USING (usr, code) LEFT JOIN sd USING (usr, code)""")
+def match_heads(spark, d):
+    """Each user with the profile of their own nation; the finer codes are all six-digit ones."""
+    items = fx.unit_items(spark, d)
+    profiles = _profiles(spark, d, FOUR)
+    targets = fx.home(items, 4).join(profiles.select("code").distinct(), "code", "left_semi")
+    units = items.groupBy("code").agg(F.countDistinct("unit").alias("units"))
+    fine = items.select("code", "node").distinct().join(units, "code")
+    found = matching.match_summary(fx.users(items), targets, profiles, profile.evidence(items, profiles, FOUR), fine)
+    return found.withColumns({"score": F.round("score", 6), "postings": F.array_join(F.col("postings").cast("array<string>"), "|"), "subdivisions": F.array_join("subdivisions", "|")})
+
+
 @register("WITH " + fx.scores_sql(**FOUR_SQL) + """
 , tg AS (SELECT DISTINCT inst AS usr, left(code, 4) AS code FROM items),
-near AS (SELECT usr, p.node, least(0.3 + 0.05 * n, 1.0) AS sim FROM (SELECT usr, split_part(node, '|', 1) AS brand, count(*) AS n FROM us GROUP BY ALL) b JOIN (SELECT DISTINCT node FROM prof) p ON split_part(p.node, '|', 1) = b.brand),
+near AS (SELECT usr, p.node, least(0.3 + 0.05 * n, 1.0) AS sim, b.brand || ' ' || n AS sentence FROM (SELECT usr, split_part(node, '|', 1) AS brand, count(*) AS n FROM us GROUP BY ALL) b JOIN (SELECT DISTINCT node FROM prof) p ON split_part(p.node, '|', 1) = b.brand),
 w AS (SELECT usr, prof.* FROM tg JOIN prof USING (code)),
 pool AS (SELECT *, row_number() OVER (PARTITION BY usr, code ORDER BY full_df DESC, node) AS k FROM w ANTI JOIN us USING (usr, node)),
-ev AS (SELECT DISTINCT code, node FROM prof WHERE rank <= 30),
+raw AS (SELECT left(code, 4) AS code, node, item, unit FROM items),
+ev AS (SELECT code, node, item AS quote FROM raw GROUP BY code, node, item QUALIFY row_number() OVER (PARTITION BY code, node ORDER BY count(*) DESC, min(unit), item) = 1),
 br AS (SELECT node, count(DISTINCT code) AS breadth FROM prof GROUP BY ALL),
-g AS (SELECT usr, code, node, full_df / units AS rate, breadth, sim, CASE WHEN sim >= 0.45 THEN 'near' WHEN full_df / units >= 0.05 THEN 'core' WHEN breadth >= 0.08 * (SELECT count(DISTINCT code) FROM prof) THEN 'broad' END AS kind
-  FROM pool SEMI JOIN ev USING (code, node) JOIN br USING (node) LEFT JOIN near USING (usr, node) WHERE k <= 40)
-SELECT usr AS user, code, node, kind, round(rate, 6) AS rate, breadth, row_number() OVER (PARTITION BY usr, code ORDER BY CASE kind WHEN 'near' THEN 0 WHEN 'core' THEN 1 ELSE 2 END, round(CASE WHEN kind = 'near' THEN sim ELSE rate END, 9) DESC, node) AS place
+g AS (SELECT usr, code, node, full_df / units AS rate, breadth, sim, sentence, quote, CASE WHEN sim >= 0.45 THEN 'near' WHEN full_df / units >= 0.05 THEN 'core' WHEN breadth >= 0.08 * (SELECT count(DISTINCT code) FROM prof) THEN 'broad' END AS kind
+  FROM pool JOIN ev USING (code, node) JOIN br USING (node) LEFT JOIN near USING (usr, node) WHERE k <= 40)
+SELECT usr AS user, code, node, kind, round(rate, 6) AS rate, breadth, row_number() OVER (PARTITION BY usr, code ORDER BY CASE kind WHEN 'near' THEN 0 WHEN 'core' THEN 1 ELSE 2 END, round(CASE WHEN kind = 'near' THEN sim ELSE rate END, 9) DESC, node) AS place, quote, sentence, sim
 FROM g WHERE kind IS NOT NULL QUALIFY place <= 6""")
 def gaps_near_proved(spark, d):
     """With similarities (the more of a brand the user has, the nearer its other parts) and the grounding rule."""
@@ -352,6 +382,6 @@ def gaps_near_proved(spark, d):
     profiles, users = _profiles(spark, d, s), fx.users(items)
     brand = F.split_part("node", F.lit("|"), F.lit(1))
     mine = users.groupBy("user", brand.alias("brand")).agg(F.count(F.lit(1)).alias("n"))
-    near = mine.join(profiles.select("node", brand.alias("brand")).distinct(), "brand").select("user", "node", F.least(0.3 + 0.05 * F.col("n"), F.lit(1.0)).alias("sim"))
-    proofs = profile.evidence(items, profiles.where("rank <= 30"), s)
+    near = mine.join(profiles.select("node", brand.alias("brand")).distinct(), "brand").select("user", "node", F.least(0.3 + 0.05 * F.col("n"), F.lit(1.0)).alias("sim"), F.concat_ws(" ", "brand", F.col("n").cast("string")).alias("sentence"))
+    proofs = profile.evidence(items, profiles, s)
     return matching.gaps(users, fx.home(items, 4), profiles, s, near=near, evidence=proofs)

@@ -364,20 +364,24 @@ def query_minimum(spark, d):
 
 
 @register("WITH " + fx.scores_sql() + """
-, raw AS (SELECT code, node, item, unit FROM items SEMI JOIN (SELECT code, node FROM prof WHERE rank <= 20) USING (code, node)),
+, raw AS (SELECT code, node, item, unit FROM items SEMI JOIN prof USING (code, node)),
 ev AS (SELECT code, node, item, row_number() OVER (PARTITION BY code, node ORDER BY count(*) DESC, min(unit), item) AS rank FROM raw GROUP BY code, node, item QUALIFY rank <= 2),
 qt AS (SELECT code, node, string_agg(CAST(item AS VARCHAR), '|' ORDER BY rank) AS quotes FROM ev GROUP BY ALL),
-w AS (SELECT usr, prof.* FROM (SELECT DISTINCT inst AS usr, code FROM items) tg JOIN prof USING (code) WHERE prof.rank <= 20),
-have AS (SELECT usr, code, 'have' AS side, row_number() OVER (PARTITION BY usr, code ORDER BY round(weight, 9) DESC, node) AS place, node, full_df FROM w SEMI JOIN us USING (usr, node)),
+w AS (SELECT usr, prof.* FROM (SELECT DISTINCT inst AS usr, code FROM items) tg JOIN prof USING (code)),
+st AS (SELECT inst AS usr, node, unit, item, round(1 - 1.0 / (1 + count(*)), 6) AS sim FROM items WHERE item % 7 <> 0 GROUP BY ALL),
+sd AS (SELECT usr, node, unit || ':' || item AS sentence, sim FROM st QUALIFY row_number() OVER (PARTITION BY usr, node ORDER BY sim DESC, unit || ':' || item) = 1),
+have AS (SELECT usr, code, 'have' AS side, row_number() OVER (PARTITION BY usr, code ORDER BY round(weight, 9) DESC, node) AS place, node, full_df FROM w SEMI JOIN sd USING (usr, node)),
 lack AS (SELECT usr, code, 'lack' AS side, row_number() OVER (PARTITION BY usr, code ORDER BY full_df DESC, node) AS place, node, full_df FROM w ANTI JOIN us USING (usr, node) QUALIFY place <= 10)
-SELECT usr AS user, code, side, place, node, full_df, quotes, n_name AS description FROM (FROM have UNION ALL FROM lack) JOIN qt USING (code, node) LEFT JOIN nation ON lpad(CAST(n_nationkey AS VARCHAR), 2, '0') = substr(code, 3, 2)""")
+SELECT usr AS user, code, side, place, node, full_df, quotes, sentence, sim, n_name AS description FROM (FROM have UNION ALL FROM lack) JOIN qt USING (code, node) LEFT JOIN sd USING (usr, node) LEFT JOIN nation ON lpad(CAST(n_nationkey AS VARCHAR), 2, '0') = substr(code, 3, 2)""")
 def compare_quoted(spark, d):
     items = fx.unit_items(spark, d)
     profiles = _profiles(spark, d)
-    proofs = profile.reused(profile.evidence(items, profiles.where("rank <= 20"), TABLES))
+    proofs = profile.reused(profile.evidence(items, profiles, TABLES))
+    mine = items.where("item % 7 <> 0").groupBy(F.col("inst").alias("user"), "node", "unit", "item").agg(F.round(1 - 1 / (1 + F.count(F.lit(1))), 6).alias("sim"))
+    said = mine.select("user", "node", F.concat_ws(":", F.col("unit").cast("string"), F.col("item").cast("string")).alias("sentence"), "sim")
     named = fx.table(spark, d, "nation").select(F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("nation"), F.col("n_name").alias("description"))
     about = profiles.select("code").distinct().withColumn("nation", F.substring("code", 3, 2)).join(named, "nation")
-    found = matching.compare(fx.users(items), fx.home(items), profiles, proofs, about)
+    found = matching.compare(fx.users(items), fx.home(items), profiles, proofs, about, said=said)
     return found.withColumn("quotes", _joined(F.col("quotes").cast("array<string>")))
 
 

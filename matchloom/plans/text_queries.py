@@ -239,11 +239,16 @@ def grounded_turns(spark, d):
     return _turns(spark, d).select("conv_id", "turn", X.grounded(F.col("text"), F.col("before")).alias("grounded"))
 
 
-@register(rf"""WITH {PREV_SQL}, w AS (SELECT conv_id, turn, trim(regexp_replace(regexp_extract(text, '^[^.!?\n]*'), '\s+', ' ', 'g')) AS q, trim(regexp_replace(before, '\s+', ' ', 'g')) AS s FROM pv WHERE before IS NOT NULL)
-SELECT conv_id, turn, length(q) >= 4 AND contains(s, q) AS verified FROM w""")
+# Own and foreign first sentences, bare and in several kinds of quotation marks; some too short once the marks are off.
+@register(rf"""WITH {PREV_SQL}, w AS (SELECT conv_id, turn, trim(regexp_replace(before, '\s+', ' ', 'g')) AS s,
+  unnest([(0, regexp_extract(text, '^[^.!?\n]*')), (1, regexp_extract(before, '^[^.!?\n]*')), (2, regexp_extract(before, '^[^.!?\n]*')), (3, left(regexp_extract(before, '^[^.!?\n]*'), 3))]) AS x FROM pv WHERE before IS NOT NULL),
+v AS (SELECT conv_id, turn, x[1] AS kind, s, trim(regexp_replace(x[2], '\s+', ' ', 'g')) AS q FROM w)
+SELECT conv_id, turn, kind, length(q) >= 4 AND contains(s, q) AS verified FROM v""")
 def quotes_verified(spark, d):
-    quote = F.regexp_extract("text", r"^[^.!?\n]*", 0)
-    return _turns(spark, d).select("conv_id", "turn", X.quote_verified(quote, F.col("before")).alias("verified"))
+    first = lambda c: F.regexp_extract(c, r"^[^.!?\n]*", 0)
+    told = [first("text"), F.concat(F.lit("“"), first("before"), F.lit("”")), F.concat(F.lit(" '\""), first("before"), F.lit("\u200b\"’")), F.concat(F.lit("‘"), F.left(first("before"), F.lit(3)), F.lit("’"))]
+    kinds = F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), q.alias("quote")) for i, q in enumerate(told)]))
+    return _turns(spark, d).select("conv_id", "turn", "before", kinds.alias("x")).select("conv_id", "turn", "x.kind", X.quote_verified(F.col("x.quote"), F.col("before")).alias("verified"))
 
 
 @register("""WITH ix AS (SELECT n_nationkey AS pos, lpad(CAST(n_regionkey AS VARCHAR), 2, '0') || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS code, n_name AS iname FROM nation),

@@ -107,7 +107,7 @@ NAMES = ("the/of", "thing, ertion", "der die", "que", "a")
 COVER_SQL = f"""
 wn AS (SELECT DISTINCT conv_id AS posting, unnest({list(NAMES)!r}) AS competency FROM conversations),
 tk AS (SELECT posting, competency, unnest(list_distinct(list_filter(string_split_regex(regexp_replace(lower(competency), '[/,]', ' ', 'g'), '\\s+'), lambda t: length(t) >= 2))) AS token FROM wn),
-told AS (SELECT conv_id AS posting, turn AS pos, role AS question, lower(text) AS answer FROM conversations WHERE trim(text) <> ''),
+told AS (SELECT conv_id AS posting, turn AS pos, role AS question, lower(text) AS answer, text FROM conversations WHERE trim(text) <> ''),
 ht AS (SELECT posting, competency, token, min(pos) AS pos FROM tk JOIN told USING (posting) WHERE contains(answer, token) GROUP BY ALL),
 cv AS (SELECT wn.posting, wn.competency, count(tk.token) AS tokens, count(ht.token) AS hit, min(ht.pos) AS pos FROM wn LEFT JOIN tk USING (posting, competency) LEFT JOIN ht USING (posting, competency, token) GROUP BY ALL),
 cov AS (SELECT cv.posting, competency, CASE WHEN hit = 0 THEN 'missing' WHEN hit = tokens THEN 'covered' ELSE 'partial' END AS status, cv.pos FROM cv)
@@ -121,7 +121,11 @@ def _coverage(spark, d):
     return assist.coverage(wanted, sections)
 
 
-@register(f"WITH {COVER_SQL} SELECT cov.posting, competency, status, question AS section FROM cov LEFT JOIN (SELECT posting, pos, min(question) AS question FROM told GROUP BY ALL) t ON cov.posting = t.posting AND cov.pos = t.pos")
+# The first line of the first section, with the first of the name's tokens in their order that the section has.
+@register(f"""WITH {COVER_SQL},
+ft AS (SELECT cov.posting, competency, status, t.question, t.text, list_filter(list_filter(string_split_regex(regexp_replace(lower(competency), '[/,]', ' ', 'g'), '\\s+'), lambda x: length(x) >= 2), lambda x: contains(t.answer, x))[1] AS token
+  FROM cov LEFT JOIN told t ON cov.posting = t.posting AND cov.pos = t.pos)
+SELECT posting, competency, status, question AS section, trim(list_filter(string_split(text, chr(10)), lambda x: contains(lower(x), token))[1]) AS evidence FROM ft""")
 def coverage_tokens(spark, d):
     return _coverage(spark, d)
 
@@ -188,14 +192,15 @@ def interview_last_answer(spark, d):
     return persona.last_answers(log)
 
 
-@register("""WITH h AS (SELECT o_custkey AS inst, count(*) AS have FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL),
-r AS (SELECT c_mktsegment AS cat, c_custkey AS inst, o_orderkey AS pos, coalesce(have, 0) AS have FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN h ON h.inst = c_custkey WHERE o_orderstatus <> 'F')
-SELECT cat, inst, pos, row_number() OVER (PARTITION BY cat ORDER BY have, inst, pos) AS turn, min(pos) OVER (PARTITION BY cat) AS seen FROM r""")
+@register("""WITH h AS (SELECT o_orderpriority AS cat, o_custkey AS inst, count(*) AS have FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL),
+r AS (SELECT o_orderpriority AS cat, o_custkey AS inst, o_orderkey AS pos, coalesce((SELECT have FROM h WHERE h.cat = o_orderpriority AND h.inst = o_custkey), 0) AS have FROM orders WHERE o_orderstatus <> 'F'),
+k AS (SELECT * FROM r WHERE have < 2)
+SELECT cat, inst, pos, row_number() OVER (PARTITION BY cat ORDER BY have, inst, pos) AS turn, min(pos) OVER (PARTITION BY cat) AS seen FROM k""")
 def interleave_queue(spark, d):
-    orders = fx.table(spark, d, "orders")
-    have = orders.where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("inst")).agg(F.count(F.lit(1)).alias("have"))
-    rows = orders.where("o_orderstatus <> 'F'").join(fx.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("cat"), F.col("c_custkey").alias("inst"), F.col("o_orderkey").alias("pos"))
-    return corpus.interleaved(rows, have)
+    """A customer has orders of several priorities: what is held of one doesn't count for another."""
+    orders = fx.table(spark, d, "orders").select("o_orderstatus", F.col("o_orderpriority").alias("cat"), F.col("o_custkey").alias("inst"), F.col("o_orderkey").alias("pos"))
+    have = orders.where("o_orderstatus = 'F'").groupBy("cat", "inst").agg(F.count(F.lit(1)).alias("have"))
+    return corpus.interleaved(orders.where("o_orderstatus <> 'F'").select("cat", "inst", "pos"), have, 2)
 
 
 @register("SELECT o_custkey AS owner, o_orderkey AS posting, CAST(spent AS BIGINT) AS spent FROM (SELECT *, sum(l_n) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS spent FROM orders JOIN (SELECT l_orderkey, count(*) AS l_n FROM lineitem GROUP BY ALL) ON o_orderkey = l_orderkey) WHERE spent <= 20")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -57,25 +58,25 @@ def drift_history(target: str, key: str) -> Callable[[DataFrame, int], None]:
 
 
 def interviews(answers: DataFrame, items: list[tuple[str, list[str]]], action: str = persona.ACTION, result: str = persona.RESULT) -> DataFrame:
-    """(session, seq, item, score, next) for a stream of answers (session, seq, answer): a session walks through `items` (label, keywords).
+    """(session, seq, item, score, next) of answers (session, seq, answer), a stream or a table: a session walks through `items` (label, keywords).
 
-    An answer is scored together with those before it to the same item: a keyword, an action, a
-    result. Under two points the item is asked once more (followup), else the session goes on
-    (main), until no item is left (done); answers after that count for nothing. Answers of one
-    session are taken by seq within a micro-batch. The state is the item's number, whether it is
-    asked again, and the text so far. On a batch table it is one micro-batch.
+    An answer is scored together with those before it to the same item: a sentence of five
+    characters or more with a keyword, an action, a result. Under two points the item is asked once
+    more (followup), else the session goes on (main), until no item is left (done); answers after
+    that count for nothing. On a stream, answers of one session are taken by seq within a
+    micro-batch, and the state is the item's number, whether it is asked again, and the text so far.
     """
-    import re
-
     acts, results = re.compile(action), re.compile(result)
 
     def score(text: str, words: list[str]) -> int:
-        return sum((any(w.lower() in text.lower() for w in words), bool(acts.search(text)), bool(results.search(text))))
+        said = [s.lower() for s in re.split(persona.SENTENCE_END, text) if len(s.strip()) >= 5]
+        return sum((any(w and w.lower() in s for s in said for w in words), bool(acts.search(text)), bool(results.search(text))))
+
+    columns = ["session", "seq", "item", "score", "next"]
 
-    def walk(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, again, text = state.get if state.exists else (0, False, "")
+    def walk(session, answers: list[tuple[int, str]], at: int, again: bool, text: str) -> tuple[list[tuple], tuple[int, bool, str]]:
         out = []
-        for seq, answer in sorted((s, a) for pdf in parts for s, a in zip(pdf["seq"].tolist(), pdf["answer"].fillna("").tolist())):
+        for seq, answer in sorted(answers):
             if at >= len(items):
                 break
             label, words = items[at]
@@ -85,12 +86,26 @@ def interviews(answers: DataFrame, items: list[tuple[str, list[str]]], action: s
                 again, then = True, "followup"
             else:
                 at, again, then = at + 1, False, "main" if at + 1 < len(items) else "done"
-            out.append((key[0], seq, label, points, then))
-        state.update((at, again, text))
-        yield pd.DataFrame(out, columns=["session", "seq", "item", "score", "next"])
+            out.append((session, seq, label, points, then))
+        return out, (at, again, text)
+
+    def said(pdf: pd.DataFrame) -> list[tuple[int, str]]:
+        return list(zip(pdf["seq"].tolist(), pdf["answer"].fillna("").tolist()))
+
+    def live(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out, after = walk(key[0], [a for pdf in parts for a in said(pdf)], *(state.get if state.exists else (0, False, "")))
+        state.update(after)
+        yield pd.DataFrame(out, columns=columns)
+
+    def whole(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(walk(key[0], said(pdf), 0, False, "")[0], columns=columns)
 
     kind = answers.schema["session"].dataType.simpleString()
-    return answers.groupBy("session").applyInPandasWithState(walk, f"session {kind}, seq long, item string, score int, next string", "at int, again boolean, text string", "append", GroupStateTimeout.NoTimeout)
+    schema = f"session {kind}, seq long, item string, score int, next string"
+    sessions = answers.select("session", "seq", "answer").groupBy("session")
+    if answers.isStreaming:
+        return sessions.applyInPandasWithState(live, schema, "at int, again boolean, text string", "append", GroupStateTimeout.NoTimeout)
+    return sessions.applyInPandas(whole, schema)
 
 
 def latest_per_day(path: str) -> Callable[[DataFrame, int], None]:

@@ -183,7 +183,29 @@ def test_stream_interviews(spark, tmp_path):
     source = stream(spark, None, "session long, seq long, answer string", tmp_path, [[(1, 1, "SQL"), (2, 1, "제가 SQL 로 개선")], [(1, 2, "제가 했고 결과가 좋음"), (1, 3, "팀"), (2, 2, None)], [(1, 4, "아니요"), (1, 5, "더")]])
     rows = []
     run(snapshots.interviews(source, items), lambda batch, _: rows.extend(tuple(r) for r in batch.collect()), tmp_path)
-    assert sorted(rows) == [(1, 1, "sql", 1, "followup"), (1, 2, "sql", 3, "main"), (1, 3, "team", 1, "followup"), (1, 4, "team", 1, "done"), (2, 1, "sql", 3, "main"), (2, 2, "team", 0, "followup")]
+    want = [(1, 1, "sql", 0, "followup"), (1, 2, "sql", 2, "main"), (1, 3, "team", 0, "followup"), (1, 4, "team", 0, "done"), (2, 1, "sql", 3, "main"), (2, 2, "team", 0, "followup")]
+    assert sorted(rows) == want
+    table = spark.createDataFrame([(1, 1, "SQL"), (2, 1, "제가 SQL 로 개선"), (1, 5, "더"), (1, 2, "제가 했고 결과가 좋음"), (1, 3, "팀"), (2, 2, None), (1, 4, "아니요")], "session long, seq long, answer string")
+    assert sorted(tuple(r) for r in snapshots.interviews(table, items).collect()) == want
+
+
+@pytest.mark.parametrize(("answer", "score"), [("SQL", 0), ("SQL 씀", 1), ("긴 문장입니다. SQL", 0), ("제가 SQL 을 3번 썼습니다.", 3), ("", 0)])
+def test_interview_rule_is_one(spark, answer, score):
+    """The walk and the fold score alike: a sentence of five characters or more has to hold the keyword."""
+    walked = snapshots.interviews(spark.createDataFrame([(1, 1, answer)], "session long, seq long, answer string"), [("sql", ["SQL"])]).head().score
+    told = persona.interview_scores(spark.createDataFrame([(1, "sql", 1, answer, ["SQL"])], "session long, item string, seq long, answer string, words array<string>")).head().score
+    assert walked == told == score
+
+
+@pytest.mark.parametrize(("quote", "good"), [("“led the data team”", True), ("'led  the data'", True), ("‘led’", False), ('"led the Data"', False), (None, False), ("the \u200bdata", True)])
+def test_quote_marks(spark, quote, good):
+    df = spark.createDataFrame([(quote, "She led the\ndata team.")], "q string, s string")
+    assert bool(df.select(X.quote_verified(F.col("q"), F.col("s")).alias("v")).head().v) is good
+
+
+def test_rubric_fallback_leaves_out_names(spark):
+    docs = spark.createDataFrame([(1, "한빛회사\n데이터 분석가\n여러 문장을 씁니다. 한빛회사", ["Python"], "한빛회사", "데이터 분석가", None)], "doc long, text string, techs array<string>, corp string, role string, title string")
+    assert [r.jd_quote for r in persona.rubric_items(docs).orderBy("place").collect()] == ["Python", "여러 문장을 씁니다"]
 
 
 def test_late_once(spark, tmp_path):
