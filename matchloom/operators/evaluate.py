@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.operators import matching, profile
+from matchloom.operators import profile, topk
 from matchloom.settings import Settings
 
 
@@ -97,7 +97,7 @@ def enough_nodes(users: DataFrame, least: int = 3) -> DataFrame:
 def cross_hits(ranked: DataFrame, queries: DataFrame, gold: DataFrame) -> DataFrame:
     """By job: queries, answered (a positive top score), Top-1 and Top-3 hits of the gold majors.
 
-    `queries` (user, job) are those that count: take them from users that `enough_nodes` keeps.
+    `ranked` holds ranks up to 3 at least. `queries` (user, job) are those that count: take them from users that `enough_nodes` keeps.
     """
     hit = ranked.withColumn("major", F.substring("code", 1, 2)).join(gold.withColumn("good", F.lit(1)), ["job", "major"], "left")
     by_query = hit.groupBy("user").agg(
@@ -116,7 +116,7 @@ def user_set(nodes: DataFrame, queries: DataFrame, profiles: DataFrame, gold: Da
     count among the queries only. Where no profile holds a sentence's nodes, codes rank by themselves.
     """
     read = nodes.select("user").distinct()
-    best = matching.ranked(matching.scores(nodes, profiles), profiles).where("rank <= 3").select("user", "code", "rank")
+    best = topk.best_profiles(nodes, profiles, 3).select("user", "code", "rank")
     codes = profiles.select("code").distinct().withColumn("nth", F.row_number().over(Window.orderBy("code")))  # one row for each category
     # Ranks that no scored pair holds belong to the first codes that aren't scored for the sentence.
     first = read.join(F.broadcast(codes.where("nth <= 6").select("code")), F.lit(True)).join(best.select("user", "code"), ["user", "code"], "left_anti")

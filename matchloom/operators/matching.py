@@ -46,14 +46,18 @@ def reverse(users: DataFrame, profiles: DataFrame, limit: int = 5, min_overlap:
 
     `exclude` (user, code) leaves pairs out before ranking. The pre-limit comes before the filter.
     """
-    first = ranked(scores(users, profiles), profiles, exclude).where(F.col("rank") <= limit * 4).where(F.col("overlap") >= min_overlap)
+    from matchloom.operators.topk import best_profiles
+
+    first = best_profiles(users, profiles, limit * 4, exclude).where(F.col("overlap") >= min_overlap)
     again = Window.partitionBy("user").orderBy("rank")
     return first.withColumn("place", F.row_number().over(again)).where(F.col("place") <= limit)
 
 
 def unexpected(users: DataFrame, profiles: DataFrame, seen: DataFrame, limit: int = 3, min_overlap: int = 2) -> DataFrame:
     """Profiles of majors (two digits) that the user has not seen; limit * 32 ranked before the filters."""
-    wide = ranked(scores(users, profiles), profiles).where(F.col("rank") <= limit * 8 * 4).where(F.col("overlap") >= min_overlap)
+    from matchloom.operators.topk import best_profiles
+
+    wide = best_profiles(users, profiles, limit * 8 * 4).where(F.col("overlap") >= min_overlap)
     cut = wide.withColumn("k", F.row_number().over(Window.partitionBy("user").orderBy("rank"))).where(F.col("k") <= limit * 8)
     other = cut.withColumn("major", F.substring("code", 1, 2)).join(seen, ["user", "major"], "left_anti")
     return other.withColumn("place", F.row_number().over(Window.partitionBy("user").orderBy("rank"))).where(F.col("place") <= limit)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from matchloom.operators import evaluate, matching, profile
+from matchloom.operators import evaluate, matching, profile, topk
 from matchloom.plans import fixtures as fx
 from matchloom.plans.catalogue import register
 from matchloom.settings import TABLES, Settings
@@ -82,7 +82,7 @@ def evidence_top_quotes(spark, d):
 def score_rank(spark, d):
     items = fx.unit_items(spark, d)
     profiles = _profiles(spark, d)
-    found = matching.ranked(matching.scores(fx.users(items), profiles), profiles).where("rank <= 10")
+    found = topk.best_profiles(fx.users(items), profiles, 10)
     return found.select("user", "code", "rank", "overlap", F.round("score", 6).alias("score"))
 
 
@@ -254,7 +254,7 @@ def cross_eval_major(spark, d):
     jobs = customer.join(users.select("user").distinct(), F.col("c_custkey") == F.col("user"), "left_semi").select(F.col("c_custkey").alias("user"), F.col("c_mktsegment").alias("job"))
     gold = customer.join(fx.codes(spark, d), "c_custkey").where("c_acctbal > 9000").select(F.col("c_mktsegment").alias("job"), F.substring("code", 1, 2).alias("major")).distinct()
     profiles = _profiles(spark, d)
-    ranked = matching.ranked(matching.scores(users, profiles), profiles).join(jobs, "user")
+    ranked = topk.best_profiles(users, profiles, 3).join(jobs, "user")
     return evaluate.cross_hits(ranked, jobs, gold)
 
 
