@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Marks that names write in different ways.
-DOTS = r"[·․‧∙・,]"
+# Fixed value: marks that names write in different ways.
+DOTS = r"[·․‧∙・･ㆍ⋅ž,]"
 
 
 def plain_name(name: Column) -> Column:
@@ -52,3 +52,84 @@ def vote(cells: DataFrame) -> DataFrame:
 def inverted(pairs: DataFrame, key: str, value: str) -> DataFrame:
     """Sorted distinct values of each key (an export of sets as lists)."""
     return pairs.select(key, value).distinct().groupBy(key).agg(F.sort_array(F.collect_list(value)).alias("values"))
+
+
+# A code before a name, headers of the levels, a code and its name in one cell.
+LEAD_CODE = r"^\s*(\d{2})\s*[.．·:]?\s*"
+HEAD_MAJOR = r"^\s*대\s*분\s*류\s*$"
+HEAD_OTHER = r"^\s*[중소세]\s*분\s*류\s*$"
+PAIRED = r"(\d{2})\s*[.．·]\s*([가-힣][가-힣A-Za-z·.ㆍ,／/\s]{1,24})"
+
+
+def table_cells(docs: DataFrame, most: int | None = 80) -> DataFrame:
+    """(doc, i, cell) of docs (doc, region): the filled lines of a classification table, the first `most` of them (None: all)."""
+    filled = F.filter(F.transform(F.split(F.coalesce("region", F.lit("")), r"\r?\n"), lambda c: F.regexp_replace(c, r"^(?U)\s+|\s+$", "")), lambda c: c != "")
+    return docs.select("doc", F.posexplode(filled if most is None else F.slice(filled, 1, most)).alias("i", "cell"))
+
+
+def without_code(cell: Column) -> Column:
+    return plain_name(F.regexp_replace(cell, LEAD_CODE, ""))
+
+
+def majors(cells: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """(doc, major): the two-digit code that a table names, by the first of four rules that finds one.
+
+    A code and its own name in one cell; a cell that is a name; the code in the cell behind the
+    header of the first level; the code in the cell behind the last header. Within a rule the first cell wins.
+    """
+    top = taxonomy.where(F.length("code") == 2).select("code", plain_name(F.col("name")).alias("key"))
+    by_name = top.groupBy("key").agg(F.max("code").alias("code"))
+    both = F.arrays_zip(F.regexp_extract_all("cell", F.lit(PAIRED), 1).alias("c"), F.regexp_extract_all("cell", F.lit(PAIRED), 2).alias("n"))
+    paired = cells.select("doc", "i", F.posexplode(both).alias("k", "p")).select("doc", "i", "k", F.col("p.c").alias("code"), plain_name(F.col("p.n")).alias("key")).join(top, ["code", "key"])
+    named = cells.withColumn("key", without_code(F.col("cell"))).join(by_name, "key")
+    order = Window.partitionBy("doc").orderBy("i")
+    is_major, is_head = F.col("cell").rlike(HEAD_MAJOR), F.col("cell").rlike(HEAD_MAJOR) | F.col("cell").rlike(HEAD_OTHER)
+    ahead = cells.withColumn("next", F.lead("cell").over(order)).withColumn("code", F.regexp_extract("next", LEAD_CODE, 1))
+    last_head = F.max(F.when(is_head, F.col("i"))).over(Window.partitionBy("doc"))
+    coded = ahead.withColumn("last", last_head).where("code <> ''").join(top.select("code"), "code", "left_semi")
+    found = [
+        paired.select("doc", F.lit(1).alias("rule"), "i", "k", "code"),
+        named.select("doc", F.lit(2).alias("rule"), "i", F.lit(0).alias("k"), "code"),
+        coded.where(is_major & ~F.col("next").rlike(HEAD_OTHER)).select("doc", F.lit(3).alias("rule"), "i", F.lit(0).alias("k"), "code"),
+        coded.where(F.col("i") == F.col("last")).select("doc", F.lit(4).alias("rule"), "i", F.lit(0).alias("k"), "code"),
+    ]
+    every = found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+    return every.groupBy("doc").agg(F.min(F.struct("rule", "i", "k", "code")).alias("m")).select("doc", F.col("m.code").alias("major"), F.col("m.rule").alias("rule"))
+
+
+def name_codes(keys: DataFrame, taxonomy: DataFrame, levels: tuple[int, ...] = (8, 6, 4)) -> DataFrame:
+    """(key, level, pos, code): all codes of a level that a normal form (key) names, else those of the first name one letter off.
+
+    `taxonomy` (pos, code, name); pos is the order of the names.
+    """
+    known = taxonomy.withColumn("level", F.length("code")).where(F.col("level").isin(*levels)).select("level", "pos", "code", plain_name(F.col("name")).alias("known"))
+    asked = keys.select("key").distinct().where(F.length("key") >= 2)
+    exact = asked.join(known, F.col("key") == F.col("known")).select("key", "level", "pos", "code")
+    names = known.groupBy("level", "known").agg(F.min("pos").alias("first"))
+    halves = lambda c: F.explode(F.array(*[F.struct(F.lit(i).alias("part"), F.length(c).alias("n"), p.alias("text")) for i, p in enumerate((F.left(c, F.floor(F.length(c) / 2).cast("int")), F.right(c, F.ceil(F.length(c) / 2).cast("int"))))]))
+    near = asked.where(F.length("key") >= 5).withColumn("h", halves(F.col("key"))).join(names.withColumn("g", halves(F.col("known"))), F.col("h") == F.col("g"))
+    near = near.where(one_letter_off(F.col("key"), F.col("known"))).join(exact.select("key", "level").distinct(), ["key", "level"], "left_anti")
+    nearest = near.groupBy("key", "level").agg(F.min(F.struct("first", "known")).alias("m")).select("key", "level", F.col("m.known").alias("known"))
+    return exact.unionByName(nearest.join(known, ["level", "known"]).select("key", "level", "pos", "code"))
+
+
+def resolve(docs: DataFrame, taxonomy: DataFrame, most: int | None = 80) -> DataFrame:
+    """(doc, code, level, how) of classification tables (doc, region, hint): the code that most of a table's cells name.
+
+    The major is that of `hint` (a name, or null), else what `majors` finds. Under it, the deepest
+    level at which any cell names a code decides (how: name); of its codes the most frequent, the
+    first seen of equals. Without such a cell the major alone stands (major, level 2), without that
+    nothing (none; empty for tables without text).
+    """
+    cells = table_cells(docs, most)
+    top = taxonomy.where(F.length("code") == 2).groupBy(plain_name(F.col("name")).alias("key")).agg(F.max("code").alias("hinted"))
+    told = docs.select("doc", plain_name(F.coalesce("hint", F.lit(""))).alias("key"), (F.coalesce("region", F.lit("")) == "").alias("empty")).join(top, "key", "left")
+    under = told.join(majors(cells, taxonomy), "doc", "left").select("doc", "empty", F.coalesce("hinted", "major").alias("major"))
+    keyed = cells.withColumn("key", without_code(F.col("cell")))
+    hits = keyed.join(name_codes(keyed, taxonomy), "key").join(under.where("not empty").select("doc", "major"), "doc").where(F.col("major").isNull() | F.startswith("code", "major"))
+    counted = hits.groupBy("doc", "level", "code").agg(F.count(F.lit(1)).alias("votes"), F.min(F.struct("i", "pos")).alias("first"))
+    best = counted.groupBy("doc").agg(F.min(F.struct((-F.col("level")).alias("l"), (-F.col("votes")).alias("v"), "first", "code")).alias("b"))
+    found = under.join(best, "doc", "left")
+    how = F.when(F.col("empty"), "empty").when(F.col("b").isNotNull(), "name").when(F.col("major").isNotNull(), "major").otherwise("none")
+    code = F.when(F.col("how") == "name", F.col("b.code")).when(F.col("how") == "major", F.col("major"))
+    return found.withColumn("how", how).select("doc", code.alias("code"), F.length(code).alias("level"), "how")

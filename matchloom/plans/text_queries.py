@@ -283,3 +283,56 @@ def taxonomy_levels(spark, d):
 def taxonomy_export(spark, d):
     pairs = fx.table(spark, d, "nation").join(fx.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("key"), F.col("n_name").alias("value"))
     return taxonomy.inverted(pairs, "key", "value").select("key", F.array_join("values", ",").alias("names"))
+
+
+# Customers' classification tables in eight layouts, over regions, nations, segments and (nation, segment) as the four levels.
+_TAX_SQL = """
+seg AS (SELECT m, lpad(CAST(row_number() OVER (ORDER BY m) AS VARCHAR), 2, '0') AS s FROM (SELECT DISTINCT c_mktsegment AS m FROM customer)),
+rn AS (SELECT lpad(CAST(r_regionkey AS VARCHAR), 2, '0') AS rr, lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS nn, '가' || r_name AS rname, n_name, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey),
+tax AS (SELECT DISTINCT rr AS code, rname AS name FROM rn UNION ALL SELECT rr || nn, n_name FROM rn UNION ALL SELECT rr || nn || s, m FROM rn, seg UNION ALL SELECT rr || nn || s || '01', n_name || ' ' || m FROM rn, seg WHERE n_nationkey % 2 = 0),
+doc AS (SELECT c_custkey AS doc, CASE c_custkey % 8
+  WHEN 0 THEN rr || '. ' || rname || chr(10) || n_name || chr(10) || m WHEN 1 THEN rname || chr(10) || m || chr(10) || m
+  WHEN 2 THEN '대분류' || chr(10) || rr || chr(10) || '중분류' || chr(10) || n_name WHEN 3 THEN '대분류' || chr(10) || '중 분류' || chr(10) || rr || ' x' || chr(10) || 'Q' || substr(n_name, 2)
+  WHEN 4 THEN 'unknown cells' || chr(10) || 'of ' || rr WHEN 5 THEN ' 대 분 류 ' || chr(10) || rr || chr(10) || 'more'
+  WHEN 6 THEN '01. ' || n_name || ' ' || m || chr(10) || chr(10) || m || chr(10) || n_name ELSE '' END AS region,
+  CASE WHEN c_custkey % 3 = 0 THEN rname END AS hint FROM customer JOIN rn ON c_nationkey = n_nationkey JOIN seg ON c_mktsegment = m)"""
+
+
+@register("WITH " + _TAX_SQL + r""",
+k AS (SELECT code, length(code) AS level, regexp_replace(name, '[·․‧∙・･ㆍ⋅ž,]|\s', '', 'g') AS key FROM tax),
+c AS (SELECT doc, i - 1 AS i, cell, regexp_replace(regexp_replace(cell, '^\s*\d{2}\s*[.．·:]?\s*', ''), '[·․‧∙・･ㆍ⋅ž,]|\s', '', 'g') AS key, lead(cell) OVER (PARTITION BY doc ORDER BY i) AS nxt
+  FROM (SELECT doc, unnest(cs) AS cell, generate_subscripts(cs, 1) AS i FROM (SELECT doc, list_filter(list_transform(string_split(region, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS cs FROM doc))),
+h AS (SELECT *, regexp_matches(cell, '^\s*대\s*분\s*류\s*$') AS ma, regexp_matches(cell, '^\s*[대중소세]\s*분\s*류\s*$') AS hd, regexp_extract(coalesce(nxt, ''), '^\s*(\d{2})\s*[.．·:]?\s*', 1) AS nc FROM c),
+l AS (SELECT *, max(CASE WHEN hd THEN i END) OVER (PARTITION BY doc) AS last FROM h),
+pr AS (SELECT doc, i, unnest(regexp_extract_all(cell, '(\d{2})\s*[.．·]\s*([가-힣][가-힣A-Za-z·.ㆍ,／/\s]{1,24})', 1)) AS code, unnest(regexp_extract_all(cell, '(\d{2})\s*[.．·]\s*([가-힣][가-힣A-Za-z·.ㆍ,／/\s]{1,24})', 2)) AS name FROM c),
+m AS (SELECT doc, 1 AS rule, i, k.code FROM pr JOIN k ON k.code = pr.code AND k.key = regexp_replace(pr.name, '[·․‧∙・･ㆍ⋅ž,]|\s', '', 'g')
+  UNION ALL SELECT doc, 2, i, k.code FROM c JOIN k ON c.key = k.key AND level = 2
+  UNION ALL SELECT doc, 3, i, k.code FROM l JOIN k ON nc = k.code WHERE ma AND NOT regexp_matches(nxt, '^\s*[중소세]\s*분\s*류\s*$')
+  UNION ALL SELECT doc, 4, i, k.code FROM l JOIN k ON nc = k.code WHERE i = last),
+mj AS (SELECT doc.doc, region = '' AS empty, coalesce(hk.code, (SELECT arg_min(m.code, (rule, i)) FROM m WHERE m.doc = doc.doc)) AS major FROM doc LEFT JOIN k hk ON hk.level = 2 AND hk.key = regexp_replace(hint, '[·․‧∙・･ㆍ⋅ž,]|\s', '', 'g')),
+ex AS (SELECT DISTINCT c.key, k.level FROM c JOIN k ON c.key = k.key AND level > 2),
+fz AS (SELECT c.key, k.level, arg_min(k.key, k.code) AS known FROM (SELECT DISTINCT key FROM c WHERE length(key) >= 5) c JOIN k ON length(k.key) = length(c.key) AND levenshtein(k.key, c.key) <= 1 AND level > 2 ANTI JOIN ex ON ex.key = c.key AND ex.level = k.level GROUP BY ALL),
+nm AS (SELECT ex.key, ex.level, k.code FROM ex JOIN k ON k.key = ex.key AND k.level = ex.level UNION ALL SELECT fz.key, fz.level, k.code FROM fz JOIN k ON k.key = fz.known AND k.level = fz.level),
+ht AS (SELECT doc, level, nm.code, count(*) AS votes, min((c.i, nm.code)) AS first FROM c JOIN nm USING (key) JOIN mj USING (doc) WHERE NOT empty AND starts_with(nm.code, coalesce(major, '')) AND length(key) >= 2 GROUP BY ALL),
+bs AS (SELECT doc, arg_min(code, (-level, -votes, first)) AS code FROM ht GROUP BY doc),
+r AS (SELECT doc, CASE WHEN empty THEN 'empty' WHEN bs.code IS NOT NULL THEN 'name' WHEN major IS NOT NULL THEN 'major' ELSE 'none' END AS how, bs.code AS b, major FROM mj LEFT JOIN bs USING (doc))
+SELECT doc, CASE how WHEN 'name' THEN b WHEN 'major' THEN major END AS code, length(CASE how WHEN 'name' THEN b WHEN 'major' THEN major END) AS level, how FROM r""")
+def taxonomy_resolved(spark, d):
+    from pyspark.sql import Window
+
+    two = lambda c: F.lpad(F.col(c).cast("string"), 2, "0")
+    places = fx.table(spark, d, "nation").join(fx.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rn = places.select(two("r_regionkey").alias("rr"), two("n_nationkey").alias("nn"), F.concat(F.lit("가"), "r_name").alias("rname"), "n_name", "n_nationkey")
+    seg = fx.table(spark, d, "customer").select(F.col("c_mktsegment").alias("m")).distinct().withColumn("s", F.lpad(F.row_number().over(Window.orderBy("m")).cast("string"), 2, "0"))  # a handful of segments
+    fine = rn.join(F.broadcast(seg), F.lit(True))
+    names = [rn.select(F.col("rr").alias("code"), F.col("rname").alias("name")).distinct(), rn.select(F.concat("rr", "nn"), "n_name"), fine.select(F.concat("rr", "nn", "s"), "m"), fine.where("n_nationkey % 2 = 0").select(F.concat("rr", "nn", "s", F.lit("01")), F.concat_ws(" ", "n_name", "m"))]
+    tax = names[0].union(names[1]).union(names[2]).union(names[3]).withColumn("pos", F.col("code"))
+    rows = fx.table(spark, d, "customer").join(rn, F.col("c_nationkey") == F.col("n_nationkey")).withColumn("m", F.col("c_mktsegment"))
+    lines = lambda *parts: F.concat_ws("\n", *[F.lit(p[1:]) if isinstance(p, str) and p[0] == "=" else p for p in parts])
+    layouts = [
+        lines(F.concat_ws(". ", "rr", "rname"), "n_name", "m"), lines("rname", "m", "m"), lines("=대분류", "rr", "=중분류", "n_name"), lines("=대분류", "=중 분류", F.concat("rr", F.lit(" x")), F.concat(F.lit("Q"), F.substr("n_name", F.lit(2)))),
+        lines("=unknown cells", F.concat(F.lit("of "), "rr")), lines("= 대 분 류 ", "rr", "=more"), lines(F.concat(F.lit("01. "), "n_name", F.lit(" "), "m"), "=", "m", "n_name"), F.lit(""),
+    ]
+    region = F.element_at(F.array(*layouts), (F.col("c_custkey") % 8 + 1).cast("int"))
+    docs = rows.select(F.col("c_custkey").alias("doc"), region.alias("region"), F.when(F.col("c_custkey") % 3 == 0, F.col("rname")).alias("hint"))
+    return taxonomy.resolve(docs, tax)
