@@ -323,7 +323,7 @@ def jaccard_links(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
             continue
         # Cells that pivots don't part: their regions would hold DENSE times their documents.
         spread = members.groupBy("region").agg(F.count(F.lit(1)).alias("copies")).join(large.groupBy("region").agg(F.count(F.lit(1)).alias("size")), "region")
-        stuck = spread.where(F.col("copies") > DENSE * F.col("size")).select("region")
+        stuck = stored(spread.where(F.col("copies") > DENSE * F.col("size")).select("region"), f"{folder}/stuck-{level}")
         links = spark.read.schema(compared.schema).parquet(*found).where("linked")
         classes = components(links.select("a", "b")).withColumnRenamed("node", "doc")
         windows = members.select(F.col("region").alias("cell"), F.xxhash64("region", "pivot").alias("region"), "doc").join(classes, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
