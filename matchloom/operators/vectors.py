@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from matchloom.functions.text import is_noise
 from matchloom.settings import Settings
 from matchloom.sources.files import scratch
 
@@ -122,58 +123,70 @@ def merged_here(ids: np.ndarray, size: np.ndarray, total: np.ndarray, limit: flo
     return out
 
 
-def clusters(vectors: DataFrame, limit: float, block: int = NODE_BLOCK) -> DataFrame:
+def _partners(todo: DataFrame, every: DataFrame, block: int) -> DataFrame:
+    """(cluster, partner, sim): the nearest of `every` for each of `todo` (cluster, size, total), block against block."""
+    left, right = (max(1, -(-df.count() // block)) for df in (todo, every))
+    part = lambda n: F.pmod(F.xxhash64("cluster"), F.lit(n)).cast("int")
+    ranges = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = todo.withColumns({"i": part(left), "j": ranges(right), "asks": F.lit(True)}).unionByName(every.withColumns({"i": ranges(left), "j": part(right), "asks": F.lit(False)}))
+
+    def nearest(rows: pa.Table) -> pa.Table:
+        asks, ids = rows["asks"].to_numpy(), rows["cluster"].to_numpy()
+        means = _matrix(rows["total"].combine_chunks()) / rows["size"].to_numpy()[:, None]
+        a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
+        b = b[np.argsort(ids[b])]
+        columns = [np.array([], dtype=np.int64), np.array([], dtype=np.int64), np.array([])]
+        if len(a) and len(b):
+            sim = means[a] @ means[b].T
+            sim[ids[a][:, None] == ids[b][None, :]] = -np.inf
+            at = np.argmax(sim, axis=1)
+            columns = [ids[a], ids[b][at], sim[np.arange(len(a)), at]]
+        return pa.table(dict(zip(("cluster", "partner", "sim"), columns)))
+
+    found = rows.select("i", "j", "asks", "cluster", "size", "total").groupBy("i", "j").applyInArrow(nearest, "cluster long, partner long, sim double")
+    best = found.groupBy("cluster").agg(F.max(F.struct("sim", (-F.col("partner")).alias("neg"))).alias("b"))
+    return best.select("cluster", (-F.col("b.neg")).alias("partner"), F.col("b.sim").alias("sim"))
+
+
+def clusters(vectors: DataFrame, limit: float, block: int = NODE_BLOCK, compared: list | None = None) -> DataFrame:
     """(vec_id, cluster) of unit vectors (vec_id, embedding): average linkage by cosine distance under `limit`.
 
     Two clusters that are each other's nearest merge, round after round; since average linkage never
     brings a third cluster nearer than both its parts were, this gives what merging the nearest pair
-    one at a time gives (ties apart). A cluster is its size and its vectors' sum. Over `block`
-    clusters, a round finds nearest partners block against block and is written to the shared
-    folder; what is left then fits one task. The cluster is named by its least vec_id.
+    one at a time gives (ties apart). For the same reason a cluster keeps its nearest partner until
+    that merges, and one whose nearest is not under the limit never merges again: it leaves. So after
+    the first round only what a merge touched is compared, with what is left. A cluster is its size
+    and its vectors' sum. Rounds run block against block and go to the shared folder; once `block`
+    clusters or fewer are left, one task ends it. The cluster is named by its least vec_id.
+    `compared` gets the number of compared pairs of each round.
     """
     spark = vectors.sparkSession
     folder = scratch(spark, "linkage")
-    member = vectors.select("vec_id", F.col("vec_id").alias("cluster"))
-    table = vectors.select(F.col("vec_id").alias("cluster"), F.lit(1.0).alias("size"), F.col("embedding").cast("array<double>").alias("total"))
-    step = 0
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    member = vectors.select("vec_id", F.col("vec_id").cast("long").alias("cluster"))
+    table = kept(vectors.select(F.col("vec_id").cast("long").alias("cluster"), F.lit(1.0).alias("size"), F.col("embedding").cast("array<double>").alias("total")), "clusters-0")
+    todo, known, step = table, None, 0
     while (count := table.count()) > block:
-        parts = -(-count // block)
-        own = F.pmod(F.xxhash64("cluster"), F.lit(parts)).cast("int")
-        both = table.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        pairs = both.select(F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cluster", "size", "total")
-
-        def nearest(rows: pa.Table) -> pa.Table:
-            ids, side = rows["cluster"].to_numpy(), rows["own"].to_numpy()
-            means = _matrix(rows["total"].combine_chunks()) / rows["size"].to_numpy()[:, None]
-            alone = rows["lo"][0].as_py() == rows["hi"][0].as_py()
-            groups = [(np.arange(len(ids)), np.arange(len(ids)))] if alone else [(np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max()))]
-            groups += [] if alone else [groups[0][::-1]]
-            out = []
-            for a, b in groups:
-                if len(a) and len(b) and (alone or side.min() != side.max()):
-                    b = b[np.argsort(ids[b])]
-                    sim = means[a] @ means[b].T
-                    sim[ids[a][:, None] == ids[b][None, :]] = -np.inf
-                    at = np.argmax(sim, axis=1)
-                    out.append((ids[a], ids[b][at], sim[np.arange(len(a)), at]))
-            columns = [np.concatenate(c) for c in zip(*out)] if out else [np.array([], dtype=np.int64), np.array([], dtype=np.int64), np.array([])]
-            return pa.table(dict(zip(("cluster", "partner", "sim"), columns)))
-
-        best = pairs.groupBy("lo", "hi").applyInArrow(nearest, "cluster long, partner long, sim double").groupBy("cluster").agg(F.max(F.struct("sim", (-F.col("partner")).alias("neg"))).alias("b"))
-        best = best.select("cluster", (-F.col("b.neg")).alias("partner"), F.col("b.sim").alias("sim"))
-        mutual = best.join(best.select(F.col("cluster").alias("partner"), F.col("partner").alias("cluster")), ["cluster", "partner"]).where((1 - F.col("sim") < limit) & (F.col("cluster") > F.col("partner")))
         step += 1
-        mutual.select(F.col("cluster").alias("gone"), F.col("partner").alias("kept")).write.parquet(f"{folder}/merges-{step}")
-        merges = spark.read.schema("gone long, kept long").parquet(f"{folder}/merges-{step}")
-        if merges.limit(1).count() == 0:
-            return member
-        renamed = lambda df: df.join(merges, F.col("cluster") == F.col("gone"), "left").withColumn("cluster", F.coalesce("kept", "cluster")).drop("gone", "kept")
+        if compared is not None:
+            compared.append(todo.count() * count)
+        best = _partners(todo, table, block)
+        best = kept(best if known is None else best.unionByName(known), f"best-{step}").where(1 - F.col("sim") < limit)  # the others are final
+        back = best.select(F.col("cluster").alias("partner"), F.col("partner").alias("cluster"))
+        merges = kept(best.join(back, ["cluster", "partner"]).where("cluster > partner").select(F.col("cluster").alias("gone"), F.col("partner").alias("kept")), f"merges-{step}")
+        renamed = lambda df: df.join(merges, F.col("cluster") == F.col("gone"), "left").withColumn("cluster", F.coalesce("kept", "cluster")).drop("gone", "kept")  # noqa: E731, B023
         added = F.when(F.count(F.lit(1)) == 1, F.first("total")).otherwise(F.zip_with(F.min_by("total", "was"), F.max_by("total", "was"), lambda x, y: x + y))
-        table_ = renamed(table.withColumn("was", F.col("cluster"))).groupBy("cluster").agg(F.sum("size").alias("size"), added.alias("total"))
-        table_.write.parquet(f"{folder}/clusters-{step}")
-        renamed(member).write.parquet(f"{folder}/members-{step}")
-        table = spark.read.schema(table_.schema).parquet(f"{folder}/clusters-{step}")
-        member = spark.read.schema(member.schema).parquet(f"{folder}/members-{step}")
+        alive = table.join(best.select("cluster"), "cluster", "left_semi").withColumn("was", F.col("cluster"))
+        table = kept(renamed(alive).groupBy("cluster").agg(F.sum("size").alias("size"), added.alias("total")), f"clusters-{step}")
+        member = kept(renamed(member), f"members-{step}")
+        merged = merges.select(F.explode(F.array("gone", "kept")).alias("m"))
+        still = best.join(merged, F.col("cluster") == F.col("m"), "left_anti")
+        known = still.join(merged, F.col("partner") == F.col("m"), "left_anti").select("cluster", "partner", "sim")
+        todo = table.join(known.select("cluster"), "cluster", "left_anti")
 
     def rest(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("cluster")
@@ -183,7 +196,30 @@ def clusters(vectors: DataFrame, limit: float, block: int = NODE_BLOCK) -> DataF
         return pa.table({"cluster": pa.array(list(head), pa.int64()), "final": pa.array(list(head.values()), pa.int64())})
 
     last = table.groupBy(F.lit(0).alias("all")).applyInArrow(rest, "cluster long, final long")  # `block` clusters at most
-    return member.join(last, "cluster").select("vec_id", F.col("final").alias("cluster"))
+    return member.join(last, "cluster", "left").select("vec_id", F.coalesce("final", "cluster").alias("cluster"))
+
+
+def fit_vocabulary(terms: DataFrame, limit: float = 0.35, min_df: int = 3, longest: int = 40, tail_limit: float = 0.30, block: int = NODE_BLOCK) -> DataFrame:
+    """(item, node) of terms (term, df, embedding), for `fold`: terms that mean the same under one name.
+
+    Terms of min_df units and up to `longest` characters are clustered. A cluster is named by one of
+    its terms that is no noise if there is one, of those by the most frequent, then shortest, then
+    first in order. Rarer terms go to the nearest name within `tail_limit`; those beyond it, and long
+    frequent ones (wrecks of parsing), aren't mapped.
+    """
+    spark = terms.sparkSession
+    folder = scratch(spark, "vocabulary")
+    terms.where((F.col("df") >= min_df) & (F.length("term") <= longest)).select(F.monotonically_increasing_id().alias("vec_id"), "term", "df", "embedding").write.parquet(f"{folder}/core")
+    core = spark.read.schema("vec_id long, term string, df long, embedding " + terms.schema["embedding"].dataType.simpleString()).parquet(f"{folder}/core")
+    grouped = core.join(clusters(core, limit, block), "vec_id")
+    order = F.struct(is_noise(F.col("term")).alias("noise"), (-F.col("df")).alias("df"), F.length("term").alias("n"), "term")
+    names = grouped.groupBy("cluster").agg(F.min_by("term", order).alias("node"))
+    mapping = grouped.join(names, "cluster").select(F.col("term").alias("item"), "node")
+    mapping.write.parquet(f"{folder}/mapping")
+    mapping = spark.read.schema("item string, node string").parquet(f"{folder}/mapping")
+    named = core.join(mapping.where("item = node"), F.col("term") == F.col("node"), "left_semi").select(F.col("term").alias("node"), F.col("embedding").alias("node_vector"))
+    tail = terms.where(F.col("df") < min_df).select(F.col("term").alias("sentence"), F.col("embedding").alias("vector"))
+    return mapping.unionByName(attach_tail(tail, named, tail_limit).where("node is not null").select(F.col("sentence").alias("item"), "node"))
 
 
 def attach_tail(tail: DataFrame, representatives: DataFrame, limit: float = 0.30) -> DataFrame:

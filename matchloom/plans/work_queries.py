@@ -258,6 +258,14 @@ def avg_linkage(spark, d):
     return vectors.clusters(fx.table(spark, d, "embeddings"), 0.8)
 
 
+@register()
+def vocabulary_fit(spark, d):
+    """Vectors as terms, with documents that name them; tests compare clusters with greedy merging and names with their rule."""
+    table = fx.table(spark, d, "embeddings")
+    terms = table.select(F.concat(F.lit("용어"), F.col("label").cast("string"), F.lit("."), F.col("vec_id").cast("string")).alias("term"), (F.col("vec_id") % 7 + 1).alias("df"), F.col("embedding"))
+    return vectors.fit_vocabulary(terms, limit=0.8, tail_limit=0.9)
+
+
 @register("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY CAST(ts AS DATE), event_type")
 def event_days(spark, d):
     return snapshots.daily_windows(fx.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("day", F.col("day").cast("string"))

@@ -133,6 +133,52 @@ def test_clusters(spark, block):
     assert got == greedy_linkage(rows, 0.4)
 
 
+def test_clusters_equal_greedy_merging(spark):
+    """500 vectors with tight and loose groups, in blocks of 60."""
+    rng = np.random.default_rng(8)
+    rows = rng.normal(size=(40, 6))[rng.integers(0, 40, 500)] + rng.choice((0.1, 0.6), (500, 1)) * rng.normal(size=(500, 6))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.cluster for r in vectors.clusters(df, 0.35, 60).collect()}
+    assert got == greedy_linkage(rows, 0.35)
+
+
+def test_clusters_compare_what_merges_touch(spark):
+    """Of 20,000 vectors the first round compares 4.0e8 pairs, the next three 1.6e8, 0.6e8 and 0.2e8; then one task ends it."""
+    rng = np.random.default_rng(9)
+    rows = rng.normal(size=(6000, 12))[rng.integers(0, 6000, 20_000)] + 0.15 * rng.normal(size=(20_000, 12))
+    rows = (rows / np.linalg.norm(rows, axis=1, keepdims=True)).astype(np.float64)
+    df = spark.createDataFrame(list(enumerate(rows.tolist())), "vec_id long, embedding array<double>")
+    compared = []
+    got = vectors.clusters(df, 0.08, 2048, compared).toPandas()
+    assert compared[0] == 20_000**2 and len(compared) > 2 and all(b < 0.5 * a for a, b in zip(compared, compared[1:]))
+    # No two clusters are left within the limit, and each is as its members' mean says.
+    label = got.sort_values("vec_id").cluster.to_numpy()
+    ids, at, n = np.unique(label, return_inverse=True, return_counts=True)
+    sums = np.zeros((len(ids), 12))
+    np.add.at(sums, at, rows)
+    sim = (sums / n[:, None]) @ (sums / n[:, None]).T
+    np.fill_diagonal(sim, -1)
+    assert (1 - sim >= 0.08 - 1e-9).all() and (ids[at] <= np.arange(20_000)).all() and n.max() > 5
+
+
+def test_fit_vocabulary(spark):
+    """Core and tail, names that aren't noise, and a map that fold takes."""
+    from matchloom.operators import profile
+
+    unit = lambda deg: [float(np.cos(np.radians(deg))), float(np.sin(np.radians(deg)))]
+    rows = [
+        ("데이터분석능력을활용하는", 50, unit(0)), ("데이터분석", 9, unit(4)), ("데이터 분석", 9, unit(6)), ("자료분석", 3, unit(8)),  # the first is noise by its ending
+        ("서버운영", 4, unit(80)), ("서버관리", 4, unit(84)), ("가" * 41, 99, unit(82)), ("서버", 1, unit(78)), ("먼것", 2, unit(200)), ("가나", 3, unit(150)),
+    ]
+    terms = spark.createDataFrame(rows, "term string, df long, embedding array<double>")
+    mapping = vectors.fit_vocabulary(terms, limit=0.05, tail_limit=0.02)
+    got = {r["item"]: r["node"] for r in mapping.collect()}
+    assert got == {"데이터분석능력을활용하는": "데이터분석", "데이터분석": "데이터분석", "데이터 분석": "데이터분석", "자료분석": "데이터분석", "서버운영": "서버관리", "서버관리": "서버관리", "서버": "서버관리", "가나": "가나"}
+    items = spark.createDataFrame([("0101", 1, 1, "서버"), ("0101", 1, 1, "먼것")], "code string, unit long, inst long, item string")
+    assert {r.node for r in profile.fold(items.withColumn("node", F.lit("")), mapping).collect()} == {"서버관리", "먼것"}
+
+
 def stream(spark, rows, schema, tmp_path, batches):
     """A file stream that gives `batches` (lists of rows), one after the other."""
     folder = tmp_path / "in"
