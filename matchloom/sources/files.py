@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from matchloom.sources import compound
+
 
 def json_folder(spark: SparkSession, path: str, schema: T.StructType, source: str, key: str = "seq", order: str = "_file") -> DataFrame:
     """Every JSON document below a path, one row per key (the last file by name wins), with its source.
@@ -143,23 +145,32 @@ def section_text(xml: str) -> str:
     return "\n".join(re.sub(r"<[^>]+>", "", runs(part)) for part in re.split(r"</(?:\w+:)?p>", xml)[:-1])
 
 
+def shown_name(name: str) -> str:
+    """A member's name as archives of the region mean it: bytes that were taken for code page 437 are 949."""
+    try:
+        return name.encode("cp437").decode("cp949")
+    except UnicodeError:
+        return name
+
+
 def attachment_text(name: str, data: bytes, depth: int = 2) -> str:
-    """Text of a zipped document or an archive of them; what can't be read is empty."""
+    """Text of a HWP document (compound or zipped), or of an archive of them, each below its name; what can't be read is empty."""
     try:
-        if data[:2] == b"PK":
-            parts = []
+        if data[:8] == compound.MAGIC:
+            parts = [hwp_text(section) for section in compound.body_sections(data)]
+        elif data[:2] == b"PK":
             with zipfile.ZipFile(io.BytesIO(data)) as box:
-                for inner in sorted(box.namelist()):
-                    if re.search(r"Contents/section\d+\.xml$", inner):
-                        parts.append(section_text(box.read(inner).decode("utf-8", "replace")))
-                    elif depth and re.search(r"(?i)\.(zip|hwpx)$", inner):
-                        parts.append(attachment_text(inner, box.read(inner), depth - 1))
-            return re.sub(r"[ \t]+", " ", "\n".join(p for p in parts if p)).strip()
-        if name.lower().endswith(".section"):
-            return hwp_text(zlib.decompress(data, -15))
-    except (zipfile.BadZipFile, zlib.error, struct.error, RuntimeError):
+                parts = [section_text(box.read(inner).decode("utf-8", "replace")) for inner in sorted(box.namelist()) if re.search(r"(?i)Contents/section\d*\.xml$", inner)]
+                if not parts and depth:
+                    found = [(shown_name(inner), attachment_text(inner, box.read(inner), depth - 1)) for inner in box.namelist() if re.search(r"(?i)\.(zip|hwpx?)$", inner)]
+                    return "\n\n".join(f"[{shown}]\n{text}" for shown, text in found if text)
+        elif name.lower().endswith(".section"):
+            parts = [hwp_text(zlib.decompress(data, -15))]
+        else:
+            parts = []
+        return re.sub(r"[ \t]+", " ", "\n".join(p for p in parts if p)).strip()
+    except (zipfile.BadZipFile, zlib.error, struct.error, RuntimeError, ValueError, KeyError):
         return ""
-    return ""
 
 
 # Fixed value: names of attachments that describe a job.

@@ -44,7 +44,7 @@ def test_attachments(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     got = {os.path.basename(r.path): r for r in files.attachments(spark, str(tmp_path)).collect()}
     assert got["직무 설명.hwpx"].text == "데이터 & 분석\n둘\n" + "x" * 300 and got["직무 설명.hwpx"].usable
-    assert got["other.zip"].text == got["직무 설명.hwpx"].text and not got["other.zip"].usable
+    assert got["other.zip"].text == "[a.hwpx]\n" + got["직무 설명.hwpx"].text and not got["other.zip"].usable
     assert got["one.section"].text == "문단" and got["bad.zip"].text == ""
 
 
