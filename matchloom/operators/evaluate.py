@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,39 +28,46 @@ def top_institutions(nodes: DataFrame, n: int = 3) -> DataFrame:
     return by.withColumn("rank", F.row_number().over(Window.partitionBy("code").orderBy(F.desc("units"), "inst"))).where(F.col("rank") <= n)
 
 
-def leave_one_out(nodes: DataFrame, s: Settings) -> DataFrame:
-    """(own, unit, place, predicted): place of each unit's own code, the unit taken out of that profile, and the best code.
+def leave_one_out_cells(nodes: DataFrame, s: Settings, top_ks: tuple[int, ...], min_dfs: tuple[int, ...]) -> DataFrame:
+    """(top_k, min_df, own, unit, place, predicted) for every pair of cuts: place of each unit's own code, the unit taken out of that profile, and the best code.
 
-    The own profile loses one from each of the unit's items and from its units, and is cut to top_k
-    anew; the IDF stays global. All codes are ranked, equal scores (and 0) by code. Frequencies are
-    over all units. No profile is built by query: an item's new rank in its profile is its reduced
-    key's place among the full keys (one window by code), corrected for the unit's own items.
+    The own profile loses one from each of the unit's items and from its units, and is cut anew; the
+    IDF stays global. All codes are ranked, equal scores (and 0) by code. Frequencies are over all
+    units. No profile is built by query: an item's new rank in its profile is its reduced key's place
+    among the full keys (one window by code), corrected for the unit's own items. All cuts come from
+    one pass: min_df is a key of the tables, and each top_k a sum over ranks up to it.
     """
-    freq = profile.reused(profile.frequencies(nodes, s, sampled=False).withColumn("key", F.round(F.col("df") * F.col("idf"), 9)))
-    by_key = Window.partitionBy("code").orderBy(F.desc("key"), "node")
-    profiles = freq.withColumn("rank", F.row_number().over(by_key)).where(F.col("rank") <= s.top_k)
-    weighted = profiles.withColumn("weight", profile.scaled(F.col("idf"), F.col("df") / F.col("units"), s.df_weight))
-    codes = profiles.select("code").distinct().withColumn("nth", F.row_number().over(Window.orderBy("code")))  # one row for each category
-    query = nodes.select("code", "unit", "node").join(F.broadcast(codes), "code", "left_semi")
+    base = profile.frequencies(nodes, replace(s, min_df=1), sampled=False).select("code", "node", "df", "units")
+    base = base.withColumn("d", F.explode(F.array(*[F.lit(d) for d in min_dfs]))).where(F.col("df") >= F.col("d"))
+    appear = base.groupBy("d", "node").agg(F.count(F.lit(1)).alias("appear"))
+    jobs = profile.gate(nodes, s).where("included").agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("jobs"))
+    freq = base.join(appear, ["d", "node"]).crossJoin(F.broadcast(jobs)).withColumn("idf", F.log(F.col("jobs") / F.col("appear"))).drop("jobs", "appear")
+    freq = profile.reused(freq.withColumn("key", F.round(F.col("df") * F.col("idf"), 9)))
+    ranks = freq.withColumn("rank", F.row_number().over(Window.partitionBy("d", "code").orderBy(F.desc("key"), "node"))).where(F.col("rank") <= max(top_ks))
+    weighted = ranks.withColumn("weight", profile.scaled(F.col("idf"), F.col("df") / F.col("units"), s.df_weight))
+    codes = ranks.select("d", "code").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("d").orderBy("code")))  # one row for each category
+    query = nodes.select("code", "unit", "node").join(F.broadcast(codes.select("d", "code")), "code")
 
     less = freq.withColumn("key", F.round((F.col("df") - 1) * F.col("idf"), 9)).withColumn("full", F.lit(0))
-    before = Window.partitionBy("code").orderBy(F.desc("key"), "node", "full").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("d", "code").orderBy(F.desc("key"), "node", "full").rowsBetween(Window.unboundedPreceding, -1)
     placed = freq.withColumn("full", F.lit(1)).unionByName(less).withColumn("above", F.coalesce(F.sum("full").over(before), F.lit(0))).where("full = 0")
-    item = placed.select("code", "node", "idf", "df", "units", F.col("key").alias("less"), "above").join(freq.select("code", "node", "key"), ["code", "node"])
-    own = query.join(item, ["code", "node"])
-    stays = F.col("df") - 1 >= max(s.min_df, 1)
-    mate = own.select("code", "unit", F.col("node").alias("other"), F.col("key").alias("other_key"), F.col("less").alias("other_less"), stays.alias("other_stays"))
+    item = placed.select("d", "code", "node", "idf", "df", "units", F.col("key").alias("less"), "above").join(freq.select("d", "code", "node", "key"), ["d", "code", "node"])
+    own = query.join(item, ["d", "code", "node"])
+    stays = F.col("df") - 1 >= F.greatest(F.col("d"), F.lit(1))
+    mate = own.select("d", "code", "unit", F.col("node").alias("other"), F.col("key").alias("other_key"), F.col("less").alias("other_less"), stays.alias("other_stays"))
     wins = lambda key: (F.col(key) > F.col("less")) | ((F.col(key) == F.col("less")) & (F.col("other") < F.col("node")))
     better = F.when(F.col("other_stays") & wins("other_less") & (F.col("other") != F.col("node")), 1).otherwise(0) - F.when(wins("other_key"), 1).otherwise(0)
-    left = own.where(stays).join(mate, ["code", "unit"]).groupBy("code", "unit", "node", "idf", "df", "units", "above").agg(F.sum(better).alias("shift"))
+    left = own.where(stays).join(mate, ["d", "code", "unit"]).groupBy("d", "code", "unit", "node", "idf", "df", "units", "above").agg(F.sum(better).alias("shift"))
     weight = profile.scaled(F.col("idf"), (F.col("df") - 1) / F.greatest(F.col("units") - 1, F.lit(1)), s.df_weight)
-    mine = left.where(F.col("above") + F.col("shift") < s.top_k).groupBy("code", "unit").agg(F.sum(weight).alias("mine"))
-    units = query.select("code", "unit").distinct().join(mine, ["code", "unit"], "left").join(F.broadcast(codes), "code")
-    units = units.select(F.col("code").alias("own"), "unit", "nth", F.round(F.coalesce("mine", F.lit(0.0)), 9).alias("mine"))
-
-    others = query.withColumnRenamed("code", "own").join(weighted.select("code", "node", "weight"), "node").where("own <> code")
-    others = others.groupBy("own", "unit", "code").agg(F.round(F.sum("weight"), 9).alias("score")).where("score > 0")
-    ahead = units.join(others, ["own", "unit"], "left").groupBy("own", "unit", "nth", "mine").agg(
+    mine = left.groupBy("d", "code", "unit").agg(F.array(*[F.sum(F.when(F.col("above") + F.col("shift") < k, weight)) for k in top_ks]).alias("mine"))
+    cuts = F.explode(F.arrays_zip(F.array(*[F.lit(k) for k in top_ks]).alias("k"), F.coalesce("mine", F.array(*[F.lit(None).cast("double")] * len(top_ks))).alias("v")))
+    units = query.select("d", "code", "unit").distinct().join(mine, ["d", "code", "unit"], "left").join(F.broadcast(codes), ["d", "code"])
+    units = units.select("d", F.col("code").alias("own"), "unit", "nth", cuts.alias("c")).select("d", "c.k", "own", "unit", "nth", F.round(F.coalesce("c.v", F.lit(0.0)), 9).alias("mine"))
+
+    others = query.withColumnRenamed("code", "own").join(weighted.select("d", "code", "node", "weight", "rank"), ["d", "node"]).where("own <> code")
+    others = others.groupBy("d", "own", "unit", "code").agg(F.array(*[F.round(F.sum(F.when(F.col("rank") <= k, F.col("weight"))), 9) for k in top_ks]).alias("scores"))
+    others = others.select("d", "own", "unit", "code", F.explode(F.arrays_zip(F.array(*[F.lit(k) for k in top_ks]).alias("k"), F.col("scores").alias("v"))).alias("c")).select("d", "c.k", "own", "unit", "code", F.col("c.v").alias("score")).where("score > 0")
+    ahead = units.join(others, ["d", "k", "own", "unit"], "left").groupBy("d", "k", "own", "unit", "nth", "mine").agg(
         F.count("code").alias("good"),
         F.count_if((F.col("score") > F.col("mine")) | ((F.col("score") == F.col("mine")) & (F.col("code") < F.col("own")))).alias("ahead"),
         F.count_if(F.col("code") < F.col("own")).alias("good_below"),
@@ -66,17 +75,22 @@ def leave_one_out(nodes: DataFrame, s: Settings) -> DataFrame:
     )
     # Without a score of its own, a code stands behind the positive ones, in the order of codes.
     place = F.when(F.col("mine") > 0, F.col("ahead") + 1).otherwise(F.col("good") + F.col("nth") - F.col("good_below"))
-    first = codes.agg(F.min("code").alias("first"))
+    first = codes.groupBy("d").agg(F.min("code").alias("first"))
     best = F.when(F.col("best").isNull() | (F.col("mine") > -F.col("best.neg")) | ((F.col("mine") == -F.col("best.neg")) & (F.col("own") < F.col("best.code"))), F.when(F.col("mine") > 0, F.col("own")).otherwise(F.col("first"))).otherwise(F.col("best.code"))
-    return ahead.join(F.broadcast(first), F.lit(True)).select("own", "unit", place.cast("int").alias("place"), best.alias("predicted"))
+    return ahead.join(F.broadcast(first), "d").select(F.col("k").alias("top_k"), F.col("d").alias("min_df"), "own", "unit", place.cast("int").alias("place"), best.alias("predicted"))
 
 
-def leave_one_out_summary(places: DataFrame, units: DataFrame) -> DataFrame:
-    """Top-1, Top-3, MRR and bias (units of the predicted code against the unit-weighted mean)."""
+def leave_one_out(nodes: DataFrame, s: Settings) -> DataFrame:
+    """(own, unit, place, predicted) with the settings' own cuts; see `leave_one_out_cells`."""
+    return leave_one_out_cells(nodes, s, (s.top_k,), (s.min_df,)).drop("top_k", "min_df")
+
+
+def leave_one_out_summary(places: DataFrame, units: DataFrame, *by: str) -> DataFrame:
+    """Top-1, Top-3, MRR and bias (units of the predicted code against the unit-weighted mean), of each value of `by`."""
     joined = places.join(F.broadcast(units.select(F.col("code").alias("predicted"), F.col("units").alias("n"))), "predicted")
     base = units.agg((F.sum(F.col("units") * F.col("units")) / F.sum("units")).alias("base"))
     return (
-        joined.agg(
+        joined.groupBy(*by).agg(
             F.count(F.lit(1)).alias("queries"),
             F.count_if(F.col("place") == 1).alias("top1"),
             F.count_if(F.col("place") <= 3).alias("top3"),
@@ -84,10 +98,16 @@ def leave_one_out_summary(places: DataFrame, units: DataFrame) -> DataFrame:
             F.avg("n").alias("mean_units"),
         )
         .join(F.broadcast(base), F.lit(True))
-        .select("queries", "top1", "top3", "mrr", F.round(F.col("mean_units") / F.col("base"), 6).alias("bias"))
+        .select(*by, "queries", "top1", "top3", "mrr", F.round(F.col("mean_units") / F.col("base"), 6).alias("bias"))
     )
 
 
+def sweep(nodes: DataFrame, s: Settings, top_ks: tuple[int, ...] = (150, 300, 500), min_dfs: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """Leave-one-out figures of every pair of cuts (top_k, min_df), from one pass."""
+    kept = profile.gate(nodes, s).where("included").select("code", "units")
+    return leave_one_out_summary(leave_one_out_cells(nodes, s, top_ks, min_dfs), kept, "top_k", "min_df")
+
+
 def enough_nodes(users: DataFrame, least: int = 3) -> DataFrame:
     """The nodes (user, node) of users that have `least` or more: fewer are no query."""
     size = users.groupBy("user").agg(F.countDistinct("node").alias("n")).where(F.col("n") >= least)

@@ -85,14 +85,14 @@ kept AS (SELECT code, units FROM gate WHERE effective_units >= {least} AND hhi <
 """
 
 
-def profile_sql(level: int = 6, least: float = 70.0, hhi: float = 0.12, top_k: int = 300, sampled: bool = True) -> str:
+def profile_sql(level: int = 6, least: float = 70.0, hhi: float = 0.12, top_k: int = 300, sampled: bool = True, min_df: int = 1) -> str:
     sample = """
 used AS (SELECT n.* FROM nodes n JOIN kept USING (code) SEMI JOIN (
   SELECT code, unit, inst, row_number() OVER (PARTITION BY code ORDER BY turn, inst) AS place FROM (
     SELECT code, unit, inst, row_number() OVER (PARTITION BY code, inst ORDER BY unit) AS turn FROM units JOIN kept USING (code)) QUALIFY place <= 60) s USING (code, unit, inst))
 """ if sampled else "used AS (SELECT n.* FROM nodes n JOIN kept USING (code))"
     return gate_sql(level, least, hhi) + f""", {sample},
-df AS (SELECT code, node, count(*) AS df FROM used GROUP BY ALL),
+df AS (SELECT code, node, count(*) AS df FROM used GROUP BY ALL HAVING count(*) >= {min_df}),
 ful AS (SELECT code, node, count(*) AS full_df FROM nodes JOIN kept USING (code) GROUP BY ALL),
 app AS (SELECT node, count(*) AS appear FROM df GROUP BY ALL),
 freq AS (SELECT code, node, df, full_df, units, appear, ln((SELECT greatest(count(*), 1) FROM kept) / appear) AS idf

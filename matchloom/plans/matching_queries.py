@@ -198,15 +198,15 @@ def top_institutions(spark, d):
     return evaluate.top_institutions(_nodes(spark, d))
 
 
-def _loo_sql(top_k: int) -> str:
+def _loo_sql(top_k: int, min_df: int = 1) -> str:
     """By the definition: every unit's own profile built anew without it, all codes scored and ranked."""
-    return fx.profile_sql(**{**FOUR_SQL, "top_k": top_k}, sampled=False) + f"""
+    return fx.profile_sql(**{**FOUR_SQL, "top_k": top_k}, sampled=False, min_df=min_df) + f"""
 , cs AS (SELECT DISTINCT code FROM prof),
 q AS (SELECT code AS own, unit, node FROM nodes SEMI JOIN cs USING (code)),
 u AS (SELECT DISTINCT own, unit FROM q),
 again AS (SELECT u.own, u.unit, freq.node, idf, units, CASE WHEN q.node IS NULL THEN df ELSE df - 1 END AS df, q.node IS NOT NULL AS asked
   FROM u JOIN freq ON u.own = freq.code LEFT JOIN q ON q.own = u.own AND q.unit = u.unit AND q.node = freq.node),
-cut AS (SELECT * FROM again WHERE df > 0 QUALIFY row_number() OVER (PARTITION BY own, unit ORDER BY round(df * idf, 9) DESC, node) <= {top_k}),
+cut AS (SELECT * FROM again WHERE df >= {max(min_df, 1)} QUALIFY row_number() OVER (PARTITION BY own, unit ORDER BY round(df * idf, 9) DESC, node) <= {top_k}),
 mine AS (SELECT own, unit, own AS code, sum(idf * sqrt(df / greatest(units - 1, 1))) AS score FROM cut WHERE asked GROUP BY ALL),
 theirs AS (SELECT own, unit, prof.code, sum(idf * sqrt(df / units)) AS score FROM q JOIN prof ON q.node = prof.node AND q.own <> prof.code GROUP BY ALL),
 s AS (SELECT own, unit, code, round(coalesce(mine.score, theirs.score, 0), 9) AS score FROM u CROSS JOIN cs LEFT JOIN mine USING (own, unit, code) LEFT JOIN theirs USING (own, unit, code)),
@@ -230,10 +230,9 @@ def loo_eval(spark, d):
     return _loo(spark, d, 50)
 
 
-@register("SELECT * FROM (" + " UNION ALL ".join(f"SELECT {k} AS top_k, * FROM (WITH {_loo_sql(k)} SELECT * FROM summary)" for k in (20, 300)) + ")")
+@register("SELECT * FROM (" + " UNION ALL ".join(f"SELECT {k} AS top_k, {m} AS min_df, * FROM (WITH {_loo_sql(k, m)} SELECT * FROM summary)" for k in (20, 50, 300) for m in (1, 2)) + ")")
 def loo_sweep(spark, d):
-    parts = [_loo(spark, d, k).select(F.lit(k).alias("top_k"), "*") for k in (20, 300)]
-    return parts[0].unionByName(parts[1])
+    return evaluate.sweep(_nodes(spark, d, FOUR), FOUR, (20, 50, 300), (1, 2))
 
 
 CROSS_SQL = """
