@@ -263,19 +263,49 @@ def dictionary_names(sources: list[DataFrame], noise: Column | None = None) -> D
     return (every.where(~noise) if noise is not None else every).orderBy("node")
 
 
+# What counts as a closed eye or a frown, as a move of shoulders and wrists, as tilted and off the centre (shares of the picture).
+CLOSED, BODY_MOVE, ARM_MOVE, TILT, OFF_CENTRE = 0.45, 0.035, 0.05, 0.055, 0.22
+
+
+def gated_before(value: Column, gate: Column, order: Window) -> Column:
+    """The value at the last earlier row where `gate` holds: a state that stands still where it doesn't."""
+    return F.last(F.when(gate, value), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+
+
 def frame_metrics(frames: DataFrame) -> DataFrame:
-    """(session, frames, faces, share, blinks, moves) of frames (session, t, face, closed, x).
+    """One row for each session of frames (session, ms, face, hands, blink, frown, left, right, wrists, gesture).
 
-    A blink is an eye that is closed after an open frame; a move is a step of more than a tenth.
+    face and hands tell whether there are any; blink and frown are the means of both sides (null
+    without a face); left, right and wrists are points (x, y) of the shoulders and between the
+    wrists, null without a pose. An eye that closes after an open (or the first) face is a blink;
+    frames without a face change nothing about that, and frames without a pose nothing about moves,
+    which are Euclidean and against the last pose. Rates are over the frames with a face or a pose.
     """
-    order = Window.partitionBy("session").orderBy("t")
-    step = frames.withColumn("was", F.lag("closed").over(order)).withColumn("dx", F.abs(F.col("x") - F.lag("x").over(order)))
-    return step.groupBy("session").agg(
-        F.count(F.lit(1)).alias("frames"),
-        F.count_if("face").alias("faces"),
-        F.round(F.count_if("face") / F.count(F.lit(1)), 6).alias("share"),
-        F.count_if(F.col("closed") & ~F.coalesce("was", F.lit(False))).alias("blinks"),
-        F.count_if(F.col("dx") > 0.1).alias("moves"),
+    order = Window.partitionBy("session").orderBy("ms")
+    face, pose = F.coalesce("face", F.lit(False)), F.col("left").isNotNull() & F.col("right").isNotNull()
+    closed = face & (F.coalesce("blink", F.lit(0.0)) > CLOSED)
+    middle = F.struct(((F.col("left.x") + F.col("right.x")) / 2).alias("x"), ((F.col("left.y") + F.col("right.y")) / 2).alias("y"))
+    apart = lambda a, b: F.sqrt(F.pow(F.col(f"{a}.x") - F.col(f"{b}.x"), F.lit(2)) + F.pow(F.col(f"{a}.y") - F.col(f"{b}.y"), F.lit(2)))
+    rows = frames.withColumns({"face": face, "pose": pose, "closed": closed, "middle": middle})
+    rows = rows.withColumns({"was_closed": gated_before(F.col("closed"), face, order), "was_middle": gated_before(F.col("middle"), pose, order), "was_wrists": gated_before(F.col("wrists"), pose, order)})
+    count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    of = lambda c, n: F.round(F.coalesce(F.try_divide(c, n), F.lit(0.0)), 3)
+    faces, poses, all_ = count(F.col("face")), count(F.col("pose")), F.count(F.lit(1))
+    seconds = (F.max("ms") - F.min("ms")) / 1000
+    return rows.groupBy("session").agg(
+        all_.alias("frames"),
+        (F.floor((F.max("ms") - F.min("ms") + 5) / 10) / 100).alias("seconds"),  # two digits, half up
+        F.round(F.coalesce(F.try_divide(all_, seconds), F.lit(0.0)), 2).alias("fps"),
+        of(faces, all_).alias("face_rate"),
+        of(count(F.col("hands")), all_).alias("hand_rate"),
+        of(poses, all_).alias("pose_rate"),
+        count(F.col("closed") & ~F.coalesce("was_closed", F.lit(False))).alias("blinks"),
+        of(count(F.col("face") & (F.coalesce("frown", F.lit(0.0)) > CLOSED)), faces).alias("frown_rate"),
+        count(F.col("pose") & (apart("middle", "was_middle") > BODY_MOVE)).alias("body_moves"),
+        count(F.col("pose") & (apart("wrists", "was_wrists") > ARM_MOVE)).alias("arm_moves"),
+        of(count(F.col("pose") & (F.abs(F.col("left.y") - F.col("right.y")) > TILT)), poses).alias("tilt_rate"),
+        of(count(F.col("pose") & (F.abs(F.col("middle.x") - 0.5) > OFF_CENTRE)), poses).alias("off_centre_rate"),
+        F.count("gesture").alias("gestures"),
     )
 
 

@@ -109,14 +109,20 @@ def interviews(answers: DataFrame, items: list[tuple[str, list[str]]], action: s
 
 
 def latest_per_day(path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch: one point per key and day, the last by time; two tables take turns, so a reader never sees half."""
+    """foreachBatch: one point per key and day, the last by time, in a table that is partitioned by day.
+
+    Only the days that a batch has are read and written again; files of other days stay as they are.
+    A batch that is run again after a failure gives what it gave, since the last point of all is kept.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark: SparkSession = batch.sparkSession
-        rows, old = batch, rows_of(spark, f"{path}/{(number + 1) % 2}")
+        rows, old = batch, rows_of(spark, path)
         if old is not None:
-            rows = rows.unionByName(old)
-        assist.daily_snapshots(rows).write.mode("overwrite").parquet(f"{path}/{number % 2}")
+            days = batch.select("as_of").distinct()
+            rows = rows.unionByName(old.select(*batch.columns).join(days, "as_of", "left_semi").select(*batch.columns))
+        latest = assist.daily_snapshots(rows)
+        latest.repartition("as_of").write.partitionBy("as_of").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
     return write
 

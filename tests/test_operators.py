@@ -211,10 +211,22 @@ def test_stream_accumulate(spark, tmp_path):
 
 
 def test_stream_latest_per_day(spark, tmp_path):
-    day, at = date(2024, 1, 1), lambda h: datetime(2024, 1, 1, h)
-    source = stream(spark, None, "as_of date, key long, rate double, ts timestamp, id long", tmp_path, [[(day, 1, 0.1, at(1), 1), (day, 2, 0.5, at(1), 2)], [(day, 1, 0.3, at(5), 3), (day, 1, 0.2, at(4), 4)]])
-    run(source, snapshots.latest_per_day(str(tmp_path / "days")), tmp_path)
-    assert sorted((r.key, r.rate) for r in spark.read.parquet(str(tmp_path / "days/1")).collect()) == [(1, 0.3), (2, 0.5)]
+    """The last point of each day and key; a batch touches its own days' files only, and may come again."""
+    first, second, at = date(2024, 1, 1), date(2024, 1, 2), lambda d, h: datetime(2024, 1, d, h)
+    schema, target = "as_of date, key long, rate double, ts timestamp, id long", str(tmp_path / "days")
+    batches = [[(first, 1, 0.1, at(1, 1), 1), (first, 2, 0.5, at(1, 1), 2)], [(second, 1, 0.3, at(2, 5), 3), (second, 1, 0.2, at(2, 4), 4)], [(first, 1, 0.9, at(1, 9), 5), (first, 2, 0.4, at(1, 0), 6)]]
+    source = stream(spark, None, schema, tmp_path, batches)
+    run(source, snapshots.latest_per_day(target), tmp_path)
+    rows = lambda: sorted((r.as_of.day, r.key, r.rate) for r in spark.read.parquet(target).collect())
+    assert rows() == [(1, 1, 0.9), (1, 2, 0.5), (2, 1, 0.3)]
+    files_of = lambda day: {(f.name, f.stat().st_mtime_ns) for f in (tmp_path / f"days/as_of=2024-01-0{day}").iterdir()}
+    untouched = files_of(2)
+    write = snapshots.latest_per_day(target)
+    for _ in range(2):
+        write(spark.createDataFrame(batches[2], schema), 2)
+    assert files_of(2) == untouched and rows() == [(1, 1, 0.9), (1, 2, 0.5), (2, 1, 0.3)]
+    write(spark.createDataFrame([(second, 7, 0.7, at(2, 6), 8)], schema), 3)
+    assert rows() == [(1, 1, 0.9), (1, 2, 0.5), (2, 1, 0.3), (2, 7, 0.7)]
 
 
 def test_stream_drift_history(spark, tmp_path):
@@ -269,3 +281,28 @@ def test_upsert(spark):
 def test_rubric_weights_are_shares(spark):
     rows = spark.createDataFrame([(1, 1, 1.0, 0.5), (1, 2, 0.6, None)], "rubric long, item long, kind_weight double, share double")
     assert {r.item: r.weight for r in persona.weights(rows).collect()} == {1: 0.714, 2: 0.286}
+
+
+def test_frame_metrics_by_hand(spark):
+    """States stand still on frames without a face or a pose; moves are Euclidean and against the last pose."""
+    from matchloom.operators import serving
+
+    p = lambda x, y: (x, y)
+    rows = [
+        # session, ms, face, hands, blink, frown, left, right, wrists, gesture
+        (1, 0, True, True, 0.9, 0.1, p(0.4, 0.5), p(0.6, 0.5), p(0.5, 0.9), "wave"),  # the first face is closed: a blink
+        (1, 100, False, False, None, None, None, None, None, None),
+        (1, 200, True, False, 0.8, 0.5, None, None, None, None),  # still closed over the gap
+        (1, 300, True, False, 0.45, 0.46, p(0.42, 0.52), p(0.62, 0.52), p(0.53, 0.93), None),  # open at the limit; sqrt(0.02^2 + 0.02^2) < 0.035, and 0.042 < 0.05
+        (1, 400, False, True, 0.9, 0.9, None, None, None, "stop"),  # no face: neither blink nor frown
+        (1, 500, True, False, 0.46, None, p(0.45, 0.6), p(0.65, 0.54), p(0.56, 0.98), None),  # a blink; moved, tilted; sqrt(0.03^2 + 0.05^2) > 0.05
+        (1, 600, True, None, None, None, p(0.7, 0.5), p(0.8, 0.5), p(0.56, 0.98), None),  # off the centre, moved
+        (2, 50, False, False, None, None, None, None, None, None),
+    ]
+    point = "struct<x:double,y:double>"
+    frames = spark.createDataFrame(rows, f"session long, ms long, face boolean, hands boolean, blink double, frown double, left {point}, right {point}, wrists {point}, gesture string")
+    got = {r.session: r for r in serving.frame_metrics(frames).collect()}
+    one = got[1]
+    assert (one.frames, one.seconds, one.fps, one.face_rate, one.hand_rate, one.pose_rate) == (7, 0.6, 11.67, 0.714, 0.286, 0.571)
+    assert (one.blinks, one.frown_rate, one.body_moves, one.arm_moves, one.tilt_rate, one.off_centre_rate, one.gestures) == (2, 0.4, 2, 1, 0.25, 0.25, 2)
+    assert (got[2].frames, got[2].fps, got[2].face_rate, got[2].blinks, got[2].tilt_rate) == (1, 0.0, 0.0, 0, 0.0)
