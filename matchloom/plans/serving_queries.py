@@ -304,14 +304,14 @@ def dictionary_union(spark, d):
 
 
 # Events as frames: an error has no face, a click a closed eye, a view no pose; coordinates from the value.
-@register("""WITH f AS (SELECT user_id AS session, epoch_ms(ts) AS ms, event_id, event_type <> 'error' AS face, event_id % 5 < 2 AS hands, CASE WHEN event_type <> 'error' THEN CASE WHEN event_type = 'click' THEN 0.5 ELSE 0.2 END END AS blink,
+@register("""WITH f AS (SELECT user_id AS session, epoch_us(ts) // 1000 AS ms, event_id, event_type <> 'error' AS face, event_id % 5 < 2 AS hands, CASE WHEN event_type <> 'error' THEN CASE WHEN event_type = 'click' THEN 0.5 ELSE 0.2 END END AS blink,
   CASE WHEN event_type <> 'error' THEN (event_id % 10) / 10.0 END AS frown, event_type <> 'view' AS pose, (value % 10) / 20 + 0.2 AS lx, (value % 7) / 70 AS ly, (value % 9) / 20 + 0.4 AS rx, (value % 3) / 30 AS ry, (value % 4) / 8 AS wx, (value % 6) / 12 AS wy FROM events),
 b AS (SELECT *, lag(blink > 0.45) OVER (PARTITION BY session ORDER BY ms) AS was FROM f WHERE face),
 p AS (SELECT *, sqrt(pow((lx + rx) / 2 - lag((lx + rx) / 2) OVER w, 2) + pow((ly + ry) / 2 - lag((ly + ry) / 2) OVER w, 2)) AS body, sqrt(pow(wx - lag(wx) OVER w, 2) + pow(wy - lag(wy) OVER w, 2)) AS arm FROM f WHERE pose WINDOW w AS (PARTITION BY session ORDER BY ms)),
 fb AS (SELECT session, count(*) AS faces, count(*) FILTER (WHERE blink > 0.45 AND NOT coalesce(was, false)) AS blinks, count(*) FILTER (WHERE frown > 0.45) AS frowns FROM b GROUP BY session),
 pb AS (SELECT session, count(*) AS poses, count(*) FILTER (WHERE body > 0.035) AS body_moves, count(*) FILTER (WHERE arm > 0.05) AS arm_moves, count(*) FILTER (WHERE abs(ly - ry) > 0.055) AS tilts, count(*) FILTER (WHERE abs((lx + rx) / 2 - 0.5) > 0.22) AS offs FROM p GROUP BY session),
-a AS (SELECT session, count(*) AS frames, (max(ms) - min(ms)) / 1000 AS seconds, count(*) FILTER (WHERE hands) AS hands, count(*) FILTER (WHERE event_id % 4 = 0) AS gestures FROM f GROUP BY session)
-SELECT session, frames, floor((seconds * 1000 + 5) / 10) / 100 AS seconds, round(coalesce(frames / nullif(seconds, 0), 0), 2) AS fps, round(coalesce(faces, 0) / frames, 3) AS face_rate, round(hands / frames, 3) AS hand_rate, round(coalesce(poses, 0) / frames, 3) AS pose_rate, coalesce(blinks, 0) AS blinks,
+a AS (SELECT session, count(*) AS frames, max(ms) - min(ms) AS ms, (max(ms) - min(ms)) / 1000 AS seconds, count(*) FILTER (WHERE hands) AS hands, count(*) FILTER (WHERE event_id % 4 = 0) AS gestures FROM f GROUP BY session)
+SELECT session, frames, floor((ms + 5) / 10) / 100 AS seconds, round(coalesce(frames / nullif(seconds, 0), 0), 2) AS fps, round(coalesce(faces, 0) / frames, 3) AS face_rate, round(hands / frames, 3) AS hand_rate, round(coalesce(poses, 0) / frames, 3) AS pose_rate, coalesce(blinks, 0) AS blinks,
   round(coalesce(frowns / faces, 0), 3) AS frown_rate, coalesce(body_moves, 0) AS body_moves, coalesce(arm_moves, 0) AS arm_moves, round(coalesce(tilts / poses, 0), 3) AS tilt_rate, round(coalesce(offs / poses, 0), 3) AS off_centre_rate, gestures
 FROM a LEFT JOIN fb USING (session) LEFT JOIN pb USING (session)""")
 def frame_metrics(spark, d):
