@@ -124,9 +124,26 @@ def market(nodes: DataFrame, noisy: str) -> DataFrame:
 
 
 def best_context(live: DataFrame, contexts: DataFrame) -> DataFrame:
-    """Of each live posting's contexts (same url) the best: role in title with skills, skills, role in title, first."""
-    pairs = live.join(contexts, "url")
-    inside, skilled = F.contains(F.lower("title"), F.lower("role")), F.col("skills") > 0
-    rule = F.when(inside & skilled, 0).when(skilled, 1).when(inside, 2).otherwise(3)
-    ranked = pairs.withColumn("rule", rule).withColumn("k", F.row_number().over(Window.partitionBy("posting").orderBy("rule", "ctx")))
-    return ranked.where("k = 1").select("posting", "ctx", "rule")
+    """Of each live posting's contexts (same url) the best: role in title with skills, skills, role in title, first.
+
+    Contexts and postings never meet as pairs. What needs no title (the first of an url's contexts, with
+    and without skills) is a row for each url. A role in a title has its first three letters
+    there, so roles, each once, are looked up by these among the title's; only those are searched.
+    """
+    rows = contexts.select("url", "ctx", F.lower("role").alias("role"), F.coalesce(F.col("skills") > 0, F.lit(False)).alias("skilled"))
+    of_url = rows.groupBy("url").agg(*[F.min(F.when(c, F.col("ctx"))).alias(n) for n, c in (("skilled", F.col("skilled")), ("first", F.lit(True)), ("blank_skilled", F.col("skilled") & (F.col("role") == "")), ("blank", F.col("role") == ""))])
+    roles = rows.where("role <> ''").groupBy("url", "role", "skilled").agg(F.min("ctx").alias("ctx")).withColumn("g", F.least(F.length("role"), F.lit(3)))
+    roles = roles.withColumn("gram", F.substring("role", 1, 3))
+    titles = live.select("url", "posting", F.lower("title").alias("title"))
+
+    def pieces(k: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("title") - k + 1, F.lit(1))), lambda i: F.struct(F.lit(k).alias("g"), F.substr("title", i, F.lit(k)).alias("gram")))
+
+    sizes = F.array(*[pieces(k) for k in (1, 2, 3)])
+    grams = titles.where("title <> ''").select("url", "posting", "title", F.explode(F.array_distinct(F.flatten(sizes))).alias("x")).select("url", "posting", "title", "x.g", "x.gram")
+    inside = grams.join(roles, ["url", "g", "gram"]).where(F.contains("title", F.col("role"))).groupBy("posting").agg(F.min(F.struct(F.when(F.col("skilled"), 0).otherwise(2).alias("rule"), "ctx")).alias("inside"))
+    rule = lambda n, c: F.when(F.col(c).isNotNull(), F.struct(F.lit(n).alias("rule"), F.col(c).alias("ctx")))
+    has_title = F.col("title").isNotNull()
+    found = titles.join(of_url, "url").join(inside, "posting", "left")
+    best = F.least(F.col("inside"), F.when(has_title, rule(0, "blank_skilled")), rule(1, "skilled"), F.when(has_title, rule(2, "blank")), rule(3, "first"))
+    return found.select("posting", best.alias("b")).select("posting", "b.ctx", "b.rule")

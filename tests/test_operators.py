@@ -306,3 +306,27 @@ def test_frame_metrics_by_hand(spark):
     assert (one.frames, one.seconds, one.fps, one.face_rate, one.hand_rate, one.pose_rate) == (7, 0.6, 11.67, 0.714, 0.286, 0.571)
     assert (one.blinks, one.frown_rate, one.body_moves, one.arm_moves, one.tilt_rate, one.off_centre_rate, one.gestures) == (2, 0.4, 2, 1, 0.25, 0.25, 2)
     assert (got[2].frames, got[2].fps, got[2].face_rate, got[2].blinks, got[2].tilt_rate) == (1, 0.0, 0.0, 0, 0.0)
+
+
+def test_best_context_equals_pairs(spark):
+    """Against every pair of a posting and a context of its address; short, blank and missing roles and titles too."""
+    import random
+
+    from matchloom.operators import corpus
+
+    rng = random.Random(3)
+    roles = ["", "a", "SQL", "sql개발", "Data", "data engineer", "분석", None, "zz", "세 글"]
+    titles = [None, "", "a", "SQL개발자 (Data)", "Senior DATA Engineer", "분석", "x분석가 세 글자", "no"]
+    live = [(i, rng.choice(titles), rng.choice("uvw")) for i in range(80)]
+    ctxs = [(1000 + i, rng.choice(roles), rng.choice((0, 0, 2, None)), rng.choice("uvx")) for i in range(60)]
+    got = {r.posting: (r.rule, r.ctx) for r in corpus.best_context(spark.createDataFrame(live, "posting long, title string, url string"), spark.createDataFrame(ctxs, "ctx long, role string, skills long, url string")).collect()}
+    want = {}
+    for p, title, url in live:
+        ranks = []
+        for c, role, skills, other in ctxs:
+            if other == url:
+                inside, skilled = role is not None and title is not None and role.lower() in title.lower(), (skills or 0) > 0
+                ranks.append((0 if inside and skilled else 1 if skilled else 2 if inside else 3, c))
+        if ranks:
+            want[p] = min(ranks)
+    assert got == want
