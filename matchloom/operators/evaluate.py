@@ -129,6 +129,12 @@ def cross_hits(ranked: DataFrame, queries: DataFrame, gold: DataFrame) -> DataFr
     return full.groupBy("job").agg(F.count(F.lit(1)).alias("queries"), F.sum("answered").alias("answered"), F.sum("top1").alias("top1"), F.sum("top3").alias("top3"))
 
 
+def similarity_profile(best: DataFrame, over: float = 0.55) -> DataFrame:
+    """(n, mean, median, over) of the best similarities (sentence, best) of a query set; sentences without any count as 0."""
+    sim = F.coalesce("best", F.lit(0.0))
+    return best.agg(F.count(F.lit(1)).alias("n"), F.avg(sim).alias("mean"), F.median(sim).alias("median"), F.avg((sim >= over).cast("double")).alias("over"))
+
+
 def user_set(nodes: DataFrame, queries: DataFrame, profiles: DataFrame, gold: DataFrame) -> DataFrame:
     """By job: sentences, those that were read (have nodes), Top-1 and Top-3 hits of the gold majors.
 

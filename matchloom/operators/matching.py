@@ -189,11 +189,23 @@ def related_postings(users: DataFrame, evidence: DataFrame, limit: int = 5) -> D
     return counted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
 
 
-def resolve_targets(wanted: DataFrame, profiles: DataFrame, fine: DataFrame, names: DataFrame) -> DataFrame:
-    """Resolve each wanted string: a profile code, a finer code, or a taxonomy name (first code); else unresolved."""
-    coarse = profiles.select(F.col("code").alias("c1")).distinct()
-    finer = fine.select(F.col("code").alias("c2")).distinct()
-    named = names.groupBy("name").agg(F.min("code").alias("c3"))
-    out = wanted.join(coarse, F.col("wanted") == F.col("c1"), "left").join(finer, F.col("wanted") == F.col("c2"), "left").join(named, F.col("wanted") == F.col("name"), "left")
-    how = F.when(F.col("c1").isNotNull(), "profile").when(F.col("c2").isNotNull(), "fine").when(F.col("c3").isNotNull(), "name").otherwise("unresolved")
-    return out.select("wanted", F.coalesce("c1", "c2", "c3").alias("code"), how.alias("how"))
+def resolve_targets(wanted: DataFrame, profiles: DataFrame, fine: DataFrame, taxonomy: DataFrame, level: int = 6) -> DataFrame:
+    """(wanted, code, how) of each wanted string, white space around it apart.
+
+    A code or the name of a profile (code, name), the code or name of a finer one, or what the
+    taxonomy (pos, code, name) calls so at `level`, one letter off at most, if that has a profile;
+    the first that holds. Of equal names the least code, in the taxonomy the first by pos.
+    """
+    from matchloom.operators.taxonomy import name_codes, plain_name
+
+    out = wanted.select("wanted").distinct().withColumn("t", F.btrim(F.coalesce("wanted", F.lit("")))).withColumn("key", plain_name(F.col("t")))
+    for table, code, name in ((profiles, "c1", "c2"), (fine, "c3", "c4")):
+        out = out.join(table.select(F.col("code").alias(code)).distinct(), F.col("t") == F.col(code), "left")
+        named = table.groupBy("name").agg(F.min("code").alias(name))
+        out = out.join(named, F.col("t") == F.col("name"), "left").drop("name")
+    first = name_codes(out, taxonomy, (level,)).groupBy("key").agg(F.min(F.struct("pos", "code")).alias("m"))
+    known = first.select("key", F.col("m.code").alias("c5")).join(profiles.select(F.col("code").alias("c5")).distinct(), "c5", "left_semi")
+    out = out.join(known, "key", "left")
+    kinds = (("c1", "profile"), ("c2", "profile name"), ("c3", "fine"), ("c4", "fine name"), ("c5", "taxonomy"))
+    how = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(k)) for c, k in kinds], F.lit("unresolved"))
+    return out.select("wanted", F.coalesce(*[c for c, _ in kinds]).alias("code"), how.alias("how"))

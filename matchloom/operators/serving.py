@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchloom.functions.text import quote_verified
+
 # What a user's own posting may hold (characters, items, characters of an item).
 POSTING_LIMITS = {"companyName": 120, "positionTitle": 200, "postingTitle": 200, "jobFamily": 60, "sourceUrl": 500, "deadline": 10}
 POSTING_LISTS = {"responsibilities": (12, 1500), "requiredSkills": (30, 60), "preferredSkills": (30, 60)}
@@ -29,14 +31,16 @@ def importance_of(terms: DataFrame, table: DataFrame, neutral: float = 0.5) -> D
     return terms.withColumn("low", F.lower("term")).join(known, "low", "left").drop("low").withColumn("importance", F.coalesce("importance", F.lit(neutral)))
 
 
-def loadable(postings: DataFrame, tier: str | None = "A", job: str | None = None, require_techs: bool = True) -> DataFrame:
-    """Postings of a tier and job (None: any) that name techs."""
+def loadable(postings: DataFrame, tier: str | None = "A", job: str | None = None, require_techs: bool = True, limit: int | None = None, order: str = "doc_id") -> DataFrame:
+    """Postings of a tier and job (None: any) that name techs; with `limit` the first so many by `order`."""
     found = postings
     if tier is not None:
         found = found.where(F.col("tier") == tier)
     if job is not None:
         found = found.where(F.col("job") == job)
-    return found.where(F.size("techs") > 0) if require_techs else found
+    if require_techs:
+        found = found.where(F.size("techs") > 0)
+    return found if limit is None else found.orderBy(order).limit(limit)
 
 
 def line_with(text: Column, term: Column, longest: int = 120) -> Column:
@@ -238,6 +242,35 @@ def rubric_order(items: DataFrame) -> DataFrame:
     return items.withColumn("named", named).withColumn("place", F.row_number().over(Window.partitionBy("rubric").orderBy(kind, F.desc("named"), "pos")))
 
 
+# What is asked after a short answer, by the item's kind (required ones last).
+FOLLOWUPS = {
+    "preferred": ("'", "'와 관련해 직접 해 본 것이 있다면, 어떤 상황에서 무엇을 했는지 말씀해 주세요."),
+    "duty": ("입사하면 '", "' 업무를 맡게 됩니다. 비슷한 일을 해 본 경험과 그때 본인의 역할을 말씀해 주세요."),
+    "required": ("'", "'을(를) 실제로 써 본 경험을 말씀해 주세요. 본인이 맡은 부분과 결과는 무엇이었나요?"),
+}
+
+
+def interview_export(items: DataFrame) -> DataFrame:
+    """(rubric, place, label, keywords, followup, jd_quote) of ordered items (rubric, place, kind, quote, techs), as an interview reads them."""
+    from matchloom.operators.persona import keywords
+
+    label = F.left("quote", F.lit(40))
+    asked = {kind: F.concat(F.lit(a), label, F.lit(b)) for kind, (a, b) in FOLLOWUPS.items()}
+    followup = F.when(F.col("kind") == "preferred", asked["preferred"]).when(F.col("kind") == "duty", asked["duty"]).otherwise(asked["required"])
+    return items.select("rubric", "place", label.alias("label"), keywords(F.col("quote"), F.col("techs")).alias("keywords"), followup.alias("followup"), F.col("quote").alias("jd_quote"))
+
+
+def cached_rubrics(docs: DataFrame, rubrics: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc, cached) of docs (doc, url, text): whether a stored rubric (doc, url) may be used again.
+
+    It may if it was made for the document's address and the document holds every quote of its items
+    (doc, jd_quote); else the rubric is to be built anew.
+    """
+    held = docs.join(rubrics.select("doc", F.col("url").alias("made_for")), "doc", "left")
+    wrong = items.join(docs.select("doc", "text"), "doc").where(~F.coalesce(quote_verified(F.col("jd_quote"), F.col("text")), F.lit(False))).select("doc", F.lit(1).alias("wrong")).distinct()
+    return held.join(wrong, "doc", "left").select("doc", (F.coalesce(F.col("made_for") == F.col("url"), F.lit(False)) & F.col("wrong").isNull()).alias("cached"))
+
+
 def rubric_batch(items: DataFrame, least: int = 3) -> DataFrame:
     """(rubric, items, kept): rubrics and whether they have enough items to be written."""
     return items.groupBy("rubric").agg(F.count(F.lit(1)).alias("items")).withColumn("kept", F.col("items") >= least)

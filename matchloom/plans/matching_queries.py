@@ -174,16 +174,28 @@ def node_breadth(spark, d):
     return matching.breadth(_profiles(spark, d))
 
 
-@register("WITH " + fx.profile_sql(**FOUR_SQL) + """
-, fine AS (SELECT DISTINCT code FROM codes), wn AS (SELECT DISTINCT left(code, 4) AS wanted FROM codes UNION SELECT DISTINCT code FROM codes UNION SELECT n_name FROM nation UNION SELECT 'nowhere'),
-nm AS (SELECT n_name AS name, min(left(code, 4)) AS c3 FROM customer JOIN codes USING (c_custkey) JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)
-SELECT wanted, coalesce(c1, c2, c3) AS code, CASE WHEN c1 IS NOT NULL THEN 'profile' WHEN c2 IS NOT NULL THEN 'fine' WHEN c3 IS NOT NULL THEN 'name' ELSE 'unresolved' END AS how
-FROM wn LEFT JOIN (SELECT DISTINCT code AS c1 FROM prof) ON wanted = c1 LEFT JOIN (SELECT code AS c2 FROM fine) ON wanted = c2 LEFT JOIN nm ON wanted = name""")
+# Profiles of some nations and the finer ones of all; the taxonomy calls nations otherwise ("L " before the name).
+@register("WITH " + fx.CODES_SQL + """,
+cf AS (SELECT DISTINCT code, n_name, n_nationkey, c_mktsegment AS m FROM customer JOIN codes USING (c_custkey) JOIN nation ON c_nationkey = n_nationkey),
+co AS (SELECT DISTINCT left(code, 4) AS code, n_name AS name FROM cf WHERE n_nationkey % 3 > 0),
+fi AS (SELECT code, n_name || ' ' || m AS name FROM cf),
+tx AS (SELECT DISTINCT left(code, 4) AS code, 'L ' || n_name AS name FROM cf),
+wn AS (SELECT left(code, 4) AS wanted FROM cf UNION SELECT code FROM cf UNION SELECT ' ' || n_name || ' ' FROM cf UNION SELECT n_name || ' ' || m FROM cf UNION SELECT 'X ' || n_name FROM cf UNION SELECT 'l' || n_name FROM cf UNION SELECT 'nowhere' UNION SELECT ''),
+r AS (SELECT wanted, trim(wanted) AS t FROM wn),
+q AS (SELECT wanted, (SELECT code FROM co WHERE code = t) AS c1, (SELECT min(code) FROM co WHERE name = t) AS c2, (SELECT code FROM fi WHERE code = t) AS c3, (SELECT min(code) FROM fi WHERE name = t) AS c4,
+  (SELECT min(code) FROM tx WHERE replace(name, ' ', '') = replace(t, ' ', '')) AS e5, (SELECT min(code) FROM tx WHERE length(replace(t, ' ', '')) >= 5 AND length(replace(name, ' ', '')) = length(replace(t, ' ', '')) AND levenshtein(replace(name, ' ', ''), replace(t, ' ', '')) <= 1) AS f5 FROM r),
+z AS (SELECT *, CASE WHEN coalesce(e5, f5) IN (SELECT code FROM co) THEN coalesce(e5, f5) END AS c5 FROM q)
+SELECT wanted, coalesce(c1, c2, c3, c4, c5) AS code, CASE WHEN c1 IS NOT NULL THEN 'profile' WHEN c2 IS NOT NULL THEN 'profile name' WHEN c3 IS NOT NULL THEN 'fine' WHEN c4 IS NOT NULL THEN 'fine name' WHEN c5 IS NOT NULL THEN 'taxonomy' ELSE 'unresolved' END AS how FROM z""")
 def resolve_targets(spark, d):
-    codes, nation = fx.codes(spark, d), fx.table(spark, d, "nation")
-    names = fx.table(spark, d, "customer").join(codes, "c_custkey").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("name"), F.substring("code", 1, 4).alias("code"))
-    wanted = codes.select(F.substring("code", 1, 4).alias("wanted")).union(codes.select("code")).union(nation.select("n_name")).union(spark.range(1).select(F.lit("nowhere"))).distinct()
-    return matching.resolve_targets(wanted, _profiles(spark, d, FOUR), codes, names)
+    nation = fx.table(spark, d, "nation")
+    rows = fx.table(spark, d, "customer").join(fx.codes(spark, d), "c_custkey").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("code", "n_name", "n_nationkey", "c_mktsegment").distinct()
+    four, whole = F.substring("code", 1, 4), F.concat_ws(" ", "n_name", "c_mktsegment")
+    coarse = rows.where("n_nationkey % 3 > 0").select(four.alias("code"), F.col("n_name").alias("name")).distinct()
+    fine = rows.select("code", whole.alias("name"))
+    tax = rows.select(four.alias("pos"), four.alias("code"), F.concat(F.lit("L "), "n_name").alias("name")).distinct()
+    asked = [four, F.col("code"), F.concat(F.lit(" "), "n_name", F.lit(" ")), whole, F.concat(F.lit("X "), "n_name"), F.concat(F.lit("l"), "n_name"), F.lit("nowhere"), F.lit("")]
+    wanted = rows.select(F.explode(F.array(*asked)).alias("wanted")).distinct()
+    return matching.resolve_targets(wanted, coarse, fine, tax, level=4)
 
 
 @register("WITH " + fx.gate_sql() + """

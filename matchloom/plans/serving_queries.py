@@ -62,6 +62,12 @@ def _tiered(spark, d):
     return rows.select("doc_id", F.col("source").alias("job"), techs.alias("techs")).join(tiers, "doc_id")
 
 
+@register(f"WITH {TIER_SQL} SELECT doc_id, job, array_to_string(techs, '|') AS techs FROM td WHERE tier = 'A' AND len(techs) > 0 ORDER BY doc_id LIMIT 10")
+def loader_limit(spark, d):
+    """The loader's limit: the first ten by document."""
+    return serving.loadable(_tiered(spark, d), "A", limit=10).select("doc_id", "job", _joined("techs").alias("techs"))
+
+
 @register(f"WITH {TIER_SQL} SELECT doc_id, job, array_to_string(techs, '|') AS techs FROM td WHERE tier = 'A' AND job = 'src0' AND len(techs) > 0")
 def loader_filter(spark, d):
     return serving.loadable(_tiered(spark, d), "A", "src0").select("doc_id", "job", _joined("techs").alias("techs"))
@@ -276,6 +282,30 @@ def rubric_order(spark, d):
     return found.select("rubric", "pos", "kind", "named", "place", F.left("quote", F.lit(40)).alias("label"), F.col("quote").alias("jd_quote"))
 
 
+@register(f"""WITH {RUBRIC_ITEMS_SQL}, n AS (SELECT *, list_filter(['WIDGET', 'large', 'brand#1'], lambda t: contains(lower(quote), lower(t))) AS named FROM ri),
+k AS (SELECT *, row_number() OVER (PARTITION BY rubric ORDER BY CASE kind WHEN 'required' THEN 0 WHEN 'duty' THEN 1 ELSE 2 END, len(named) DESC, pos) AS place, list_concat(named, list_filter(regexp_extract_all(quote, '[A-Za-z][A-Za-z0-9+#./-]+'), lambda w: length(w) >= 2)) AS ws FROM n),
+f AS (SELECT *, list_filter(list_transform(ws, lambda w, i: CASE WHEN list_position(ws, w) = i THEN w END), lambda w: w IS NOT NULL)[:4] AS kw FROM k)
+SELECT rubric, place, left(quote, 40) AS label, array_to_string(kw, '|') AS keywords, quote AS jd_quote,
+ CASE kind WHEN 'preferred' THEN '''' || left(quote, 40) || '''와 관련해 직접 해 본 것이 있다면, 어떤 상황에서 무엇을 했는지 말씀해 주세요.' WHEN 'duty' THEN '입사하면 ''' || left(quote, 40) || ''' 업무를 맡게 됩니다. 비슷한 일을 해 본 경험과 그때 본인의 역할을 말씀해 주세요.' ELSE '''' || left(quote, 40) || '''을(를) 실제로 써 본 경험을 말씀해 주세요. 본인이 맡은 부분과 결과는 무엇이었나요?' END AS followup FROM f""")
+def rubric_export(spark, d):
+    found = serving.interview_export(serving.rubric_order(_rubric_items(spark, d)))
+    return found.withColumn("keywords", _joined("keywords"))
+
+
+# Conversations as documents, each turn's first line as a stored quote; some rubrics are of another address, some quotes not the document's.
+@register(r"""WITH w AS (SELECT conv_id AS doc, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY ALL),
+q AS (SELECT conv_id AS doc, CASE WHEN conv_id % 7 = 1 AND turn = 2 THEN 'never said' WHEN turn % 2 = 0 THEN '“' || string_split(text, chr(10))[1] || '”' ELSE regexp_replace(string_split(text, chr(10))[1], ' ', '  ', 'g') END AS quote FROM conversations),
+v AS (SELECT q.doc, bool_and(length(c) >= 4 AND contains(trim(regexp_replace(w.text, '\s+', ' ', 'g')), c)) AS good FROM (SELECT doc, trim(regexp_replace(quote, '\s+', ' ', 'g'), ' “”') AS c FROM q) q JOIN w USING (doc) GROUP BY q.doc)
+SELECT doc, doc % 5 > 0 AND doc % 3 > 0 AND coalesce(good, true) AS cached FROM w LEFT JOIN v USING (doc)""")
+def rubric_cache(spark, d):
+    talk = fx.table(spark, d, "conversations")
+    docs = talk.groupBy(F.col("conv_id").alias("doc")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]), "\n").alias("text")).withColumn("url", F.concat(F.lit("u"), "doc"))  # one conversation's turns
+    rubrics = docs.where("doc % 5 > 0").select("doc", F.when(F.col("doc") % 3 > 0, F.col("url")).otherwise("elsewhere").alias("url"))
+    line = F.split("text", "\n")[0]
+    quote = F.when((F.col("conv_id") % 7 == 1) & (F.col("turn") == 2), "never said").when(F.col("turn") % 2 == 0, F.concat(F.lit("“"), line, F.lit("”"))).otherwise(F.regexp_replace(line, " ", "  "))
+    return serving.cached_rubrics(docs, rubrics, talk.select(F.col("conv_id").alias("doc"), quote.alias("jd_quote")))
+
+
 @register(f"WITH {RUBRIC_ITEMS_SQL} SELECT rubric, count(*) AS items, count(*) >= 3 AS kept FROM ri GROUP BY rubric")
 def rubric_batch(spark, d):
     return serving.rubric_batch(_rubric_items(spark, d))

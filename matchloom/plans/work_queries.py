@@ -238,6 +238,15 @@ def node_projection_topk(spark, d):
     return vectors.projection(*_vectors(spark, d), VECTORS)
 
 
+@register(f"WITH {VEC_SQL}, b AS (SELECT sentence, max(sim) AS best FROM sim GROUP BY sentence) SELECT count(*) AS n, round(avg(best), 6) AS mean, round(median(best), 6) AS median, round(avg(CASE WHEN best >= 0.3 THEN 1.0 ELSE 0.0 END), 6) AS over FROM b")
+def similarity_profile(spark, d):
+    from matchloom.operators import evaluate
+
+    best = vectors.nearest_nodes(*_vectors(spark, d), 1).select("sentence", F.col("sim").alias("best"))
+    found = evaluate.similarity_profile(best, 0.3)
+    return found.select("n", *[F.round(c, 6).alias(c) for c in ("mean", "median", "over")])
+
+
 @register(f"WITH {VEC_SQL} SELECT sentence, max(sim) AS best FROM sim GROUP BY sentence HAVING max(sim) < 0.35")
 def projection_unmatched(spark, d):
     return vectors.unmatched(*_vectors(spark, d), Settings(min_best=0.35))
