@@ -110,6 +110,35 @@ FULL = {
         "the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission",
     ),
     "mpl2-notice": ("this source code form is subject to the terms of the mozilla public license version 2 0",),
+    # Titles and opening sentences of whole legal texts.
+    "apache-terms": ("terms and conditions for use reproduction and distribution",),
+    "gpl1-title": ("gnu general public license version 1 february 1989",),
+    "gpl2-title": ("gnu general public license version 2 june 1991",),
+    "gpl3-title": ("gnu general public license version 3 29 june 2007",),
+    "lgpl2-title": ("gnu library general public license version 2 june 1991",),
+    "lgpl21-title": ("gnu lesser general public license version 2 1 february 1999",),
+    "lgpl3-title": ("gnu lesser general public license version 3 29 june 2007",),
+    "agpl3-title": ("gnu affero general public license version 3 19 november 2007",),
+    "gfdl-title": tuple(f"gnu free documentation license version {v}" for v in ("1 1 march 2000", "1 2 november 2002", "1 3 3 november 2008")),
+    "fsf-copies": ("everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed",),
+    "mpl11-title": ("mozilla public license version 1 1",),
+    "mpl2-title": ("mozilla public license version 2 0",),
+    "mpl-definitions": ("definitions",),
+    "cc0-title": ("cc0 1 0 universal", "creative commons cc0 1 0 universal", "creative commons legal code cc0 1 0 universal"),
+    "cc0-purpose": ("statement of purpose",),
+    "artistic-title": ("the artistic license", "the artistic license 2 0", "artistic license 2 0"),
+    "artistic-preamble": ("preamble",),
+    "isc-title": ("isc license", "the isc license", "isc license iscl"),
+    "isc-grant": tuple(
+        f"permission to use copy modify and {x}distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies" for x in ("or ", "")
+    ),
+    "hpnd-grant": tuple(
+        f"permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted provided that the above copyright notice appear in all copies{end}"
+        for end in ("", " and that both that copyright notice and this permission notice appear in supporting documentation")
+    ),
+    "psf-title": ("python software foundation license version 2", "psf license agreement for python *"),
+    "psf-agreement": ("terms and conditions for accessing or otherwise using python",),
+    "zlib-grant": ("permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",),
     **{f"cc-{short}-4": tuple(f"this work is licensed under {a}creative commons {long} 4 0 international license" for a in ("a ", "the ")) for short, long in (("by", "attribution"), ("by-sa", "attribution sharealike"), ("by-nc", "attribution noncommercial"))},
 }
 _WHOLE = ("MIT", "BSD-2-Clause", "BSD-3-Clause")
@@ -121,6 +150,24 @@ FULL_RULES = (
     ("LGPL-2.1", ("lgpl21-program",), ("proprietary",)),
     ("LGPL-3.0", ("lgpl3-program",), ("proprietary",)),
     ("AGPL-3.0", ("agpl3-program",), ("proprietary",)),
+    ("Apache-2.0", ("apache-title", "apache-terms"), ("proprietary",)),
+    ("GPL-1.0", ("gpl1-title", "fsf-copies"), ("proprietary", "GPL")),
+    ("GPL-2.0", ("gpl2-title", "fsf-copies"), ("proprietary", "GPL")),
+    ("GPL-3.0", ("gpl3-title", "fsf-copies"), ("proprietary", "GPL")),
+    ("LGPL-2.0", ("lgpl2-title", "fsf-copies"), ("proprietary", "GPL")),
+    ("LGPL-2.1", ("lgpl21-title", "fsf-copies"), ("proprietary", "GPL")),
+    ("LGPL-3.0", ("lgpl3-title", "fsf-copies"), ("proprietary", "GPL")),
+    ("AGPL-3.0", ("agpl3-title", "fsf-copies"), ("proprietary", "GPL")),
+    ("GFDL", ("gfdl-title",), ("proprietary",)),
+    ("MPL-1.1", ("mpl11-title", "mpl-definitions"), ("proprietary",)),
+    ("MPL-2.0", ("mpl2-title", "mpl-definitions"), ("proprietary",)),
+    ("CC0-1.0", ("cc0-title", "cc0-purpose"), ("proprietary",)),
+    ("Artistic", ("artistic-title", "artistic-preamble"), ("proprietary",)),
+    ("ISC", ("isc-grant",), ("proprietary",)),
+    ("HPND", ("hpnd-grant",), ("proprietary",)),
+    ("PSF-2.0", ("psf-title",), ("proprietary",)),
+    ("PSF-2.0", ("psf-agreement",), ("proprietary",)),
+    ("Zlib", ("zlib-grant",), ("proprietary",)),
 )
 
 
@@ -154,8 +201,10 @@ def find_licenses(docs: DataFrame, text_col: str = "text", sentences: dict | Non
 
     `sentences` has one normalised wording, or a tuple of them, by identifier. Null and empty texts
     have none. A sentence that stands twice counts twice; a rule's sentences may have others between
-    them; of wordings that begin at one place the longest counts. All input rows and columns stay
-    (those named like a result give way).
+    them; of wordings that begin at one place the longest counts. "All rights reserved" means
+    proprietary only where no whole licence is recognised. All input rows and columns stay (those
+    named like a result give way), repeated rows each with theirs; an empty table gives an empty
+    table; texts of any length are read whole.
     """
     known = wordings(sentences or ALL_SENTENCES)
     rows = without(docs, *RESULTS)

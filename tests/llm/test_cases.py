@@ -215,6 +215,30 @@ def test_hostile_texts_take_linear_time():
         assert time.process_time() - began < 30
 
 
+WHOLE_TEXTS = {
+    "Apache-2.0": "Apache-2.0", "Artistic": "Artistic", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL", "GFDL-1.3": "GFDL", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0",
+    "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+}
+
+
+def test_licenses_on_whole_texts(spark):
+    """Each legal text that the system has is told as what it is, hard wraps, CRLF and a rights line above it notwithstanding."""
+    import os
+
+    top = "/usr/share/common-licenses"
+    there = {name: want for name, want in WHOLE_TEXTS.items() if os.path.isfile(f"{top}/{name}")}
+    if not there:
+        pytest.skip("no licence texts here")
+    rows = []
+    for name, want in there.items():
+        text = open(f"{top}/{name}", encoding="utf-8", errors="replace").read()
+        rows += [(name, text, want), (name + "+", "Copyright (c) Somebody. All rights reserved.\n\n" + text.replace("\n", "\r\n"), want)]
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose\nwith or without fee is hereby granted, provided that the above copyright notice\nand this permission notice appear in all copies."
+    rows += [("isc", "Copyright X. All rights reserved.\n\n" + isc, "ISC"), ("own", "Copyright X. All rights reserved.\nNo part may be copied.", "proprietary"), ("talk", "We read the Apache License, Version 2.0 and its preamble and definitions.", None)]
+    got = {r.name: r.licenses for r in op2.find_licenses(spark.createDataFrame([(n, t) for n, t, _ in rows], "name string, text string")).collect()}
+    assert got == {n: [w] if w else [] for n, _, w in rows}
+
+
 SQL_FOLDER = "/root/testdata/sf0.001"
 
 
