@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from matchloom.operators import profile, topk
 from matchloom.settings import Settings
+from matchloom.sources.store import bucketed
 
 
 def coverage_report(nodes: DataFrame, s: Settings, goal: int) -> DataFrame:
@@ -42,7 +43,7 @@ def leave_one_out_cells(nodes: DataFrame, s: Settings, top_ks: tuple[int, ...],
     appear = base.groupBy("d", "node").agg(F.count(F.lit(1)).alias("appear"))
     jobs = profile.gate(nodes, s).where("included").agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("jobs"))
     freq = base.join(appear, ["d", "node"]).crossJoin(F.broadcast(jobs)).withColumn("idf", F.log(F.col("jobs") / F.col("appear"))).drop("jobs", "appear")
-    freq = profile.reused(freq.withColumn("key", F.round(F.col("df") * F.col("idf"), 9)))
+    freq = bucketed(freq.withColumn("key", F.round(F.col("df") * F.col("idf"), 9)), "code")  # five steps read it
     ranks = freq.withColumn("rank", F.row_number().over(Window.partitionBy("d", "code").orderBy(F.desc("key"), "node"))).where(F.col("rank") <= max(top_ks))
     weighted = ranks.withColumn("weight", profile.scaled(F.col("idf"), F.col("df") / F.col("units"), s.df_weight))
     codes = ranks.select("d", "code").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("d").orderBy("code")))  # one row for each category

@@ -1,11 +1,11 @@
 """Profile build: gate, stratified sample, frequencies, weights and the evidence index.
 
-All operators work on the long table unit_items(code, unit, inst, item, node).
+All operators work on the long table unit_items(code, unit, inst, item, node). What several steps read
+(nodes, profiles, evidence) is best stored between them, bucketed (sources/store.py), as the queries do.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,19 +22,11 @@ def fold(items: DataFrame, mapping: DataFrame) -> DataFrame:
     return items.drop("node").join(mapping, "item", "left").withColumn("node", F.coalesce("node", F.col("item").cast("string")))
 
 
-def reused(df: DataFrame) -> DataFrame:
-    """Keep a table that several later steps read: in memory, beyond that on the executors' disks.
-
-    Lost parts are computed again. Equal plans share one copy; clearCache() drops them all.
-    """
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def unit_nodes(items: DataFrame, s: Settings) -> DataFrame:
     """Distinct (code, unit, inst, node) of the units that hold enough nodes."""
     pairs = at_level(items, s.level).select("code", "unit", "inst", "node").distinct()
-    big = pairs.groupBy("code", "unit", "inst").agg(F.count(F.lit(1)).alias("n_nodes")).where(F.col("n_nodes") >= s.min_nodes)
-    return reused(pairs.join(big.select("code", "unit", "inst"), ["code", "unit", "inst"], "left_semi"))
+    size = F.count(F.lit(1)).over(Window.partitionBy("code", "unit", "inst"))  # a unit's own nodes
+    return pairs.withColumn("n_nodes", size).where(F.col("n_nodes") >= s.min_nodes).drop("n_nodes")
 
 
 def concentration(units: DataFrame, s: Settings) -> DataFrame:
@@ -93,7 +85,7 @@ def profile_items(nodes: DataFrame, s: Settings, sampled: bool = True) -> DataFr
     """(code, node, rank, df, full_df, units, idf, weight): the top items of each code by df * idf."""
     freq = frequencies(nodes, s, sampled).withColumn("key", F.round(F.col("df") * F.col("idf"), 9))
     ranked = freq.withColumn("rank", F.row_number().over(Window.partitionBy("code").orderBy(F.desc("key"), "node"))).where(F.col("rank") <= s.top_k)
-    return reused(ranked.withColumn("weight", scaled(F.col("idf"), F.col("full_df") / F.col("units"), s.df_weight)).drop("key"))
+    return ranked.withColumn("weight", scaled(F.col("idf"), F.col("full_df") / F.col("units"), s.df_weight)).drop("key")
 
 
 def evidence(items: DataFrame, profiles: DataFrame, s: Settings, top: int = 3) -> DataFrame:

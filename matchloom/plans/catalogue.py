@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.operators import matching, profile
+from matchloom.operators import matching
 from matchloom.plans import fixtures
 from matchloom.settings import SMALL_TABLES
 
@@ -28,9 +28,7 @@ def register(sql: str | None = None):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best profiles of each user of the smallest tables."""
-    items = fixtures.unit_items(spark, sf_dir)
-    profiles = profile.profile_items(profile.unit_nodes(items, SMALL_TABLES), SMALL_TABLES)
-    return matching.reverse(fixtures.users(items), profiles)
+    return matching.reverse(fixtures.users(fixtures.unit_items(spark, sf_dir)), fixtures.profiles(spark, sf_dir, SMALL_TABLES))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

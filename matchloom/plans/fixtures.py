@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from matchloom.operators.profile import reused
+from matchloom.operators import profile
+from matchloom.settings import Settings
+from matchloom.sources import store
 
 #: Postings are judged as of this day.
 AS_OF = "2001-07-01"
@@ -25,13 +27,37 @@ def codes(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("c_custkey", F.concat(two("n_regionkey"), two("n_nationkey"), F.col("s")).alias("code"))
 
 
+def once(spark: SparkSession, d: str, name: str, build, *by: str) -> DataFrame:
+    """A table derived from the order tables, kept while these stay as they are."""
+    return store.once(spark, [f"{d}/{t}.parquet" for t in ("customer", "nation", "orders", "lineitem", "part")], name, build, *by)
+
+
 def unit_items(spark: SparkSession, d: str) -> DataFrame:
     """(code, unit, inst, item, node): orders are units, customers institutions, parts items, brand and name nodes."""
+    return once(spark, d, "items", lambda: _items(spark, d), "unit")
+
+
+def nodes(spark: SparkSession, d: str, s: Settings) -> DataFrame:
+    """The node table of the settings, by code."""
+    return once(spark, d, f"nodes {s.level} {s.min_nodes}", lambda: profile.unit_nodes(unit_items(spark, d), s), "code")
+
+
+def profiles(spark: SparkSession, d: str, s: Settings) -> DataFrame:
+    """The profiles of the settings, by node."""
+    return once(spark, d, f"profiles {s}", lambda: profile.profile_items(nodes(spark, d, s), s), "node")
+
+
+def evidence(spark: SparkSession, d: str, s: Settings) -> DataFrame:
+    """The evidence of all profile items, by node."""
+    return once(spark, d, f"evidence {s}", lambda: profile.evidence(unit_items(spark, d), profiles(spark, d, s), s), "node")
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
     parts = table(spark, d, "part").select("p_partkey", F.concat_ws("|", "p_brand", "p_name").alias("node"))
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(codes(spark, d), F.col("o_custkey") == F.col("c_custkey"))
-    return reused(joined.join(parts, F.col("l_partkey") == F.col("p_partkey")).select("code", F.col("l_orderkey").alias("unit"), F.col("o_custkey").alias("inst"), F.col("l_partkey").alias("item"), "node"))
+    return joined.join(parts, F.col("l_partkey") == F.col("p_partkey")).select("code", F.col("l_orderkey").alias("unit"), F.col("o_custkey").alias("inst"), F.col("l_partkey").alias("item"), "node")
 
 
 def users(items: DataFrame) -> DataFrame:

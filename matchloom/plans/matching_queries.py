@@ -15,11 +15,11 @@ FOUR_SQL = {"level": 4, "least": 30.0, "hhi": 0.25, "top_k": 50}
 
 
 def _nodes(spark, d, s=TABLES):
-    return profile.unit_nodes(fx.unit_items(spark, d), s)
+    return fx.nodes(spark, d, s)
 
 
 def _profiles(spark, d, s=TABLES):
-    return profile.profile_items(_nodes(spark, d, s), s)
+    return fx.profiles(spark, d, s)
 
 
 @register("WITH " + fx.nodes_sql() + "SELECT code, unit, inst, count(*) AS n_nodes FROM nodes GROUP BY ALL")
@@ -73,8 +73,7 @@ src AS (SELECT code, node, item, string_agg(CAST(unit AS VARCHAR), ',' ORDER BY
 SELECT code, node, item AS text, n, rank, docs FROM top JOIN src USING (code, node, item)""")
 def evidence_top_quotes(spark, d):
     s = Settings(min_nodes=3, min_effective_units=70.0, max_hhi=0.12, top_k=20)
-    items = fx.unit_items(spark, d)
-    found = profile.evidence(items, profile.profile_items(profile.unit_nodes(items, s), s), s)
+    found = fx.evidence(spark, d, s)
     return found.select("code", "node", "text", "n", "rank", F.array_join(F.col("doc_ids").cast("array<string>"), ",").alias("docs"))
 
 
@@ -165,7 +164,7 @@ SELECT usr AS user, doc, n, row_number() OVER (PARTITION BY usr ORDER BY n DESC,
 def related_postings(spark, d):
     s = Settings(min_nodes=3, min_effective_units=70.0, max_hhi=0.12, top_k=20)
     items = fx.unit_items(spark, d)
-    proofs = profile.evidence(items, profile.profile_items(profile.unit_nodes(items, s), s), s)
+    proofs = fx.evidence(spark, d, s)
     return matching.related_postings(fx.users(items), proofs)
 
 
@@ -285,8 +284,8 @@ SELECT count(*) AS items, count(*) FILTER (WHERE i.code IS NULL) AS without_evid
 def evidence_audit(spark, d):
     s = Settings(min_nodes=3, min_effective_units=70.0, max_hhi=0.12, top_k=20)
     items = fx.unit_items(spark, d)
-    prof = profile.profile_items(profile.unit_nodes(items, s), s)
-    proved = profile.evidence(items, prof, s).select("code", "node", F.lit(1).alias("proved")).distinct()
+    prof = fx.profiles(spark, d, s)
+    proved = fx.evidence(spark, d, s).select("code", "node", F.lit(1).alias("proved")).distinct()
     return prof.join(proved, ["code", "node"], "left").agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("proved").isNull()).alias("without_evidence"))
 
 
@@ -318,7 +317,7 @@ def _proofs(spark, d):
     """The profiles and the evidence of all their items."""
     items = fx.unit_items(spark, d)
     profiles = _profiles(spark, d)
-    return items, profiles, profile.evidence(items, profiles, TABLES)
+    return items, profiles, fx.evidence(spark, d, TABLES)
 
 
 @register("WITH " + fx.scores_sql() + PROOF_SQL + """
@@ -341,7 +340,7 @@ SELECT * FROM own UNION ALL SELECT * FROM up""")
 def quote_fallback(spark, d):
     """Coarse and fine codes; the index holds the coarse ones."""
     items = fx.unit_items(spark, d)
-    proofs = profile.evidence(items, _profiles(spark, d, FOUR), FOUR)
+    proofs = fx.evidence(spark, d, FOUR)
     pairs = items.select("code", "node").unionByName(items.select(F.substring("code", 1, 4).alias("code"), "node"))
     return matching.quotes(pairs, proofs, coarse=4)
 
@@ -370,7 +369,7 @@ def match_heads(spark, d):
     targets = fx.home(items, 4).join(profiles.select("code").distinct(), "code", "left_semi")
     units = items.groupBy("code").agg(F.countDistinct("unit").alias("units"))
     fine = items.select("code", "node").distinct().join(units, "code")
-    found = matching.match_summary(fx.users(items), targets, profiles, profile.evidence(items, profiles, FOUR), fine)
+    found = matching.match_summary(fx.users(items), targets, profiles, fx.evidence(spark, d, FOUR), fine)
     return found.withColumns({"score": F.round("score", 6), "postings": F.array_join(F.col("postings").cast("array<string>"), "|"), "subdivisions": F.array_join("subdivisions", "|")})
 
 
@@ -394,5 +393,5 @@ def gaps_near_proved(spark, d):
     brand = F.split_part("node", F.lit("|"), F.lit(1))
     mine = users.groupBy("user", brand.alias("brand")).agg(F.count(F.lit(1)).alias("n"))
     near = mine.join(profiles.select("node", brand.alias("brand")).distinct(), "brand").select("user", "node", F.least(0.3 + 0.05 * F.col("n"), F.lit(1.0)).alias("sim"), F.concat_ws(" ", "brand", F.col("n").cast("string")).alias("sentence"))
-    proofs = profile.evidence(items, profiles, s)
+    proofs = fx.evidence(spark, d, s)
     return matching.gaps(users, fx.home(items, 4), profiles, s, near=near, evidence=proofs)

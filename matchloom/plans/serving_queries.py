@@ -141,7 +141,7 @@ SELECT code, label, units, level, CASE WHEN parent <> '' THEN parent ELSE name E
 def target_list(spark, d):
     s = Settings(level=4, min_nodes=3, min_effective_units=30.0, max_hhi=0.25)
     items = fx.unit_items(spark, d)
-    top = profile.gate(profile.unit_nodes(items, s), s).where("included").select("code", F.concat(F.lit("N"), "code").alias("name"), "units")
+    top = profile.gate(fx.nodes(spark, d, s), s).where("included").select("code", F.concat(F.lit("N"), "code").alias("name"), "units")
     fine = items.select("code", "unit").distinct().groupBy("code").agg(F.count(F.lit(1)).alias("units")).select("code", F.concat(F.lit("S"), "code").alias("name"), "units")
     return serving.targets(top, fine, 4).select("code", "label", "units", "level", "family")
 
@@ -420,7 +420,7 @@ SELECT usr AS user, code, side, place, node, full_df, quotes, sentence, sim, n_n
 def compare_quoted(spark, d):
     items = fx.unit_items(spark, d)
     profiles = _profiles(spark, d)
-    proofs = profile.reused(profile.evidence(items, profiles, TABLES))
+    proofs = fx.evidence(spark, d, TABLES)
     mine = items.where("item % 7 <> 0").groupBy(F.col("inst").alias("user"), "node", "unit", "item").agg(F.round(1 - 1 / (1 + F.count(F.lit(1))), 6).alias("sim"))
     said = mine.select("user", "node", F.concat_ws(":", F.col("unit").cast("string"), F.col("item").cast("string")).alias("sentence"), "sim")
     named = fx.table(spark, d, "nation").select(F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("nation"), F.col("n_name").alias("description"))
