@@ -38,8 +38,8 @@ def unit_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nodes(spark: SparkSession, d: str, s: Settings) -> DataFrame:
-    """The node table of the settings, by code."""
-    return once(spark, d, f"nodes {s.level} {s.min_nodes}", lambda: profile.unit_nodes(unit_items(spark, d), s), "code")
+    """The node table of the settings, by unit: units are many and even, codes are few and one may hold a third of all rows."""
+    return once(spark, d, f"nodes {s.level} {s.min_nodes}", lambda: profile.unit_nodes(unit_items(spark, d), s), "unit")
 
 
 def profiles(spark: SparkSession, d: str, s: Settings) -> DataFrame:
