@@ -270,7 +270,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path, pattern)
-        for batch in slices(batches, len(stay), rows=4096, size=4 << 20):
+        for batch in slices(batches, len(stay), rows=4096, size=2 << 20):
             done = [words.encode(batch.column(len(stay)))]
             if decoded:
                 done.append(tokens_of(path).decode(done[0]))
