@@ -281,8 +281,10 @@ def source_label(institution: Column, title: Column, year: Column) -> Column:
 
 
 def listed(body: Column) -> Column:
-    """The strings of the first JSON list in a text, trimmed, without empty ones; an empty list if there is none."""
-    found = F.from_json(F.regexp_extract(_text(body), "(?s)\\[.*\\]", 0), "array<string>")
+    """The strings of the JSON list in a text, from its first bracket to its last, trimmed, without empty ones; an empty list if that is none."""
+    # As the one value of a list inside an object, for a list alone would be read without regard to what follows it.
+    inside = F.from_json(F.concat(F.lit('{"x":['), F.regexp_extract(_text(body), "(?s)\\[.*\\]", 0), F.lit("]}")), "x array<array<string>>")["x"]
+    found = F.when(F.size(inside) == 1, inside[0])
     return F.coalesce(F.filter(F.transform(found, _trim), lambda s: s.isNotNull() & (s != "")), F.expr("cast(array() as array<string>)"))
 
 

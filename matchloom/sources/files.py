@@ -65,7 +65,8 @@ def publish(new: DataFrame, target: str, share: float = 0.8) -> bool:
     """Replace a table unless the new one is empty or under `share` of the old one's rows.
 
     The new table is written beside the old one, counted there, and takes its place by renaming, so
-    it may be computed from the old one and a failure on the way leaves that as it was.
+    it may be computed from the old one and a failure before that leaves it as it was. Between the
+    two renames there is no table for a moment.
     """
     spark = new.sparkSession
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
