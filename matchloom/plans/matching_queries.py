@@ -375,7 +375,7 @@ def match_heads(spark, d):
 
 @register("WITH " + fx.scores_sql(**FOUR_SQL) + """
 , tg AS (SELECT DISTINCT inst AS usr, left(code, 4) AS code FROM items),
-near AS (SELECT usr, p.node, least(0.3 + 0.05 * n, 1.0) AS sim, b.brand || ' ' || n AS sentence FROM (SELECT usr, split_part(node, '|', 1) AS brand, count(*) AS n FROM us GROUP BY ALL) b JOIN (SELECT DISTINCT node FROM prof) p ON split_part(p.node, '|', 1) = b.brand),
+near AS (SELECT usr, p.node, round(CAST(least(0.3 + 0.05 * n, 1.0) AS DOUBLE), 6) AS sim, b.brand || ' ' || n AS sentence FROM (SELECT usr, split_part(node, '|', 1) AS brand, count(*) AS n FROM us GROUP BY ALL) b JOIN (SELECT DISTINCT node FROM prof) p ON split_part(p.node, '|', 1) = b.brand),
 w AS (SELECT usr, prof.* FROM tg JOIN prof USING (code)),
 pool AS (SELECT *, row_number() OVER (PARTITION BY usr, code ORDER BY full_df DESC, node) AS k FROM w ANTI JOIN us USING (usr, node)),
 raw AS (SELECT left(code, 4) AS code, node, item, unit FROM items),
@@ -392,6 +392,6 @@ def gaps_near_proved(spark, d):
     profiles, users = _profiles(spark, d, s), fx.users(items)
     brand = F.split_part("node", F.lit("|"), F.lit(1))
     mine = users.groupBy("user", brand.alias("brand")).agg(F.count(F.lit(1)).alias("n"))
-    near = mine.join(profiles.select("node", brand.alias("brand")).distinct(), "brand").select("user", "node", F.least(0.3 + 0.05 * F.col("n"), F.lit(1.0)).alias("sim"), F.concat_ws(" ", "brand", F.col("n").cast("string")).alias("sentence"))
+    near = mine.join(profiles.select("node", brand.alias("brand")).distinct(), "brand").select("user", "node", F.round(F.least(0.3 + 0.05 * F.col("n"), F.lit(1.0)), 6).alias("sim"), F.concat_ws(" ", "brand", F.col("n").cast("string")).alias("sentence"))
     proofs = fx.evidence(spark, d, s)
     return matching.gaps(users, fx.home(items, 4), profiles, s, near=near, evidence=proofs)
