@@ -7,7 +7,7 @@ of the next level. The runs then say which document owns each line; every other
 
 A run is a table in the shared folder, bucketed and sorted by the hash, all with the same buckets. So
 the new keys, dealt to the buckets once, meet run after run in place: no run is shuffled or sorted
-again for a batch, and runs of one level merge bucket by bucket.
+again for a batch. Merging the runs of a level deals and sorts them once more, into one file a bucket.
 
 Skew. The keys of a batch are combined before their shuffle, so a line that stands in a third of all
 documents is one row per task. Occurrences meet their owners by (hash, identifier), never by the
@@ -81,7 +81,9 @@ class LineRuns:
         for depth in range(len(self.levels)):
             if len(self.levels[depth]) >= self.fanout:
                 runs = [self.spark.table(name) for name in self.levels[depth]]
-                merged = self._write(reduce(DataFrame.unionByName, runs).repartition(self.buckets, *KEY))
+                # As computed columns the keys don't count as dealt already, so a bucket's parts meet in one task and make one sorted file.
+                rows = reduce(DataFrame.unionByName, runs).withColumns({k: F.coalesce(k, F.lit(0).cast("long")) for k in KEY})
+                merged = self._write(rows.repartition(self.buckets, *KEY))
                 for name in self.levels[depth]:
                     self._forget(name)
                 self.levels[depth] = []

@@ -215,6 +215,24 @@ def test_hostile_texts_take_linear_time():
         assert time.process_time() - began < 30
 
 
+def test_merged_runs_stay_sorted(spark):
+    """A merged run has one file for each bucket and is met without sorting or dealing it again, like a fresh one."""
+    from matchloom.llm.common import shared_dir
+
+    runs = op4.LineRuns(spark, shared_dir(spark, "runs"), 3)
+    for b in range(4):
+        ids = spark.range(b * 1000, b * 1000 + 3000)
+        runs.add(ids.select(F.xxhash64("id").alias("h1"), F.xxhash64(F.lit("second"), "id").alias("h2"), "id"))
+    assert [len(level) for level in runs.levels] == [1, 1]
+    new = ids.select(F.xxhash64("id").alias("h1"), F.xxhash64(F.lit("second"), "id").alias("h2"), "id").groupBy(*op4.KEY).agg(F.min("id").alias("owner")).repartition(runs.buckets, *op4.KEY)
+    with op4.sorted_scans(spark):
+        for name in [name for level in runs.levels for name in level]:
+            table = spark.table(name)
+            plan = new.join(table.select(*op4.KEY).hint("merge"), op4.KEY, "left_anti")._jdf.queryExecution().executedPlan().toString()
+            assert len(table.inputFiles()) == runs.buckets and plan.count("Sort [") == 1 and plan.count("Exchange") == 1
+    assert {(r.id, r.owner) for r in ids.unionByName(spark.range(3000)).select(F.xxhash64("id").alias("h1"), "id").distinct().join(runs.owners(), "h1").select("id", "owner").collect()} == {(i, i) for i in [*range(3000), *range(3000, 6000)]}
+
+
 WHOLE_TEXTS = {
     "Apache-2.0": "Apache-2.0", "Artistic": "Artistic", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL", "GFDL-1.3": "GFDL", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0",
     "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
