@@ -23,10 +23,9 @@ SECTIONS = (
     ("관련자격", ("관련자격", "우대자격", "필요자격", "자격증")),
 )
 STOP_HEADS = (
-    "기관주요사업 주요사업 기관소개 사업개요 공단사업 우대사항 우대조건 교육요건 일반요건 필요자격 관련자격 전형방법 근무지 근무부서 채용분야 모집분야 직급 직군 "
-    "참고사이트 참고 비고 기타 직업기초능력 직무수행요건 요구수준 요구역량 분류체계 NCS분류체계 대분류 중분류 "
-    "지원요건 응시자격 지원자격 자격요건 연령 성별 학력 전공 경력 채용인원 소속 직위 직렬 고용형태"
-).split()
+    "기관주요사업", "주요사업", "기관소개", "사업개요", "공단사업", "우대사항", "우대조건", "교육요건", "일반요건", "필요자격", "관련자격", "전형방법", "근무지", "근무부서", "채용분야", "모집분야", "직급", "직군", "참고사이트", "참고", "비고", "기타", "직업기초능력",
+    "직무수행요건", "요구수준", "요구역량", "분류체계", "NCS분류체계", "대분류", "중분류", "지원요건", "응시자격", "지원자격", "자격요건", "연령", "성별", "학력", "전공", "경력", "채용인원", "소속", "직위", "직렬", "고용형태",
+)
 BULLET = "·•◦○●ㅇ□■▪▫◇◆⚬∘⦁‣▶▷►★☆❍¡-"
 _BULLET_SET = BULLET.replace("-", "\\-")
 ITEM_SPLIT = f"[\\n{_BULLET_SET}]\\s*|(?<=[다음])\\s*,\\s*|,\\s+(?=[가-힣A-Za-z(])"
@@ -35,11 +34,15 @@ WRAP_HEAD = "(?U)^\\s*(?:대한|관한|대해|관해|및|등|있는|없는|위
 BULLET_HEAD = f"^\\s*[{_BULLET_SET}]"
 LEAD_MARK = "^[\\s■□○●▪▫◆◇※◎ㅇ·•\\-–—]+"
 TABLE_HEAD = (
-    "대분류 중분류 소분류 세분류 분류체계 채용분야 직무 직급 근무지 근무부서 전형방법 일반요건 교육요건 연령 성별 학력 전공 경력 주요사업 기관 참고사이트 우대사항 관련자격 "
-    "직무수행 직무수행내용 능력단위 직업기초능력 필요지식 필요기술 직무수행태도 필요태도 기관주요사업 채용인원 비고"
-).split()
-BASIC_ABILITY = "의사소통능력 수리능력 문제해결능력 자기개발능력 자원관리능력 대인관계능력 정보능력 기술능력 조직이해능력 직업윤리".split()
-FRAGMENT = "직업기초 기초능력 수행태도 필요지식 필요기술 직무수행 분류 체계 요건 사항 내용 단위 능력".split()
+    "대분류", "중분류", "소분류", "세분류", "분류체계", "채용분야", "직무", "직급", "근무지", "근무부서", "전형방법", "일반요건", "교육요건", "연령", "성별", "학력", "전공", "경력", "주요사업", "기관", "참고사이트", "우대사항", "관련자격", "직무수행",
+    "직무수행내용", "능력단위", "직업기초능력", "필요지식", "필요기술", "직무수행태도", "필요태도", "기관주요사업", "채용인원", "비고",
+)
+BASIC_ABILITY = (
+    "의사소통능력", "수리능력", "문제해결능력", "자기개발능력", "자원관리능력", "대인관계능력", "정보능력", "기술능력", "조직이해능력", "직업윤리",
+)
+FRAGMENT = (
+    "직업기초", "기초능력", "수행태도", "필요지식", "필요기술", "직무수행", "분류", "체계", "요건", "사항", "내용", "단위", "능력",
+)
 DROP = "(?i)^(www\\.|http|참고|사이트|ncs|\\d+\\.?$|\\d{2}\\.\\s|기타|해당없음|없음|미개발|자체개발)"
 NCS_CODE = "^\\s*\\d{2}[.\\s]"
 BOILER = "국가직무능력표준|홈페이지|www\\.|http|별첨|자체 ?개발|붙임|세부 ?사항입니다|본 ?내용은|상기 ?직무|직무 ?설명자료|직무기술서|채용 ?공고|별도로"
