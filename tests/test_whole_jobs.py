@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from matchloom.plans import catalogue
 
@@ -14,3 +15,10 @@ def test_subdivision_prefix_tells_small_overlaps(spark):
     """Each user has up to three finer profiles, those that share one node or none too."""
     found = catalogue.queries()["subdivision_prefix"](spark, FOLDER)
     assert found.where("overlap < 2").count() > 0
+
+
+def test_cross_eval_asks_every_user(spark):
+    """Each customer with an order is a query, whatever the number of nodes."""
+    asked = catalogue.queries()["cross_eval_major"](spark, FOLDER).groupBy().sum("queries").first()[0]
+    orders = spark.read.parquet(f"{FOLDER}/orders.parquet").join(spark.read.parquet(f"{FOLDER}/lineitem.parquet"), [F.col("o_orderkey") == F.col("l_orderkey")])
+    assert asked == orders.select("o_custkey").distinct().count()
