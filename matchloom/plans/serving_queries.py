@@ -153,7 +153,7 @@ MARKET_SQL = """mk AS (SELECT p_brand || '|' || p_name AS node, count(DISTINCT l
 def market_signals(spark, d):
     lines = fx.table(spark, d, "lineitem").join(fx.table(spark, d, "part").where("p_type = 'PROMO'"), F.col("l_partkey") == F.col("p_partkey"))
     market = lines.groupBy(F.concat_ws("|", "p_brand", "p_name").alias("node")).agg(F.countDistinct("l_suppkey").alias("corps"))
-    return serving.market_signals(fx.users(fx.unit_items(spark, d)), market).select("user", "node", "corps", "place")
+    return serving.market_signals(fx.users(fx.user_items(spark, d)), market).select("user", "node", "corps", "place")
 
 
 @register("""WITH e AS (SELECT l_orderkey AS pos, l_linenumber AS i, p_brand AS corp, p_name AS role, p_type FROM lineitem JOIN part ON l_partkey = p_partkey),
@@ -404,7 +404,7 @@ def profile_gate_fine(spark, d):
 
 @register("WITH " + fx.ITEMS_SQL + ", us AS (SELECT DISTINCT inst AS usr, node FROM items) SELECT usr AS user, count(*) AS nodes FROM us GROUP BY usr HAVING count(*) >= 30")
 def query_minimum(spark, d):
-    return evaluate.enough_nodes(fx.users(fx.unit_items(spark, d)), 30).groupBy("user").agg(F.count(F.lit(1)).alias("nodes"))
+    return evaluate.enough_nodes(fx.users(fx.user_items(spark, d)), 30).groupBy("user").agg(F.count(F.lit(1)).alias("nodes"))
 
 
 @register("WITH " + fx.scores_sql() + """
@@ -418,10 +418,10 @@ have AS (SELECT usr, code, 'have' AS side, row_number() OVER (PARTITION BY usr,
 lack AS (SELECT usr, code, 'lack' AS side, row_number() OVER (PARTITION BY usr, code ORDER BY full_df DESC, node) AS place, node, full_df FROM w ANTI JOIN us USING (usr, node) QUALIFY place <= 10)
 SELECT usr AS user, code, side, place, node, full_df, quotes, sentence, sim, n_name AS description FROM (FROM have UNION ALL FROM lack) JOIN qt USING (code, node) LEFT JOIN sd USING (usr, node) LEFT JOIN nation ON lpad(CAST(n_nationkey AS VARCHAR), 2, '0') = substr(code, 3, 2)""")
 def compare_quoted(spark, d):
-    items = fx.unit_items(spark, d)
+    items = fx.user_items(spark, d)
     profiles = _profiles(spark, d)
     proofs = fx.evidence(spark, d, TABLES)
-    mine = items.where("item % 7 <> 0").groupBy(F.col("inst").alias("user"), "node", "unit", "item").agg(F.round(1 - 1 / (1 + F.count(F.lit(1))), 6).alias("sim"))
+    mine = fx.unit_items(spark, d).where("item % 7 <> 0").repartition("inst", "node").groupBy(F.col("inst").alias("user"), "node", "unit", "item").agg(F.round(1 - 1 / (1 + F.count(F.lit(1))), 6).alias("sim"))
     said = mine.select("user", "node", F.concat_ws(":", F.col("unit").cast("string"), F.col("item").cast("string")).alias("sentence"), "sim")
     named = fx.table(spark, d, "nation").select(F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("nation"), F.col("n_name").alias("description"))
     about = profiles.select("code").distinct().withColumn("nation", F.substring("code", 3, 2)).join(named, "nation")
