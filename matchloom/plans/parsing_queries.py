@@ -13,7 +13,7 @@ from matchloom.plans.catalogue import register
 
 
 def _parts(spark, d):
-    return fx.table(spark, d, "part").withColumnRenamed("p_partkey", "doc")
+    return fx.spread(spark, d, "part", "p_partkey").withColumnRenamed("p_partkey", "doc")
 
 
 def _joined(column):
@@ -172,13 +172,13 @@ def user_set_eval(spark, d):
 @register("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '(' || p_brand || ') ' || p_name ELSE p_name END AS name FROM part")
 def bracket_repair(spark, d):
     shape = F.element_at(F.array(F.concat(F.lit("(("), F.col("p_brand"), F.lit(")) "), F.col("p_name")), F.concat("p_name", F.lit(" (size "), "p_size"), F.concat("p_name", F.lit(") ["), "p_type")), (F.col("p_partkey") % 3 + 1).cast("int"))
-    return fx.table(spark, d, "part").select("p_partkey", X.repair_brackets(shape).alias("name"))
+    return fx.spread(spark, d, "part", "p_partkey").select("p_partkey", X.repair_brackets(shape).alias("name"))
 
 
 @register("SELECT p_partkey, replace(p_name, ' ', '') AS name, false AS noise FROM part")
 def l1_normalise(spark, d):
     name = F.concat(F.lit("1) ["), F.col("p_brand"), F.lit("] "), F.col("p_name"), F.lit(" 관련 지식 등"))
-    return fx.table(spark, d, "part").select("p_partkey", X.normal_name(name).alias("name"), X.is_noise(X.normal_name(name)).alias("noise"))
+    return fx.spread(spark, d, "part", "p_partkey").select("p_partkey", X.normal_name(name).alias("name"), X.is_noise(X.normal_name(name)).alias("noise"))
 
 
 @register("""SELECT p_partkey, lower(p_brand) || replace(p_name, ' ', '') AS squashed, CASE WHEN p_size < 10 THEN '' ELSE lpad(CAST(p_size AS VARCHAR), 4, '0') END AS code, p_brand || ' · ' || p_name || ' · ' || p_type || ' · d · e' || CASE WHEN p_size % 2 = 0 THEN ' 외 2개' ELSE '' END AS summary FROM part""")
@@ -186,7 +186,7 @@ def small_text_functions(spark, d):
     uri = F.concat(F.lit("http://x/y_"), F.when(F.col("p_size") < 10, F.col("p_size").cast("string")).otherwise(F.lpad(F.col("p_size").cast("string"), 4, "0")), F.lit(" "))
     names = F.array("p_brand", "p_name", "p_type", F.lit("d"), F.lit("e"))
     names = F.when(F.col("p_size") % 2 == 0, F.concat(names, F.array(F.lit("f"), F.lit("g")))).otherwise(names)
-    return fx.table(spark, d, "part").select("p_partkey", X.squash(F.concat_ws(" ", "p_brand", "p_name")).alias("squashed"), X.code_of_uri(uri).alias("code"), X.summary(names).alias("summary"))
+    return fx.spread(spark, d, "part", "p_partkey").select("p_partkey", X.squash(F.concat_ws(" ", "p_brand", "p_name")).alias("squashed"), X.code_of_uri(uri).alias("code"), X.summary(names).alias("summary"))
 
 
 @register("""SELECT p_partkey AS doc, pos, kind, line FROM part, LATERAL (VALUES (2, 'required', p_name || ' 개발 가능자'), (3, 'required', 'SQL 활용'), (5, 'duty', p_brand || ' 운영'), (7, 'preferred', '우대 조건을 만족하는 ' || p_type || ' 전문가이면 좋습니다')) v(pos, kind, line)""")
