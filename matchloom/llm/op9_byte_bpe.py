@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from matchloom.llm.common import slices, table, unused, without
 
 #: Entries that each half of a memo may hold.
-MEMO = 1 << 17
+MEMO = 1 << 15
 NEVER = 1 << 60
 # Fixed value: the pattern whose pieces never go on over a plain space between two characters that
 # aren't white space. The one before ends there and the next begins with it.
@@ -97,6 +97,7 @@ class BytePairs:
         self.automaton.make_automaton()  # without tokens that merging can't reach: they only match whole pieces
         self.reachable = {i for i, _ in self.automaton.values()}
         self.spaced = pattern == SPACED
+        self.tokens = Tokens(self.token)  # for a decoder in the same pass
         self.pieces = Memo()  # ids as int32
         self.pairs: dict[int, bool] = {}
         self.prefix: dict[int, int] = {}
@@ -224,9 +225,7 @@ class BytePairs:
 class Tokens:
     """The bytes of each id, as an Arrow array."""
 
-    def __init__(self, path: str):
-        with open(path, "rb") as lines:
-            known = {int(b): base64.b64decode(a) for a, b in (line.split() for line in lines if line.strip())}
+    def __init__(self, known: dict[int, bytes]):
         self.bytes = pa.array([known.get(i) for i in range(max(known) + 1)], pa.large_binary())
 
     def decode(self, ids: pa.Array) -> pa.Array:
@@ -245,7 +244,8 @@ class Tokens:
 
 @lru_cache(maxsize=1)
 def tokens_of(path: str) -> Tokens:
-    return Tokens(path)
+    with open(path, "rb") as lines:
+        return Tokens({int(b): base64.b64decode(a) for a, b in (line.split() for line in lines if line.strip())})
 
 
 @lru_cache(maxsize=1)
@@ -270,10 +270,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path, pattern)
-        for batch in slices(batches, len(stay), rows=4096, size=2 << 20):
+        for batch in slices(batches, len(stay), rows=4096, size=1 << 20):
             done = [words.encode(batch.column(len(stay)))]
             if decoded:
-                done.append(tokens_of(path).decode(done[0]))
+                done.append(words.tokens.decode(done[0]))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(stay)], *done], names=[*stay, *results])
         words.pieces, words.pairs = Memo(), {}
 
