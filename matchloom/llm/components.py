@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import drop_path, shared_dir, stored
+from matchloom.llm.common import drop_path, growing, shared_dir, stored
 
 #: A node with more than this part (1/HUB_SHARE) of all edges, and HUB_LEAST of them, is a hub.
 HUB_SHARE, HUB_LEAST = 1024, 1000
@@ -20,7 +20,7 @@ def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
     least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), (F.col("n") > max(HUB_LEAST, total // HUB_SHARE)).alias("hub"))
     hubs = F.broadcast(least.where("hub").select("a", "m"))
-    joined = both.join(hubs, "a").unionByName(both.join(hubs, "a", "left_anti").join(least.where("not hub").select("a", "m"), "a"))
+    joined = both.join(hubs, "a").unionByName(both.join(hubs, "a", "left_anti").join(growing(least.where("not hub").select("a", "m")), "a"))
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

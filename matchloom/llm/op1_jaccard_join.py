@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchloom.llm.common import drop_path, shared_dir, slices, stored, table, unused, without
+from matchloom.llm.common import drop_path, growing, shared_dir, slices, stored, table, unused, without
 from matchloom.llm.components import components
 from matchloom.llm.hashing import bitmap, hashed_words, marked, mix
 
@@ -291,12 +291,12 @@ def jaccard_links(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
 
     # Stored tables on both sides of a join let adaptive execution split a region that most documents share.
     first = stored(regions.groupBy("region").agg(F.min("doc").alias("head"), F.max("doc").alias("most")).where("head < most").drop("most"), f"{folder}/first")
-    member = regions.join(first, "region").select(F.xxhash64("head").alias("region"), "doc", "head")
+    member = regions.join(growing(first), "region").select(F.xxhash64("head").alias("region"), "doc", "head")
     cells = stored(member.select("region", "doc").unionByName(member.select("region", F.col("head").alias("doc"))).distinct(), f"{folder}/cells-0")
     found: list[str] = []
     dense: list[str] = []
     for level in range(DEPTH + 1):
-        sized = cells.join(stored(cells.groupBy("region").agg(F.count(F.lit(1)).alias("size")), f"{folder}/sizes-{level}"), "region")
+        sized = cells.join(growing(stored(cells.groupBy("region").agg(F.count(F.lit(1)).alias("size")), f"{folder}/sizes-{level}")), "region")
         large = _dealt(sized)
         rows = sized.where(F.col("size") <= BLOCK).select("region", F.lit(0).cast("long").alias("part"), "doc", F.lit(False).alias("pivot"))
         if level < DEPTH:
@@ -311,7 +311,7 @@ def jaccard_links(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
                 rows = rows.unionByName(_by_blocks(_dealt(again.join(again.groupBy("region").agg(F.count(F.lit(1)).alias("size")), "region"))))
         sets = _sets(texts.withColumn("h", F.xxhash64("doc")), size, bitmap(rows, F.xxhash64("doc"), DOC_BITS))
         path = f"{folder}/compared-{level}"
-        compared = stored(_compare(rows.join(sets, "doc"), percent), path)
+        compared = stored(_compare(rows.join(growing(sets), "doc"), percent), path)
         found.append(path)
         if level == DEPTH:
             break
@@ -326,7 +326,7 @@ def jaccard_links(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
         stuck = stored(spread.where(F.col("copies") > DENSE * F.col("size")).select("region"), f"{folder}/stuck-{level}")
         links = spark.read.schema(compared.schema).parquet(*found).where("linked")
         classes = components(links.select("a", "b")).withColumnRenamed("node", "doc")
-        windows = members.select(F.col("region").alias("cell"), F.xxhash64("region", "pivot").alias("region"), "doc").join(classes, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        windows = members.select(F.col("region").alias("cell"), F.xxhash64("region", "pivot").alias("region"), "doc").join(growing(classes), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         open_ = windows.groupBy("cell", "region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("cell", "region")
         opened = stored(windows.join(open_, ["cell", "region"]).select("cell", "region", "doc"), f"{folder}/open-{level}")
         if stuck.limit(1).count():
@@ -355,7 +355,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     ident = F.col(f"`{id_col}`")
     return (
         _sizes(rows, text_col, size)
-        .join(classes, ident == F.col(node), "left")
+        .join(growing(classes), ident == F.col(node), "left")
         .withColumn("component_id", F.coalesce(component, ident))
         .select(*[F.col(f"`{c}`") for c in rows.columns], *RESULTS)
     )
