@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from matchloom.operators import matching, topk
 
@@ -54,3 +55,19 @@ def test_best_profiles(spark, rows):
         want = show(matching.ranked(matching.scores(users, profiles), profiles, gone).where("rank <= 7"))
         assert show(topk.best_profiles(users, profiles, 7, gone, matrix_rows=rows)) == want
     assert topk.best_profiles(users, profiles.where("false"), 3).count() == 0
+
+
+@pytest.mark.parametrize("few", [topk.FEW_CODES, 0])
+@pytest.mark.parametrize("mine, theirs", [("int", "int"), ("long", "int"), ("int", "long"), ("string", "string")])
+def test_nodes_of_any_type(spark, monkeypatch, few, mine, theirs):
+    """Nodes that are numbers, also of another width in the profiles, and codes that a user takes no rank for."""
+    monkeypatch.setattr(topk, "FEW_CODES", few)
+    rng = random.Random(3)
+    rows = [(f"{c:04d}", n, round(rng.random(), 3)) for c in range(12) for n in rng.sample(range(20), 6)]
+    profiles = spark.createDataFrame(rows + [("0099", 2**40 if theirs == "long" else 50, 1.0)], "code string, node long, weight double").withColumn("node", F.col("node").cast(theirs))
+    users = spark.createDataFrame([(u, rng.randrange(30)) for u in range(20) for _ in range(4)], "user long, node long").withColumn("node", F.col("node").cast(mine))
+    exclude = spark.createDataFrame([(u, f"{u % 12:04d}") for u in range(0, 20, 3)], "user long, code string")
+    show = lambda df: sorted((r.user, r["rank"], r.code, round(r.score, 9), r.overlap) for r in df.collect())
+    for gone in (None, exclude):
+        want = show(matching.ranked(matching.scores(users, profiles), profiles, gone).where("rank <= 5"))
+        assert want and show(topk.best_profiles(users, profiles, 5, gone)) == want
